@@ -8,9 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_duplicates
+from .html_extract import extract_pages
+from .packing import pack, word_encoder
+from .secret_scan import scan_secrets
 from .simhash_dedup import near_duplicates
 
 
+#: Vocabulary files of public tokenizers.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -19,6 +30,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), keep="max")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), word_encoder(f"{tokenizers}/word_bpe_49k.json"), end_id=2, window=4096)
+
+
 OP7_SQL = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -29,8 +48,11 @@ FROM d WINDOW w AS (PARTITION BY h, t)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": op1_html_extract,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_secret_scan": op8_secret_scan,
+        "op10_packing": op10_packing,
     }
 
 
