@@ -8,11 +8,12 @@ size that live as long as the worker process.
 
 from __future__ import annotations
 
+import struct
 import unicodedata
+from collections.abc import Callable
 
-import numpy as np
 import regex
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 #: Entries kept of each table's young half; a full one becomes the old half, and the old one goes.
 CACHE_ENTRIES = 350_000
@@ -22,24 +23,24 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SPELLING = dict(zip([b for b in range(256) if b not in _PRINTABLE], range(256, 512), strict=False))
 
 
-class _Table:
-    """A bounded memory of two generations: what is used stays."""
+class _Memory(dict):
+    """Values by key, worked out when first asked for; two generations, so what is used stays."""
 
-    def __init__(self, entries: int):
-        self.entries, self.young, self.old = entries, {}, {}
+    def __init__(self, make: Callable[[str], bytes], entries: int):
+        super().__init__()
+        self.make, self.entries, self.old = make, entries, {}
 
-    def get(self, key: str) -> bytes | None:
+    def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
-        if value is not None:
-            self.put(key, value)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
-    def put(self, key: str, value: bytes) -> None:
-        self.young[key] = value
-
     def age(self) -> None:
-        if len(self.young) > self.entries:
-            self.old, self.young = self.young, {}
+        if len(self) > self.entries:
+            self.old = dict(self)
+            self.clear()
 
 
 class WordTokens:
@@ -49,68 +50,36 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         # a special token's string in a text is ordinary text
         self.tokenizer.encode_special_tokens = True
-        # the same merges for words that are already split and spelled
-        self.words = Tokenizer(self.tokenizer.model)
-        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.model = self.tokenizer.model
         vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
         self.sentence_ends = sorted(i for s, i in vocab.items() if s.endswith("</w>") and s[:-4] and not s[:-4].strip(".!?"))
-        self.cuts, self.pieces = _Table(entries), _Table(entries)
-
-    def _exact(self, s: str) -> bytes:
-        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _pieces(self, cut: str) -> list[str] | None:
-        """A cut's pretokens, or None where the plain reading isn't certain: apostrophes, other
-        white space, signs outside Latin or not composed."""
-        if not (cut.isascii() or (max(cut) < "\u0250" and unicodedata.is_normalized("NFC", cut))):
-            return None
-        low = cut.lower()
-        if len(low) != len(cut):
-            return None
-        if low.isalpha():
-            return [low]
-        if low[-1:] in ".,;:!?" and low[:-1].isalpha():
-            return [low[:-1], low[-1]]
-        pieces = _PIECES.findall(low)
-        return pieces if sum(map(len, pieces)) == len(cut) else None
-
-    def _fill(self, missing: list[str]) -> None:
-        split = [self._pieces(c) for c in missing]
-        known, look = self.pieces.young, self.pieces.get
-        new = [x for x in dict.fromkeys([x for p in split if p for x in p]) if x not in known and look(x) is None]
-        if new:
-            line = " ".join([x if x.isascii() else x.encode().decode("latin-1").translate(_SPELLING) for x in new])
-            ids = np.array(self.words.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            data, at = ids.tobytes(), 0
-            if len(stops) == len(new):
-                for x, stop in zip(new, stops, strict=True):
-                    known[x] = data[4 * at : 4 * stop]
-                    at = stop
-            else:  # a sign that the vocabulary doesn't spell
-                for x in new:
-                    known[x] = self._exact(x)
-        young = self.cuts.young
-        for c, p in zip(missing, split, strict=True):
-            young[c] = self._exact(c) if p is None else known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p])
+        self.cuts, self.pieces = _Memory(self._cut, entries), _Memory(self._piece, entries)
+
+    def _piece(self, piece: str) -> bytes:
+        """One pretoken: the vocabulary's merges of it, spelled."""
+        spelled = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_SPELLING)
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _cut(self, cut: str) -> bytes:
+        """A cut by its pretokens where the plain reading is certain, else (apostrophes, other white
+        space, signs outside Latin or not composed) the whole tokenizer's way."""
+        if cut.isascii() or (max(cut) < "\u0250" and unicodedata.is_normalized("NFC", cut)):
+            low = cut.lower()
+            if low.isalpha() and len(low) == len(cut):
+                return self.pieces[low]
+            pieces = _PIECES.findall(low)
+            if sum(map(len, pieces)) == len(cut):
+                return b"".join([self.pieces[x] for x in pieces])
+        ids = self.tokenizer.encode(cut, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> bytes:
         words, out = text.replace("\n", " ").split(" "), []
         for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
             self.cuts.age()
             self.pieces.age()
-            found = list(map(self.cuts.young.get, part))
-            if None in found:
-                look = self.cuts.get
-                missing = [w for w in dict.fromkeys([w for w, f in zip(part, found, strict=True) if f is None]) if look(w) is None]
-                if missing:
-                    self._fill(missing)
-                young = self.cuts.young
-                found = [young[w] for w in part]
-            out.append(b"".join(found))
+            out.append(b"".join(map(self.cuts.__getitem__, words[at : at + 50_000])))
         return out[0] if len(out) == 1 else b"".join(out)
 
 
