@@ -12,6 +12,8 @@ from .html_extract import extract_pages
 from .packing import pack, word_encoder
 from .secret_scan import scan_secrets
 from .simhash_dedup import near_duplicates
+from .substring_dedup import remove_repeats
+from .toxicity import score_documents, train
 
 
 #: Vocabulary files of public tokenizers.
@@ -26,6 +28,10 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), length=20)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), keep="max")
 
@@ -34,10 +40,26 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), word_encoder(f"{tokenizers}/word_bpe_49k.json"), end_id=2, window=4096)
 
 
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(ws[s:s + 19], ' ') ORDER BY doc_id, s) AS rn FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM r WHERE rn > 1),
+x AS (SELECT doc_id, list(p) AS ps FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(ws, (v, i) -> NOT list_contains(coalesce(ps, []), i)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN x USING (doc_id)
+"""
+
 OP7_SQL = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -50,11 +72,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
         "op4_simhash_dedup": op4_simhash_dedup,
+        "op5_substring_dedup": op5_substring_dedup,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_secret_scan": op8_secret_scan,
+        "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op5_substring_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL}
