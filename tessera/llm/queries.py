@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_duplicates
 from .html_extract import extract_pages
+from .language_id import identify
+from .language_id import train as train_language
 from .packing import pack, word_encoder
 from .secret_scan import scan_secrets
 from .simhash_dedup import near_duplicates
@@ -24,6 +27,12 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    found = identify(docs, train_language(docs), F.col("text"), host=F.col("source"), declared=F.col("lang"))
+    return found.select("row.doc_id", "lang", "confidence", "text_lang", "accepted")
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -56,7 +65,7 @@ r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(ws[s:s +
 c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM r WHERE rn > 1),
 x AS (SELECT doc_id, list(p) AS ps FROM c GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
-       sha256(coalesce(array_to_string(list_filter(ws, (v, i) -> NOT list_contains(coalesce(ps, []), i)), ' '), '')) AS kept_sha256
+       sha256(coalesce(array_to_string(list_filter(ws, lambda v, i: NOT list_contains(coalesce(ps, []), i)), ' '), '')) AS kept_sha256
 FROM w LEFT JOIN x USING (doc_id)
 """
 
@@ -71,6 +80,7 @@ FROM d WINDOW w AS (PARTITION BY h, t)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
+        "op3_language_id": op3_language_id,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_substring_dedup": op5_substring_dedup,
         "op7_exact_dedup": op7_exact_dedup,

@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,12 @@ SIGNATURE_COST, COMPARE_COST = 2e-6, 1e-8
 _CHUNK = 1 << 20
 
 
+def radius_of(similarity: float) -> int:
+    """Differing bits of 64 that texts of this Jaccard similarity (shingle sets of equal size) are
+    expected to have: the angle of their vectors over half a turn."""
+    return int(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
 def fingerprint(text: str, shingle: int = 3) -> int:
     """64-bit SimHash of a text: lower-cased ASCII letters, words between ASCII white space, hashed
     word shingles with repeats (a shorter text is one shingle; one without words gives 0)."""
