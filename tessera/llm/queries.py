@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audio_fingerprint import align, best_matches
 from .common import table
 from .exact_dedup import exact_duplicates
 from .html_extract import extract_pages
 from .language_id import identify
 from .language_id import train as train_language
 from .packing import pack, word_encoder
+from .piece_tokens import encode_documents
 from .secret_scan import scan_secrets
 from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeats
@@ -27,6 +29,13 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op2_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as recordings (a word a frame): those with an identifier divisible by 100 are
+    searched for among all of them."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return best_matches(align(docs), docs.where("doc_id % 100 = 0"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     found = identify(docs, train_language(docs), F.col("text"), host=F.col("source"), declared=F.col("lang"))
@@ -41,6 +50,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), length=20)
 
 
+def op6_piece_tokens(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), f"{tokenizers}/piece_bpe_32k.model", with_ids=False)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), keep="max")
 
@@ -80,9 +93,11 @@ FROM d WINDOW w AS (PARTITION BY h, t)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
+        "op2_audio_fingerprint": op2_audio_fingerprint,
         "op3_language_id": op3_language_id,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_piece_tokens": op6_piece_tokens,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_secret_scan": op8_secret_scan,
         "op9_toxicity": op9_toxicity,
