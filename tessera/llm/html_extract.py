@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, texts
+from .common import limit_batches, stage, texts
 
 #: A subtree is template if it recurs on at least so many pages and this share of the host's pages.
 MIN_PAGES, MIN_SHARE = 5, 0.5
@@ -250,7 +250,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     null identifiers pass through (copies of a page count once each for templates); other columns
     are ignored; an empty table gives an empty result.
     """
-    pages = pages.select(F.col(id_col).cast("long").alias("row_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    pages = limit_batches(pages).select(F.col(id_col).cast("long").alias("row_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     found = stage(templates(pages, min_pages, min_share), "templates")
     schema = "row_id long, url string, text string, n_chars long"
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
-from .common import stage
+from .common import limit_batches, stage
 
 LANGUAGES = ("en", "de", "fr", "es")
 #: Labelled texts of each language that the trigram model is fitted on, the first by a hash of the identifier.
@@ -39,7 +39,7 @@ SMOOTHING, LEVELS = 5.0, 5
 ACCEPT = 0.5
 #: Host tables of up to so many rows are broadcast.
 BROADCAST_ROWS = 50_000
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 # Country suffixes of the languages.
 SUFFIXES = {"de": "de", "at": "de", "ch": "de", "li": "de", "fr": "fr", "be": "fr", "lu": "fr", "es": "es", "mx": "es", "ar": "es", "co": "es", "cl": "es", "pe": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en"}
 _LETTER = re.compile(r"[^\W\d_]")
@@ -97,7 +97,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
-    rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body")).join(F.broadcast(chosen), "row_id").select("k", "body")
+    rows = limit_batches(docs).select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body")).join(F.broadcast(chosen), "row_id").select("k", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(languages) * BUCKETS, dtype=np.int64)
@@ -123,7 +123,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 
 def with_text_evidence(df: DataFrame, model: TextModel, text: Column, keep: list[Column]) -> DataFrame:
     """``keep`` plus ``evidence`` (array of log-likelihoods by language) and ``letters``."""
-    source = df.select(*keep, text.alias("body"))
+    source = limit_batches(df).select(*keep, text.alias("body"))
     kept = [f.name for f in source.schema.fields if f.name != "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import limit_batches, texts
 
 #: Costs in tokens of padding: a cut at a sentence's end, one elsewhere, and each window.
 SENTENCE_COST, HARD_COST, WINDOW_COST = 2, 24, 8
@@ -171,8 +171,8 @@ class Packer:
 def pack(df: DataFrame, encoder: Callable[[], "object"], end_id: int, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, block: int = BLOCK_TOKENS) -> DataFrame:
     """One row per piece: ``<id_col>, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    ``encoder`` is called in each task and returns an object with ``ids(text) -> bytes`` and
-    ``sentence_ends``.  Every document's ids, then ``end_id``, lie in exactly one piece each; a
+    ``encoder`` is called in each task and returns an object with ``ids(text) -> bytes``,
+    ``sentence_ends`` and ``trim()``.  Every document's ids, then ``end_id``, lie in exactly one piece each; a
     null or empty text is ``end_id`` alone.  Sequences hold at most ``window`` tokens and are
     numbered within their task, from ``task << 32``; the order of a task's rows is kept.  Repeated
     rows and null identifiers are packed like any other; other columns are ignored; an empty table
@@ -200,10 +200,11 @@ def pack(df: DataFrame, encoder: Callable[[], "object"], end_id: int, id_col: st
                 if len(rows) >= 20_000:
                     yield out()
         rows += packer.close()
+        enc.trim()
         if rows:
             yield out()
 
-    return df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("body")).mapInArrow(run, _SCHEMA).withColumnRenamed("row_id", id_col)
+    return limit_batches(df).select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("body")).mapInArrow(run, _SCHEMA).withColumnRenamed("row_id", id_col)
 
 
 def word_encoder(path: str) -> Callable[[], "object"]:

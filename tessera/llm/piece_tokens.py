@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import limit_batches, texts
 
 SPACE = "▁"
 #: An unknown character scores so much less than the least piece.
@@ -178,7 +178,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)][: 4 + with_ids]
                 yield pa.RecordBatch.from_arrays([batch.column("row_id"), *arrays], names=[f.split()[0] for f in schema.split(", ")])
 
-    return df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("body")).mapInArrow(run, schema).withColumnRenamed("row_id", id_col)
+    return limit_batches(df).select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("body")).mapInArrow(run, schema).withColumnRenamed("row_id", id_col)
 
 
 def decode_documents(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, texts
+from .common import limit_batches, regrouped, stage, texts
 from .components import connected_components
 
 #: A bucket with more rows than this is dealt out as pairs of blocks.
@@ -72,7 +72,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = np.array([fingerprint(t, shingle) for t in texts(batch, "body")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(fps)], names=["row_id", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("body")).mapInArrow(run, "row_id long, fp long")
+    return limit_batches(df).select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("body")).mapInArrow(run, "row_id long, fp long")
 
 
 def bit_statistics(classes: DataFrame) -> tuple[int, np.ndarray]:
@@ -81,7 +81,7 @@ def bit_statistics(classes: DataFrame) -> tuple[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((64, 64), dtype=np.int64)
         n = 0
-        for batch in batches:
+        for batch in regrouped(batches):
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint8).reshape(-1, 8)
             bits = np.unpackbits(fp, axis=1, bitorder="little").astype(np.float32)
             total += (bits.T @ bits).astype(np.int64)
@@ -171,7 +171,7 @@ def signatures(classes: DataFrame, groups: list[list[int]], thresholds: list[int
             plan.append((i, bits, np.array(masks, dtype=np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in regrouped(batches, 4096):
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 fp = part.column("fp").to_numpy(zero_copy_only=False)
@@ -250,7 +250,7 @@ def link_buckets(sigs: DataFrame, radius: int) -> DataFrame:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for batch in batches:
+        for batch in regrouped(batches):
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "base", "fp", "rep")]
             if not len(cols[0]):
                 continue

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, texts
+from .common import limit_batches, regrouped, stage, texts
 
 #: Words of an anchor; a window of 20 holds 15, of which it picks one.
 SEED = 6
@@ -186,7 +186,7 @@ def judge(rows: DataFrame, pend: bool) -> DataFrame:
         # first row of the k1 under way and of its present k2, and whether the former was given
         carry: list[tuple] = []
         given = False
-        for batch in batches:
+        for batch in regrouped(batches):
             settled = batch.column("settled").to_numpy(zero_copy_only=False)
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "doc", "s", "n")]
             if settled.any():
@@ -268,7 +268,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     removed at a place is removed there in each.  Other columns are ignored; an empty table gives
     an empty result.
     """
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).alias("body"))
+    docs = limit_batches(df).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).alias("body"))
     spots = repeats(docs, length, seed).groupBy("doc").agg(F.collect_list(F.struct("s", "n")).alias("spots"))
     schema = "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, texts
+from .common import limit_batches, stage, texts
 
 #: Labelled texts of each label that the model is fitted on, the first by a hash of the identifier.
 SAMPLE = 6000
@@ -198,5 +198,5 @@ def score_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
                 [batch.column("row_id"), pa.array(p @ levels), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(toxic), pa.array(toxic >= 0.5)],
                 names=["row_id", "severity", "grade", "p_toxic", "toxic"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("body")).mapInArrow(run, "row_id long, severity double, grade int, p_toxic double, toxic boolean")
+    out = limit_batches(docs).select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("body")).mapInArrow(run, "row_id long, severity double, grade int, p_toxic double, toxic boolean")
     return out.withColumnRenamed("row_id", id_col)

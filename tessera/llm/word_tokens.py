@@ -37,6 +37,9 @@ class _Memory(dict):
         self[key] = value
         return value
 
+    def trim(self) -> None:
+        self.old = {}
+
     def age(self) -> None:
         if len(self) > self.entries:
             self.old = dict(self)
@@ -53,7 +56,7 @@ class WordTokens:
         self.model = self.tokenizer.model
         vocab = self.tokenizer.get_vocab()
         self.sentence_ends = sorted(i for s, i in vocab.items() if s.endswith("</w>") and s[:-4] and not s[:-4].strip(".!?"))
-        self.cuts, self.pieces = _Memory(self._cut, entries), _Memory(self._piece, entries)
+        self.cuts, self.pieces = _Memory(self._cut, entries), _Memory(self._piece, entries // 2)
 
     def _piece(self, piece: str) -> bytes:
         """One pretoken: the vocabulary's merges of it, spelled."""
@@ -74,6 +77,11 @@ class WordTokens:
         ids = self.tokenizer.encode(cut, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def trim(self) -> None:
+        """Free what wasn't used lately; called at the end of a task."""
+        self.cuts.trim()
+        self.pieces.trim()
+
     def ids(self, text: str) -> bytes:
         words, out = text.replace("\n", " ").split(" "), []
         for at in range(0, len(words), 50_000):
