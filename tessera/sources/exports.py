@@ -96,7 +96,7 @@ def read_xrefs(spark: SparkSession, folder: str, view_id: int, offset: int = 0,
 
 def _files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     """``file, stem, lines`` of a folder's whole files."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(folder).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
+    rows = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
     return rows.select("file", F.regexp_replace("file", rf"\{suffix}$", "").alias("stem"), F.split("value", r"\r\n|\r|\n").alias("lines"))
 
 
