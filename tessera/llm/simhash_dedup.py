@@ -132,13 +132,13 @@ def _ball(width: int, radius: int) -> int:
     return total
 
 
-def allocate(n: int, together: np.ndarray, radius: int, counts: range = range(1, 9)) -> tuple[float, list[list[int]], list[int]]:
+def allocate(n: int, together: np.ndarray, radius: int, counts: range = range(2, 9)) -> tuple[float, list[list[int]], list[int]]:
     """Least estimated work, bit groups and thresholds (-1: the group isn't probed)."""
     best: tuple[float, list[list[int]], list[int]] | None = None
     for m in counts:
         groups = group_bits(n, together, m)
         spare = radius - m + 1
-        if max(map(len, groups)) > 40 and n > 4096 or spare < -m:
+        if spare < -m:
             continue
         costs = []
         for bits in groups:
