@@ -25,8 +25,8 @@ from .common import limit_batches, stage, texts
 
 #: Labelled texts of each label that the model is fitted on, the first by a hash of the identifier.
 SAMPLE = 6000
-#: Features kept, and in how many sampled texts one has to occur.
-FEATURES, MIN_DOCS = 4096, 3
+#: Features kept at most, in how many sampled texts one has to occur, and how telling it has to be.
+FEATURES, MIN_DOCS, MIN_WEIGHT = 4096, 3, 10.0
 #: Levels of severity above clean.
 GRADES = 3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -156,9 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
     evidence = F.log(a / b)
     # by how much the counts differ from what equal rates would give
     weight = F.abs(evidence) * F.sqrt(F.col("toxic_docs") + F.col("clean_docs") + 1.0)
-    top = feature_counts(rows).where(F.col("toxic_docs") + F.col("clean_docs") >= MIN_DOCS).select("feature", evidence.alias("evidence")).orderBy(F.desc(weight), "feature").limit(n_features).collect()
+    top = feature_counts(rows).where((F.col("toxic_docs") + F.col("clean_docs") >= MIN_DOCS) & (weight >= MIN_WEIGHT)).select("feature", evidence.alias("evidence")).orderBy(F.desc(weight), "feature").limit(n_features).collect()
     names = {r["feature"]: i for i, r in enumerate(top)}
-    telling = np.array([r["evidence"] > 1.5 for r in top])
+    telling = np.array([r["evidence"] > 1.5 for r in top], dtype=bool)
     model = OrdinalModel(names, np.zeros(len(names)), np.zeros(grades))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
