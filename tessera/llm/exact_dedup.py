@@ -4,7 +4,8 @@ Only DataFrame functions run here.  A flush sorts each task's digests in place (
 memtable) and writes them as one run with a Bloom filter per row group; no shuffle.
 Compaction merges runs by digest with map-side combining and keeps one identifier per
 digest.  Rows whose digest was met more than once (hits) are then compared byte by byte
-with the row that stays, so a digest collision can't merge different texts.
+with the row that stays, so a digest collision can't merge different texts; rows of a very common
+digest are dealt out over several tasks for that.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, stage
 
 #: Bits of the hit filter: 256 bitmaps of 4 KiB, so 1 MiB is broadcast whatever the input.
 FILTER_BITS = 1 << 23
-_BITMAP = 32768
+#: A digest with more than one in so many rows, and more than so many, is dealt out over several tasks.
+HOT_SHARE, LEAST_HOT = 4096, 64
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,6 +96,25 @@ def _passes(df: DataFrame, bitmaps: DataFrame, bits: int = FILTER_BITS) -> DataF
     return df.join(F.broadcast(bitmaps), "bucket").withColumn("byte", byte).where(hit).drop("bucket", "bit", "byte", "bitmap")
 
 
+def hot_digests(hits: DataFrame, rows: int, share: int = HOT_SHARE, least: int = LEAST_HOT) -> DataFrame:
+    """``digest, parts`` of digests with over ``rows / share`` rows (fewer than ``share`` digests, so
+    they may be broadcast) and over ``least``: in how many parts their rows are dealt out."""
+    bound = max(least, rows // share)
+    return hits.where(F.col("n") > bound).select("digest", F.ceil(F.col("n") / bound).cast("int").alias("parts"))
+
+
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with a ``part``: 0, or one of the parts of a hot digest."""
+    part = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("parts")), F.lit(0)).cast("int")
+    return rows.join(F.broadcast(hot), "digest", "left").withColumn("part", part).drop("parts")
+
+
+def _in_all_parts(entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """``entries`` (about one row a digest) once for each part of its digest."""
+    part = F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))
+    return entries.join(F.broadcast(hot), "digest", "left").withColumn("part", part).drop("parts")
+
+
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """One row per input row: ``<id_col>, keep_id, group_size, kept, text_sha256``.
 
@@ -112,17 +133,20 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     single = entries.where("n = 1").select(
         F.col("keep_id").alias("row_id"), "keep_id", F.col("n").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
-    hits = entries.where("n > 1")
+    hits = entries.where("n > 1").select("digest", "keep_id", "n")
+    hot = hot_digests(hits, int(entries.agg(F.sum("n")).first()[0] or 0))
     body = F.coalesce(F.col("body"), F.lit(""))
-    members = _passes(df.select("row_id", body.alias("body"), _digest(F.col("body")).alias("digest")), hit_filter(hits)).join(hits.select("digest", "keep_id"), "digest")
+    passed = _passes(df.select("row_id", body.alias("body"), _digest(F.col("body")).alias("digest")), hit_filter(hits))
+    members = _dealt(passed, hot).join(_in_all_parts(hits.drop("n"), hot), ["digest", "part"])
     keepers = members.where(F.col("row_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("keep_body"))
     # null where the bytes agree, which without a collision is everywhere
     apart = F.when(F.col("body") == F.col("keep_body"), F.lit(None).cast("string")).otherwise(F.col("body"))
-    verified = members.join(keepers, "digest").select("row_id", "digest", apart.alias("apart"))
+    verified = stage(members.join(_in_all_parts(keepers, hot), ["digest", "part"]).select("row_id", "digest", "part", apart.alias("apart")), "verified")
     pick = F.min if keep == "min" else F.max
-    groups = verified.groupBy("digest", "apart").agg(pick("row_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = _in_all_parts(verified.groupBy("digest", "apart").agg(pick("row_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), hot)
     v, g = verified.alias("v"), groups.alias("g")
-    several = v.join(g, (F.col("v.digest") == F.col("g.digest")) & F.col("v.apart").eqNullSafe(F.col("g.apart"))).select(
+    same = (F.col("v.digest") == F.col("g.digest")) & (F.col("v.part") == F.col("g.part")) & F.col("v.apart").eqNullSafe(F.col("g.apart"))
+    several = v.join(g, same).select(
         F.col("v.row_id").alias("row_id"), F.col("g.keep_id").alias("keep_id"), F.col("g.group_size").alias("group_size"),
         F.col("v.row_id").eqNullSafe(F.col("g.keep_id")).alias("kept"), F.lower(F.hex("v.digest")).alias("text_sha256"))
     return single.unionByName(several).withColumnRenamed("row_id", id_col)

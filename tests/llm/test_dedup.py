@@ -112,6 +112,13 @@ def test_exact_duplicates(make, edge, documents, keep):
     assert exact_dedup.exact_duplicates(make([])).collect() == []
 
 
+def test_a_hot_group_is_dealt_out(spark, make):
+    rows = [(i % 700, "copy") for i in range(900)] + [(1000 + i, f"t{i % 60}") for i in range(100)] + [(None, "copy")] * 3
+    assert sorted((tuple(r) for r in exact_dedup.exact_duplicates(make(rows)).collect()), key=str) == exact(rows)
+    hits = spark.createDataFrame([(b"a", 900), (b"b", 64), (b"c", 65)], "digest binary, n long")
+    assert {bytes(r["digest"]): r["parts"] for r in exact_dedup.hot_digests(hits, 1000).collect()} == {b"a": 15, b"c": 2}
+
+
 def test_equal_digests_of_different_texts_stay_apart(make, edge, monkeypatch):
     monkeypatch.setattr(exact_dedup, "_digest", lambda text: F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 1) == "0").isNull().cast("string").cast("binary"))
     got = exact_dedup.exact_duplicates(make(edge)).collect()
