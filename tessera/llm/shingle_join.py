@@ -1,0 +1,197 @@
+"""Near-duplicates by the exact Jaccard similarity of word-shingle sets, whatever their fingerprints.
+
+A SimHash radius that keeps 99 % of the pairs at similarity 0.8 (16 or 17 of 64 bits) leaves no
+partition selective, so candidates come from a prefix filter, which loses no pair:
+
+1. All shingles have one order, those seen often in a sample last.  The order decides the work only.
+2. Sets of similarity s share a shingle among the first ``n - ceil(s n) + 1`` of each; each text is
+   filed under those.  Buckets over a bound are dealt out as pairs of blocks.
+3. Each bucket's members are held to its smallest identifier, which ties most groups together; then
+   all pairs of a bucket that still lie in different components are held to each other.
+4. A pair counts if the exact sets of its texts reach the similarity.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import limit_batches, regrouped, stage, texts
+from .components import connected_components
+from .simhash_dedup import BUCKET_ROWS, split_hot
+
+#: Texts whose shingles are counted for the order, and so many frequent shingles are put last.
+SAMPLE_TEXTS, FREQUENT = 20_000, 200_000
+_CHUNK = 1 << 20
+
+
+def shingles(text: str, size: int = 5) -> list[bytes]:
+    """Word shingles as the fingerprints have them: lower-cased ASCII letters, words between ASCII
+    white space; a shorter text is one shingle, one without words the empty shingle."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return [joined]
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    starts = [0, *ends[: len(words) - size].tolist()]
+    return [joined[a:b] for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)]
+
+
+def _hashes(text: str, size: int) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(s) for s in shingles(text, size)], dtype=np.uint64))
+
+
+def frequent_shingles(docs: DataFrame, size: int, sample: int = SAMPLE_TEXTS, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of shingles that two or more texts of a sample have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in texts(batch, "body"):
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(text, size).view(np.int64))], names=["key"])
+
+    step = max(1, docs.count() // sample)
+    counts = docs.where(F.pmod(F.xxhash64("row_id"), F.lit(step)) == 0).mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = stage(counts, "frequent")
+    least, total = 2, 0
+    for row in sorted(counts.groupBy("n").agg(F.count(F.lit(1)).alias("keys")).collect(), reverse=True):
+        total += row["keys"]
+        if total > most:
+            least = row["n"] + 1
+            break
+    found = counts.where(F.col("n") >= least).toArrow()
+    keys, n = (found.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(keys.view(np.uint64))
+    return keys.view(np.uint64)[order], n[order]
+
+
+def prefixes(docs: DataFrame, size: int, similarity: Fraction, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``key, rep, n``: each text (``rep``, of ``n`` shingles) under every shingle of its prefix."""
+    known, counts = frequent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[], [], []]
+            for rep, text in zip(batch.column("row_id").to_pylist(), texts(batch, "body"), strict=True):
+                h = _hashes(text, size)
+                n = len(h)
+                seen = np.zeros(n, dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    seen = np.where(known[at] == h, counts[at], 0)
+                first = n - -(-similarity.numerator * n // similarity.denominator) + 1
+                h = h[np.lexsort((h, seen))[:first]]
+                for col, x in zip(out, (h.view(np.int64), np.full(len(h), rep), np.full(len(h), n)), strict=True):
+                    col.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["key", "rep", "n"])
+
+    return docs.mapInArrow(run, "key long, rep long, n long")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by their first one, cut between its values only."""
+    held: list[np.ndarray] | None = None
+    for batch in regrouped(batches):
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on in the next batch
+        if cut:
+            yield [c[:cut] for c in cols]
+        held = [c[cut:] for c in cols]
+    if held is not None:
+        yield held
+
+
+def _sorted(buckets: DataFrame) -> DataFrame:
+    return buckets.repartition("key").sortWithinPartitions("key", "rep")
+
+
+def shared_buckets(filed: DataFrame) -> DataFrame:
+    """The rows of ``filed`` whose key another row has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rep, n in _runs(batches, ("key", "rep", "n")):
+            same = key[1:] == key[:-1]
+            keep = np.append(same, False) | np.append(False, same)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, rep, n)], names=["key", "rep", "n"])
+
+    return _sorted(filed).mapInArrow(run, "key long, rep long, n long")
+
+
+def candidates(buckets: DataFrame, similarity: Fraction, every: bool) -> DataFrame:
+    """Distinct pairs ``a, b`` of a bucket whose sizes allow the similarity: those with its smallest
+    identifier or, with ``every``, all that differ in ``component``."""
+    names = ("key", "rep", "n", "component") if every else ("key", "rep", "n")
+    num, den = similarity.numerator, similarity.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rep, n, *component in _runs(batches, names):
+            ends = np.append(np.flatnonzero(np.diff(key)) + 1, len(key))
+            start = np.append(0, ends[:-1])
+            # each row of left meets the width rows after it
+            left = np.arange(len(key)) if every else start
+            width = (np.repeat(ends, ends - start) if every else ends) - left - 1
+            cum, at = np.cumsum(width), 0
+            while at < len(left):
+                to = max(at + 1, int(np.searchsorted(cum, (cum[at - 1] if at else 0) + _CHUNK, side="right")))
+                w = width[at:to]
+                x = np.repeat(left[at:to], w)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(w) - w, w)
+                ok = (rep[x] != rep[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
+                if every:
+                    ok &= component[0][x] != component[0][y]
+                x, y = rep[x[ok]], rep[y[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                at = to
+
+    return _sorted(buckets).mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
+    """The pairs whose texts' shingle sets have at least the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, one = None, set()
+        for batch in batches:
+            keep = []
+            for s, t in zip(texts(batch, "s"), texts(batch, "t"), strict=True):
+                if s != last:
+                    last, one = s, set(shingles(s, size))
+                other = set(shingles(t, size))
+                both = len(one & other)
+                keep.append(both * similarity.denominator >= (len(one) + len(other) - both) * similarity.numerator)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    with_b = pairs.join(docs.select(F.col("row_id").alias("b"), F.col("body").alias("t")), "b")
+    both = with_b.join(docs.select(F.col("row_id").alias("a"), F.col("body").alias("s")), "a")
+    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``<id_col>, component_id`` for every row of ``df``.
+
+    Texts whose sets of ``shingle``-word shingles have a Jaccard similarity of at least ``similarity``
+    are linked, all of them and no others; the component is the smallest identifier reachable.
+    Null texts count as empty.  Rows that repeat an identifier are one document.  A row without an
+    identifier is in no component.
+    """
+    least = Fraction(str(similarity))
+    rows = limit_batches(df).select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("body"))
+    docs = rows.where("row_id is not null")
+    filed = prefixes(docs, shingle, least, frequent_shingles(docs, shingle))
+    buckets = stage(split_hot(stage(shared_buckets(filed), "buckets"), bucket_rows, by="rep"), "dealt")
+    links = stage(verified(stage(candidates(buckets, least, every=False), "pairs"), docs, shingle, least), "links")
+    comps = connected_components(links)
+    apart = buckets.join(comps, buckets["rep"] == comps["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    more = stage(verified(stage(candidates(apart, least, every=True), "pairs"), docs, shingle, least), "links")
+    if more.limit(1).count():
+        comps = connected_components(links.unionByName(more))
+    return rows.join(comps, rows["row_id"] == comps["node"], "left").select(F.col("row_id").alias(id_col), F.coalesce("component", "row_id").alias("component_id"))

@@ -16,7 +16,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +34,6 @@ SIGNATURE_COST, COMPARE_COST = 2e-6, 1e-8
 _CHUNK = 1 << 20
 
 
-def radius_of(similarity: float) -> int:
-    """Differing bits of 64 that texts of this Jaccard similarity (shingle sets of equal size) are
-    expected to have: the angle of their vectors over half a turn."""
-    return int(64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
 def fingerprint(text: str, shingle: int = 3) -> int:
     """64-bit SimHash of a text: lower-cased ASCII letters, words between ASCII white space, hashed
     word shingles with repeats (a shorter text is one shingle; one without words gives 0)."""
@@ -268,8 +261,8 @@ def link_buckets(sigs: DataFrame, radius: int) -> DataFrame:
     return ordered.select("key", "base", "fp", "rep").mapInArrow(run, "a long, b long")
 
 
-def split_hot(sigs: DataFrame, bucket_rows: int) -> DataFrame:
-    """Buckets over ``bucket_rows`` rows dealt out: rows go by a hash into blocks of about half
+def split_hot(sigs: DataFrame, bucket_rows: int, by: str = "fp") -> DataFrame:
+    """Buckets over ``bucket_rows`` rows dealt out: rows go by a hash of ``by`` into blocks of about half
     that size, and each pair of blocks is a bucket of its own, so every pair still meets."""
     sizes = sigs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
     sizes = stage(sizes, "hot-buckets")
@@ -277,12 +270,12 @@ def split_hot(sigs: DataFrame, bucket_rows: int) -> DataFrame:
         return sigs
     blocks = F.ceil(F.col("n") / (bucket_rows / 2)).cast("int")
     hot = sigs.join(sizes.select("key", blocks.alias("blocks")), "key", "left")
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64(by), F.col("blocks")).cast("int")
     other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    cold = hot.where("blocks is null").select("key", "base", "fp", "rep")
+    cold = hot.where("blocks is null").select(*sigs.columns)
     dealt = hot.where("blocks is not null").withColumn("block", block).withColumn("other", other)
     key = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    return cold.unionByName(dealt.select(key.alias("key"), "base", "fp", "rep"))
+    return cold.unionByName(dealt.select(*[key.alias(c) if c == "key" else c for c in sigs.columns]))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

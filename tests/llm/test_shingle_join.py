@@ -1,0 +1,68 @@
+"""Near duplicates of the pipeline against brute-force Jaccard."""
+
+import itertools
+import random
+import re
+
+import corpus_pipeline
+import pytest
+from tessera.llm import shingle_join
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def grams(text, size=5):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def groups(rows):
+    """Smallest identifier of each one's component under Jaccard >= 0.8."""
+    sets = [(i, grams(t)) for i, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, s), (b, t) in itertools.combinations(sets, 2):
+        if 5 * len(s & t) >= 4 * len(s | t):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in parent}
+
+
+def near_copies():
+    """Texts and copies with one to twelve changed words, above and below the similarity."""
+    rng = random.Random(11)
+    rows = []
+    for base in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(40, 160))]
+        rows.append(words)
+        for changed in range(1, 13):
+            copy = list(words)
+            for k in rng.sample(range(len(copy)), changed):
+                copy[k] = f"x{rng.randrange(10**6)}"
+            rows.append(copy)
+    rows += [[], ["Ab", "c"], ["ab", "C"], ["one"] * 400]
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def test_the_stage_drops_all_near_copies_and_no_others(spark, make):
+    rows = near_copies()
+    want = groups(rows)
+    assert 0 < sum(i != c for i, c in want.items()) < len(rows) - 20
+    kept = corpus_pipeline.near(spark, make(rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, c in want.items() if i == c)
+
+
+@pytest.mark.parametrize("bucket", [8192, 4])
+def test_components_match_all_pairs(make, edge, documents, bucket):
+    whole = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    for rows in (whole, near_copies(), edge):
+        got = shingle_join.similar_documents(make(rows), bucket_rows=bucket).collect()
+        want = groups([r for r in rows if r[0] is not None])
+        assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == sorted((i, want[i]) for i, _ in rows if i is not None)
+        assert len(got) == len(rows)
+    assert shingle_join.similar_documents(make([])).collect() == []
