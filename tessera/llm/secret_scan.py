@@ -46,12 +46,12 @@ _STRING = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`\n]*`'
 _ATOM = rf"(?:{_STRING}|[A-Za-z0-9_$+/=.\-]+)"
 # operator first: the scan stops only at "=" and ":", names are then read backwards
 _OPERATOR = re.compile(r"(?:=>|:=|\?=|[:=])(?![=:/])")
-_TARGET = re.compile(rf"(?:({_NAME})|(?:\[\s*)?[\"']({_NAME})[\"']\s*\]?|\[\s*[\"']({_NAME})[\"']\s*\])\s*$", re.A)
+# a name, bare or quoted, from its end to its start, however long it and the space after it are
+_BACKWARDS = r"[\w$]*[A-Za-z_$](?:(?:\.|>-|::|-)[\w$]*[A-Za-z_$])*"
+_NAME_BACK = re.compile(rf"\s*(?:({_BACKWARDS})|\]?\s*[\"']({_BACKWARDS})[\"'])", re.A)
 _VALUE = re.compile(rf"[ \t]*({_ATOM}(?:[ \t]*[+.][ \t]*(?:{_STRING}|{_NAME}))*)", re.A)
 _PART = re.compile(rf"({_STRING})|({_NAME})", re.A)
 _SETTER = re.compile(rf"\b(?:setenv|putenv|set|put|setProperty|define|export|addHeader|setHeader)\s*\(\s*[\"']({_NAME})[\"']\s*,\s*({_STRING}|{_NAME})", re.A)
-#: A target name is looked for in so many characters before its operator.
-_REACH = 160
 
 
 def base_spans(text: str) -> list[Span]:
@@ -93,44 +93,56 @@ def score(name: str, literal: str) -> float:
     return weight + min(0.4, entropy(literal) / 10) - (0.3 if " " in literal else 0.0) if weight else 0.0
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """Pairs of a target name and the spans of the literals that reach it, names resolved
-    through earlier assignments of the same text."""
+def assignments(text: str) -> list[tuple[str, list[tuple[int, int] | int]]]:
+    """Target names and what is assigned to them: spans of literals, and for each name assigned
+    earlier in the same text the place of that assignment in this list."""
     if "=" not in text and ":" not in text and "(" not in text:
-        return
+        return []
     found: list[tuple[int, str, int, int]] = []
+    back = None
     for m in _OPERATOR.finditer(text):
         at = m.start()
-        target = _TARGET.search(text[max(0, at - _REACH) : at])
         value = _VALUE.match(text, m.end())
-        if target and value:
-            found.append((at, target[1] or target[2] or target[3], value.start(1), value.end(1)))
+        if value:
+            back = text[::-1] if back is None else back
+            if target := _NAME_BACK.match(back, len(text) - at):
+                found.append((at, (target[1] or target[2])[::-1], value.start(1), value.end(1)))
     if "(" in text:
         found += [(m.start(), m[1], m.start(2), m.end(2)) for m in _SETTER.finditer(text)]
-    known: dict[str, list[tuple[int, int]]] = {}
+    known: dict[str, int] = {}
+    out: list[tuple[str, list[tuple[int, int] | int]]] = []
     for _, name, start, end in sorted(found):
-        literals: list[tuple[int, int]] = []
+        parts: list[tuple[int, int] | int] = []
         raw = text[start:end]
         if raw[0] in "\"'`" or re.fullmatch(rf"{_NAME}(?:[ \t]*[+.][ \t]*(?:{_STRING}|{_NAME}))*", raw, re.A):
             for p in _PART.finditer(raw):
                 if p[1]:
-                    literals.append((start + p.start() + 1, start + p.end() - 1))
+                    parts.append((start + p.start() + 1, start + p.end() - 1))
                 elif p[2] in known:
-                    literals += known[p[2]]
-        if not literals and raw[0] not in "\"'`" and raw not in known:
-            literals = [(start, end)]  # an unquoted configuration value
-        # a name that stands for unboundedly many literals would grow with each use of it
-        known[name] = literals[-8:]
-        if literals:
-            yield name, literals
+                    parts.append(known[p[2]])
+        known[name] = len(out)
+        out.append((name, parts or [(start, end)]))  # or an unquoted configuration value
+    return out
 
 
 def lexed_spans(text: str) -> list[Span]:
     """Literals whose names and looks score at least THRESHOLD."""
-    out = set()
-    for name, literals in assignments(text):
-        if sensitivity(name):
-            out |= {(a, b, "lexed") for a, b in literals if score(name, text[a:b]) >= THRESHOLD}
+    found = assignments(text)
+    weights = {i: w for i, (name, _) in enumerate(found) if (w := sensitivity(name))}
+    out, visited = set(), set()
+    # most sensitive names first: what one of them reaches can't score more under a later one
+    for i in sorted(weights, key=lambda i: -weights[i]):
+        name, left = found[i][0], [i]
+        while left:
+            k = left.pop()
+            if k in visited:
+                continue
+            visited.add(k)
+            for part in found[k][1]:
+                if isinstance(part, int):
+                    left.append(part)
+                elif score(name, text[part[0] : part[1]]) >= THRESHOLD:
+                    out.add((*part, "lexed"))
     return sorted(out, key=_order)
 
 
