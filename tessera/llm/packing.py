@@ -172,7 +172,9 @@ def pack(df: DataFrame, encoder: Callable[[], "object"], end_id: int, id_col: st
     """One row per piece: ``<id_col>, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     ``encoder`` is called in each task and returns an object with ``ids(text) -> bytes``,
-    ``sentence_ends`` and ``trim()``.  Every document's ids, then ``end_id``, lie in exactly one piece each; a
+    ``sentence_ends`` and ``trim()``.  A task decides on the cuts of ``block`` tokens at a time, the best
+    ones within the block; what is left open (under a window) is decided with the next block.  Every
+    document's ids, then ``end_id``, lie in exactly one piece each; a
     null or empty text is ``end_id`` alone.  Sequences hold at most ``window`` tokens and are
     numbered within their task, from ``task << 32``; the order of a task's rows is kept.  Repeated
     rows and null identifiers are packed like any other; other columns are ignored; an empty table

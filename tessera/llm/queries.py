@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from .toxicity import score_documents, train
 
 
 #: Vocabulary files of public tokenizers.
-TOKENIZERS = "/opt/tokenizers"
+WORD_VOCABULARY, PIECE_VOCABULARY = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +51,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), length=20)
 
 
-def op6_piece_tokens(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), f"{tokenizers}/piece_bpe_32k.model", with_ids=False)
+def op6_piece_tokens(spark: SparkSession, sf_dir: str, vocabulary: str = PIECE_VOCABULARY) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary, with_ids=False)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +68,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
-def op10_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), word_encoder(f"{tokenizers}/word_bpe_49k.json"), end_id=2, window=4096)
+def op10_packing(spark: SparkSession, sf_dir: str, vocabulary: str = WORD_VOCABULARY) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), word_encoder(vocabulary), end_id=2, window=4096)
 
 
 OP5_SQL = r"""

@@ -2,8 +2,8 @@
 
 The tokenizer lower-cases, drops white space and splits the rest into pretokens (runs of
 letters, single digits, runs of other signs); none spans a space or line feed.  So texts are cut
-at those two characters and each distinct cut is encoded once and remembered, in tables of bounded
-size that live as long as the worker process.
+at the strings of added tokens, then at those two characters, and each distinct cut is encoded once
+and remembered, in tables of bounded size that live as long as the worker process.
 """
 
 from __future__ import annotations
@@ -51,9 +51,13 @@ class WordTokens:
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         self.tokenizer = Tokenizer.from_file(path)
-        # a special token's string in a text is ordinary text
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        # an added token's string in a text is that token, found before anything else; such texts are cut there first
+        added = {t.content: struct.pack("<I", i) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that are matched after normalising, as single words or with white space aren't supported")
+        self.added = added
+        self.added_at = regex.compile("(" + "|".join(regex.escape(c) for c in sorted(added, key=len, reverse=True)) + ")") if added else None
         vocab = self.tokenizer.get_vocab()
         self.sentence_ends = sorted(i for s, i in vocab.items() if s.endswith("</w>") and s[:-4] and not s[:-4].strip(".!?"))
         self.cuts, self.pieces = _Memory(self._cut, entries), _Memory(self._piece, entries // 2)
@@ -83,6 +87,13 @@ class WordTokens:
         self.pieces.trim()
 
     def ids(self, text: str) -> bytes:
+        """The library's own ids of ``text``, without special tokens around it."""
+        if any(content in text for content in self.added):
+            parts = self.added_at.split(text)
+            return b"".join([self.added[part] if k % 2 else self._plain(part) for k, part in enumerate(parts)])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         words, out = text.replace("\n", " ").split(" "), []
         for at in range(0, len(words), 50_000):
             self.cuts.age()

@@ -11,22 +11,20 @@ import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm import packing, piece_tokens, secret_scan
-from tessera.llm.queries import TOKENIZERS
+from tessera.llm.queries import PIECE_VOCABULARY, WORD_VOCABULARY
 from tessera.llm.word_tokens import WordTokens
 
-WORDS = f"{TOKENIZERS}/word_bpe_49k.json"
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+WORDS, PIECES = WORD_VOCABULARY, PIECE_VOCABULARY
 ODD = [
     "", " ", "it's John's  o'clock", "a\tb\nc\r\nd", "Ångström été naïve ÎÏ", "日本語 テキスト 한국어", "x" * 300, "  gap", "3.14 1,000 $5 #tag @you", "<|endoftext|> [x]",
     "İstanbul ﬁne", "emoji \U0001f600‍\U0001f525!", "don't're'll 've'm'd", "\x00\x01", "tab\x0bvt\x0cff",
+    "a<|endoftext|>b  <|startoftext|><|endoftext|>\n", "can't<|endoftext|>'s <|ENDOFTEXT|> <|endoftext|", "\u00e1<|endoftext|>\u0301b <|startoftext|>",
 ]
 
 
 @functools.cache
 def tokenizer():
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORDS)
 
 
 def whole(text):
