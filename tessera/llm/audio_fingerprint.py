@@ -2,12 +2,13 @@
 
 A recording is a sequence of pitch-class frames (12 energies each).  Filters compare areas of a
 16-frame window through an integral image; 16 filters at two bits each pack into one 32-bit integer
-a frame.  Two recordings are aligned by the histogram of offsets at which their integers are equal,
-and judged by the bit errors over the overlap at the best offset.
+a frame.  Two recordings are aligned by the histogram of offsets at which their integers are equal;
+at every offset with enough votes the stretches that hold equal integers are judged by their bit errors.
 
-Search holds a stated set of query recordings, in blocks of bounded size, against all recordings:
-every task fingerprints its own recordings and looks the block's integers up in sorted order, so a
-very common passage costs its matches in the task that reads it and nothing is shuffled but hits.
+Search holds a stated set of query recordings, in blocks of bounded size, against all recordings.
+Queries of equal fingerprints are one class.  Every task looks the integers of its own recordings up
+among a block's in sorted order, so a very common passage costs its matches in the task that reads
+it.  ``linked`` reduces what a recording matches to one row before anything leaves the task.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import limit_batches, stage
+from .exact_dedup import dealt, hot_digests, in_all_parts
 
 #: Frames that a filter looks at, and pitch classes.
 WINDOW, CLASSES = 16, 12
@@ -28,8 +32,9 @@ FILTERS = [(k % 6, (5 * k) % (CLASSES - h + 1), h, w) for k, (h, w) in enumerate
 #: A filter's response, the logarithm of a ratio of areas, is cut at these into two bits.
 CUTS = (-0.12, 0.0, 0.12)
 _GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
-#: A pair needs so many equal integers at one offset, an overlap of so many, and at most this share of bits wrong.
-MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 6, 16, 0.25
+#: A stretch needs so many equal integers at one offset and so many integers in all (fewer where a recording
+#: has fewer), at most this share of bits wrong, and ends where no more integers follow that are equal within GAP.
+MIN_VOTES, MIN_OVERLAP, MAX_ERROR, GAP = 6, 16, 0.25, 32
 #: Integers of queries that each task holds at once.
 BLOCK_INTEGERS = 1 << 21
 _CHUNK = 1 << 18
@@ -108,33 +113,56 @@ def _pack(image: np.ndarray, n: int) -> np.ndarray:
     return packed
 
 
-def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
-    """Share of differing bits where ``b[i]`` lies on ``a[i + offset]``, and the overlap's length."""
+Stretch = tuple[int, int, int, int, float]  # query, offset, votes, overlap, share of bits wrong
+
+
+def stretches(a: np.ndarray, b: np.ndarray, offset: int, gap: int = GAP) -> Iterator[tuple[int, int, float]]:
+    """``(votes, integers, share of bits wrong)`` of each stretch where ``b[i]`` lies on ``a[i + offset]``,
+    from one equal integer to another with no more than ``gap`` places between neighbours."""
     lo, hi = max(0, -offset), min(len(b), len(a) - offset)
     if hi <= lo:
-        return 1.0, 0
-    wrong = int(np.bitwise_count(a[lo + offset : hi + offset] ^ b[lo:hi]).sum())
-    return wrong / (32 * (hi - lo)), hi - lo
+        return
+    apart = a[lo + offset : hi + offset] ^ b[lo:hi]
+    equal = np.flatnonzero(apart == 0)
+    if not len(equal):
+        return
+    ends = np.append(np.flatnonzero(np.diff(equal) > gap) + 1, len(equal)).tolist()
+    wrong = np.concatenate([[0], np.cumsum(np.bitwise_count(apart), dtype=np.int64)])
+    at = 0
+    for end in ends:
+        first, last = int(equal[at]), int(equal[end - 1])
+        n = last - first + 1
+        yield end - at, n, int(wrong[last + 1] - wrong[first]) / (32 * n)
+        at = end
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Places where a run of one integer begins: a held tone votes once."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, dtype=np.int64)
 
 
 class QueryBlock:
     """Query fingerprints, their integers in one sorted list."""
 
-    def __init__(self, ids: list[int], prints: list[np.ndarray]):
-        self.ids, self.prints = ids, prints
-        values = np.concatenate([*prints, np.zeros(0, dtype=np.uint32)])
-        owner = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
-        place = np.concatenate([*[np.arange(len(p)) for p in prints], np.zeros(0, dtype=np.int64)])
+    def __init__(self, prints: list[np.ndarray]):
+        self.prints = prints
+        places = [_starts(p) for p in prints]
+        self.runs = np.array([len(p) for p in places], dtype=np.int64)
+        values = np.concatenate([*(p[x] for p, x in zip(prints, places, strict=True)), np.zeros(0, dtype=np.uint32)])
+        owner = np.repeat(np.arange(len(prints)), self.runs)
+        place = np.concatenate([*places, np.zeros(0, dtype=np.int64)])
         order = np.argsort(values, kind="stable")
         self.values, self.owner, self.place = values[order], owner[order].astype(np.int64), place[order].astype(np.int64)
 
-    def search(self, own: np.ndarray, votes: int = MIN_VOTES, overlap: int = MIN_OVERLAP, error: float = MAX_ERROR) -> Iterator[tuple[int, int, int, int, float]]:
-        """``(query, offset, votes, overlap, bit error)`` of each query that aligns with ``own``:
-        the offset most voted for, the smallest of equals."""
+    def search(self, own: np.ndarray, votes: int = MIN_VOTES, overlap: int = MIN_OVERLAP, error: float = MAX_ERROR) -> Iterator[Stretch]:
+        """The best stretch of each query that aligns with ``own``: fewest bits wrong, then longest,
+        then smallest offset."""
         if not len(own) or not len(self.values):
             return
-        low = np.searchsorted(self.values, own, side="left")
-        many = np.searchsorted(self.values, own, side="right") - low
+        at_own = _starts(own)
+        value = own[at_own]
+        low = np.searchsorted(self.values, value, side="left")
+        many = np.searchsorted(self.values, value, side="right") - low
         hit = np.flatnonzero(many)
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -145,7 +173,7 @@ class QueryBlock:
             to = max(at + 1, int(np.searchsorted(cum, (cum[at - 1] if at else 0) + _CHUNK, side="right")))
             h, w = hit[at:to], many[hit[at:to]]
             m = np.repeat(low[h] - np.cumsum(w) + w, w) + np.arange(int(w.sum()))
-            key, count = np.unique((self.owner[m] << np.int64(32)) + self.place[m] - np.repeat(h, w) + shift, return_counts=True)
+            key, count = np.unique((self.owner[m] << np.int64(32)) + self.place[m] - np.repeat(at_own[h], w) + shift, return_counts=True)
             keys.append(key)
             counts.append(count)
             at = to
@@ -153,66 +181,132 @@ class QueryBlock:
             return
         key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
-        enough = total >= votes
-        key, total = key[enough], total[enough]
-        query, offset = key >> np.int64(32), (key & np.int64(0xFFFFFFFF)) - shift
-        order = np.lexsort((offset, -total, query))
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = query[order][1:] != query[order][:-1]
-        for i in order[first].tolist():
-            q, o = int(query[i]), int(offset[i])
-            wrong, length = bit_error(self.prints[q], own, o)
-            if length >= overlap and wrong <= error:
-                yield q, o, int(total[i]), length, wrong
+        query = key >> np.int64(32)
+        # a stretch's equal integers all lie at its offset, so too few there are too few in any stretch
+        enough = total >= np.minimum(votes, np.minimum(self.runs[query], len(at_own)))
+        best: dict[int, tuple[float, int, int, int]] = {}
+        for q, o in zip(query[enough].tolist(), ((key[enough] & np.int64(0xFFFFFFFF)) - shift).tolist(), strict=True):
+            a = self.prints[q]
+            least = min(len(a), len(own))
+            for v, n, wrong in stretches(a, own, o):
+                if v >= min(votes, least) and n >= min(overlap, least) and wrong <= error:
+                    found = (wrong, -n, o, v)
+                    if q not in best or found < best[q]:
+                        best[q] = found
+        for q, (wrong, n, o, v) in best.items():
+            yield q, o, v, -n, wrong
 
 
-def align(df: DataFrame, id_col: str = "doc_id", source_col: str = "text", frames: Callable[[object], np.ndarray] = text_frames, is_query: Callable[[Column], Column] = lambda c: c % 100 == 0, block_integers: int = BLOCK_INTEGERS) -> DataFrame:
-    """``query_id, match_id, offset, votes, overlap, bit_error`` of the stated queries against every
-    row of ``df``, itself aside.
+_PRINTS = "uid long, row_id long, n long, digest binary, print binary"
 
-    ``frames`` turns a source value into pitch-class frames.  Null sources are silent; recordings
-    under a window have no integers and match nothing.  Null identifiers are no query and match
-    nothing.  Repeated rows each match.  Other columns are ignored.  No query gives an empty result.
-    """
-    spark = df.sparkSession
-    rows = limit_batches(df).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.col(source_col).alias("source"))
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", source_col: str = "text", frames: Callable[[object], np.ndarray] = text_frames) -> DataFrame:
+    """``uid, row_id, n, digest, print`` of every row as a staged table: a number of the row, the
+    number of its integers, their 128-bit digest and the integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             made = [fingerprint(frames(x)) if x is not None else np.zeros(0, dtype=np.uint32) for x in batch.column("source").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array([len(p) for p in made], pa.int64()), pa.array([p.tobytes() for p in made], pa.binary())], names=["row_id", "n", "print"])
+            data = [p.tobytes() for p in made]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(uid, uid + len(made)), pa.int64()), batch.column("row_id"), pa.array([len(p) for p in made], pa.int64()), pa.array([xxhash.xxh3_128_digest(d) for d in data], pa.binary()), pa.array(data, pa.binary())],
+                names=["uid", "row_id", "n", "digest", "print"])
+            uid += len(made)
+
+    rows = limit_batches(df).select(F.col(id_col).cast("long").alias("row_id"), F.col(source_col).alias("source"))
+    return stage(rows.mapInArrow(run, _PRINTS), "fingerprints")
 
-    queries = stage(rows.where(is_query(F.col("row_id"))).mapInArrow(prints, "row_id long, n long, print binary").distinct(), "queries")
+
+def _query_classes(prints: DataFrame, is_query: Callable[[Column], Column]) -> DataFrame:
+    """``digest, low, high, ids, n, print``: queries of one fingerprint with their smallest and largest
+    identifier and the number of identifiers."""
+    rows = prints.where(is_query(F.col("row_id")) & (F.col("n") > 0))
+    return stage(rows.groupBy("digest").agg(F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.countDistinct("row_id").alias("ids"), F.first("n").alias("n"), F.first("print").alias("print")), "queries")
+
+
+def _search(prints: DataFrame, queries: DataFrame, give: Callable, schema: str, block_integers: int) -> tuple[DataFrame, int]:
+    """Rows that ``give`` makes of each row's number, identifier, digest and matches, for each block of
+    queries, and the number of blocks.  The driver holds one block at a time."""
+    spark = prints.sparkSession
     blocks = -(-int(queries.agg(F.sum("n")).first()[0] or 0) // block_integers)
-    schema = "query_id long, match_id long, offset long, votes long, overlap long, bit_error double"
-    out = spark.createDataFrame([], schema)
-    # one block is searched as recordings are read; for more, fingerprints are kept and read again
-    kept = stage(rows.mapInArrow(prints, "row_id long, n long, print binary"), "fingerprints") if blocks > 1 else None
-    searched = rows if kept is None else kept.select("row_id", F.col("print").alias("source"))
-    own = (lambda x: fingerprint(frames(x))) if kept is None else (lambda x: np.frombuffer(bytes(x), dtype=np.uint32))
+    out = None
+    searched = prints.where("n > 0").select("uid", "row_id", "asked", "digest", "print")
     for k in range(blocks):
-        got = queries.where(F.pmod(F.xxhash64("row_id"), F.lit(blocks)) == k).collect()
-        block = spark.sparkContext.broadcast(QueryBlock([r["row_id"] for r in got], [np.frombuffer(bytes(r["print"]), dtype=np.uint32) for r in got]))
+        got = queries.where(F.pmod(F.xxhash64("digest"), F.lit(blocks)) == k).orderBy("digest").collect()
+        held = [(bytes(r["digest"]), r["low"], r["high"], r["ids"]) for r in got]
+        block = spark.sparkContext.broadcast((held, QueryBlock([np.frombuffer(bytes(r["print"]), dtype=np.uint32) for r in got])))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            held = block.value
+            classes, index = block.value
             for batch in batches:
-                found = []
-                for row_id, source in zip(batch.column("row_id").to_pylist(), batch.column("source").to_pylist(), strict=True):
-                    if source is not None:
-                        found += [(held.ids[q], row_id, o, v, n, e) for q, o, v, n, e in held.search(own(source)) if held.ids[q] != row_id]
-                cols = list(zip(*found, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.float64())], names=[f.split()[0] for f in schema.split(", ")])
-
-        out = out.unionByName(searched.mapInArrow(run, schema)) if k else searched.mapInArrow(run, schema)
-    return out
+                found: list[tuple] = []
+                for uid, row_id, asked, digest, data in zip(*(batch.column(c).to_pylist() for c in ("uid", "row_id", "asked", "digest", "print")), strict=True):
+                    hits = [(*classes[q], o, v, n, e) for q, o, v, n, e in index.search(np.frombuffer(data, dtype=np.uint32))]
+                    found += give(uid, row_id, asked, digest, hits)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == len(found[0]) - 1 else pa.int64()) for k, c in enumerate(zip(*found, strict=True))], names=[f.split()[0] for f in schema.split(", ")])
+
+        rows = searched.mapInArrow(run, schema)
+        out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], schema) if out is None else out, blocks
+
+
+def align(df: DataFrame, id_col: str = "doc_id", source_col: str = "text", frames: Callable[[object], np.ndarray] = text_frames, is_query: Callable[[Column], Column] = lambda c: c % 100 == 0, block_integers: int = BLOCK_INTEGERS) -> DataFrame:
+    """``query_id, match_id, offset, votes, overlap, bit_error`` of the stated queries against every
+    row of ``df``, itself aside.  Queries of one fingerprint appear as the smallest identifier among them.
+
+    ``frames`` turns a source value into pitch-class frames.  Null sources are silent; recordings
+    under a window have no integers and match nothing.  Null identifiers are no query and match
+    nothing.  Repeated rows each match.  Other columns are ignored.  No query gives an empty result.
+    """
+
+    def give(uid: int, row_id: int | None, asked: bool, digest: bytes, hits: list[tuple]) -> Iterator[tuple]:
+        for own, low, _, _, o, v, n, e in hits:
+            if row_id is not None and not (own == digest and low == row_id):
+                yield low, row_id, o, v, n, e
+
+    prints = fingerprints(df, id_col, source_col, frames)
+    return _search(prints.withColumn("asked", F.lit(False)), _query_classes(prints, is_query), give, "query_id long, match_id long, offset long, votes long, overlap long, bit_error double", block_integers)[0]
+
+
+def linked(df: DataFrame, id_col: str = "doc_id", source_col: str = "text", frames: Callable[[object], np.ndarray] = text_frames, is_query: Callable[[Column], Column] = lambda c: c % 100 == 0, block_integers: int = BLOCK_INTEGERS) -> DataFrame:
+    """One row per row of ``df``: ``<id_col>, class_id, n_links, best_id, best_offset, best_votes,
+    best_overlap, best_error``.
+
+    ``class_id`` is the smallest identifier of equal fingerprints, its own for a row without
+    integers.  ``n_links`` counts the stated queries, itself aside, that align with the row; the best of
+    them has the fewest bits wrong, then the longest stretch, then the smallest identifier; queries of
+    equal fingerprints appear as the smallest among them, to that one itself as the largest.  Null sources are silent and rows under a window have no integers: no links.  Rows
+    that repeat an identifier have a row each; a null identifier is no query but is searched.  Ties
+    and repeated rows change nothing; other columns are ignored; an empty table gives an empty result.
+    Fingerprints are held equal by a 128-bit digest.
+    """
+    prints = fingerprints(df, id_col, source_col, frames)
+    asked = F.coalesce(is_query(F.col("row_id")), F.lit(False))
 
+    def give(uid: int, row_id: int | None, asked: bool, digest: bytes, hits: list[tuple]) -> Iterator[tuple]:
+        links, best = 0, None
+        for own, low, high, ids, o, v, n, e in hits:
+            itself = asked and own == digest
+            if ids > itself:
+                links += ids - itself
+                found = (e, -n, high if itself and low == row_id else low, o, v)
+                best = found if best is None or found < best else best
+        if best is not None:
+            wrong, n, best_id, o, v = best
+            yield uid, links, best_id, o, v, -n, wrong
 
-def best_matches(pairs: DataFrame, queries: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per query: ``<id_col>, n_matches, best_id, best_offset, best_votes, best_error``;
-    the best has the fewest bit errors, then the longest overlap, then the smallest identifier."""
-    best = F.min(F.struct("bit_error", (-F.col("overlap")).alias("o"), "match_id", "offset", "votes")).alias("b")
-    found = pairs.groupBy("query_id").agg(F.countDistinct("match_id").alias("n"), best)
-    return queries.select(F.col(id_col).alias("query_id")).distinct().join(found, "query_id", "left").select(
-        F.col("query_id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n_matches"), F.col("b.match_id").alias("best_id"),
-        F.col("b.offset").alias("best_offset"), F.col("b.votes").alias("best_votes"), F.col("b.bit_error").alias("best_error"))
+    found, blocks = _search(prints.withColumn("asked", asked), _query_classes(prints, is_query), give, "uid long, n_links long, best_id long, best_offset long, best_votes long, best_overlap long, best_error double", block_integers)
+    if blocks > 1:
+        best = F.min(F.struct("best_error", (-F.col("best_overlap")).alias("o"), "best_id", "best_offset", "best_votes")).alias("b")
+        found = found.groupBy("uid").agg(F.sum("n_links").alias("n_links"), best).select(
+            "uid", "n_links", "b.best_id", "b.best_offset", "b.best_votes", (-F.col("b.o")).alias("best_overlap"), "b.best_error")
+    own = prints.select("uid", "row_id", "n", "digest")
+    classes = own.where("n > 0 and row_id is not null").groupBy("digest").agg(F.min("row_id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    classes = stage(classes, "classes")
+    hot = hot_digests(classes, int(classes.agg(F.sum("n")).first()[0] or 0))
+    rows = dealt(own.drop("n"), hot).join(in_all_parts(classes.drop("n"), hot), ["digest", "part"], "left").join(found, "uid", "left")
+    return rows.select(
+        F.col("row_id").alias(id_col), F.coalesce("class_id", "row_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        "best_id", "best_offset", "best_votes", "best_overlap", "best_error")

@@ -103,13 +103,13 @@ def hot_digests(hits: DataFrame, rows: int, share: int = HOT_SHARE, least: int =
     return hits.where(F.col("n") > bound).select("digest", F.ceil(F.col("n") / bound).cast("int").alias("parts"))
 
 
-def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """``rows`` with a ``part``: 0, or one of the parts of a hot digest."""
     part = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("parts")), F.lit(0)).cast("int")
     return rows.join(F.broadcast(hot), "digest", "left").withColumn("part", part).drop("parts")
 
 
-def _in_all_parts(entries: DataFrame, hot: DataFrame) -> DataFrame:
+def in_all_parts(entries: DataFrame, hot: DataFrame) -> DataFrame:
     """``entries`` (about one row a digest) once for each part of its digest."""
     part = F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))
     return entries.join(F.broadcast(hot), "digest", "left").withColumn("part", part).drop("parts")
@@ -137,13 +137,13 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = hot_digests(hits, int(entries.agg(F.sum("n")).first()[0] or 0))
     body = F.coalesce(F.col("body"), F.lit(""))
     passed = _passes(df.select("row_id", body.alias("body"), _digest(F.col("body")).alias("digest")), hit_filter(hits))
-    members = _dealt(passed, hot).join(_in_all_parts(hits.drop("n"), hot), ["digest", "part"])
+    members = dealt(passed, hot).join(in_all_parts(hits.drop("n"), hot), ["digest", "part"])
     keepers = members.where(F.col("row_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("keep_body"))
     # null where the bytes agree, which without a collision is everywhere
     apart = F.when(F.col("body") == F.col("keep_body"), F.lit(None).cast("string")).otherwise(F.col("body"))
-    verified = stage(members.join(_in_all_parts(keepers, hot), ["digest", "part"]).select("row_id", "digest", "part", apart.alias("apart")), "verified")
+    verified = stage(members.join(in_all_parts(keepers, hot), ["digest", "part"]).select("row_id", "digest", "part", apart.alias("apart")), "verified")
     pick = F.min if keep == "min" else F.max
-    groups = _in_all_parts(verified.groupBy("digest", "apart").agg(pick("row_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), hot)
+    groups = in_all_parts(verified.groupBy("digest", "apart").agg(pick("row_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), hot)
     v, g = verified.alias("v"), groups.alias("g")
     same = (F.col("v.digest") == F.col("g.digest")) & (F.col("v.part") == F.col("g.part")) & F.col("v.apart").eqNullSafe(F.col("g.apart"))
     several = v.join(g, same).select(

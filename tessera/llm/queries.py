@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .audio_fingerprint import align, best_matches
+from .audio_fingerprint import linked
 from .common import table
 from .exact_dedup import exact_duplicates
 from .html_extract import extract_pages
@@ -31,10 +31,9 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as recordings (a word a frame): those with an identifier divisible by 100 are
-    searched for among all of them."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return best_matches(align(docs), docs.where("doc_id % 100 = 0"))
+    """Documents as recordings (a word a frame): each one's class of equal fingerprints, and its links to those
+    with an identifier divisible by 100."""
+    return linked(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

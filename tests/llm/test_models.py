@@ -124,33 +124,59 @@ def test_toxicity_edge_cases(make, edge, spark):
     assert toxicity.score_documents(make([]), model).collect() == []
 
 
-def brute_align(prints, query):
-    """Best offset by votes of every recording against one query, pair by pair."""
+def brute_stretch(a, b):
+    """Best stretch of two recordings, offset by offset and place by place."""
+    least, found = min(len(a), len(b)), []
+    for offset in range(-len(b) + 1, len(a)):
+        equal = [i for i in range(len(b)) if 0 <= i + offset < len(a) and a[i + offset] == b[i]]
+        while equal:
+            k = 1
+            while k < len(equal) and equal[k] - equal[k - 1] <= audio.GAP:
+                k += 1
+            first, last = equal[0], equal[k - 1]
+            n = last - first + 1
+            wrong = sum((a[i + offset] ^ b[i]).bit_count() for i in range(first, last + 1)) / (32 * n)
+            if k >= min(audio.MIN_VOTES, least) and n >= min(audio.MIN_OVERLAP, least) and wrong <= audio.MAX_ERROR:
+                found.append((wrong, -n, offset, k))
+            equal = equal[k:]
+    return min(found, default=None)
+
+
+def brute_links(docs, every):
+    """Everything that ``linked`` returns, pair by pair."""
+    prints = {i: audio.fingerprint(audio.text_frames(t or "")).tolist() for i, t in docs}
     out = {}
-    a = prints[query]
-    for other, b in prints.items():
-        votes = {}
-        for i, x in enumerate(a.tolist()):
-            for j in np.flatnonzero(b == x).tolist():
-                votes[i - j] = votes.get(i - j, 0) + 1
-        if other == query or not votes or max(votes.values()) < audio.MIN_VOTES:
-            continue
-        offset = min(votes, key=lambda o: (-votes[o], o))
-        wrong, overlap = audio.bit_error(a, b, offset)
-        if overlap >= audio.MIN_OVERLAP and wrong <= audio.MAX_ERROR:
-            out[other] = (offset, votes[offset], overlap, pytest.approx(wrong))
+    for i, b in prints.items():
+        same = [j for j, a in prints.items() if a == b and b]
+        found = []
+        for q in prints:
+            if q % every == 0 and q != i and prints[q] and b and set(prints[q]) & set(b) and (best := brute_stretch(prints[q], b)):
+                equal = [j for j in prints if prints[j] == prints[q] and j % every == 0]
+                found.append((*best[:2], max(equal) if min(equal) == i else min(equal), *best[2:]))
+        best = min(found, default=None)
+        out[i] = (min(same, default=i), len(found), *((best[2], best[3], best[4], -best[1], pytest.approx(best[0])) if best else (None,) * 5))
     return out
 
 
 @pytest.mark.parametrize("block", [1 << 21, 4000])
-def test_alignment_matches_brute_force(documents, block):
-    docs = documents.where("doc_id < 120")
-    prints = {r["doc_id"]: audio.fingerprint(audio.text_frames(r["text"] or "")) for r in docs.collect()}
-    got = {}
-    for r in audio.align(docs, is_query=lambda c: c % 10 == 0, block_integers=block).collect():
-        got.setdefault(r["query_id"], {})[r["match_id"]] = (r["offset"], r["votes"], r["overlap"], r["bit_error"])
-    for q in range(0, 120, 10):
-        assert got.get(q, {}) == brute_align(prints, q)
+def test_links_match_brute_force(make, documents, block):
+    rng = np.random.default_rng(3)
+    rows = [(r["doc_id"], " ".join((r["text"] or "").split()[:220])) for r in documents.where("doc_id < 70").collect()]
+    passage = " ".join(f"p{x}" for x in rng.integers(0, 900, 60))
+    rows += [(100 + k, " ".join(f"q{x}" for x in rng.integers(0, 900, 50)) + f" {passage} tail{k} " + " ".join(f"r{x}" for x in rng.integers(0, 900, 30))) for k in range(12)]
+    rows += [(130 + k, passage) for k in range(12)] + [(150 + k, " ".join(f"s{j}" for j in range(16 + k))) for k in range(3)] + [(155, "s0 s1"), (160, " ".join(f"s{j}" for j in range(16)))]
+    got = {r["doc_id"]: tuple(r)[1:] for r in audio.linked(make(rows), is_query=lambda c: c % 10 == 0, block_integers=block).collect()}
+    assert got == brute_links(rows, 10)
+    pairs = {(r["query_id"], r["match_id"]) for r in audio.align(make(rows), is_query=lambda c: c % 10 == 0, block_integers=block).collect()}
+    assert (130, 141) in pairs and (130, 105) in pairs and not any(q == m for q, m in pairs)
+
+
+def test_a_large_group_of_copies_stays_linear(make):
+    """500 equal recordings: one class, a row each and no pairs."""
+    rows = [(i, " ".join(f"w{k}" for k in range(60))) for i in range(500)] + [(601 + i, " ".join(f"w{(k * 7 + i * 13) % 400}" for k in range(60))) for i in range(5)]
+    got = {r["doc_id"]: r for r in audio.linked(make(rows)).collect()}
+    assert len(got) == 505 and all(r["class_id"] == 0 for i, r in got.items() if i < 500)
+    assert all(r["n_links"] == (4 if i % 100 == 0 else 5) and r["best_id"] == (400 if i == 0 else 0) and r["best_error"] == 0 for i, r in got.items() if i < 500)
 
 
 def test_integral_image_sums_areas():
@@ -168,13 +194,15 @@ def test_a_shifted_tone_aligns():
     notes = 220 * 2 ** (rng.integers(0, 24, 40) / 12)
     sound = np.sin(2 * np.pi * np.cumsum(np.repeat(notes, len(t) // 40)) / rate)
     full, part = audio.fingerprint(audio.pcm_frames(sound)), audio.fingerprint(audio.pcm_frames(sound[1365 * 20 :] + 0.01 * rng.normal(size=len(sound) - 1365 * 20)))
-    found = list(audio.QueryBlock([1], [full]).search(part))
-    assert found and found[0][1] == 20 and found[0][4] < 0.05
+    found = list(audio.QueryBlock([full]).search(part))
+    assert found and found[0][1] == 20 and found[0][4] < 0.05 and found[0][3] > 60
 
 
 def test_audio_edge_cases(make, edge):
-    pairs = audio.align(make(edge), is_query=lambda c: c.isin(1, 9))
-    assert {(r["query_id"], r["match_id"], r["offset"]) for r in pairs.collect()} >= {(9, 10, 0)} or pairs.count() >= 1
-    best = {r["doc_id"]: r for r in audio.best_matches(pairs, make(edge).where("doc_id in (1, 9)")).collect()}
-    assert best[1]["n_matches"] == 0 and best[9]["best_id"] == 10
-    assert audio.align(make([])).collect() == []
+    got = audio.linked(make(edge), is_query=lambda c: c.isin(1, 9)).collect()
+    assert len(got) == len(edge)
+    by_id = {r["doc_id"]: r for r in got}
+    assert {i: (r["class_id"], r["n_links"], r["best_id"]) for i, r in by_id.items() if i in (1, 5, 9, 10, 11)} == {1: (1, 0, None), 5: (5, 0, None), 9: (9, 0, None), 10: (9, 1, 9), 11: (11, 0, None)}
+    pairs = audio.align(make(edge), is_query=lambda c: c.isin(1, 9)).collect()
+    assert [(r["query_id"], r["match_id"], r["offset"], r["bit_error"]) for r in pairs] == [(9, 10, 0, 0.0)]
+    assert audio.linked(make([])).collect() == audio.align(make([])).collect() == []
