@@ -1,34 +1,45 @@
 """Main text of HTML pages with site templates removed.
 
-A first pass parses each page and hashes its element subtrees outside the main content; Spark
-counts them per host (one count a page, combined before the shuffle), and those recurring on many
-of a host's pages are its template.  A second pass deletes template subtrees and elements that are
-furniture by kind (menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader
-comments), and returns what is left of the article.
+Each page is parsed once: its furniture by kind (menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, reader comments) goes, and what is left of the article becomes one string, kept as a
+table with the hash and the place in it of each element subtree.  Spark counts, for each host and
+subtree, the different surroundings in which the subtree stands; those recurring on many of the host's
+pages are its template and are cut out of the kept strings, inside the article as well.
+
+Surroundings are sketched by the least hashes of the page's other blocks, so copies of a page, and all
+but a few of its near-copies, count once: an article published many times is no template.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import limit_batches, stage, texts
 
-#: A subtree is template if it recurs on at least so many pages and this share of the host's pages.
+#: A subtree is template if it stands in at least so many surroundings and as many as this share of the host's different pages.
 MIN_PAGES, MIN_SHARE = 5, 0.5
-#: Template sets of up to so many rows go to each task; larger ones are joined to the pages.
-BROADCAST_ROWS = 100_000
-
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Least hashes that sketch what surrounds a subtree.
+SEEDS = 4
+#: Cuts of up to so many pages are broadcast; more are joined.
+BROADCAST_ROWS = 50_000
+
+# All patterns only move forwards.  A quote opens a value right after "=" and is an ordinary sign elsewhere.
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)>""")
+_COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))", re.S)
+_ATTR = re.compile(r"""([^\s=/>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[\s\-_]+")
+_PRIME, _BASE = (1 << 61) - 1, 0x9E3779B97F4A7C15 % ((1 << 61) - 1)
 
 # Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -47,7 +58,6 @@ MARKS = frozenset(
     "comment comments commentlist replies disqus widget widgets toolbar pagination pager skip".split())
 HEADER_MARKS = frozenset("header masthead topbar".split())
 
-Element = tuple[str, dict[str, str], int, int, int]  # tag, attributes, start, end, parent
 
 
 def host_of(url: str | None) -> str:
@@ -60,80 +70,120 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if raw.strip(" /") else {}
 
 
-def parse(page: str) -> tuple[list[list], list[tuple[int, int, str]]]:
-    """Elements ``[tag, attributes, start, end, parent]`` in page order, and the page's text and
-    breaks as ``(element, position, text)``; a break has the text None.  Unclosed and misnested
-    tags are closed as browsers commonly do."""
-    elements: list[list] = []
-    pieces: list[tuple[int, int, str | None]] = []
-    stack: list[int] = []
-    at, n = 0, len(page)
-
-    def close(depth: int, end: int) -> None:
-        while len(stack) > depth:
-            e = elements[stack.pop()]
-            e[3] = end
+class Page:
+    """Elements ``[tag, attributes, parent, first token, token after]`` of a page in page order, and its
+    text and breaks as ``(element, token, text)``; a break has the text None.  Unclosed and misnested
+    tags are closed as browsers commonly do; a tag without an end takes the rest of the page."""
+
+    def __init__(self, page: str):
+        self.elements: list[list] = []
+        self.pieces: list[tuple[int, int, str | None]] = []
+        self.stack: list[int] = []
+        self.open: Counter = Counter()
+        self.prefix = [0]  # rolling hash of the tokens so far
+        self._read(page)
+        self._close(0)
+        self._powers = [1]
+
+    def _token(self, text: str) -> None:
+        self.prefix.append((self.prefix[-1] * _BASE + xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 7)) % _PRIME)
+
+    def _text(self, text: str) -> None:
+        self._token(text)
+        self.pieces.append((self.stack[-1] if self.stack else -1, len(self.prefix) - 1, text))
+
+    def _break(self, element: int) -> None:
+        self.pieces.append((element, len(self.prefix) - 1, None))
+
+    def _close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            e = self.elements[self.stack.pop()]
+            self.open[e[0]] -= 1
+            e[4] = len(self.prefix)
             if e[0] not in INLINE:
-                pieces.append((e[4], end, None))
-
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            pieces.append((stack[-1] if stack else -1, at, page[at:]))
-            break
-        if m.start() > at:
-            pieces.append((stack[-1] if stack else -1, at, page[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in VOID:
-                if tag == "br":
-                    pieces.append((stack[-1] if stack else -1, m.start(), None))
+                self._break(e[2])
+
+    def _read(self, page: str) -> None:
+        at, n = 0, len(page)
+        while at < n:
+            low = page.find("<", at)
+            following = page[low + 1 : low + 2] if low >= 0 else ""
+            while low >= 0 and not (following.isascii() and following.isalpha() or following in ("!", "?", "/")):  # a sign of the text
+                low = page.find("<", low + 1)
+                following = page[low + 1 : low + 2] if low >= 0 else ""
+            if low != at:
+                self._text(page[at : low if low >= 0 else n])
+            if low < 0:
+                return
+            m = (_COMMENT if page.startswith("<!--", low) else _TAG).match(page, low)
+            if m is None:  # a declaration, or a tag without an end
+                end = page.find(">", low)
+                if end < 0 or following not in "!?/" or following == "/" and page[low + 2 : low + 3].isalpha() and page[low + 2].isascii():
+                    return
+                at = end + 1
                 continue
-            depth = len(stack) - 1
-            while depth >= 0 and elements[stack[depth]][0] != tag:
-                depth -= 1
-            # an inline end tag doesn't close blocks around it
-            if depth >= 0 and (tag not in INLINE or all(elements[i][0] in INLINE for i in stack[depth:])):
-                close(depth, at)
-            continue
-        if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, -1, -1):
-                t = elements[stack[depth]][0]
+            at = m.end()
+            if m.re is _TAG:
+                at = self._end(m[2].lower(), at) if m[1] else self._start(m[2].lower(), m[3], page, at)
+
+    def _end(self, tag: str, at: int) -> int:
+        if tag == "br":
+            self._break(self.stack[-1] if self.stack else -1)
+        if tag in VOID or not self.open[tag]:
+            return at
+        depth = len(self.stack) - 1
+        while self.elements[self.stack[depth]][0] != tag:
+            if tag in INLINE and self.elements[self.stack[depth]][0] not in INLINE:
+                return at  # an inline end tag doesn't close blocks around it
+            depth -= 1
+        self._token("/")
+        self._close(depth)
+        return at
+
+    def _start(self, tag: str, raw: str, page: str, at: int) -> int:
+        if tag in CLOSES_P and self.open["p"]:
+            for depth in range(len(self.stack) - 1, -1, -1):
+                t = self.elements[self.stack[depth]][0]
                 if t == "p":
-                    close(depth, m.start())
+                    self._close(depth)
                     break
                 if t not in INLINE:
                     break
-        elif tag in SIBLINGS:
+        elif tag in SIBLINGS and any(self.open[t] for t in SIBLINGS[tag][0]):
             same, scope = SIBLINGS[tag]
             low = None
-            for depth in range(len(stack) - 1, -1, -1):
-                t = elements[stack[depth]][0]
+            for depth in range(len(self.stack) - 1, -1, -1):
+                t = self.elements[self.stack[depth]][0]
                 if t in same:
                     low = depth
                 if t in scope or t in same:
                     break
             if low is not None:
-                close(low, m.start())
-        parent = stack[-1] if stack else -1
+                self._close(low)
+        parent = self.stack[-1] if self.stack else -1
         if tag not in INLINE:
-            pieces.append((parent, m.start(), None))
-        elements.append([tag, _attributes(m[3]), m.start(), at, parent])
-        if tag in VOID or m[3].endswith("/") and tag not in WHOLE and tag in ("svg", "path"):
-            continue
+            self._break(parent)
+        first = len(self.prefix) - 1
+        self._token(f"{tag} {raw}")
+        self.elements.append([tag, _attributes(raw), parent, first, first + 2])
+        if tag in VOID or raw.endswith("/") and tag in ("svg", "path"):
+            return at
+        self.stack.append(len(self.elements) - 1)
+        self.open[tag] += 1
         if tag in RAW:  # up to its own end tag, whatever stands between
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            stop = end.start() if end else n
-            pieces.append((len(elements) - 1, at, page[at:stop]))
-            at = end.end() if end else n
-            elements[-1][3] = at
-            continue
-        stack.append(len(elements) - 1)
-    close(0, n)
-    return elements, pieces
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
+            self._text(page[at : end.start() if end else len(page)])
+            at = page.find(">", end.end()) + 1 if end else 0
+            self._close(len(self.stack) - 1)
+            return at or len(page)
+        return at
+
+    def subtree(self, e: list) -> int:
+        """Hash of an element's tokens, from its start tag to its end."""
+        n = e[4] - 1 - e[3]
+        while len(self._powers) <= n:
+            self._powers.append(self._powers[-1] * _BASE % _PRIME)
+        return (self.prefix[e[4] - 1] - self.prefix[e[3]] * self._powers[n]) % _PRIME
 
 
 def kind(tag: str, attributes: dict[str, str]) -> str:
@@ -160,7 +210,7 @@ def _states(elements: list[list]) -> tuple[list[str], list[bool], str]:
     """Each element's kind with its ancestors' (``drop``, ``header`` or ''), whether it lies in the
     main content or holds it, and the main content's tag."""
     state: list[str] = []
-    for tag, attributes, _, _, parent in elements:
+    for tag, attributes, parent, _, _ in elements:
         above = state[parent] if parent >= 0 else ""
         own = kind(tag, attributes) if above != "drop" else "drop"
         state.append("drop" if own == "drop" else "header" if own == "header" or above == "header" else "")
@@ -171,75 +221,124 @@ def _states(elements: list[list]) -> tuple[list[str], list[bool], str]:
             break
     inside = [False] * len(elements)
     if region:
-        for i, (tag, attributes, _, _, parent) in enumerate(elements):
+        for i, (tag, attributes, parent, _, _) in enumerate(elements):
             hit = (tag == region or region == "main" and attributes.get("role") == "main") and state[i] == ""
             inside[i] = hit or parent >= 0 and inside[parent]
     return state, inside, region
 
 
-def subtree_hashes(page: str) -> set[int]:
-    """Hashes of the subtrees that may be template: elements that neither lie in the main content
-    nor hold any of it."""
-    elements, _ = parse(page)
-    _, inside, _ = _states(elements)
-    holds = set()
-    for i, e in enumerate(elements):
-        if inside[i]:
-            up = e[4]
-            while up >= 0 and up not in holds:
-                holds.add(up)
-                up = elements[up][4]
-    return {_hash(page, e) for i, e in enumerate(elements) if not inside[i] and i not in holds and e[0] not in INLINE and e[0] not in ("html", "body", "head") and e[0] not in VOID}
-
-
-def _hash(page: str, e: list) -> int:
-    return xxhash.xxh64_intdigest(page[e[2] : e[3]].encode("utf-8", "surrogatepass"), 7) - (1 << 63)
-
-
-def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's main text: character references decoded, white space runs one space."""
-    if not page:
-        return ""
-    elements, pieces = parse(page)
+def article(page: str) -> tuple[str, list[tuple[int, int, int]]]:
+    """What is left of a page without its furniture, as one string with spaces between blocks, and each
+    subtree in it that may be template: ``(hash, from, to)``, the first of equal ones of a page."""
+    parsed = Page(page)
+    elements = parsed.elements
     state, inside, region = _states(elements)
-    dropped = [False] * len(elements)
     heading = [False] * len(elements)
     for i, e in enumerate(elements):
-        up = e[4]
-        heading[i] = e[0] in HEADINGS or up >= 0 and heading[up]
-        gone = up >= 0 and dropped[up] or state[i] == "drop" or not inside[i] and bool(template) and e[0] not in WHOLE and _hash(page, e) in template
-        dropped[i] = gone
-    out = []
-    for element, _, text in pieces:
+        heading[i] = e[0] in HEADINGS or e[2] >= 0 and heading[e[2]]
+    out: list[str] = []
+    starts: list[int] = []  # by piece kept: its token and place
+    tokens: list[int] = []
+    at = 0
+    for element, token, text in parsed.pieces:
         if text is None:
             out.append(" ")
-        elif element < 0:
-            if not region:
-                out.append(entities.unescape(text) if "&" in text else text)
-        elif not dropped[element] and (inside[element] if region else True):
+        elif (not region if element < 0 else state[element] != "drop" and (inside[element] or not region)):
             # of a header in the article its headings stay
-            if state[element] != "header" or inside[element] and heading[element]:
-                out.append(entities.unescape(text) if "&" in text else text)
-    return _SPACE.sub(" ", "".join(out)).strip()
+            if element >= 0 and state[element] == "header" and not (inside[element] and heading[element]):
+                continue
+            text = entities.unescape(text) if "&" in text else text
+            if not text.isspace():
+                tokens.append(token)
+                starts.append(at)
+            out.append(text)
+        else:
+            continue
+        at += len(out[-1])
+    found: dict[int, tuple[int, int, int]] = {}
+    ends = [*starts[1:], at]
+    where = np.array(tokens, dtype=np.int64)
+    for i, e in enumerate(elements):
+        if e[0] not in INLINE and e[0] not in WHOLE and e[0] not in VOID and state[i] != "drop":
+            lo, hi = np.searchsorted(where, (e[3], e[4]))
+            if lo < hi:
+                key = parsed.subtree(e)
+                if key not in found:
+                    found[key] = (key, starts[lo], ends[hi - 1])
+    return "".join(out), list(found.values())
+
+
+def cut(body: str, ranges: list[tuple[int, int]]) -> str:
+    """``body`` without ``ranges``, white space runs one space."""
+    if ranges:
+        parts, at = [], 0
+        for lo, hi in sorted(ranges):
+            if lo > at:
+                parts.append(body[at:lo])
+            at = max(at, hi)
+        body = " ".join([*parts, body[at:]])
+    return _SPACE.sub(" ", body).strip()
+
+
+def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
+    """The page's main text: character references decoded, template subtrees cut, white space runs one space."""
+    if not page:
+        return ""
+    body, subtrees = article(page)
+    return cut(body, [(lo, hi) for key, lo, hi in subtrees if key in template])
+
+
+def surroundings(body: str, subtrees: list[tuple[int, int, int]]) -> list[int]:
+    """For each subtree a sketch of the page's other text: the least hashes, under SEEDS seeds, of the
+    stretches between the places where subtrees begin and end."""
+    if not subtrees:
+        return []
+    edges = np.unique([0, len(body), *(x for s in subtrees for x in s[1:])]).tolist()
+    parts = [_SPACE.sub(" ", body[a:b]).strip() for a, b in zip(edges, edges[1:], strict=False)]
+    top = (1 << 64) - 1
+    hashes = np.array([[xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), seed) if p else top for p in parts] for seed in range(SEEDS)], dtype=np.uint64).reshape(SEEDS, len(parts))
+    edge = np.full((SEEDS, 1), top, dtype=np.uint64)
+    before = np.concatenate([edge, np.minimum.accumulate(hashes, axis=1)], axis=1)
+    after = np.concatenate([np.minimum.accumulate(hashes[:, ::-1], axis=1)[:, ::-1], edge], axis=1)
+    lo, hi = np.searchsorted(edges, [s[1] for s in subtrees]), np.searchsorted(edges, [s[2] for s in subtrees])
+    least = np.minimum(before[:, lo], after[:, hi])
+    return [xxhash.xxh64_intdigest(np.ascontiguousarray(least[:, k]).tobytes()) - (1 << 63) for k in range(len(subtrees))]
+
 
+_PARSED = "uid long, row_id long, url string, host string, body string, page long, subtrees array<struct<hash:long,lo:int,hi:int,around:long>>"
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, hash`` of subtrees recurring on at least ``min_pages`` pages and ``min_share`` of
-    the pages of their host.  ``pages`` has ``url`` and ``html``."""
+
+def parsed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """A staged table of pages without furniture: a number of the row, identifier, address, host, text, the
+    text's hash, and its subtrees with their places and surroundings."""
+    kind_of = pa.list_(pa.struct([("hash", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("around", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            hosts, hashes = [], []
+            cols: list[list] = [[], [], [], []]
             for url, page in zip(batch.column("url").to_pylist(), texts(batch, "html"), strict=True):
-                found = [None, *subtree_hashes(page)]  # null counts the page itself
-                hosts += [host_of(url)] * len(found)
-                hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
+                body, subtrees = article(page)
+                rows = [{"hash": s[0], "lo": s[1], "hi": s[2], "around": a} for s, a in zip(subtrees, surroundings(body, subtrees), strict=True)]
+                for col, x in zip(cols, (host_of(url), body, xxhash.xxh64_intdigest(body.encode("utf-8", "surrogatepass")) - (1 << 63), rows), strict=True):
+                    col.append(x)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(uid, uid + n), pa.int64()), batch.column("row_id"), batch.column("url"), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], kind_of)],
+                names=["uid", "row_id", "url", "host", "body", "page", "subtrees"])
+            uid += n
+
+    rows = limit_batches(pages).select(F.col(id_col).cast("long").alias("row_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    return stage(rows.mapInArrow(run, _PARSED), "parsed-pages")
+
 
-    counts = pages.select("url", "html").mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.where((F.col("n") >= min_pages) | F.col("hash").isNull())
-    total = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    return counts.where("hash is not null").join(total, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """``host, hash`` of subtrees that stand in at least ``min_pages`` different surroundings, and in as many
+    as ``min_share`` of the different pages of their host."""
+    stands = parsed.select("host", F.explode("subtrees").alias("s")).select("host", "s.hash", "s.around")
+    counts = stands.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    pages = parsed.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    return counts.join(pages, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -247,35 +346,20 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null and empty pages have the empty text; a null address is its own host ''.  A page without
     an article or main element gives its body without furniture and templates.  Repeated rows and
-    null identifiers pass through (copies of a page count once each for templates); other columns
-    are ignored; an empty table gives an empty result.
+    null identifiers pass through (copies of a page count once for templates); other columns are
+    ignored; very long pages take time in proportion; an empty table gives an empty result.
     """
-    pages = limit_batches(pages).select(F.col(id_col).cast("long").alias("row_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    found = stage(templates(pages, min_pages, min_share), "templates")
-    schema = "row_id long, url string, text string, n_chars long"
-
-    def give(batch: pa.RecordBatch, sets: list) -> pa.RecordBatch:
-        out = [main_text(p, s) for p, s in zip(batch.column("html").to_pylist(), sets, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["row_id", "url", "text", "n_chars"])
-
-    if found.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        by_host: dict[str, set[int]] = {}
-        for row in found.limit(broadcast_rows).collect():
-            by_host.setdefault(row["host"], set()).add(row["hash"])
-        none: frozenset[int] = frozenset()
+    parsed = parsed_pages(pages, id_col, url_col, html_col)
+    found = stage(templates(parsed, min_pages, min_share), "templates")
+    stands = parsed.select("uid", "host", F.explode("subtrees").alias("s")).select("uid", "host", "s.hash", F.struct("s.lo", "s.hi").alias("range"))
+    # Spark itself broadcasts the templates where they are small, and deals skewed hosts out where not
+    cuts = stage(stands.join(found, ["host", "hash"]).groupBy("uid").agg(F.collect_list("range").alias("ranges")), "cuts")
+    small = cuts.limit(broadcast_rows + 1).count() <= broadcast_rows
+    rows = parsed.select("uid", "row_id", "url", "body").join(F.broadcast(cuts) if small else cuts, "uid", "left").select("row_id", "url", "body", "ranges")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield give(batch, [by_host.get(host_of(u), none) for u in batch.column("url").to_pylist()])
-
-        return pages.mapInArrow(run, schema).withColumnRenamed("row_id", id_col)
-
-    # too many templates for each task: sets meet their host's pages in a join
-    sets = found.groupBy("host").agg(F.collect_set("hash").alias("hashes"))
-    host = F.lower(F.regexp_extract(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), r"^(?:.*@)?([^:]*)", 1))
-
-    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield give(batch, [set(x or ()) for x in batch.column("hashes").to_pylist()])
+            out = [cut(body, [(r["lo"], r["hi"]) for r in ranges or ()]) for body, ranges in zip(batch.column("body").to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["row_id", "url", "text", "n_chars"])
 
-    return pages.withColumn("host", host).join(sets, "host", "left").select("row_id", "url", "html", "hashes").mapInArrow(run_joined, schema).withColumnRenamed("row_id", id_col)
+    return rows.mapInArrow(run, "row_id long, url string, text string, n_chars long").withColumnRenamed("row_id", id_col)

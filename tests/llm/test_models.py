@@ -1,6 +1,7 @@
 """Main text, language, toxicity and audio: fixtures, held-out accuracy and brute force."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -37,6 +38,69 @@ def test_templates_of_a_host_go(spark, broadcast_rows):
     assert html_extract.extract_pages(pages.limit(0)).collect() == []
 
 
+def test_a_block_without_a_telling_class_goes_from_inside_articles(spark):
+    """By recurrence on its host alone: the same block on one page of another host stays, as do an article
+    published many times and a sentence on a minority of pages."""
+    block = "<div class=x9><p>Every morning in your letter box</p><p>Free of charge</p></div>"
+    story = "<html><body><article><h1>Title {n}</h1><p>Story {n} of {n}</p>{block}<p>{quote}</p><p>End of {n}</p></article></body></html>"
+    rows = [(n, "https://a.example/x", story.format(n=n, block=block, quote="A saying" if n % 4 == 0 else f"Saying {n}")) for n in range(20)]
+    rows += [(100, "https://b.example/", story.format(n=100, block=block, quote="q"))] + [(101 + n, "https://b.example/", story.format(n=101 + n, block="", quote="q")) for n in range(3)]
+    rows += [(200 + n, "https://c.example/", story.format(n="one", block=block, quote="same")) for n in range(30)]
+    long = "".join(f"<p>Paragraph {k} of a long article</p>" for k in range(200))
+    rows += [(300 + n, "https://d.example/", f"<article>{long}<p>Edited {n}</p></article>") for n in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    off = {i: html_extract.main_text(h) for i, _, h in rows}
+    letter = "Every morning in your letter box Free of charge"
+    assert all(letter in off[n] for n in range(20)) and got[100] == off[100] and letter in off[100]
+    assert all(got[n] == " ".join(off[n].replace(letter, "").split()) for n in range(20)) and "A saying" in got[4]
+    assert all(got[n] == off[n] for n in [*range(101, 104), *range(200, 230), *range(300, 312)])
+
+
+def brute_templates(pages):
+    """Host and text of recurring blocks, by comparing the rests of pages whole."""
+    seen, per_host = {}, {}
+    for _, url, page in pages:
+        host = html_extract.host_of(url)
+        body, subtrees = html_extract.article(page or "")
+        per_host.setdefault(host, set()).add(body)
+        for key, lo, hi in subtrees:
+            seen.setdefault((host, key), set()).add(" ".join((body[:lo] + " " + body[hi:]).split()))
+    return {k for k, rests in seen.items() if len(rests) >= max(html_extract.MIN_PAGES, html_extract.MIN_SHARE * len(per_host[k[0]]))}
+
+
+def test_templates_match_whole_comparison(spark):
+    rng = np.random.default_rng(8)
+    blocks = [f"<div>Block {k} of the site</div>" for k in range(4)]
+    rows = []
+    for host in range(3):
+        for n in range(30):
+            parts = [f"<p>{' '.join(f'w{x}' for x in rng.integers(0, 5000, 12))}</p>" for _ in range(8)] + [b for k, b in enumerate(blocks) if rng.random() < (0.9, 0.7, 0.3, 0.1)[(k + host) % 4]]
+            rng.shuffle(parts)
+            rows.append((host * 100 + n, f"https://h{host}.example/{n}", "<article>" + "".join(parts) + "</article>"))
+    parsed = html_extract.parsed_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {tuple(r) for r in html_extract.templates(parsed).collect()} == brute_templates(rows) and len(brute_templates(rows)) >= 6
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><p data-x=it's>Hello big world</p><p>We don't know</p><p>end</p></article>", "Hello big world We don't know end"),
+    ("<p title='a > b'>one</p><p title=\"it's\">two</p>", "one two"),
+    ("<p class=\"open>one</p><p>two</p>", "one two"),
+    ("a < b and c<d>e</d> 1 <2", "a < b and c e 1 <2"),
+    ("x<!-->y<!-- z --!>w<!-- never closed <p>no", "xyw"),
+    ("<p>kept</p><script>a</scripty></script ><p>too</p><a href=", "kept too"),
+    ("<b>a</x>b<p>c</b>d</p>e", "ab cd e"),
+])
+def test_signs_of_tags(page, text):
+    assert html_extract.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<a \"", "<a ='", "</script ", "<script></script ", "<div>", "<p><i>", "<!--", "<!", "</a", "<li><div>", "</x>", "<i>", "<div></div>"])
+def test_long_pages_take_time_in_proportion(part):
+    began = time.perf_counter()
+    html_extract.main_text(part * 60_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_pages_keep_their_articles(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     rows = html_extract.extract_pages(pages).collect()
