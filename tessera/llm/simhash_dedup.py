@@ -29,6 +29,8 @@ from .components import connected_components
 
 #: A bucket with more rows than this is dealt out as pairs of blocks.
 BUCKET_ROWS = 8192
+#: Classes whose pairs the work of a search is estimated on.
+SAMPLE_CLASSES = 1500
 #: Relative work of writing a signature and of comparing two fingerprints, for the dynamic program.
 SIGNATURE_COST, COMPARE_COST = 2e-6, 1e-8
 _CHUNK = 1 << 20
@@ -93,28 +95,51 @@ def group_bits(n: int, together: np.ndarray, partitions: int) -> list[list[int]]
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     corr = np.abs((together / max(n, 1) - np.outer(p, p)) / np.outer(sd, sd))
     np.fill_diagonal(corr, 0)
-    left, groups = list(range(64)), []
+    free, groups = np.ones(len(p), dtype=bool), []
     for k in range(partitions):
-        width = len(left) // (partitions - k)
-        sub = corr[np.ix_(left, left)]
-        group = [left[int(np.argmax(sub.max(axis=1)))]]
-        left.remove(group[0])
+        width = int(free.sum()) // (partitions - k)
+        closest = np.where(free, np.where(free[None, :], corr, 0).max(axis=1), -1)
+        group = [int(np.argmax(closest))]
+        free[group[0]] = False
+        score = corr[group[0]].copy()
         while len(group) < width:
-            best = max(left, key=lambda b: corr[b, group].sum())
+            best = int(np.argmax(np.where(free, score, -1)))
             group.append(best)
-            left.remove(best)
+            free[best] = False
+            score += corr[best]
         groups.append(sorted(group))
     return groups
 
 
-def candidate_rates(n: int, together: np.ndarray, bits: list[int], most: int) -> list[float]:
-    """Estimated share of pairs that differ in at most t of ``bits``, t = 0..most: the number of
-    differing bits as a sum of independent ones with each bit's own rate."""
+def sampled(classes: DataFrame, columns: list[str], most: int = SAMPLE_CLASSES) -> np.ndarray:
+    """Fingerprint words of at most about ``most`` classes, taken by a hash: what the work of a search is
+    estimated on.  It has no effect on what the search finds."""
+    total = classes.count()
+    step = max(1, -(-total // most))
+    rows = classes.where(F.pmod(F.xxhash64(*columns), F.lit(step)) == 0).select(*columns).toArrow()
+    return np.stack([rows.column(c).to_numpy() for c in columns], axis=1).view(np.uint64).reshape(-1, len(columns))
+
+
+def bits_of(words: np.ndarray) -> np.ndarray:
+    """Fingerprints (rows of 64-bit words) as rows of bits, bit 0 first."""
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), 8 * words.shape[1]), axis=1, bitorder="little")
+
+
+def candidate_rates(n: int, together: np.ndarray, bits: list[int], most: int, sample: np.ndarray | None = None) -> list[float]:
+    """Estimated share of pairs that differ in at most t of ``bits``, t = 0..most: what pairs of a sample
+    (rows of all bits) show, which sees that bits go together, and at least what independent bits with each
+    bit's own rate give, which sees shares too small for a sample."""
     p = np.diag(together)[bits] / max(n, 1)
     dist = np.array([1.0])
     for q in 2 * p * (1 - p):
         dist = np.convolve(dist, [1 - q, q])
-    return np.minimum(np.cumsum(dist), 1).tolist()[: most + 1] + [1.0] * max(0, most + 1 - len(dist))
+    rates = np.minimum(np.cumsum(dist), 1)
+    if sample is not None and len(sample) > 1:
+        own = sample[:, bits].astype(np.float32)
+        apart = own @ (1 - own.T)
+        seen = np.bincount(np.rint(apart + apart.T).astype(np.int64)[np.triu_indices(len(own), 1)], minlength=len(bits) + 1)
+        rates = np.maximum(rates, np.cumsum(seen) / seen.sum())
+    return rates.tolist()[: most + 1] + [1.0] * max(0, most + 1 - len(rates))
 
 
 def _ball(width: int, radius: int) -> int:
@@ -125,7 +150,7 @@ def _ball(width: int, radius: int) -> int:
     return total
 
 
-def allocate(n: int, together: np.ndarray, radius: int, counts: range = range(2, 9)) -> tuple[float, list[list[int]], list[int]]:
+def allocate(n: int, together: np.ndarray, radius: int, counts: range = range(2, 9), sample: np.ndarray | None = None) -> tuple[float, list[list[int]], list[int]]:
     """Least estimated work, bit groups and thresholds (-1: the group isn't probed)."""
     best: tuple[float, list[list[int]], list[int]] | None = None
     for m in counts:
@@ -136,7 +161,7 @@ def allocate(n: int, together: np.ndarray, radius: int, counts: range = range(2,
         costs = []
         for bits in groups:
             most = min(radius, len(bits))
-            rates = candidate_rates(n, together, bits, most)
+            rates = candidate_rates(n, together, bits, most, sample)
             costs.append([0.0] + [n * _ball(len(bits), t) * SIGNATURE_COST + 0.5 * n * n * rates[t] * COMPARE_COST for t in range(most + 1)])
         # state: thresholds handed out so far, each counted from -1
         state: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -184,28 +209,30 @@ def signatures(classes: DataFrame, groups: list[list[int]], thresholds: list[int
     return classes.select("fp", "rep").mapInArrow(run, "key long, base boolean, fp long, rep long")
 
 
-class _Forest:
-    """Union-find that tells which links join two trees."""
-
-    def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
+class Trees:
+    """Connected rows of an array: each one's ``root`` is the smallest row it is tied to."""
 
-    def root(self, x: int) -> int:
-        p = self.parent
-        p.setdefault(x, x)
-        while p[x] != x:
-            p[x] = p[p[x]]
-            x = p[x]
-        return x
+    def __init__(self, n: int):
+        self.root = np.arange(n)
 
-    def joins(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-        return a != b
+    def tie(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Ties rows ``x[k]`` and ``y[k]``, all at once."""
+        root = self.root
+        while len(x):
+            a, b = root[x], root[y]
+            apart = a != b
+            if not apart.any():
+                return
+            x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                up = root[root]
+                if (up == root).all():
+                    break
+                root[:] = up
 
 
-def _verify(key: np.ndarray, base: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _verify(key: np.ndarray, base: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links between the base rows of each bucket and all its later rows; base rows come first."""
     n = len(key)
     ends = np.append(np.flatnonzero(np.diff(key)) + 1, n)
@@ -223,44 +250,43 @@ def _verify(key: np.ndarray, base: np.ndarray, fp: np.ndarray, rep: np.ndarray,
             x = np.repeat(left[at:to], w)
             y = x + 1 + np.arange(total) - np.repeat(np.cumsum(w) - w, w)
             near = np.bitwise_count(u[x] ^ u[y]) <= radius
-            yield rep[x[near]], rep[y[near]]
+            yield x[near], y[near]
         at = to
 
 
 def link_buckets(sigs: DataFrame, radius: int) -> DataFrame:
-    """``a, b`` links (a spanning forest for each task) of rows that share a key and lie within
-    ``radius`` bits, at least one of the two filed there under its own value."""
+    """``a, b`` links (each tied row of a run of buckets with the first it is tied to) of rows that share a
+    key and lie within ``radius`` bits, at least one of the two filed there under its own value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = _Forest()
-        held: list[np.ndarray] | None = None
-
-        def links(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            out = []
-            for a, b in _verify(*cols, radius):
-                out += [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if x != y and forest.joins(x, y)]
-            if out:
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in regrouped(batches):
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "base", "fp", "rep")]
-            if not len(cols[0]):
-                continue
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on in the next batch
-            if cut:
-                yield from links([c[:cut] for c in cols])
-            held = [c[cut:] for c in cols]
-        if held is not None:
-            yield from links(held)
+        for key, base, fp, rep in runs(batches, ("key", "base", "fp", "rep")):
+            trees = Trees(len(key))
+            for x, y in _verify(key, base, fp, radius):
+                trees.tie(x, y)
+            a, b = rep[trees.root], rep
+            links = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
     # keys ascend in a task, which the search for a bucket's end relies on
     ordered = sigs.repartition("key").sortWithinPartitions("key", F.desc("base"))
     return ordered.select("key", "base", "fp", "rep").mapInArrow(run, "a long, b long")
 
 
+def runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by their first one, cut between its values only."""
+    held: list[np.ndarray] | None = None
+    for batch in regrouped(batches):
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        at = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on in the next batch
+        if at:
+            yield [c[:at] for c in cols]
+        held = [c[at:] for c in cols]
+    if held is not None:
+        yield held
+
+
 def split_hot(sigs: DataFrame, bucket_rows: int, by: str = "fp") -> DataFrame:
     """Buckets over ``bucket_rows`` rows dealt out: rows go by a hash of ``by`` into blocks of about half
     that size, and each pair of blocks is a bucket of its own, so every pair still meets."""
@@ -291,7 +317,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fps = stage(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     classes = stage(fps.groupBy("fp").agg(F.min("row_id").alias("rep")).where("rep is not null"), "classes")
     n, together = bit_statistics(classes)
-    _, groups, thresholds = allocate(n, together, radius)
+    _, groups, thresholds = allocate(n, together, radius, sample=bits_of(sampled(classes, ["fp"])))
     sigs = split_hot(signatures(classes, groups, thresholds), bucket_rows)
     links = link_buckets(sigs, radius)
     # an identifier met with several fingerprints ties their classes together
