@@ -13,11 +13,15 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for staged tables: ``spark.checkpoint.dir``, or, where that is unset
-    (tests on one machine), a temporary folder made once for this process."""
+    """Folder for staged tables: ``spark.checkpoint.dir``.  Where that is unset, one machine (tests) gets a
+    temporary folder, made once for this process; on a cluster it is an error, as executors would not share one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="tessera-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _LOCAL:
+            _LOCAL["dir"] = tempfile.mkdtemp(prefix="spark-")
+        where = _LOCAL["dir"]
     return where.rstrip("/")
 
 

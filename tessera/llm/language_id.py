@@ -6,6 +6,9 @@
 - the host: a prior from all documents of the host, smoothed towards its parent domain's, that
   towards the next one's, up to the corpus as a whole.
 
+Beside the languages of the model there is one outcome more, OTHER: under it all trigrams are equally
+likely, and it is what a declaration of any other language speaks for.
+
 Host priors are sums of text posteriors grouped by host (combined before the shuffle); the
 hierarchy is worked out over distinct domains only.
 """
@@ -24,8 +27,8 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
 from .common import limit_batches, stage
 
-LANGUAGES = ("en", "de", "fr", "es")
-#: Labelled texts of each language that the trigram model is fitted on, the first by a hash of the identifier.
+LANGUAGES, OTHER = ("en", "de", "fr", "es"), "other"
+#: About so many labelled texts of each language, taken by a hash of the identifier, fit the trigram model.
 SAMPLE = 1500
 #: Buckets of trigrams.
 BUCKETS = 1 << 15
@@ -35,20 +38,25 @@ TEMPER, MOST_TEXT = 0.25, 30.0
 DECLARED_RIGHT, ADDRESS_RIGHT = 0.85, 0.8
 #: Documents' worth of parent prior that a host's own counts are smoothed with, at each level.
 SMOOTHING, LEVELS = 5.0, 5
-#: A document is accepted if it has a letter and its best language at least this probability.
+#: A document is accepted if it has a letter and its best outcome is a language with at least this probability.
 ACCEPT = 0.5
 #: Host tables of up to so many rows are broadcast.
 BROADCAST_ROWS = 50_000
 _CHUNK = 1 << 18
+#: Parts that a hash of identifiers deals labelled texts into.
+SHARES = 1 << 20
 # Country suffixes of the languages.
 SUFFIXES = {"de": "de", "at": "de", "ch": "de", "li": "de", "fr": "fr", "be": "fr", "lu": "fr", "es": "es", "mx": "es", "ar": "es", "co": "es", "cl": "es", "pe": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en"}
 _LETTER = re.compile(r"[^\W\d_]")
+# what stands between white space, if it holds no digit or sign of addresses and code
+_TOKEN = re.compile(r"(?<!\S)[^\s\d@/\\=_#<>|{}]+(?!\S)")
+_SIGNS = re.compile(r"[\W\d_]+")
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all texts' character trigrams (lower case, a space around each text, white space
-    runs one space) and the text of each trigram."""
-    flat = [" " + " ".join(t.lower().split()) + " " for t in texts]
+    """Buckets of the character trigrams of all texts' letters (lower case, a space for whatever stands between;
+    numbers, addresses and other words with digits or signs of code are left out) and the text of each trigram."""
+    flat = [_SIGNS.sub(" ", " " + " ".join(_TOKEN.findall(t.lower())) + " ") for t in texts]
     codes = np.frombuffer("".join(flat).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint32)
     sizes = np.array([len(t) for t in flat])
     owner = np.repeat(np.arange(len(flat)), sizes)
@@ -74,30 +82,31 @@ def _parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 @dataclass
 class TextModel:
+    """Log-likelihoods of trigrams by outcome, the languages and OTHER last."""
+
     languages: tuple[str, ...]
-    table: np.ndarray  # BUCKETS x languages, log-likelihoods
+    table: np.ndarray  # BUCKETS x outcomes
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """Tempered log-likelihood of each text by language, the best at 0 and none under -MOST_TEXT."""
-        out = np.zeros((len(texts), len(self.languages)))
+        out = np.zeros((len(texts), self.table.shape[1]))
         for at, part in _parts(texts):
             bucket, owner = trigrams(part)
-            for k in range(len(self.languages)):
+            for k in range(self.table.shape[1]):
                 out[at : at + len(part), k] = np.bincount(owner, weights=self.table[bucket, k], minlength=len(part))
         out *= TEMPER
         return np.maximum(out - out.max(axis=1, keepdims=True), -MOST_TEXT) if len(texts) else out
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE) -> TextModel:
-    """Trigram model from at most ``sample`` texts declared to be in each language."""
-    parts = []
-    for k, language in enumerate(languages):
-        of = docs.where((F.col(label_col) == language) & F.col(id_col).isNotNull())
-        parts.append(of.select(F.col(id_col).alias("row_id")).orderBy(F.xxhash64("row_id"), "row_id").limit(sample).withColumn("k", F.lit(k)))
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.unionByName(p)
-    rows = limit_batches(docs).select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body")).join(F.broadcast(chosen), "row_id").select("k", "body")
+    """Trigram model from about ``sample`` texts declared to be in each language (all, where there are
+    fewer): one scan counts the labels, one reads the texts.  Rows without an identifier are left out."""
+    of = F.coalesce(*[F.when(F.col(label_col) == l, k) for k, l in enumerate(languages)])
+    labelled = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body"), of.alias("k")).where("k is not null")
+    found = {r["k"]: r["count"] for r in labelled.groupBy("k").count().collect()}
+    most = {k: min(SHARES, -(-SHARES * sample // n)) for k, n in found.items()}
+    share = F.coalesce(*[F.when(F.col("k") == k, m) for k, m in most.items()], F.lit(0))
+    rows = limit_batches(labelled.where(F.pmod(F.xxhash64("row_id"), F.lit(SHARES)) < share)).select("k", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(languages) * BUCKETS, dtype=np.int64)
@@ -118,7 +127,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     shared = counts.sum(axis=0) + 1.0
     shared /= shared.sum()
     p = (counts + 2000.0 * shared) / (counts.sum(axis=1, keepdims=True) + 2000.0)
-    return TextModel(tuple(languages), np.log(p).T.copy())
+    return TextModel(tuple(languages), np.log(np.concatenate([p, np.full((1, BUCKETS), 1 / BUCKETS)])).T.copy())
 
 
 def with_text_evidence(df: DataFrame, model: TextModel, text: Column, keep: list[Column]) -> DataFrame:
@@ -172,10 +181,11 @@ def _posterior(evidence: Column) -> Column:
 
 
 def _told(language: Column, languages: tuple[str, ...], right: float) -> Column:
-    """Log-likelihoods of a statement of the language: nothing where it states none that is known."""
-    wrong = (1 - right) / max(1, len(languages) - 1)
-    known = language.isin(*languages)
-    return F.array(*[F.when(known, F.when(language == l, float(np.log(right))).otherwise(float(np.log(wrong)))).otherwise(0.0) for l in languages])
+    """Log-likelihoods of a statement of the language by outcome: one of none that is known speaks for OTHER,
+    '' for nothing."""
+    wrong = float(np.log((1 - right) / len(languages)))
+    said = F.when(language.isin(*languages), language).otherwise(OTHER)
+    return F.array(*[F.when(language == "", 0.0).when(said == l, float(np.log(right))).otherwise(wrong) for l in (*languages, OTHER)])
 
 
 def declared_language(column: Column) -> Column:
@@ -188,6 +198,17 @@ def markup_language(html: Column) -> Column:
     return F.regexp_extract(html, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)""", 1)
 
 
+def page_words(html: Column) -> Column:
+    """A page's words for its language: without scripts, styles, comments and tags (character references stay)."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)", " ")
+    return F.regexp_replace(bare, r"<[^>]*>|&[#\w]*;", " ")
+
+
+def url_host(url: Column) -> Column:
+    """Host of an address in lower case, without user and port; '' if there is none."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)", 1))
+
+
 def address_language(url: Column, languages: tuple[str, ...] = LANGUAGES) -> Column:
     """Language by the first path segment or query value that is a language, else by the host's
     country suffix; null if neither tells."""
@@ -198,29 +219,33 @@ def address_language(url: Column, languages: tuple[str, ...] = LANGUAGES) -> Col
     return F.when(path != "", F.lower(path)).otherwise(country)
 
 
-def identify(df: DataFrame, model: TextModel, text: Column, host: Column | None = None, declared: Column | None = None, url: Column | None = None, accept: float = ACCEPT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``row`` (a struct of all of ``df``'s columns), ``lang``, ``confidence``, ``text_lang``,
-    ``accepted`` for each row of ``df``.
+def identify(df: DataFrame, model: TextModel, text: Column, host: Column | None = None, declared: Column | None = None, url: Column | None = None, accept: float = ACCEPT, keep: list[str] | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``row`` (a struct of the columns ``keep`` of ``df``, by default all), ``lang``, ``confidence``,
+    ``text_lang``, ``accepted`` for each row of ``df``.
 
-    A null text is empty; without letters there is no text evidence and the row isn't accepted.
+    Texts are read once: their evidence is kept as a table, from which the hosts' priors and the result
+    come.  A null text is empty; without letters there is no text evidence and the row isn't accepted.
     Null declarations, addresses and hosts are no evidence (rows without a host share one).  Ties
-    go to the language named first.  Repeated rows count each.  An empty table gives an empty result.
+    go to the language named first.  Repeated rows count each.  Columns of any name may be kept.  An empty
+    table gives an empty result.
     """
-    languages = model.languages
+    languages, n = model.languages, len(model.languages) + 1
     none = F.lit(None).cast("string")
     host = F.lower(F.coalesce(host if host is not None else none, F.lit("")))
-    keep = [F.struct("*").alias("row"), host.alias("host"), F.coalesce(declared_language(declared) if declared is not None else none, F.lit("")).alias("declared"),
-            F.coalesce(address_language(url, languages) if url is not None else none, F.lit("")).alias("address")]
-    narrow = with_text_evidence(df, model, text, keep[1:2]).select("host", _posterior(F.col("evidence")).alias("p"))
-    by_host = narrow.groupBy("host").agg(*[F.sum(F.col("p")[k]).alias(f"c{k}") for k in range(len(languages))])
-    priors = stage(host_priors(by_host.select("host", F.array(*[f"c{k}" for k in range(len(languages))]).alias("counts")), len(languages)), "host-priors")
+    columns = [F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]).alias("row"), host.alias("host"), F.coalesce(declared_language(declared) if declared is not None else none, F.lit("")).alias("declared"),
+               F.coalesce(address_language(url, languages) if url is not None else none, F.lit("")).alias("address")]
+    rows = stage(with_text_evidence(df, model, text, columns), "text-evidence")
+    by_host = rows.select("host", _posterior(F.col("evidence")).alias("p")).groupBy("host").agg(*[F.sum(F.col("p")[k]).alias(f"c{k}") for k in range(n)])
+    priors = stage(host_priors(by_host.select("host", F.array(*[f"c{k}" for k in range(n)]).alias("counts")), n), "host-priors")
     small = priors.limit(broadcast_rows + 1).count() <= broadcast_rows
-    rows = with_text_evidence(df, model, text, keep).join(F.broadcast(priors) if small else priors, "host", "left")
-    evidence = F.zip_with(F.zip_with("evidence", "prior", lambda a, b: a + F.coalesce(b, F.lit(0.0))), F.zip_with(_told(F.col("declared"), languages, DECLARED_RIGHT), _told(F.col("address"), languages, ADDRESS_RIGHT), lambda a, b: a + b), lambda a, b: a + b)
+    rows = rows.join(F.broadcast(priors) if small else priors, "host", "left")
+    told = F.zip_with(_told(F.col("declared"), languages, DECLARED_RIGHT), _told(F.col("address"), languages, ADDRESS_RIGHT), lambda a, b: a + b)
+    evidence = F.zip_with(F.zip_with("evidence", "prior", lambda a, b: a + F.coalesce(b, F.lit(0.0))), told, lambda a, b: a + b)
     rows = rows.select("row", "letters", "evidence", _posterior(evidence).alias("p"))
-    names = F.array(*[F.lit(l) for l in languages])
+    names = F.array(*[F.lit(l) for l in (*languages, OTHER)])
     best = F.array_max("p")
+    lang = names[F.array_position("p", best).cast("int") - 1]
     return rows.select(
-        "row", names[F.array_position("p", best).cast("int") - 1].alias("lang"), best.alias("confidence"),
+        "row", lang.alias("lang"), best.alias("confidence"),
         F.when(F.col("letters"), names[F.array_position("evidence", F.array_max("evidence")).cast("int") - 1]).alias("text_lang"),
-        (F.col("letters") & (best >= accept)).alias("accepted"))
+        (F.col("letters") & (best >= accept) & (lang != OTHER)).alias("accepted"))

@@ -12,7 +12,7 @@ from .audio_fingerprint import linked
 from .common import table
 from .exact_dedup import exact_duplicates
 from .html_extract import extract_pages
-from .language_id import identify
+from .language_id import identify, markup_language, page_words, url_host
 from .language_id import train as train_language
 from .packing import pack, word_encoder
 from .piece_tokens import encode_documents
@@ -37,9 +37,16 @@ def op2_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document (by its text and its source) and of every page (by its text, its declared
+    language, its address and its host's domains).  What ``lang`` says of a document only trains the model."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    found = identify(docs, train_language(docs), F.col("text"), host=F.col("source"), declared=F.col("lang"))
-    return found.select("row.doc_id", "lang", "confidence", "text_lang", "accepted")
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    model = train_language(docs)
+    found = ["lang", "confidence", "text_lang", "accepted"]
+    of_docs = identify(docs, model, F.col("text"), host=F.col("source"), keep=["doc_id"])
+    of_pages = identify(pages, model, page_words(F.col("html")), host=url_host(F.col("url")), declared=markup_language(F.col("html")), url=F.col("url"), keep=["page_id"])
+    none = F.lit(None).cast("long")
+    return of_docs.select("row.doc_id", none.alias("page_id"), *found).unionByName(of_pages.select(none.alias("doc_id"), "row.page_id", *found))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

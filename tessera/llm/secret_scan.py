@@ -149,7 +149,13 @@ def lexed_spans(text: str) -> list[Span]:
 def scan(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: the base ones plus lexed literals that none of them covers."""
     base = base_spans(text)
-    extra = [s for s in lexed_spans(text) if not any(a <= s[0] and s[1] <= b for a, b, _ in base)]
+    extra, k, reach = [], 0, 0
+    for s in lexed_spans(text):  # both ascend; of the base spans that start no later only the farthest end counts
+        while k < len(base) and base[k][0] <= s[0]:
+            reach = max(reach, base[k][1])
+            k += 1
+        if s[1] > reach:
+            extra.append(s)
     return base, sorted(base + extra, key=_order)
 
 
@@ -192,8 +198,9 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with every secret span of its text replaced; null texts stay null, all other
-    columns stay as they are."""
+    """``df`` with every secret span of its text replaced; null texts stay null, empty ones empty, and all
+    other columns, whatever their names, stay as they are.  Repeated rows and rows without an identifier
+    are treated like any other; very long texts take time in proportion; an empty table stays empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

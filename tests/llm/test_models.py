@@ -130,6 +130,66 @@ def test_host_priors_match_the_formula(spark):
         assert got[host] == pytest.approx(list(p)), host
 
 
+def brute_language(rows, model):
+    """Every row's outcome and probability from scratch: evidence by evidence in plain Python."""
+    outcomes = [*model.languages, language_id.OTHER]
+    texts = []
+    for r in rows:
+        words = [w for w in (r["text"] or "").lower().split() if not any(c.isdigit() or c in "@/\\=_#<>|{}" for c in w)]
+        flat = " " + " ".join("".join(c if c.isalpha() else " " for c in " ".join(words)).split()) + " "
+        total = np.zeros(len(outcomes))
+        for k in range(len(flat) - 2):
+            a, b, c = map(ord, flat[k : k + 3])
+            mix = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % (1 << 32)
+            total += model.table[(mix ^ mix >> 15) % language_id.BUCKETS]
+        total *= language_id.TEMPER
+        texts.append(np.maximum(total - total.max(), -language_id.MOST_TEXT))
+    soft = [np.exp(e) / np.exp(e).sum() for e in texts]
+    hosts = [(r["host"] or "").lower() for r in rows]
+    top = (sum(soft) + 1) / (len(rows) + len(outcomes))
+
+    def prior(host):
+        p, labels = top, host.split(".")
+        for d in range(1, min(len(labels), language_id.LEVELS) + 1):
+            name = ".".join(labels[-d:])
+            own = sum((s for s, h in zip(soft, hosts, strict=True) if ("." + h).endswith("." + name)), np.zeros(len(outcomes)))
+            p = (own + language_id.SMOOTHING * p) / (own.sum() + language_id.SMOOTHING)
+        return p
+
+    def told(code, right):
+        if not code:
+            return np.ones(len(outcomes))
+        said = code if code in model.languages else language_id.OTHER
+        return np.array([right if o == said else (1 - right) / len(model.languages) for o in outcomes])
+
+    out = []
+    for r, e, h in zip(rows, texts, hosts, strict=True):
+        p = np.exp(e) * prior(h) * told(r["declared"], language_id.DECLARED_RIGHT) * told(r["address"], language_id.ADDRESS_RIGHT)
+        p /= p.sum()
+        out.append((outcomes[int(np.argmax(p))], float(p.max())))
+    return out
+
+
+def test_fused_evidence_matches_brute_force(spark, documents):
+    model = language_id.train(documents)
+    words = [r["text"].split()[: 3 + i % 9] for i, r in enumerate(documents.where("length(text) > 200").limit(60).collect())]
+    hosts = ["a.b.example", "b.example", "c.b.example", "Example", "x.de", None]
+    rows = [{"id": i, "text": " ".join(w) if i % 7 else None, "host": hosts[i % 6], "declared": (None, "de", "fr", "it", "en")[i % 5], "url": (None, "https://x.de/", "https://x.com/fr/a")[i % 3], "address": (None, "de", "fr")[i % 3]} for i, w in enumerate(words)]
+    df = spark.createDataFrame([(r["id"], r["text"], r["host"], r["declared"], r["url"]) for r in rows], "id long, text string, host string, declared string, url string")
+    got = sorted(language_id.identify(df, model, F.col("text"), host=F.col("host"), declared=F.col("declared"), url=F.col("url"), keep=["id"]).collect(), key=lambda r: r["row"]["id"])
+    assert [(r["lang"], pytest.approx(r["confidence"])) for r in got] == brute_language(rows, model)
+
+
+def test_texts_in_none_of_the_languages_are_other(spark, make):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(documents)
+    texts = ["Questa è una frase scritta in lingua italiana che parla del tempo e delle stagioni", "Dit is een Nederlandse zin over het weer en de jaargetijden op het platteland", "これは日本語の文章です。天気と季節について書いています。", "Это предложение на русском языке о погоде"]
+    got = language_id.identify(make(list(enumerate(texts))), model, F.col("text")).collect()
+    assert all(r["lang"] == language_id.OTHER and not r["accepted"] for r in got)
+    kept = language_id.identify(documents.where("length(text) > 60"), model, F.col("text"), keep=["doc_id"])
+    assert kept.where("not accepted").count() == 0
+
+
 def test_language_edge_cases(make, edge, documents):
     model = language_id.train(documents)
     df = make(edge)
@@ -138,7 +198,7 @@ def test_language_edge_cases(make, edge, documents):
     assert not any(r["accepted"] for r in got if not (r["row"]["text"] or "").strip())
     assert all(r["row"].asDict().keys() == set(df.columns) for r in got)
     assert language_id.identify(make([]), model, F.col("text")).collect() == []
-    assert language_id.train(make([]).withColumn("lang", F.lit("en"))).evidence(["abc"]).shape == (1, 4)
+    assert language_id.train(make([]).withColumn("lang", F.lit("en"))).evidence(["abc"]).shape == (1, 5)
 
 
 def test_declared_and_addressed_languages(spark):

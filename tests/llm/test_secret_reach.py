@@ -1,5 +1,7 @@
 """Secrets of many parts, and target names far from their operators."""
 
+import time
+
 import pytest
 from tessera.llm import secret_scan
 
@@ -33,3 +35,18 @@ def test_names_are_read_to_their_start(name):
 def test_uses_of_a_long_constant_stay_cheap():
     text = "".join(f"token = token + 'Zk{i}Qx81_v'\n" for i in range(20_000))
     assert len(secret_scan.lexed_spans(text)) == 20_000
+
+
+def test_scan_keeps_lexed_spans_that_no_base_span_covers():
+    texts = ["password = 'hunter2hunter2'\nauth_key = 'Zk29Qx81_v!'\n" * 3, "k = 'deadbeefdeadbeefdeadbeef00'\npassword = k", "secret: 'Ab1_$x y9' token=abcdefgh"]
+    for text in texts:
+        base, every = secret_scan.scan(text)
+        want = [s for s in secret_scan.lexed_spans(text) if not any(a <= s[0] and s[1] <= b for a, b, _ in base)]
+        assert sorted(set(every) - set(base)) == sorted(want)
+
+
+def test_many_secrets_take_time_in_proportion():
+    text = "".join(f"password = 'hunter{i}_hunter'\nclient_secret = \"Qx81_77!zK {i}\"\n" for i in range(30_000))
+    began = time.perf_counter()
+    assert len(secret_scan.scan(text)[1]) > 30_000
+    assert time.perf_counter() - began < 30
