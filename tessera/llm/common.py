@@ -36,13 +36,10 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing reads any more."""
-    path = getattr(df, "staged_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def unstage(spark: SparkSession, path: str) -> None:
+    """Delete the files of a table that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Rows that a Python worker holds at once, so that long texts fit.

@@ -48,8 +48,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
         pairs = _with_minimum(large, low, total).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = stage(pairs.select("e.u", "e.v").where("u != v").distinct(), "edges")
         new_mark = _mark(new)
-        unstage(large)
-        unstage(edges)
+        unstage(edges.sparkSession, large.staged_path)
+        unstage(edges.sparkSession, edges.staged_path)
         edges = new
         if new_mark == mark:
             break

@@ -1,11 +1,15 @@
 """Exact deduplication over a log-structured merge index of digests.
 
-Only DataFrame functions run here.  A flush sorts each task's digests in place (its
-memtable) and writes them as one run with a Bloom filter per row group; no shuffle.
-Compaction merges runs by digest with map-side combining and keeps one identifier per
-digest.  Rows whose digest was met more than once (hits) are then compared byte by byte
-with the row that stays, so a digest collision can't merge different texts; rows of a very common
-digest are dealt out over several tasks for that.
+Only DataFrame functions run here.
+
+1. A flush turns a table into several level-0 runs, each the memtable of a share of the tasks: its digests,
+   sorted, with the identifier that stays and the number of rows.
+2. Each run has a filter of one bit a digest.  When runs are merged, rows whose digest no other run can hold
+   pass by without a shuffle; only the rest are grouped.  Runs of a level are compacted into one of the next as
+   soon as there are ``FANOUT`` of them, and what is left is merged when the index is read.
+3. Rows whose digest was met more than once (hits) are then compared byte by byte with the row that stays, so
+   a digest collision can't merge different texts; rows of a very common digest are dealt out over several
+   tasks for that.
 """
 
 from __future__ import annotations
@@ -15,87 +19,128 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage
+from .common import shared_dir, stage, unstage
 
-#: Bits of the hit filter: 256 bitmaps of 4 KiB, so 1 MiB is broadcast whatever the input.
-FILTER_BITS = 1 << 23
+#: Bits of a run's filter: about BITS_A_DIGEST for each digest, in these bounds.  The filters of the runs that
+#: are merged at once are broadcast, at most FANOUT (or what is left of all levels) times 4 MiB.
+BITS_A_DIGEST, LEAST_BITS, MOST_BITS = 16, 1 << 18, 1 << 25
+#: Level-0 runs of a flush, and runs of a level that are compacted into one.
+FLUSH_RUNS, FANOUT = 8, 4
 #: A digest with more than one in so many rows, and more than so many, is dealt out over several tasks.
 HOT_SHARE, LEAST_HOT = 4096, 64
+_RUN = "digest binary, keep_id long, n long"
+_BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": "262144"}
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row_id, digest``: SHA-256 of the text's UTF-8 bytes, null as empty."""
-    return df.select(F.col(id_col).alias("row_id"), _digest(F.col(text_col)).alias("digest"))
+    return df.select(F.col(id_col).cast("long").alias("row_id"), _digest(F.col(text_col)).alias("digest"))
 
 
 def _digest(text):
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def filter_bits(rows: int) -> int:
+    """A power of two of bits for the filter of so many digests."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_DIGEST * max(1, rows) - 1).bit_length()))
+
+
+def digest_filter(rows: DataFrame, bits: int, *by: str) -> DataFrame:
+    """A filter with one probe as at most ``bits / 32768`` bitmap rows for each ``by``.  Full of ones it lets all
+    rows pass, so its bounded size limits what it saves, never what is found."""
+    at = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    rows = rows.select(*by, F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+    return rows.groupBy(*by, "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def _marked(rows: DataFrame, bitmaps: DataFrame, bits: int, *by: str) -> DataFrame:
+    """``rows`` with ``hit``: whether the filter lets the digest pass."""
+    at = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    rows = rows.withColumn("bucket", F.bitmap_bucket_number(at)).withColumn("bit", F.bitmap_bit_position(at).cast("int"))
+    rows = rows.join(F.broadcast(bitmaps), [*by, "bucket"], "left")
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return rows.withColumn("byte", byte).withColumn("hit", F.expr("coalesce((byte & shiftleft(1, bit % 8)) != 0, false)")).drop("bucket", "bit", "byte", "bitmap")
+
+
 class DigestIndex:
-    """Runs of ``digest, keep_id, n`` under one folder that all executors share.
+    """Runs of ``digest, keep_id, n`` by level, under one folder that all executors share.
 
-    ``flush`` adds level-0 runs for a batch; ``compact`` merges every run into one new
-    level; ``entries`` reads the index as it stands.  ``keep`` is ``"min"`` or ``"max"``:
-    which identifier of equal texts stays.
+    ``flush`` adds level-0 runs for a table, ``compact`` merges the runs of full levels, ``entries`` reads the
+    index as it stands.  ``keep`` is ``"min"`` or ``"max"``: which identifier of equal texts stays.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keep: str = "min"):
+    def __init__(self, spark: SparkSession, path: str, keep: str = "min", fanout: int = FANOUT):
         if keep not in ("min", "max"):
             raise ValueError("keep is 'min' or 'max'")
-        self.spark, self.path, self.keep = spark, path, keep
-        self.levels: list[str] = []
+        self.spark, self.path, self.keep, self.fanout = spark, path, keep, fanout
+        self.levels: list[list[tuple[str, int]]] = []  # runs of each level: path and digests
 
     def _pick(self, col: str):
         return (F.min if self.keep == "min" else F.max)(col)
 
-    def flush(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        run = digests(batch, id_col, text_col).select("digest", F.col("row_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
-        self._write(run.sortWithinPartitions("digest"))
-
-    def _write(self, run: DataFrame) -> None:
-        level = f"{self.path}/run-{len(self.levels):05d}-{uuid.uuid4().hex[:8]}"
-        run.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", "262144").parquet(level)
-        self.levels.append(level)
-
-    def runs(self) -> DataFrame:
-        return self.spark.read.schema("digest binary, keep_id long, n long").parquet(*self.levels)
+    def _folder(self, level: int) -> str:
+        return f"{self.path}/level-{level}-{uuid.uuid4().hex[:8]}"
+
+    def _add(self, level: int, path: str, rows: int) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append((path, rows))
+
+    def flush(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = FLUSH_RUNS) -> None:
+        """One scan of ``batch``, its tasks dealt out over ``runs`` memtables; each is written as a sorted run."""
+        rows = digests(batch, id_col, text_col).withColumn("run", F.pmod(F.spark_partition_id(), F.lit(runs)))
+        tables = rows.groupBy("run", "digest").agg(self._pick("row_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        path = self._folder(0)
+        tables.sortWithinPartitions("run", "digest").write.partitionBy("run").options(**_BLOOM).parquet(path)
+        written = self.spark.read.schema(f"{_RUN}, run int").parquet(path)
+        for r in sorted(written.groupBy("run").count().collect()):
+            self._add(0, f"{path}/run={r['run']}", r["count"])
+
+    def _read(self, runs: list[tuple[str, int]]) -> DataFrame:
+        out = None
+        for k, (path, _) in enumerate(runs):
+            one = self.spark.read.schema(_RUN).parquet(path).withColumn("run", F.lit(k))
+            out = one if out is None else out.unionByName(one)
+        return self.spark.createDataFrame([], f"{_RUN}, run int") if out is None else out
+
+    def merged(self, runs: list[tuple[str, int]]) -> tuple[DataFrame, DataFrame]:
+        """Entries of several runs: those that pass by, as no other run can hold their digest, and those grouped."""
+        rows = self._read(runs)
+        if len(runs) < 2:
+            return rows.drop("run"), rows.drop("run").limit(0)
+        bits = filter_bits(max(n for _, n in runs))
+        own = stage(digest_filter(rows, bits, "run"), "filters")
+        others = own.select(F.col("run").alias("other"), "bucket", "bitmap")
+        others = F.broadcast(own.select("run", "bucket")).join(others, "bucket").where("run != other").groupBy("run", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+        marked = _marked(rows, others, bits, "run")
+        grouped = marked.where("hit").groupBy("digest").agg(self._pick("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        return marked.where("not hit").select("digest", "keep_id", "n"), grouped
 
     def entries(self) -> DataFrame:
         """One row per digest: the identifier that stays and the number of rows met."""
-        return self.runs().groupBy("digest").agg(self._pick("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        alone, grouped = self.merged([r for level in self.levels for r in level])
+        return alone.unionByName(grouped)
 
     def compact(self) -> None:
-        merged = self.entries().sortWithinPartitions("digest")
-        old, self.levels = self.levels, []
-        level = f"{self.path}/merged-{uuid.uuid4().hex[:8]}"
-        merged.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", "262144").parquet(level)
-        self.levels = [level]
-        jvm = self.spark._jvm
-        for path in old:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        """Merges the runs of every level that holds ``fanout`` of them into one run of the next."""
+        level = 0
+        while level < len(self.levels):
+            while len(self.levels[level]) >= self.fanout:
+                runs, self.levels[level] = self.levels[level][: self.fanout], self.levels[level][self.fanout :]
+                alone, grouped = self.merged(runs)
+                path = self._folder(level + 1)
+                alone.unionByName(grouped).sortWithinPartitions("digest").write.options(**_BLOOM).parquet(path)
+                self._add(level + 1, path, self.spark.read.schema(_RUN).parquet(path).count())
+                for old, _ in runs:
+                    unstage(self.spark, old)
+            level += 1
 
     def lookup(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Rows of ``df`` whose digest the index holds: ``row_id, digest, keep_id, n``."""
         return digests(df, id_col, text_col).join(self.entries(), "digest")
 
 
-def hit_filter(digest_rows: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """A Bloom filter with one probe as at most ``bits / 32768`` bitmap rows.  Full of ones it
-    lets all rows pass, so its fixed size limits what it saves, never what is found."""
-    at = F.pmod(F.xxhash64("digest"), F.lit(bits))
-    return digest_rows.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-
-
-def _passes(df: DataFrame, bitmaps: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    at = F.pmod(F.xxhash64("digest"), F.lit(bits))
-    df = df.withColumn("bucket", F.bitmap_bucket_number(at)).withColumn("bit", F.bitmap_bit_position(at).cast("int"))
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.expr("(byte & shiftleft(1, bit % 8)) != 0")
-    return df.join(F.broadcast(bitmaps), "bucket").withColumn("byte", byte).where(hit).drop("bucket", "bit", "byte", "bitmap")
-
-
 def hot_digests(hits: DataFrame, rows: int, share: int = HOT_SHARE, least: int = LEAST_HOT) -> DataFrame:
     """``digest, parts`` of digests with over ``rows / share`` rows (fewer than ``share`` digests, so
     they may be broadcast) and over ``least``: in how many parts their rows are dealt out."""
@@ -125,23 +170,27 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives an empty result.
     """
     spark = df.sparkSession
-    df = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body"))
+    df = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("body"))
     index = DigestIndex(spark, f"{shared_dir(spark)}/tessera/digests-{uuid.uuid4().hex}", keep)
     index.flush(df, "row_id", "body")
     index.compact()
-    entries = index.runs()
+    entries = stage(index.entries(), "entries")
+    unstage(spark, index.path)
     single = entries.where("n = 1").select(
         F.col("keep_id").alias("row_id"), "keep_id", F.col("n").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
     hits = entries.where("n > 1").select("digest", "keep_id", "n")
     hot = hot_digests(hits, int(entries.agg(F.sum("n")).first()[0] or 0))
     body = F.coalesce(F.col("body"), F.lit(""))
-    passed = _passes(df.select("row_id", body.alias("body"), _digest(F.col("body")).alias("digest")), hit_filter(hits))
-    members = dealt(passed, hot).join(in_all_parts(hits.drop("n"), hot), ["digest", "part"])
+    bits = filter_bits(hits.count())
+    rows = df.select("row_id", body.alias("body"), _digest(F.col("body")).alias("digest"))
+    passed = _marked(rows, digest_filter(hits, bits), bits).where("hit").drop("hit")
+    members = stage(dealt(passed, hot).join(in_all_parts(hits.drop("n"), hot), ["digest", "part"]), "members")
     keepers = members.where(F.col("row_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("keep_body"))
     # null where the bytes agree, which without a collision is everywhere
     apart = F.when(F.col("body") == F.col("keep_body"), F.lit(None).cast("string")).otherwise(F.col("body"))
     verified = stage(members.join(in_all_parts(keepers, hot), ["digest", "part"]).select("row_id", "digest", "part", apart.alias("apart")), "verified")
+    unstage(spark, members.staged_path)
     pick = F.min if keep == "min" else F.max
     groups = in_all_parts(verified.groupBy("digest", "apart").agg(pick("row_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), hot)
     v, g = verified.alias("v"), groups.alias("g")

@@ -182,7 +182,9 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def decode_documents(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``<id_col>, text`` from an array of ids; a null array gives a null text."""
+    """``<id_col>, text`` from an array of ids; a null array gives a null text, an empty one the empty text.
+    Repeated rows and null identifiers pass through; other columns are ignored; very long arrays take time in
+    proportion; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = opened(path)

@@ -127,16 +127,36 @@ def test_equal_digests_of_different_texts_stay_apart(make, edge, monkeypatch):
 
 def test_digest_index_grows_and_compacts(spark, make, tmp_path):
     index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"))
-    index.flush(make([(1, "a"), (2, "b"), (3, "a")]))
-    index.flush(make([(4, "b"), (5, "c")]))
+    index.flush(make([(1, "a"), (2, "b"), (3, "a")]), runs=1)
+    index.flush(make([(4, "b"), (5, "c")]), runs=1)
+    assert [len(level) for level in index.levels] == [2]
     before = {bytes(r["digest"]): (r["keep_id"], r["n"]) for r in index.entries().collect()}
+    index.compact()  # the level isn't full
+    assert [len(level) for level in index.levels] == [2]
+    index.flush(make([(7, "d")]), runs=1)
+    index.flush(make([(6, "a")]), runs=1)
     index.compact()
-    assert len(index.levels) == 1
-    after = {bytes(r["digest"]): (r["keep_id"], r["n"]) for r in index.runs().collect()}
-    assert before == after == {hashlib.sha256(t.encode()).digest(): v for t, v in {"a": (1, 2), "b": (2, 2), "c": (5, 1)}.items()}
+    assert [len(level) for level in index.levels] == [0, 1]
+    after = {bytes(r["digest"]): (r["keep_id"], r["n"]) for r in index.entries().collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).digest()
+    assert before == {digest(t): v for t, v in {"a": (1, 2), "b": (2, 2), "c": (5, 1)}.items()}
+    assert after == {digest(t): v for t, v in {"a": (1, 3), "b": (2, 2), "c": (5, 1), "d": (7, 1)}.items()}
     assert sorted((r["row_id"], r["keep_id"]) for r in index.lookup(make([(9, "a"), (8, "z")])).collect()) == [(9, 1)]
 
 
+def test_filters_let_unshared_rows_pass_by(spark, make, tmp_path):
+    """Of four runs only the rows whose digests several of them hold are grouped, a few others apart."""
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"))
+    for k in range(3):
+        index.flush(make([(1000 * k + i, f"text {k if i >= 20 else 'shared'} {i}") for i in range(500)]), runs=1)
+    alone, grouped = index.merged(index.levels[0])
+    assert 20 <= grouped.count() <= 40 and alone.count() + grouped.count() == 3 * 480 + 20
+    assert {r["n"] for r in alone.collect()} == {1}
+    index.flush(make([(9000 + i, f"text {i % 3} {480 + i % 20}") for i in range(100)]), runs=1)
+    index.compact()
+    assert [len(level) for level in index.levels] == [0, 1] and index.entries().agg(F.sum("n"), F.count("n")).first()[:] == (1600, 1460)
+
+
 def substring(rows, length):
     rows = sorted(rows, key=lambda r: r[0])
     seen, out = {}, []

@@ -238,6 +238,44 @@ def test_ordinal_gradient_recovers_an_order():
     assert w[0] > 1 > -0.5 > w[1] and abs(w[2]) < 0.4 and (np.diff(cut) > 0).all()
 
 
+def planted_severities(rng, n, first):
+    """Texts of 60 words with none, one, three or nine vile ones, in turn."""
+    plain, vile = [f"word{k}" for k in range(400)], [f"vile{k}" for k in range(30)]
+    rows = []
+    for i in range(n):
+        words = list(rng.choice(plain, 60))
+        for k in rng.choice(60, (0, 1, 3, 9)[i % 4], replace=False):
+            words[k] = rng.choice(vile)
+        rows.append((first + i, " ".join(words), i % 4))
+    return rows
+
+
+@pytest.mark.parametrize("binary", [True, False])
+def test_severity_orders_planted_severities(make, spark, binary):
+    rng = np.random.default_rng(12)
+    seen, new = planted_severities(rng, 400, 0), planted_severities(rng, 200, 1000)
+    labels = spark.createDataFrame([(i, min(g, 1) if binary else g) for i, _, g in seen], "doc_id long, toxic int")
+    model = toxicity.train(make([r[:2] for r in seen]), labels)
+    got = {r["doc_id"]: r for r in toxicity.score_documents(make([r[:2] for r in new]), model).collect()}
+    pairs = [(got[a]["severity"], got[b]["severity"]) for a, _, g in new for b, _, h in new if g < h]
+    assert sum(x < y for x, y in pairs) >= 0.97 * len(pairs)
+    assert sum(got[i]["toxic"] == (g > 0) for i, _, g in new) >= 0.97 * len(new)
+    if not binary:
+        assert sum(got[i]["grade"] == g for i, _, g in new) >= 0.85 * len(new)
+
+
+def test_probabilities_match_the_formula():
+    """Grades' probabilities as differences of sigmoids, one by one."""
+    model = toxicity.OrdinalModel({"vile": 0, "vil*": 1, "kind": 2}, np.array([1.5, 0.5, -1.0]), np.array([-0.5, 0.75, 2.0]))
+    for text in ("vile words", "a kind villain kind", "", "nothing at all"):
+        words = text.split()
+        counts = [words.count("vile"), 0, words.count("kind")]
+        score = sum(w * min(4.0, math.log1p(100 * c / (len(words) + 20))) for w, c in zip(model.weights, counts, strict=True) if c)
+        below = [1 / (1 + math.exp(score - t)) for t in model.thresholds]
+        want = [b - a for a, b in zip([0, *below], [*below, 1], strict=True)]
+        assert model.probabilities(np.array([model.score(text)]))[0] == pytest.approx(want)
+
+
 def test_toxicity_edge_cases(make, edge, spark):
     none = toxicity.train(make(edge), spark.createDataFrame([], "doc_id long, toxic int"))
     rows = toxicity.score_documents(make(edge), none).collect()
