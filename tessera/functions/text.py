@@ -247,6 +247,11 @@ def is_write(ref_type: Column) -> Column:
 
 def type_variants(text: Column) -> Column:
     """Spellings of ``A or B`` types, arrays also as pointers."""
-    parts = F.filter(F.transform(F.split(_blank(text), r"\s+or\s+"), F.trim), lambda t: t != "")
+    parts = F.filter(F.transform(F.split(_blank(text), r"\s+or\s+"), lambda t: F.trim(t)), lambda t: t != "")
     pointers = F.filter(F.transform(parts, lambda t: F.when(t.rlike(r"\[\d*\]\s*$"), F.regexp_replace(t, r"\s*\[\d*\]\s*$", " *"))), lambda t: t.isNotNull())
     return F.array_distinct(F.concat(parts, pointers))
+
+
+def redacted(values: Column) -> Column:
+    """A map of names to texts with the values of sensitive names replaced."""
+    return F.transform_values(values, lambda k, v: F.when(F.lower(k).rlike("api_?key|token|secret|password|authorization") & v.isNotNull(), F.lit("***")).otherwise(v))

@@ -1,7 +1,7 @@
 """Typed edges, distances, neighbourhoods, paths and common ancestors.
 
-Iterative operators keep each round's frontier as a checkpointed table, stop when it is empty, and
-never bring a graph to the driver.
+Iterative operators keep each round's frontier as a table in the shared folder, go on until it is empty,
+however many rounds that takes, and never bring a graph to the driver.
 """
 
 from __future__ import annotations
@@ -21,18 +21,31 @@ GLOBAL_CLUSTER, STRING_CLUSTER = 24, 20
 _LOCAL: dict[str, str] = {}
 
 
-def kept(df: DataFrame, name: str = "round") -> DataFrame:
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``.  Where that is unset, one machine (tests) gets a temporary folder, made once for
+    this process; on a cluster it is an error, as executors would not share one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _LOCAL:
+            _LOCAL["dir"] = tempfile.mkdtemp(prefix="spark-")
+        where = _LOCAL["dir"]
+    return f"{where.rstrip('/')}/tessera"
+
+
+def kept(df: DataFrame, name: str = "round", folder: str | None = None) -> DataFrame:
     """``df`` as a table in the cluster's shared folder, so lineage ends there."""
     spark: SparkSession = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="tessera-graph-"))
-    path = f"{where.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clique(members: DataFrame, key: str, most: int, kind: str) -> DataFrame:
     """Edges ``a < b`` between the ``most`` least members of each cluster: at most
-    ``most * (most - 1) / 2`` a cluster."""
+    ``most * (most - 1) / 2`` a cluster.  Spark keeps no more than ``most`` rows of a cluster in each task
+    before it brings a cluster together (a partial group limit), so a very common key is no hot one."""
     rank = F.row_number().over(W.partitionBy(key).orderBy("entry_va"))
     few = members.select(key, "entry_va").distinct().withColumn("r", rank).where(F.col("r") <= most)
     rest = F.filter("vas", lambda v: v > F.col("a"))
@@ -71,19 +84,19 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", *rest).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *rest))
 
 
-def distances(edges: DataFrame, starts: DataFrame, radius: float, rounds: int = 64) -> DataFrame:
+def distances(edges: DataFrame, starts: DataFrame, radius: float) -> DataFrame:
     """``start, node, dist`` within ``radius`` of each start over undirected weighted edges
-    ``a, b, cost``: relaxation of the improved nodes only, until none improves."""
+    ``a, b, cost``: relaxation of the improved nodes only, until none improves.  Costs may not be negative."""
     steps = kept(both_ways(edges.select("a", "b", "cost")))
+    if steps.where("cost < 0").limit(1).count():
+        raise ValueError("costs may not be negative")
     best = kept(starts.select(F.col("entry_va").alias("start"), F.col("entry_va").alias("node"), F.lit(0.0).alias("dist")).distinct())
     frontier = best
-    for _ in range(rounds):
+    while frontier.limit(1).count():
         reached = frontier.join(steps, frontier["node"] == steps["a"]).select("start", F.col("b").alias("node"), (F.col("dist") + F.col("cost")).alias("dist")).where(F.col("dist") <= radius + 1e-9)
         reached = reached.groupBy("start", "node").agg(F.min("dist").alias("dist"))
         old = best.withColumnRenamed("dist", "old")
         frontier = kept(reached.join(old, ["start", "node"], "left").where("old is null or dist < old - 1e-12").select("start", "node", "dist"))
-        if not frontier.limit(1).count():
-            return best
         best = kept(best.unionByName(frontier).groupBy("start", "node").agg(F.min("dist").alias("dist")))
     return best
 
@@ -150,20 +163,25 @@ def simple_paths(calls: DataFrame, starts: DataFrame, max_depth: int, max_branch
     return out.select("start", "path", "depth", "leaf", "key")
 
 
-def longest_depth(calls: DataFrame, rounds: int = 64) -> DataFrame:
-    """``entry_va, depth``: the most calls in a row below each function; nodes on cycles, and
-    those above them, take the longest path of at most ``rounds`` calls without coming back at
-    once, so on acyclic graphs the result is exact."""
-    steps = calls.where("entry_va != callee_va").select("entry_va", "callee_va").distinct()
-    depth = kept(steps.select("entry_va").unionByName(steps.select(F.col("callee_va").alias("entry_va"))).distinct().withColumn("depth", F.lit(0)))
-    for _ in range(rounds):
-        below = steps.join(depth.select(F.col("entry_va").alias("callee_va"), "depth"), "callee_va").groupBy("entry_va").agg((F.max("depth") + 1).alias("new"))
-        nxt = kept(depth.join(below, "entry_va", "left").select("entry_va", F.greatest("depth", F.coalesce("new", F.lit(0))).alias("depth"), (F.coalesce("new", F.lit(0)) > F.col("depth")).alias("grew")))
-        grew = nxt.where("grew").limit(1).count()
-        depth = nxt.select("entry_va", "depth")
-        if not grew:
-            break
-    return depth
+def longest_depth(calls: DataFrame) -> DataFrame:
+    """``entry_va, depth``: the most calls in a row below each function, self calls aside.
+
+    Functions are settled from the leaves upwards, each as soon as all it calls are, one round for each
+    depth.  Those from which a cycle can be reached never are: they have no longest path, and the depth null.
+    """
+    spark = calls.sparkSession
+    folder = f"{shared_folder(spark)}/depth-{uuid.uuid4().hex}"
+    steps = kept(calls.where("entry_va != callee_va").select("entry_va", "callee_va").distinct())
+    waiting = kept(steps.groupBy("entry_va").agg(F.count(F.lit(1)).alias("open"), F.lit(0).alias("depth")))
+    leaves = steps.select(F.col("callee_va").alias("entry_va")).distinct().join(waiting, "entry_va", "left_anti")
+    settled = kept(leaves.select("entry_va", F.lit(0).alias("depth")), "settled", folder)
+    while settled.limit(1).count():
+        told = steps.join(settled.select(F.col("entry_va").alias("callee_va"), F.col("depth").alias("below")), "callee_va").groupBy("entry_va").agg(F.count(F.lit(1)).alias("n"), (F.max("below") + 1).alias("new"))
+        j = waiting.join(told, "entry_va", "left")
+        waiting = kept(j.where("open > 0").select("entry_va", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.greatest("depth", F.coalesce("new", F.lit(0))).alias("depth")))
+        settled = kept(waiting.where("open = 0").select("entry_va", "depth"), "settled", folder)
+    done = spark.read.schema("entry_va bigint, depth int").parquet(f"{folder}/settled-*")
+    return done.unionByName(waiting.where("open > 0").select("entry_va", F.lit(None).cast("int").alias("depth")))
 
 
 def ancestor_roots(calls: DataFrame, anchors: DataFrame, names: DataFrame, max_depth: int = 5, least: float = 0.28, frontier: int = 3, alpha: float = 0.35, beta: float = 0.2, gamma: float = 0.5) -> DataFrame:
@@ -213,3 +231,59 @@ def edge_strength(sites: DataFrame, found: DataFrame) -> DataFrame:
     s = sites.groupBy("caller_va", "callee_va").agg(F.count(F.lit(1)).alias("sites"))
     j = s.join(g, ["caller_va", "callee_va"], "left").withColumns({"guard_count": F.coalesce("guard_count", F.lit(0)), "signals": F.coalesce("signals", F.array().cast("array<string>"))})
     return j.withColumn("strength", F.col("guard_count") + F.size("signals"))
+
+
+def deepest_path(paths: DataFrame, by: list[str]) -> DataFrame:
+    """Of each ``by`` the path of most depth, then most nodes, then strongest conditions (``depth, path,
+    strength``); of equals the one met first (``key``)."""
+    order = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("depth"), F.desc(F.size("path")), F.desc("strength"), "key"))
+    return paths.withColumn("place", order).where("place = 1").drop("place")
+
+
+def paths_within(paths: DataFrame, allowed: DataFrame, by: str = "start") -> DataFrame:
+    """Paths all of whose nodes are ``allowed`` (``<by>, entry_va``); where a start has none, all of its paths."""
+    steps = paths.select(by, "key", F.size("path").alias("nodes"), F.explode(F.array_distinct("path")).alias("entry_va"))
+    inside = steps.join(allowed.select(by, "entry_va").distinct().withColumn("ok", F.lit(1)), [by, "entry_va"], "left").groupBy(by, "key").agg(F.bool_and(F.col("ok").isNotNull()).alias("inside"))
+    some = inside.groupBy(by).agg(F.bool_or("inside").alias("some"))
+    return paths.join(inside, [by, "key"]).join(some, by).where("inside or not some").select(*paths.columns)
+
+
+def path_nodes(paths: DataFrame, by: str = "start") -> DataFrame:
+    """``<by>, entry_va``: nodes of any of the paths."""
+    return paths.select(by, F.explode("path").alias("entry_va")).distinct()
+
+
+def path_conditions(edges: DataFrame, by: list[str], most: int = 12) -> DataFrame:
+    """``<by>, strength, signals, guards`` of each path from its edges (``position, strength, signals, guards``): up to
+    the edge with which ``most`` guards are reached, their strengths' sum, their signals and the first ``most``
+    guards.  What comes after that edge counts for nothing."""
+    filled = edges.withColumn("guards", F.filter(F.transform(F.coalesce("guards", F.array().cast("array<string>")), lambda g: F.trim(g)), lambda g: g != ""))
+    before = F.sum(F.size("guards")).over(W.partitionBy(*by).orderBy("position").rowsBetween(W.unboundedPreceding, -1))
+    counted = filled.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most)
+    in_order = F.array_sort(F.collect_list(F.struct("position", "guards")))
+    return counted.groupBy(*by).agg(
+        F.sum("strength").alias("strength"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("signals")))).alias("signals"),
+        F.slice(F.flatten(F.transform(in_order, lambda x: x["guards"])), 1, most).alias("guards"))
+
+
+def anchors(paths: DataFrame, rich: DataFrame, goals: DataFrame, most_paths: int = 12, limit: int = 6) -> DataFrame:
+    """``start, entry_va, score``: 5 for each time that a node lies on one of a start's first ``most_paths`` paths, its
+    richness (``start, entry_va, richness``) and 50 for the goal itself; the ``limit`` best, ties by address."""
+    first = F.row_number().over(W.partitionBy("start").orderBy("key"))
+    on_paths = paths.withColumn("n", first).where(F.col("n") <= most_paths).select("start", F.explode("path").alias("entry_va"), F.lit(5).alias("score"))
+    goal = goals.select(F.col("entry_va").alias("start"), "entry_va", F.lit(50).alias("score")).distinct()
+    total = on_paths.unionByName(rich.select("start", "entry_va", F.col("richness").cast("int").alias("score"))).unionByName(goal).groupBy("start", "entry_va").agg(F.sum("score").alias("score"))
+    place = F.row_number().over(W.partitionBy("start").orderBy(F.desc("score"), "entry_va"))
+    return total.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+
+
+def of_kind(edges: DataFrame, kind: str = "call") -> DataFrame:
+    """Mixed edges of which ``kind`` is one of the kinds."""
+    return edges.where(F.array_contains("kinds", kind))
+
+
+def generations(neighbours: Column, callees: Column, callers: Column, apis: Column, strings: Column, user_most: int = 0, most: int = 6) -> Column:
+    """How many generations a goal is worth by what surrounds it: two to five, within ``user_most`` if that is given."""
+    weight = neighbours * 2 + callees * 3 + callers * 2 + apis + strings
+    found = F.least(F.when(weight >= 120, 5).when(weight >= 60, 4).when(weight >= 25, 3).otherwise(2), F.lit(most))
+    return F.greatest(F.lit(1), F.least(found, F.lit(user_most))) if user_most > 0 else found

@@ -100,15 +100,6 @@ def path_recall(paths: DataFrame, expected: DataFrame) -> DataFrame:
     return one.groupBy("sample").agg(F.count(F.lit(1)).alias("expected_paths"), _six(F.avg(F.col("hit").cast("double"))).alias("path_recall"))
 
 
-def ordered_digest(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
-    """``rows, digest``: SHA-256 of all rows as text in order.  The order makes it one task's work;
-    ``chunked_digest`` is for large tables."""
-    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    key = F.struct(*order, line.alias("line"))
-    lines = F.transform(F.array_sort(F.collect_list(key)), lambda x: x["line"])
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
-
-
 def chunked_digest(rows: DataFrame, columns: list[str], chunks: int = 1024) -> DataFrame:
     """``rows, digest`` of a table as a multiset, whatever its order: SHA-256 of every row, summed
     by chunk of the digest, and one digest over the chunks' sums.  Equal tables have equal digests."""
@@ -144,3 +135,28 @@ def usage(rows: DataFrame, by: list[str]) -> DataFrame:
     """Token sums per ``by``; a missing total is the sum of its parts."""
     total = F.coalesce("total_tokens", F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0)))
     return rows.groupBy(*by).agg(F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum(total).alias("total_tokens"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("failed"))
+
+
+def numeric(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a finite number in ``column``."""
+    value = F.col(column).cast("double")
+    return rows.where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))
+
+
+def flat_usage(reports: DataFrame, by: list[str], tree: str = "usage") -> DataFrame:
+    """``<by>, prompt_tokens, completion_tokens, total_tokens`` summed over a report's steps (``tree``: an array of structs
+    with these numbers and an array ``attempts`` of the same): a step's own numbers stand for its attempts'."""
+    step = reports.select(*by, F.explode(tree).alias("s"))
+    own = F.coalesce("s.prompt_tokens", "s.completion_tokens", "s.total_tokens").isNotNull()
+    records = F.when(own, F.array(F.struct("s.prompt_tokens", "s.completion_tokens", "s.total_tokens"))).otherwise(F.transform("s.attempts", lambda x: F.struct(x["prompt_tokens"], x["completion_tokens"], x["total_tokens"])))
+    flat = step.select(*by, F.explode(records).alias("r")).select(*by, F.col("r.prompt_tokens").alias("p"), F.col("r.completion_tokens").alias("c"), F.col("r.total_tokens").alias("t"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return flat.groupBy(*by).agg(F.sum(zero("p")).alias("prompt_tokens"), F.sum(zero("c")).alias("completion_tokens"), F.sum(F.coalesce("t", zero("p") + zero("c"))).alias("total_tokens"))
+
+
+def focus(current: DataFrame, rebuilt: DataFrame, active: DataFrame, metrics: list[str]) -> DataFrame:
+    """``metric`` with the rows of three profiles, and which of the first two the active one agrees with."""
+    side = lambda df, name: df.where(F.col("metric").isin(*metrics)).select("metric", F.struct("rows", "digest").alias(name))
+    j = side(current, "c").join(side(rebuilt, "r"), "metric", "full_outer").join(side(active, "a"), "metric", "full_outer")
+    same = F.when(F.col("a").eqNullSafe(F.col("c")) & F.col("a").eqNullSafe(F.col("r")), "both").when(F.col("a").eqNullSafe(F.col("c")), "current").when(F.col("a").eqNullSafe(F.col("r")), "rebuilt").otherwise("neither")
+    return j.select("metric", F.col("c.rows").alias("rows_current"), F.col("r.rows").alias("rows_rebuilt"), F.col("a.rows").alias("rows_active"), same.alias("active_is"))

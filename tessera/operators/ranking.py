@@ -1,7 +1,7 @@
 """Priorities, richness and top-k choices over unified nodes.
 
-Nodes have ``entry_va, names, external_callees, string_refs, callees, callers`` (arrays) and
-``instr_count``.
+Nodes have ``entry_va, names, external_callees, string_refs, callees, callers`` (arrays; the last four may be
+counts instead) and ``instr_count``.
 """
 
 from __future__ import annotations
@@ -22,6 +22,12 @@ SIGNALS = {
     "alloc": 4, "malloc": 4, "free": 4, "heap": 6, "mutex": 6, "thread": 6, "process": 6, "registry": 8, "config": 6, "setting": 4,
     "network": 8, "http": 8, "dns": 8, "url": 6, "packet": 8, "buffer": 6, "overflow": 10, "exploit": 12, "syslog": 6, "log": 4, "debug": 4,
 }
+def count_of(nodes: DataFrame, column: str) -> Column:
+    """How many a node has of something: the size of an array, or the number itself, 0 for null."""
+    sized = nodes.schema[column].dataType.typeName() == "array"
+    return F.coalesce(F.size(column) if sized else F.col(column), F.lit(0)).cast("int")
+
+
 STRUCT_HINT = r"(?:->|\.)\s*field_|\bstruct\s+\w+"
 
 
@@ -47,15 +53,20 @@ def analysed_entries(status: DataFrame, functions: DataFrame) -> DataFrame:
 def scores(nodes: DataFrame, calls: DataFrame, analysed: DataFrame) -> DataFrame:
     """``entry_va, score`` of all nodes; ``calls`` has ``entry_va, callee_va``."""
     hits = calls.join(analysed.select(F.col("entry_va").alias("callee_va")), "callee_va", "left_semi").groupBy("entry_va").agg(F.countDistinct("callee_va").alias("analysed"))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    size = lambda c: count_of(nodes, c)
     j = nodes.join(hits, "entry_va", "left")
     return j.select("entry_va", priority(size("external_callees"), size("string_refs"), size("callees"), size("callers"), F.col("instr_count"), F.coalesce("analysed", F.lit(0))).alias("score"))
 
 
-def rescored(nodes: DataFrame, calls: DataFrame, analysed: DataFrame, old: DataFrame, changed: DataFrame) -> DataFrame:
-    """Old scores with those of the changed functions and of their callers worked out anew."""
+def to_rescore(calls: DataFrame, changed: DataFrame) -> DataFrame:
+    """``entry_va`` of the changed functions and of their callers."""
     callers = calls.join(changed.select(F.col("entry_va").alias("callee_va")), "callee_va", "left_semi").select("entry_va")
-    todo = changed.select("entry_va").unionByName(callers).distinct()
+    return changed.select("entry_va").unionByName(callers).distinct()
+
+
+def rescored(nodes: DataFrame, calls: DataFrame, analysed: DataFrame, old: DataFrame, todo: DataFrame) -> DataFrame:
+    """Stored scores ``old`` with those of the functions ``todo`` (see ``to_rescore``) worked out anew; ``nodes`` need
+    hold no others."""
     new = scores(nodes.join(todo, "entry_va", "left_semi"), calls.join(todo, "entry_va", "left_semi"), analysed)
     return old.join(todo, "entry_va", "left_anti").unionByName(new)
 
@@ -95,8 +106,8 @@ def entry_points(nodes: DataFrame, entries: list[str], limit: int = 3) -> DataFr
         out = hits if out is None else out.unionByName(hits)
     if out is not None:
         return out.distinct().orderBy("entry_va")
-    fan = F.coalesce(F.size("callees"), F.lit(0))
-    tier = F.when(F.exists("names", lambda n: n.rlike(T.ENTRY_HINT)), 0).when((F.coalesce(F.size("callers"), F.lit(0)) == 0) & (fan > 0), 1).when(fan > 0, 2)
+    fan = count_of(nodes, "callees")
+    tier = F.when(F.exists("names", lambda n: n.rlike(T.ENTRY_HINT)), 0).when((count_of(nodes, "callers") == 0) & (fan > 0), 1).when(fan > 0, 2)
     ranked = nodes.select("entry_va", fan.alias("fan"), tier.alias("tier")).where("tier is not null")
     best = ranked.agg(F.min("tier").alias("best"))  # one row
     return ranked.crossJoin(F.broadcast(best)).where("tier = best").orderBy(F.desc("fan"), "entry_va").limit(max(1, limit)).select("entry_va")

@@ -164,3 +164,28 @@ def sequence_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     rows = wanted.withColumn("place", place).join(used, F.col("name") == F.col("stem"), "left")
     number = F.coalesce("next", F.lit(0)) + F.col("place")
     return rows.select("id", F.when(number == 0, F.col("name")).otherwise(F.concat("name", F.lit("_"), number)).alias("name"))
+
+
+def board_by_kinds(winners: DataFrame, kinds: list[str]) -> DataFrame:
+    """Winning entries of the kinds given."""
+    return winners.where(F.col("kind").isin(*kinds))
+
+
+def board_merge(board: DataFrame, saved: DataFrame) -> DataFrame:
+    """A board with the entries of a saved one behind its own: where both hold an entry, the usual order decides."""
+    return board_winners(board.unionByName(saved, allowMissingColumns=True))
+
+
+def board_stats(winners: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """``part, name, n``: entries, addresses and conflicts of a board, and entries by kind and by source."""
+    count = lambda by: winners.groupBy(F.col(by).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(by).alias("part"), "name", "n")
+    whole = lambda name, df: df.select(F.lit("total").alias("part"), F.lit(name).alias("name"), "n")
+    total = whole("entries", winners.agg(F.count(F.lit(1)).alias("n"))).unionByName(whole("addresses", winners.agg(F.countDistinct("entry_va").alias("n"))))
+    return total.unionByName(whole("conflicts", conflicts.agg(F.count(F.lit(1)).alias("n")))).unionByName(count("kind")).unionByName(count("source"))
+
+
+def board_from_steps(steps: DataFrame, source: str, generation: int, goal_index: int) -> DataFrame:
+    """Notes of steps (``title, finding, confidence``) at address 0; steps without a finding give none."""
+    note = F.concat_ws(": ", F.nullif(F.trim("title"), F.lit("")), F.trim("finding"))
+    return steps.where(F.trim(F.coalesce("finding", F.lit(""))) != "").select(
+        F.lit(0).cast("bigint").alias("entry_va"), F.lit("note").alias("kind"), note.alias("value"), F.col("confidence").cast("int").alias("confidence"), F.lit(source).alias("source"), F.lit(generation).alias("generation"), F.lit(goal_index).alias("goal_index"))

@@ -70,7 +70,8 @@ def global_consistency(least: float = 0.6) -> Rule:
 
 def run(facts: DataFrame, edges: DataFrame, rules: list[tuple[int, Rule]], rounds: int = 10) -> DataFrame:
     """All facts with ``round`` (0: given).  Rules of higher priority come first; of a fact that
-    several rules derive in a round the most confident stays."""
+    several rules derive in a round the most confident stays.  ``rounds`` is part of what the rules mean:
+    facts that only later rounds would derive are not wanted."""
     known = kept(facts.select(*COLUMNS).withColumn("round", F.lit(0)), "facts")
     new = known
     ordered = [r for _, r in sorted(rules, key=lambda x: -x[0])]

@@ -1,7 +1,7 @@
 """Program-structure tables derived from the driver's tables, in Spark and as the same SQL CTEs.
 
-Parts are functions, line items their instructions and references, suppliers callees, nations a
-small call graph, documents and conversations code text, events benchmark runs.
+Parts are functions, line items their instructions and references, suppliers callees, orders
+call graphs, documents and conversations code text, events benchmark runs.
 """
 
 from __future__ import annotations
@@ -37,18 +37,22 @@ def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.where("entry_va != callee_va").distinct()
 
 
-def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of parts: callees, callers, string and interface references, instruction counts."""
-    p = table(spark, sf_dir, "part")
+def part_nodes(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Nodes of parts: numbers of callees and callers, string and interface references, instruction counts; of the
+    parts ``only`` (``entry_va``), where given."""
+    p = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "entry_va")
     li = table(spark, sf_dir, "lineitem")
-    calls = part_calls(spark, sf_dir)
-    per = li.groupBy(F.col("l_partkey").alias("entry_va")).agg(
-        F.count(F.lit(1)).alias("instr_count"), F.collect_set(F.when(F.col("l_returnflag") == "R", F.concat(F.lit("api_"), F.col("l_linenumber").cast("string")))).alias("external_callees"))
-    return (
-        p.select(F.col("p_partkey").alias("entry_va"), F.array("p_name").alias("names"), F.array_distinct(F.array("p_brand", "p_type")).alias("string_refs"), "p_size")
-        .join(per, "entry_va", "left")
-        .join(calls.groupBy("entry_va").agg(F.collect_set("callee_va").alias("callees")), "entry_va", "left")
-        .join(calls.groupBy(F.col("callee_va").alias("entry_va")).agg(F.collect_set("entry_va").alias("callers")), "entry_va", "left"))
+    calls = li.select(F.col("l_partkey").alias("entry_va"), F.col("l_suppkey").alias("callee_va")).where("entry_va != callee_va").distinct()
+    lines = li.withColumnRenamed("l_partkey", "entry_va")
+    called = calls.select(F.col("callee_va").alias("entry_va"))
+    if only is not None:
+        p, lines, called = (df.join(only, "entry_va", "left_semi") for df in (p, lines, called))
+    per = lines.groupBy("entry_va").agg(
+        F.count(F.lit(1)).alias("instr_count"), F.collect_set(F.when(F.col("l_returnflag") == "R", F.concat(F.lit("api_"), F.col("l_linenumber").cast("string")))).alias("external_callees"),
+        F.countDistinct(F.when(F.col("entry_va") != F.col("l_suppkey"), F.col("l_suppkey"))).cast("int").alias("callees"))
+    callers = called.groupBy("entry_va").agg(F.count(F.lit(1)).cast("int").alias("callers"))
+    own = p.select("entry_va", F.array("p_name").alias("names"), F.array_distinct(F.array("p_brand", "p_type")).alias("string_refs"), "p_size")
+    return own.join(per, "entry_va", "left").join(callers, "entry_va", "left")
 
 
 PART_NODES = """calls AS (SELECT DISTINCT l_partkey AS entry_va, l_suppkey AS callee_va FROM lineitem WHERE l_partkey <> l_suppkey),
@@ -66,37 +70,86 @@ def score_sql(analysed: str) -> str:
   + (CASE WHEN instr = 0 THEN -20 WHEN instr <= 30 THEN 15 WHEN instr <= 150 THEN 5 ELSE -least(((instr - 150) // 50) * 5, 40) END) + 25 * {analysed} AS BIGINT)"""
 
 
-def nation_calls(spark: SparkSession, sf_dir: str, top: int = 2) -> DataFrame:
-    """``entry_va, callee_va, rank``: suppliers' nations to customers' nations, the ``top`` most
-    frequent targets of each."""
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    e = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(s, li["l_suppkey"] == s["s_suppkey"])
-    e = e.where("s_nationkey != c_nationkey").groupBy(F.col("s_nationkey").cast("bigint").alias("entry_va"), F.col("c_nationkey").cast("bigint").alias("callee_va")).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(W.partitionBy("entry_va").orderBy(F.desc("n"), "callee_va"))
-    return e.withColumn("rank", rank).where(F.col("rank") <= top).select("entry_va", "callee_va", "rank")
+def order_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entry_va, callee_va``: an order's customer calls the part of its lowest line, numbers being addresses."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    first = li.groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("callee_va"))
+    return o.join(first, o["o_orderkey"] == first["l_orderkey"]).select(F.col("o_custkey").alias("entry_va"), "callee_va").where("entry_va != callee_va").distinct()
+
+
+ORDER_CALLS = """ocalls AS (SELECT DISTINCT o_custkey AS entry_va, callee_va FROM orders JOIN (SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS callee_va FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE o_custkey <> callee_va)"""
+
 
+def busiest(calls: DataFrame, k: int, by: str = "entry_va") -> DataFrame:
+    """``entry_va`` of the ``k`` functions that call the most others (or are called by the most)."""
+    return calls.groupBy(F.col(by).alias("entry_va")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entry_va").limit(k).select("entry_va")
 
-NATION_CALLS = """ncount AS (SELECT CAST(s_nationkey AS BIGINT) AS entry_va, CAST(c_nationkey AS BIGINT) AS callee_va, count(*) AS n
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2),
-ncalls AS (SELECT entry_va, callee_va, rank FROM (SELECT *, row_number() OVER (PARTITION BY entry_va ORDER BY n DESC, callee_va) AS rank FROM ncount) WHERE rank <= 2)"""
 
+def busiest_sql(k: int, by: str = "entry_va") -> str:
+    return f"(SELECT {by} AS v FROM ocalls GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {k})"
 
-def nation_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``entry_va, value``: nations refer to their region's name."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").cast("bigint").alias("entry_va"), F.col("r_name").alias("value"))
+
+def brand_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entry_va, value``: parts refer to their brand."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_va"), F.col("p_brand").alias("value"))
 
 
 MIXED = (
-    NATION_CALLS
+    ORDER_CALLS
     + """,
-ns AS (SELECT CAST(n_nationkey AS BIGINT) AS v, r_name AS s FROM nation JOIN region ON n_regionkey = r_regionkey),
-kinds AS (SELECT least(entry_va, callee_va) AS a, greatest(entry_va, callee_va) AS b, 'call' AS kind FROM ncalls
-  UNION SELECT x.v, y.v, 'string' FROM ns x JOIN ns y ON x.s = y.s AND x.v < y.v),
+few AS (SELECT v, s FROM (SELECT p_partkey AS v, lower(p_brand) AS s, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS r FROM part) WHERE r <= 20),
+kinds AS (SELECT least(entry_va, callee_va) AS a, greatest(entry_va, callee_va) AS b, 'call' AS kind FROM ocalls
+  UNION SELECT x.v, y.v, 'string' FROM few x JOIN few y ON x.s = y.s AND x.v < y.v),
 mixed AS (SELECT a, b, string_agg(kind, ',' ORDER BY kind) AS kinds, min(CASE kind WHEN 'call' THEN 1.0 ELSE 0.4 END) AS cost FROM kinds WHERE a <> b GROUP BY a, b)""")
 
 
+def line_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entry_va, callee_va``: each line of an order calls the next two."""
+    li = table(spark, sf_dir, "lineitem")
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = li.select("l_orderkey", F.row_number().over(w).alias("n"))
+    at = lambda k: (F.col("l_orderkey") * 16 + F.col("n") + k)
+    last = F.max("n").over(W.partitionBy("l_orderkey"))
+    return lines.withColumn("last", last).select(at(0).alias("entry_va"), F.explode(F.filter(F.array(F.lit(1), F.lit(2)), lambda k: F.col("n") + k <= F.col("last"))).alias("k")).select("entry_va", (F.col("entry_va") + F.col("k")).alias("callee_va"))
+
+
+LINES = """lines AS (SELECT l_orderkey * 16 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS v, count(*) OVER (PARTITION BY l_orderkey) - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS below,
+  count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)"""
+
+# Two views of a program over the parts, in words that both engines read alike.
+FUNCTIONS = """f AS (SELECT p_partkey AS id, CAST(1 AS BIGINT) AS view_id, p_partkey * 16 AS entry_va, 'FUN_' || lpad(CAST(p_partkey AS STRING), 6, '0') AS name FROM part WHERE p_partkey % 4 <> 0
+  UNION ALL SELECT p_partkey + 10000000, CAST(2 AS BIGINT), p_partkey * 16, CASE p_partkey % 4 WHEN 1 THEN p_name WHEN 2 THEN 'main_' || CAST(p_partkey AS STRING) ELSE 'sub_' || CAST(p_partkey AS STRING) END FROM part WHERE p_partkey % 5 <> 0)"""
+STATUS = (
+    FUNCTIONS
+    + """,
+st AS (SELECT id AS function_id, CASE id % 6 WHEN 0 THEN 'LOCKED' WHEN 1 THEN 'ANALYZED' WHEN 2 THEN 'analyzed' WHEN 3 THEN 'PENDING' WHEN 4 THEN 'ANALYZED' END AS analysis_state, CASE WHEN id % 8 <> 0 THEN CAST(id % 101 AS INT) END AS confidence_score,
+  CASE id % 5 WHEN 1 THEN name WHEN 2 THEN 'int parse_' || CAST(id AS STRING) || ' (char *a)' WHEN 3 THEN 'open_' || CAST(id AS STRING) || ' handle' WHEN 4 THEN '' END AS summary_signature,
+  CASE WHEN id % 3 <> 0 THEN 'summary of ' || name || repeat(' and more', CAST(id % 40 AS INT)) END AS semantic_summary, CAST(id % 2 AS INT) AS phase1_pending, CASE WHEN id % 4 <> 3 THEN CASE WHEN id % 10 >= 5 THEN 1 ELSE 0 END END AS phase2_pending,
+  0 AS lvar_optimized, CASE WHEN id % 9 = 0 THEN 1 ELSE 0 END AS annotation_status FROM f WHERE id % 7 <> 0)""")
+VIEWS = "v(id, binary_id, tool_id) AS (VALUES (1, 1, 1), (2, 1, 2), (3, 2, 1), (4, 3, 2)), tl(id, name) AS (VALUES (1, 'Ghidra'), (2, 'IDA'))"
+CODE = """code AS (SELECT doc_id * 2 AS code_id, doc_id AS function_id, 'int f(void)' AS prototype, text AS body FROM documents UNION ALL SELECT doc_id * 2 + 1, doc_id, NULL, substring(text, 1, 50) FROM documents
+  UNION ALL SELECT doc_id * 2 + 100000000, doc_id + 10000000, 'int g(void)', CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE substring(text, 1, 200) END FROM documents)"""
+
+
+def program(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Functions, status, views, tools and code of the two views."""
+    part, documents = table(spark, sf_dir, "part"), table(spark, sf_dir, "documents")
+    cte = lambda text, name: spark.sql(f"WITH {text.replace('FROM part', 'FROM {part}').replace('FROM documents', 'FROM {documents}')} SELECT * FROM {name}", part=part, documents=documents)
+    return {
+        "functions": cte(FUNCTIONS, "f"), "status": cte(STATUS, "st"), "code": cte(CODE, "code"),
+        "views": spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 2, 1), (4, 3, 2)], "id long, binary_id long, tool_id long"),
+        "tools": spark.createDataFrame([(1, "Ghidra"), (2, "IDA")], "id long, name string")}
+
+
+def computed_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of which some are computed calls with a name and no known target."""
+    li = table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "R", "19").when(F.col("l_returnflag") == "A", "COMPUTED_CALL").otherwise("READ")
+    name = F.when(F.col("l_linenumber") % 4 == 0, "").otherwise(F.concat(F.lit(" FN_"), F.col("l_suppkey").cast("string")))
+    dst = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_suppkey") * 16).otherwise(F.col("l_suppkey") + 100000000)
+    return li.select(F.lit(1).cast("bigint").alias("view_id"), (F.col("l_partkey") * 16).alias("src_va"), dst.alias("dst_va"), name.alias("dst_name"), kind.alias("ref_type_raw"))
+
+
 def refs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Functions, instructions, strings and references of one view: suppliers with an even key are
     strings, others globals."""

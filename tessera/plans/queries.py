@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import annotate, graph, metrics, ranking, reconcile, rules, unify
+from tessera.operators import annotate, graph, metrics, ranking, reconcile, rules, typed_graph, unify
+from tessera.operators import status as reports
 from tessera.plans import derive as D
 from tessera.sources import exports, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
+_STORED: dict[tuple[str, str], DataFrame] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -132,11 +134,14 @@ def rename_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.renamed(p, names).select(F.col("entry_va").alias("p_partkey"), F.col("body").alias("code"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE lang = 'en' AND NOT contains(text, '//') AND NOT contains(text, chr(13))),
- m AS (SELECT doc_id, n, CASE WHEN n % 3 = 1 AND trim(line) NOT IN ('', '{', '}') THEN rtrim(line) || '  // line ' || n ELSE line END AS line FROM l)
+_LINES = "string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS n FROM documents),
+ m AS (SELECT doc_id, n, CASE WHEN n % 3 = 1 AND trim(line) NOT IN ('', '{{', '}}') THEN rtrim(line) || CASE WHEN contains(line, '//') THEN ' | line ' ELSE '  // line ' END || n ELSE line END AS line FROM l)
  SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS body FROM m GROUP BY doc_id""")
 def annotate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = D.table(spark, sf_dir, "documents").where("lang = 'en' and not contains(text, '//') and not contains(text, '\r')").select("doc_id", F.col("text").alias("body"))
+    d = D.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     lines = annotate.numbered_lines(d, "doc_id")
     comments = lines.where("line_no % 3 = 1").select("doc_id", "line_no", F.concat(F.lit("line "), F.col("line_no").cast("string")).alias("comment"))
     return annotate.annotate(d, comments, "doc_id")
@@ -159,9 +164,13 @@ def priority_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = D.table(spark, sf_dir, "part")
     done = lambda n: p.where(F.col("p_size") <= n).select(F.col("p_partkey").alias("entry_va"))
-    nodes, calls = D.part_nodes(spark, sf_dir), D.part_calls(spark, sf_dir)
-    old = ranking.scores(nodes, calls, done(10))
-    return ranking.rescored(nodes, calls, done(20), old, p.where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("entry_va")))
+    calls, changed = D.part_calls(spark, sf_dir), p.where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("entry_va"))
+    # scores of an earlier state are stored once for a session and its tables, as an earlier run would have left them
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STORED:
+        _STORED[at] = graph.kept(ranking.scores(D.part_nodes(spark, sf_dir), calls, done(10)), "scores")
+    todo = ranking.to_rescore(calls, changed)
+    return ranking.rescored(D.part_nodes(spark, sf_dir, todo), calls, done(20), _STORED[at], todo)
 
 
 def _richness_sql() -> str:
@@ -172,9 +181,8 @@ def _richness_sql() -> str:
 
 @query(_richness_sql())
 def semantic_richness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
     n = D.part_nodes(spark, sf_dir)
-    return n.select("entry_va", ranking.richness(F.lit(""), F.col("names"), F.col("string_refs"), F.col("external_callees"), size("callees"), size("callers"), F.col("instr_count")).alias("richness"))
+    return n.select("entry_va", ranking.richness(F.lit(""), F.col("names"), F.col("string_refs"), F.col("external_callees"), ranking.count_of(n, "callees"), ranking.count_of(n, "callers"), F.col("instr_count")).alias("richness"))
 
 
 @query(f"""WITH {D.PART_NODES} SELECT entry_va FROM nodes WHERE internal > 0 AND callers = 0 ORDER BY internal DESC, entry_va LIMIT 5""")
@@ -198,10 +206,10 @@ def exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT l_partkey * 16 AS entry_va, CASE WHEN l_linenumber = 7 THEN l_suppkey * 16 ELSE l_suppkey + 100000000 END AS dst, l_suppkey FROM lineitem),
  g AS (SELECT entry_va, dst AS global_va, count(*) AS refs FROM t WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey * 16 = dst) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey + 100000000 = dst) GROUP BY 1, 2)
- SELECT entry_va, global_va, refs FROM (SELECT *, row_number() OVER (PARTITION BY entry_va ORDER BY refs DESC, global_va) AS r FROM g) WHERE r <= 8""")
+ SELECT entry_va, global_va, refs FROM (SELECT *, row_number() OVER (PARTITION BY entry_va ORDER BY refs DESC, global_va) AS r FROM g) WHERE r <= 128""")
 def anti_join_globals(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = D.refs(spark, sf_dir)
-    return unify.global_refs(r["xrefs"], r["instructions"], r["functions"], r["strings"], 8)
+    return unify.global_refs(r["xrefs"], r["instructions"], r["functions"], r["strings"])
 
 
 @query("""SELECT l_partkey * 16 AS entry_va, s_name AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber <> 7 AND s_suppkey % 2 = 0 GROUP BY 1, 2""")
@@ -227,68 +235,331 @@ def global_rw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {D.MIXED} SELECT a, b, kinds, CAST(cost AS DOUBLE) AS cost FROM mixed")
 def mixed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = graph.mixed_edges(D.nation_calls(spark, sf_dir), D.nation_strings(spark, sf_dir))
+    e = graph.mixed_edges(D.order_calls(spark, sf_dir), D.brand_strings(spark, sf_dir))
     return e.select("a", "b", F.array_join("kinds", ",").alias("kinds"), graph.edge_cost(F.col("kinds")).alias("cost"))
 
 
-@query(f"""WITH RECURSIVE {D.NATION_CALLS}, r AS (SELECT n_nationkey::BIGINT AS s, n_nationkey::BIGINT AS v, 0 AS hop FROM nation WHERE n_nationkey < 3 UNION SELECT s, callee_va, hop + 1 FROM r JOIN ncalls ON entry_va = v WHERE hop < 4)
+@query(f"WITH {D.MIXED} SELECT a, b, kinds FROM mixed WHERE contains(kinds, 'call')")
+def call_edges_of_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = graph.of_kind(graph.mixed_edges(D.order_calls(spark, sf_dir), D.brand_strings(spark, sf_dir)))
+    return e.select("a", "b", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query(f"""WITH RECURSIVE {D.ORDER_CALLS}, r AS (SELECT v AS s, v, 0 AS hop FROM {D.busiest_sql(3)} UNION SELECT s, callee_va, hop + 1 FROM r JOIN ocalls ON entry_va = v WHERE hop < 4)
  SELECT s AS start, v AS node, min(hop) AS hop FROM r GROUP BY 1, 2""")
 def bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = D.nation_calls(spark, sf_dir).select(F.col("entry_va").alias("src"), F.col("callee_va").alias("dst"))
-    return graph.hops(e, spark.range(3).select(F.col("id").alias("entry_va")), 4)
+    calls = D.order_calls(spark, sf_dir)
+    return graph.hops(calls.select(F.col("entry_va").alias("src"), F.col("callee_va").alias("dst")), D.busiest(calls, 3), 4)
+
+
+@query(f"""WITH RECURSIVE {D.ORDER_CALLS}, st AS {D.busiest_sql(4)}, dn AS (SELECT v AS s, v, 0 AS hop FROM st UNION SELECT s, callee_va, hop + 1 FROM dn JOIN ocalls ON entry_va = v WHERE hop < 5),
+ up AS (SELECT v AS s, v, 0 AS hop FROM st UNION SELECT s, entry_va, hop + 1 FROM up JOIN ocalls ON callee_va = v WHERE hop < 5),
+ b AS (SELECT s, v, min((hop, side)) AS x FROM (SELECT s, v, hop, 1 AS side FROM dn WHERE hop > 0 UNION ALL SELECT s, v, hop, 0 FROM up WHERE hop > 0) GROUP BY 1, 2),
+ k AS (SELECT s, v, x[1] AS hop, x[2] AS side, row_number() OVER (PARTITION BY s, x[2] ORDER BY x[1], v) AS place FROM b),
+ o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY CASE WHEN place > CASE WHEN side = 0 THEN 9 ELSE 10 END THEN 1 ELSE 0 END, hop, side, v) AS n FROM k)
+ SELECT s AS start, v AS node, hop, side FROM o WHERE n <= 19 UNION ALL SELECT v, v, 0, -1 FROM st""")
+def budget_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = D.order_calls(spark, sf_dir)
+    return graph.budget_neighbourhood(calls, D.busiest(calls, 4), 20, 5)
 
 
-@query(f"""WITH {D.MIXED}, e AS (SELECT a AS x, b AS y, cost FROM mixed UNION ALL SELECT b, a, cost FROM mixed), d0 AS (SELECT CAST(n_nationkey AS BIGINT) AS s, CAST(n_nationkey AS BIGINT) AS v, 0.0 AS d FROM nation WHERE n_nationkey < 4),
- d1 AS (SELECT s, v, min(d) AS d FROM (SELECT * FROM d0 UNION ALL SELECT s, y, d + cost FROM d0 JOIN e ON x = v WHERE d + cost <= 1.2000001) GROUP BY 1, 2),
- d2 AS (SELECT s, v, min(d) AS d FROM (SELECT * FROM d1 UNION ALL SELECT s, y, d + cost FROM d1 JOIN e ON x = v WHERE d + cost <= 1.2000001) GROUP BY 1, 2),
- d3 AS (SELECT s, v, min(d) AS d FROM (SELECT * FROM d2 UNION ALL SELECT s, y, d + cost FROM d2 JOIN e ON x = v WHERE d + cost <= 1.2000001) GROUP BY 1, 2)
+@query(f"""WITH {D.MIXED}, e AS (SELECT a AS x, b AS y, cost FROM mixed UNION ALL SELECT b, a, cost FROM mixed), d0 AS (SELECT v AS s, v, 0.0 AS d FROM {D.busiest_sql(4)}),
+ d1 AS (SELECT s, v, min(d) AS d FROM (SELECT * FROM d0 UNION ALL SELECT s, y, d + cost FROM d0 JOIN e ON x = v WHERE d + cost <= 1.4000001) GROUP BY 1, 2),
+ d2 AS (SELECT s, v, min(d) AS d FROM (SELECT * FROM d1 UNION ALL SELECT s, y, d + cost FROM d1 JOIN e ON x = v WHERE d + cost <= 1.4000001) GROUP BY 1, 2),
+ d3 AS (SELECT s, v, min(d) AS d FROM (SELECT * FROM d2 UNION ALL SELECT s, y, d + cost FROM d2 JOIN e ON x = v WHERE d + cost <= 1.4000001) GROUP BY 1, 2)
  SELECT s AS start, v AS node, round(CAST(d AS DOUBLE), 4) AS dist FROM d3""")
 def relaxed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = graph.mixed_edges(D.nation_calls(spark, sf_dir), D.nation_strings(spark, sf_dir)).select("a", "b", graph.edge_cost(F.col("kinds")).alias("cost"))
-    return graph.distances(e, spark.range(4).select(F.col("id").alias("entry_va")), 1.2).select("start", "node", F.round("dist", 4).alias("dist"))
+    calls = D.order_calls(spark, sf_dir)
+    e = graph.mixed_edges(calls, D.brand_strings(spark, sf_dir)).select("a", "b", graph.edge_cost(F.col("kinds")).alias("cost"))
+    return graph.distances(e, D.busiest(calls, 4), 1.4).select("start", "node", F.round("dist", 4).alias("dist"))
 
 
-@query(f"""WITH RECURSIVE {D.NATION_CALLS}, st AS (SELECT CAST(n_nationkey AS BIGINT) AS s FROM nation WHERE n_nationkey < 5),
- r AS (SELECT s, [s] AS path, 0 AS d, CAST(NULL AS VARCHAR) AS leaf FROM st
-  UNION ALL SELECT s, CASE WHEN callee_va IS NULL OR list_contains(path, callee_va) THEN path ELSE list_append(path, callee_va) END, d + 1, CASE WHEN callee_va IS NULL THEN 'no_callee' WHEN list_contains(path, callee_va) THEN 'cycle_cut' END
-  FROM r LEFT JOIN ncalls ON entry_va = path[-1] WHERE leaf IS NULL AND d < 5)
- SELECT s AS start, array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS depth, coalesce(leaf, 'max_depth') AS leaf FROM r WHERE leaf IS NOT NULL OR d = 5""")
+_PATHS = f"""{D.ORDER_CALLS}, rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_va ORDER BY callee_va) AS rank FROM ocalls) WHERE rank <= 2), st AS {D.busiest_sql(5)},
+ r AS (SELECT v AS s, [v] AS path, [] :: BIGINT[] AS key, 0 AS d, CAST(NULL AS VARCHAR) AS leaf FROM st
+  UNION ALL SELECT s, CASE WHEN callee_va IS NULL OR list_contains(path, callee_va) THEN path ELSE list_append(path, callee_va) END, CASE WHEN callee_va IS NULL THEN key ELSE list_append(key, rank) END, d + 1, CASE WHEN callee_va IS NULL THEN 'no_callee' WHEN list_contains(path, callee_va) THEN 'cycle_cut' END
+  FROM r LEFT JOIN rk ON entry_va = path[-1] WHERE leaf IS NULL AND d < 6),
+ p AS (SELECT s, path, key, len(path) - 1 AS depth, coalesce(leaf, 'max_depth') AS leaf FROM r WHERE leaf IS NOT NULL OR d = 6)"""
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = D.order_calls(spark, sf_dir)
+    return graph.simple_paths(calls, D.busiest(calls, 5), 6, max_branch=2)
+
+
+@query(f"WITH RECURSIVE {_PATHS} SELECT s AS start, array_to_string(path, '>') AS path, CAST(depth AS INTEGER) AS depth, leaf FROM p")
 def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = D.nation_calls(spark, sf_dir)
-    p = graph.simple_paths(calls, spark.range(5).select(F.col("id").alias("entry_va")), 5, ranks=calls)
-    return p.select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth", "leaf")
+    return _paths(spark, sf_dir).select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth", "leaf")
+
+
+@query(f"WITH RECURSIVE {_PATHS} SELECT s AS start, array_to_string(path, '>') AS path, CAST(depth AS INTEGER) AS depth FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY depth DESC, len(path) DESC, CAST(list_sum(path) AS BIGINT) % 7 DESC, key) AS n FROM p) WHERE n = 1")
+def deepest_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _paths(spark, sf_dir).withColumn("strength", F.aggregate("path", F.lit(0).cast("bigint"), lambda a, x: a + x) % 7)
+    return graph.deepest_path(p, ["start"]).select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth")
 
 
-@query(f"""WITH RECURSIVE {D.NATION_CALLS}, dag AS (SELECT entry_va AS x, callee_va AS y FROM ncalls WHERE entry_va < callee_va), n AS (SELECT x AS v FROM dag UNION SELECT y FROM dag),
- r AS (SELECT v, v AS cur, 0 AS d FROM n UNION SELECT v, y, d + 1 FROM r JOIN dag ON x = cur) SELECT v AS entry_va, max(d) AS depth FROM r GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_PATHS}, ok AS (SELECT *, len(list_filter(path, lambda x: x % 5 = 4)) = 0 AS inside FROM p)
+ SELECT s AS start, array_to_string(path, '>') AS path FROM (SELECT *, bool_or(inside) OVER (PARTITION BY s) AS any_inside FROM ok) WHERE inside OR NOT any_inside""")
+def paths_within_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = graph.kept(_paths(spark, sf_dir))
+    allowed = graph.path_nodes(paths).where("entry_va % 5 <> 4")
+    return graph.paths_within(paths, allowed).select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query(f"""WITH RECURSIVE {_PATHS}, {D.PART_NODES}, o AS (SELECT s, unnest(path) AS v FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY key) AS n FROM p) WHERE n <= 12),
+ t AS (SELECT s, v, 5 AS w FROM o UNION ALL SELECT s, v, CAST(4 * least(apis, 15) + 2 * least(callers, 20) AS INTEGER) FROM (SELECT DISTINCT s, unnest(path) AS v FROM p) x JOIN nodes ON entry_va = v UNION ALL SELECT v, v, 50 FROM st),
+ g AS (SELECT s, v, sum(w) AS score FROM t GROUP BY 1, 2)
+ SELECT s AS start, v AS entry_va, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, v) AS n FROM g) WHERE n <= 6""")
+def anchor_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths, n = graph.kept(_paths(spark, sf_dir)), D.part_nodes(spark, sf_dir)
+    of_node = n.select("entry_va", (4 * F.least(ranking.count_of(n, "external_callees"), F.lit(15)) + 2 * F.least(ranking.count_of(n, "callers"), F.lit(20))).alias("richness"))
+    return graph.anchors(paths, graph.path_nodes(paths).join(of_node, "entry_va"), D.busiest(D.order_calls(spark, sf_dir), 5))
+
+
+@query("""WITH e AS (SELECT conv_id, turn, CAST(length(text) % 5 AS INTEGER) AS strength, CASE WHEN role = 'user' THEN ['network', role] ELSE [role] END AS signals, list_filter([CASE WHEN turn % 2 = 0 THEN '  ' ELSE 'a' || turn END, substring(role, 1, 3), 'if ' || turn, '', 'x' || turn], lambda g: trim(g) <> '') AS guards FROM conversations),
+ c AS (SELECT *, coalesce(sum(len(guards)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+ SELECT conv_id, CAST(sum(strength) AS BIGINT) AS strength, array_to_string(list_sort(list_distinct(flatten(list(signals)))), ',') AS signals, array_to_string(flatten(list(guards ORDER BY turn))[1:12], '|') AS guards FROM c WHERE before < 12 GROUP BY 1""")
+def path_condition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, turn = D.table(spark, sf_dir, "conversations"), F.col("turn").cast("string")
+    edges = c.select(
+        "conv_id", F.col("turn").alias("position"), (F.length("text") % 5).alias("strength"), F.when(F.col("role") == "user", F.array(F.lit("network"), "role")).otherwise(F.array("role")).alias("signals"),
+        F.array(F.when(F.col("turn") % 2 == 0, "  ").otherwise(F.concat(F.lit("a"), turn)), F.substring("role", 1, 3), F.concat(F.lit("if "), turn), F.lit(""), F.concat(F.lit("x"), turn)).alias("guards"))
+    return graph.path_conditions(edges, ["conv_id"]).select("conv_id", "strength", F.array_join("signals", ",").alias("signals"), F.array_join("guards", "|").alias("guards"))
+
+
+@query(f"WITH {D.LINES} SELECT v AS entry_va, CAST(below AS INTEGER) AS depth FROM lines WHERE n > 1")
 def deepest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.longest_depth(D.nation_calls(spark, sf_dir).where("entry_va < callee_va"))
+    return graph.longest_depth(D.line_calls(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {D.NATION_CALLS}, r AS (SELECT CAST(n_nationkey AS BIGINT) AS s, CAST(n_nationkey AS BIGINT) AS v, 0 AS hop FROM nation WHERE n_nationkey % 4 = 0 UNION SELECT s, entry_va, hop + 1 FROM r JOIN ncalls ON callee_va = v WHERE hop < 3),
- u AS (SELECT s, v, min(hop) AS hop FROM r GROUP BY 1, 2), i AS (SELECT callee_va AS v, count(DISTINCT entry_va) AS k FROM ncalls GROUP BY 1),
- w AS (SELECT s, v, round(exp(-0.35 * hop) / (1 + 0.2 * coalesce(k, 0)) * (1 + 0.5 * (1.0 / 3)), 6) AS w FROM u LEFT JOIN i USING (v) WHERE hop > 0),
+_WORDS = "list_filter(list_distinct(list_transform(regexp_extract_all(p_name, '[A-Za-z0-9_]+'), lambda x: lower(x))), lambda x: length(x) >= 3)"
+
+
+@query(f"""WITH RECURSIVE {D.ORDER_CALLS}, an AS {D.busiest_sql(8, 'callee_va')}, r AS (SELECT v AS s, v, 0 AS hop FROM an UNION SELECT s, entry_va, hop + 1 FROM r JOIN ocalls ON callee_va = v WHERE hop < 2),
+ u AS (SELECT s, v, min(hop) AS hop FROM r GROUP BY 1, 2), i AS (SELECT callee_va AS v, count(*) AS k FROM ocalls GROUP BY 1), nm AS (SELECT p_partkey AS v, {_WORDS} AS ws FROM part),
+ j AS (SELECT s, u.v, hop, coalesce(k, 0) AS k, CASE WHEN len(a.ws) > 0 AND len(b.ws) > 0 THEN CAST(len(list_intersect(a.ws, b.ws)) AS DOUBLE) / len(list_distinct(list_concat(a.ws, b.ws))) ELSE 0 END AS o FROM u LEFT JOIN i ON i.v = u.v LEFT JOIN nm a ON a.v = u.v LEFT JOIN nm b ON b.v = s WHERE hop > 0),
+ w AS (SELECT s, v, round(exp(-0.35 * hop) / (1 + 0.2 * k) * (1 + 0.5 * o), 6) AS w FROM j),
  p AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY w DESC, v) AS place, max(w) OVER (PARTITION BY s) AS best FROM w)
- SELECT s AS anchor, v AS root, CASE WHEN best >= 0.4 THEN 'ancestor' ELSE 'frontier' END AS mode, w AS weight FROM p WHERE (best >= 0.4 AND place = 1) OR (best < 0.4 AND place <= 3)
- UNION ALL SELECT n_nationkey, n_nationkey, 'anchor', NULL FROM nation WHERE n_nationkey % 4 = 0 AND n_nationkey NOT IN (SELECT s FROM w)""")
+ SELECT s AS anchor, v AS root, CASE WHEN best >= 0.5 THEN 'ancestor' ELSE 'frontier' END AS mode, w AS weight FROM p WHERE (best >= 0.5 AND place = 1) OR (best < 0.5 AND place <= 3)
+ UNION ALL SELECT v, v, 'anchor', NULL FROM an WHERE v NOT IN (SELECT s FROM w)""")
 def wlca_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = D.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("entry_va"), F.array(F.concat(F.lit("nation n_"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0"))).alias("names"))
-    anchors = names.where("entry_va % 4 = 0").select("entry_va")
-    return graph.ancestor_roots(D.nation_calls(spark, sf_dir), anchors, names, 3, 0.4)
+    names = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_va"), F.array("p_name").alias("names"))
+    calls = D.order_calls(spark, sf_dir)
+    return graph.ancestor_roots(calls, D.busiest(calls, 8, "callee_va"), names, 2, 0.5)
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE lang = 'en' AND NOT contains(text, chr(13))),
+@query(f"""WITH l AS (SELECT doc_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS n FROM documents),
  c AS (SELECT doc_id, n AS call_line FROM l WHERE starts_with(line, 'The ')), g AS (SELECT doc_id, n, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS guard FROM l WHERE regexp_matches(line, '(?i)\\b(?:if|else\\s+if|switch|case|while|for)\\b') OR regexp_matches(line, '(==|!=|<=|>=|<|>|&&|\\|\\||\\?)')),
  o AS (SELECT c.doc_id, call_line, guard, max(n) AS guard_line FROM c JOIN g ON c.doc_id = g.doc_id AND n < call_line AND n >= call_line - 18 GROUP BY 1, 2, 3),
  p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, call_line ORDER BY guard_line DESC, guard) AS place FROM o)
  SELECT doc_id, call_line, guard_line, guard FROM p WHERE place <= 3""")
 def guard_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = D.table(spark, sf_dir, "documents").where("lang = 'en' and not contains(text, '\r')").select(F.col("doc_id").alias("entry_va"), F.col("text").alias("body"))
+    d = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_va"), F.col("text").alias("body"))
     lines = annotate.numbered_lines(d)
     calls = lines.where(F.col("line").startswith("The ")).select(F.col("entry_va").alias("caller_va"), F.lit(0).alias("callee_va"), F.col("line_no").alias("call_line"))
     return graph.guards(lines, calls, 18, 3).select(F.col("caller_va").alias("doc_id"), "call_line", "guard_line", "guard")
 
 
+@query(f"""WITH l AS (SELECT doc_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS n FROM documents),
+ h AS (SELECT doc_id, n FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM l WHERE contains(line, ' the ')) WHERE k <= 3)
+ SELECT h.doc_id, h.n AS line_no, string_agg(l.line, chr(10) ORDER BY l.n) AS snippet FROM h JOIN l ON l.doc_id = h.doc_id AND l.n BETWEEN h.n - 1 AND h.n + 1 GROUP BY 1, 2""")
+def call_site_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_va"), F.col("text").alias("body"))
+    lines = annotate.numbered_lines(d)
+    return reports.snippets(lines, lines.where(F.col("line").contains(" the ")), ["entry_va"]).select(F.col("entry_va").alias("doc_id"), "line_no", "snippet")
+
+
+# ---- typed graph -----------------------------------------------------------------------------
+
+
+@query("""SELECT DISTINCT l_partkey * 16 AS entry_va, l_suppkey * 16 AS callee_va FROM lineitem JOIN part ON p_partkey = l_suppkey WHERE l_linenumber = 7 AND l_suppkey <> l_partkey""")
+def data_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = D.refs(spark, sf_dir)
+    return typed_graph.data_edges(r["xrefs"], r["instructions"], r["functions"])
+
+
+@query("""SELECT DISTINCT l_partkey * 16 AS entry_va, l_suppkey * 16 AS callee_va FROM lineitem JOIN part ON p_partkey = l_suppkey WHERE l_returnflag IN ('R', 'A') AND l_linenumber % 3 <> 0 AND l_linenumber % 4 <> 0 AND l_suppkey <> l_partkey""")
+def indirect_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = D.refs(spark, sf_dir)
+    found = typed_graph.indirect_candidates(D.computed_refs(spark, sf_dir), r["instructions"], r["functions"])
+    index = D.table(spark, sf_dir, "part").select(F.concat(F.lit("fn_"), F.col("p_partkey").cast("string")).alias("name"), (F.col("p_partkey") * 16).alias("entry_va"))
+    return typed_graph.indirect_edges(found, index)
+
+
+@query("""SELECT count(*) AS candidates, count(*) > 1000 AS degraded, CASE WHEN count(*) > 1000 THEN 50 END AS top FROM lineitem WHERE l_returnflag IN ('R', 'A')""")
+def indirect_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed_graph.indirect_status(D.computed_refs(spark, sf_dir), 1000, 50)
+
+
+@query(f"""WITH {D.FUNCTIONS} SELECT 'func:0x' || lower(to_hex(entry_va)) AS source_id, 'func:0x' || lower(to_hex(entry_va)) AS target_id, 'alias' AS edge_type, max(id) FILTER (view_id = 1) AS one_id, max(id) FILTER (view_id = 2) AS two_id FROM f GROUP BY entry_va HAVING count(DISTINCT view_id) = 2""")
+def alias_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = D.program(spark, sf_dir)
+    return typed_graph.alias_edges(g["functions"], g["views"], g["tools"])
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p, li, g = D.table(spark, sf_dir, "part"), D.table(spark, sf_dir, "lineitem"), D.program(spark, sf_dir)
+    va, s = (F.col("l_partkey") * 16).alias("entry_va"), D.table(spark, sf_dir, "supplier")
+    nodes = p.select((F.col("p_partkey") * 16).alias("entry_va"), F.array("p_name").alias("names"))
+    calls = D.part_calls(spark, sf_dir).select((F.col("entry_va") * 16).alias("entry_va"), (F.col("callee_va") * 16).alias("callee_va"))
+    there = li.join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    strings = there.where("s_suppkey % 2 = 0").select(va, (F.col("s_suppkey") + 100000000).alias("address_va"), F.col("s_name").alias("value"))
+    globals_ = there.where("s_suppkey % 2 = 1").select(va, (F.col("s_suppkey") + 100000000).alias("global_va"))
+    apis = li.where("l_returnflag = 'R'").select(va, F.concat(F.lit("api_"), F.col("l_linenumber").cast("string")).alias("api"))
+    return typed_graph.typed_graph(nodes, calls, strings, globals_, apis, typed_graph.alias_edges(g["functions"], g["views"], g["tools"]))
+
+
+_TYPED = f"""{D.FUNCTIONS}, j AS (SELECT l_partkey * 16 AS v, s_suppkey + 100000000 AS x, s_name, s_suppkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+ e AS (SELECT 'func:0x' || lower(to_hex(l_partkey * 16)) AS source_id, 'func:0x' || lower(to_hex(l_suppkey * 16)) AS target_id, 'calls' AS edge_type FROM lineitem WHERE l_partkey <> l_suppkey
+  UNION SELECT 'func:0x' || lower(to_hex(v)), 'str:0x' || lower(to_hex(x)), 'refs_string' FROM j WHERE s_suppkey % 2 = 0 UNION SELECT 'func:0x' || lower(to_hex(v)), 'gvar:0x' || lower(to_hex(x)), 'accesses_global' FROM j WHERE s_suppkey % 2 = 1
+  UNION SELECT 'func:0x' || lower(to_hex(l_partkey * 16)), 'api:api_' || l_linenumber, 'calls_api' FROM lineitem WHERE l_returnflag = 'R'
+  UNION SELECT 'func:0x' || lower(to_hex(entry_va)), 'func:0x' || lower(to_hex(entry_va)), 'alias' FROM f GROUP BY entry_va HAVING count(DISTINCT view_id) = 2),
+ n AS (SELECT 'func:0x' || lower(to_hex(p_partkey * 16)) AS node_id, 'function' AS node_type, p_name AS name FROM part UNION SELECT 'str:0x' || lower(to_hex(x)), 'string', s_name FROM j WHERE s_suppkey % 2 = 0
+  UNION SELECT 'gvar:0x' || lower(to_hex(x)), 'global_var', 'gvar:0x' || lower(to_hex(x)) FROM j WHERE s_suppkey % 2 = 1 UNION SELECT 'api:api_' || l_linenumber, 'api', 'api_' || l_linenumber FROM lineitem WHERE l_returnflag = 'R')"""
+
+
+@query(f"WITH {_TYPED} SELECT node_id, node_type, name FROM n")
+def typed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir)[0]
+
+
+@query(f"WITH {_TYPED} SELECT source_id, target_id, edge_type FROM e")
+def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir)[1]
+
+
+@query(f"WITH {_TYPED} SELECT 'node' AS part, node_type AS kind, count(*) AS n FROM n GROUP BY 2 UNION ALL SELECT 'edge', edge_type, count(*) FROM e GROUP BY 2")
+def typed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed_graph.graph_summary(*_typed(spark, sf_dir))
+
+
+@query(f"""WITH {D.MIXED}, o AS (SELECT a AS v, b AS w FROM mixed WHERE contains(kinds, 'string') UNION ALL SELECT b, a FROM mixed WHERE contains(kinds, 'string')), k AS (SELECT v, w, row_number() OVER (PARTITION BY v ORDER BY w) AS n FROM o)
+ SELECT v AS entry_va, string_agg('0x' || to_hex(w) || ' ' || p_name || ' [string]', chr(10) ORDER BY n) AS lines FROM k JOIN part ON p_partkey = w WHERE n <= 8 GROUP BY 1""")
+def relation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_va"), F.col("p_name").alias("name"))
+    found = typed_graph.relations(graph.mixed_edges(D.order_calls(spark, sf_dir), D.brand_strings(spark, sf_dir)), names)
+    return found.select("entry_va", F.array_join("lines", "\n").alias("lines"))
+
+
+@query("""WITH a AS (SELECT l_partkey AS v, list_sort(list_distinct(list('api_' || l_linenumber) FILTER (l_returnflag = 'R'))) AS apis, list_sort(list_distinct(list('s' || l_suppkey))) AS s FROM lineitem GROUP BY 1)
+ SELECT v AS entry_va, concat_ws(chr(10), CASE WHEN len(apis) > 0 THEN 'apis: ' || array_to_string(apis[1:3], ', ') END, CASE WHEN len(s) > 0 THEN 'callees: ' || array_to_string(s[1:8], ', ') END) AS block FROM a""")
+def evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = D.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("entry_va")).agg(
+        F.collect_set(F.when(F.col("l_returnflag") == "R", F.concat(F.lit("api_"), F.col("l_linenumber").cast("string")))).alias("apis"), F.collect_set(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("callees"))
+    return typed_graph.evidence_block(parts, {"apis": 3, "callees": 8})
+
+
+# ---- status and reports ----------------------------------------------------------------------
+
+_ANALYSED = f"""{D.STATUS}, {D.VIEWS}, an AS (SELECT entry_va, coalesce(f.name, '') AS original_name, coalesce(summary_signature, '') AS analyzed_name, coalesce(semantic_summary, '') AS semantic_summary, coalesce(analysis_state, 'PENDING') AS analysis_state,
+ coalesce(confidence_score, 0) AS confidence, coalesce(annotation_status, 0) AS annotation_status FROM f JOIN v ON v.id = f.view_id JOIN tl ON tl.id = v.tool_id AND lower(tl.name) = 'ida' LEFT JOIN st ON st.function_id = f.id)"""
+
+
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = D.program(spark, sf_dir)
+    return reports.analysed_functions(g["functions"], g["status"], g["views"], g["tools"])
+
+
+@query(f"WITH {_ANALYSED} SELECT * FROM an")
+def analysed_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysed(spark, sf_dir)
+
+
+@query(f"""WITH {_ANALYSED}, c AS (SELECT count(*) AS total, count(*) FILTER (analyzed_name <> '') AS analyzed, count(*) FILTER (analysis_state = 'LOCKED') AS locked, count(*) FILTER (annotation_status > 0) AS annotated FROM an)
+ SELECT *, round(analyzed * 100.0 / total, 1) AS analyzed_pct, round(locked * 100.0 / total, 1) AS locked_pct, round(annotated * 100.0 / total, 1) AS annotated_pct FROM c""")
+def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.report_counts(_analysed(spark, sf_dir))
+
+
+@query(f"""WITH {_ANALYSED} SELECT entry_va, printf('0x%08X', entry_va) AS address, original_name AS name, analyzed_name AS new_name, analysis_state || ' (' || confidence || ')' AS state,
+ CASE WHEN length(semantic_summary) > 200 THEN substring(semantic_summary, 1, 197) || '...' ELSE semantic_summary END AS summary, annotation_status > 0 AS annotated FROM an""")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.report_lines(_analysed(spark, sf_dir))
+
+
+@query(f"""WITH {_ANALYSED} SELECT entry_va, original_name, CASE WHEN contains(analyzed_name, '(') THEN string_split(trim(string_split(analyzed_name, '(')[1]), ' ')[-1] ELSE string_split(trim(analyzed_name), ' ')[1] END AS new_name, confidence
+ FROM an WHERE analyzed_name <> '' AND analyzed_name <> original_name""")
+def renamed_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.renamed_functions(_analysed(spark, sf_dir))
+
+
+@query(f"""WITH {D.STATUS} SELECT function_id, upper(coalesce(analysis_state, 'PENDING')) AS analysis_state, coalesce(confidence_score, 0) AS confidence_score, coalesce(summary_signature, '') AS summary_signature, coalesce(semantic_summary, '') AS semantic_summary,
+ coalesce(phase1_pending, 0) AS phase1_pending, coalesce(phase2_pending, 0) AS phase2_pending, lvar_optimized, annotation_status FROM st""")
+def analysis_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.analysis_info(D.program(spark, sf_dir)["status"])
+
+
+@query(f"""WITH {D.STATUS} SELECT function_id, upper(coalesce(analysis_state, 'PENDING')) AS analysis_state, coalesce(confidence_score, 0) AS confidence_score FROM st WHERE function_id IN (SELECT l_suppkey FROM lineitem)""")
+def analysis_info_of_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = D.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("function_id"))
+    return reports.analysis_info(D.program(spark, sf_dir)["status"], ids).select("function_id", "analysis_state", "confidence_score")
+
+
+@query(f"""WITH {D.FUNCTIONS}, {D.VIEWS}, iv AS (SELECT binary_id, min(v.id) FILTER (lower(tl.name) = 'ida') AS view_id FROM v JOIN tl ON tl.id = v.tool_id GROUP BY 1), code AS (SELECT doc_id % 4 + 1 AS view_id FROM documents), x AS (SELECT l_linenumber % 5 + 1 AS view_id FROM lineitem),
+ s AS (SELECT binary_id, view_id, (SELECT count(*) FROM f WHERE f.view_id = iv.view_id) AS functions, CASE WHEN view_id IS NOT NULL THEN (SELECT count(*) FROM x WHERE x.view_id = iv.view_id) END AS xrefs, CASE WHEN view_id IS NOT NULL THEN (SELECT count(*) FROM code WHERE code.view_id = iv.view_id) END AS pseudo_functions FROM iv)
+ SELECT *, CASE WHEN functions > 15000 OR coalesce(xrefs, 0) > 800000 THEN 'very_large' WHEN functions > 8000 OR coalesce(xrefs, 0) > 300000 THEN 'large' ELSE 'normal' END AS size FROM s""")
+def binary_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = D.program(spark, sf_dir)
+    xrefs = D.table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") % 5 + 1).cast("bigint").alias("view_id"))
+    code = D.table(spark, sf_dir, "documents").select((F.col("doc_id") % 4 + 1).alias("view_id"))
+    return reports.binary_statistics(g["views"], g["tools"], g["functions"], xrefs, code)
+
+
+_UNIFIED = "nd AS (SELECT p_partkey * 16 AS entry_va FROM part WHERE p_size > 3)"
+
+
+def _unified(spark: SparkSession, sf_dir: str, g: dict[str, DataFrame]) -> DataFrame:
+    some = D.table(spark, sf_dir, "part").where("p_size > 3").select((F.col("p_partkey") * 16).alias("entry_va"))
+    return g["functions"].join(some, "entry_va").groupBy("entry_va").agg(F.collect_set("name").alias("names"))
+
+
+@query(f"""WITH {D.STATUS}, {_UNIFIED} SELECT DISTINCT entry_va FROM f JOIN st ON st.function_id = f.id JOIN nd USING (entry_va) WHERE coalesce(analysis_state, 'PENDING') = 'ANALYZED' AND (coalesce(phase2_pending, 0) = 1 OR (coalesce(phase1_pending, 0) = 1 AND coalesce(phase2_pending, 0) = 0))""")
+def pending_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = D.program(spark, sf_dir)
+    return reports.pending_entries(g["functions"], g["status"], _unified(spark, sf_dir, g))
+
+
+@query(f"""WITH {D.STATUS}, {_UNIFIED} SELECT entry_va FROM f JOIN nd USING (entry_va) WHERE regexp_matches(lower(name), 'main|entry|start') UNION SELECT entry_va FROM f JOIN st ON st.function_id = f.id JOIN nd USING (entry_va) WHERE confidence_score >= 80""")
+def validation_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = D.program(spark, sf_dir)
+    return reports.validation_entries(g["functions"], g["status"], _unified(spark, sf_dir, g))
+
+
+@query(f"""WITH {D.STATUS} SELECT entry_va, NOT bool_or(coalesce(upper(analysis_state) IN ('ANALYZED', 'LOCKED'), false)) AS pending, bool_or(coalesce(upper(analysis_state) IN ('ANALYZED', 'LOCKED'), false) OR coalesce(phase1_pending, 0) <> 0) AS history,
+ bool_or(view_id = 2 AND regexp_matches(name, '(?i)^(?:sub_|fun_|loc_)[0-9a-f]+$')) AS default_name FROM f LEFT JOIN st ON st.function_id = f.id GROUP BY 1""")
+def node_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = D.program(spark, sf_dir)
+    return reports.node_progress(g["functions"], g["status"], g["views"], g["tools"])
+
+
+@query(f"""WITH {D.FUNCTIONS}, {D.CODE}, c AS (SELECT function_id, arg_min(coalesce(prototype, '') || chr(10) || coalesce(body, ''), (-length(coalesce(body, '')), code_id)) AS code FROM code WHERE trim(coalesce(body, '')) <> '' GROUP BY 1)
+ SELECT entry_va, CASE WHEN max(view_id) = 2 THEN 'ida' ELSE 'ghidra' END AS tool, arg_max(id, view_id) AS function_id, trim(arg_max(code, view_id)) AS code FROM f JOIN c ON c.function_id = f.id GROUP BY 1""")
+def preferred_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = D.program(spark, sf_dir)
+    return reports.preferred_code(g["functions"], g["code"], g["views"], g["tools"])
+
+
+@query(f"""WITH {D.STATUS} SELECT entry_va, arg_max(semantic_summary, (confidence_score, -id)) AS summary, max(confidence_score) AS confidence FROM f JOIN (SELECT function_id, semantic_summary, coalesce(confidence_score, 0) AS confidence_score FROM st) s ON function_id = id WHERE semantic_summary <> '' AND confidence_score >= 60 GROUP BY 1""")
+def best_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = D.program(spark, sf_dir)
+    return reports.best_summary(g["functions"], g["status"], 60)
+
+
+@query(f"""WITH {D.STATUS} SELECT entry_va, arg_max(id, view_id) AS function_id, arg_max(upper(coalesce(analysis_state, 'PENDING')), view_id) AS analysis_state, arg_max(coalesce(confidence_score, 0), view_id) AS confidence, arg_max(coalesce(summary_signature, ''), view_id) AS signature, arg_max(coalesce(semantic_summary, ''), view_id) AS summary
+ FROM f JOIN st ON st.function_id = f.id GROUP BY 1""")
+def backup_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = D.program(spark, sf_dir)
+    return reports.backup_profile(g["functions"], g["status"], g["views"], g["tools"])
+
+
+@query("""WITH w AS (SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN r_name ELSE n_name END AS name FROM nation JOIN region ON r_regionkey = n_regionkey), t AS (SELECT CAST(r_regionkey + 1 AS BIGINT) AS id, r_name AS name FROM region WHERE r_regionkey < 3)
+ SELECT id, name FROM t UNION ALL SELECT (SELECT max(id) FROM t) + row_number() OVER (ORDER BY name), name FROM w WHERE name NOT IN (SELECT name FROM t)""")
+def registered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = D.table(spark, sf_dir, "nation"), D.table(spark, sf_dir, "region")
+    wanted = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.when(F.col("n_nationkey") % 2 == 0, F.col("r_name")).otherwise(F.col("n_name")).alias("name"))
+    have = r.where("r_regionkey < 3").select((F.col("r_regionkey") + 1).cast("bigint").alias("id"), F.col("r_name").alias("name"))
+    return reports.registered(have, wanted, "name")
+
+
 # ---- reconciliation --------------------------------------------------------------------------
 
 _TOKENS = "list_distinct(regexp_extract_all({}, '[A-Za-z_][\\p{{L}}\\p{{N}}_]*|\\p{{Nd}}+|[^\\s\\p{{L}}\\p{{N}}_]'))"
@@ -351,6 +622,26 @@ def blackboard_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.board_conflicts(_board(spark, sf_dir))
 
 
+@query(f"""WITH {_BOARD}, w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_va, kind ORDER BY rank DESC, conf DESC, seq DESC) AS r FROM k) WHERE r = 1),
+ h AS (SELECT *, max((rank, conf, seq, value)) OVER (PARTITION BY entry_va, kind ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM k)
+ SELECT 'total' AS part, 'entries' AS name, count(*) AS n FROM w UNION ALL SELECT 'total', 'addresses', count(DISTINCT entry_va) FROM w UNION ALL SELECT 'total', 'conflicts', count(*) FROM h WHERE held IS NOT NULL AND held[4] <> value
+ UNION ALL SELECT 'kind', kind, count(*) FROM w GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM w GROUP BY 2""")
+def blackboard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    board = _board(spark, sf_dir)
+    return reconcile.board_stats(reconcile.board_winners(board), reconcile.board_conflicts(board))
+
+
+@query(f"""WITH {_BOARD}, w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_va, kind ORDER BY rank DESC, conf DESC, seq DESC) AS r FROM k) WHERE r = 1) SELECT entry_va, kind, value FROM w WHERE kind IN ('note', 'other')""")
+def blackboard_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.board_by_kinds(reconcile.board_winners(_board(spark, sf_dir)), ["note", "other"]).select("entry_va", "kind", "value")
+
+
+@query("""SELECT CAST(0 AS BIGINT) AS entry_va, 'note' AS kind, concat_ws(': ', nullif(trim(role), ''), trim(text)) AS value, CAST(turn AS INTEGER) AS confidence FROM conversations WHERE trim(coalesce(text, '')) <> ''""")
+def blackboard_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = D.table(spark, sf_dir, "conversations").select(F.col("role").alias("title"), F.col("text").alias("finding"), F.col("turn").alias("confidence"))
+    return reconcile.board_from_steps(steps, "auto", 1, 0).select("entry_va", "kind", "value", "confidence")
+
+
 @query("""SELECT p_partkey AS function_id, CASE WHEN p_partkey % 4 = 0 AND p_size % 2 = 0 THEN 'LOCKED' WHEN p_partkey % 4 = 0 THEN 'ANALYZED' ELSE 'PENDING' END AS analysis_state, CASE WHEN p_partkey % 4 = 0 THEN p_size ELSE 0 END AS confidence_score FROM part""")
 def status_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = D.table(spark, sf_dir, "part")
@@ -409,9 +700,26 @@ def path_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.path_recall(paths, expected)
 
 
-@query("""SELECT count(*) AS rows, sha256(string_agg(p_partkey || '|' || p_name, chr(10) ORDER BY p_partkey)) AS digest FROM part""")
+@query("""WITH h AS (SELECT sha256(coalesce(CAST(l_orderkey AS VARCHAR), '') || '|' || coalesce(CAST(l_linenumber AS VARCHAR), '') || '|' || coalesce(l_returnflag, '')) AS h FROM lineitem),
+ c AS (SELECT CAST('0x' || substring(h, 49, 8) AS BIGINT) % 1024 AS chunk, count(*) AS n, sum(CAST('0x' || substring(h, 1, 15) AS BIGINT)) AS h0, sum(CAST('0x' || substring(h, 16, 15) AS BIGINT)) AS h1, sum(CAST('0x' || substring(h, 31, 15) AS BIGINT)) AS h2 FROM h GROUP BY 1)
+ SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(array_to_string(list_sort(list(chunk || ':' || n || ':' || h0 || ':' || h1 || ':' || h2)), chr(10))) AS digest FROM c""")
 def metric_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.ordered_digest(D.table(spark, sf_dir, "part"), ["p_partkey"], ["p_partkey", "p_name"])
+    return metrics.chunked_digest(D.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_returnflag"])
+
+
+@query("""SELECT conv_id, CAST(sum(CASE WHEN turn % 3 = 0 THEN turn ELSE turn * 2 END) AS BIGINT) AS prompt_tokens, CAST(sum(CASE WHEN turn % 3 = 0 THEN 1 ELSE 2 END) AS BIGINT) AS completion_tokens, CAST(sum(CASE WHEN turn % 3 = 0 THEN turn + 1 ELSE turn * 2 + 2 END) AS BIGINT) AS total_tokens FROM conversations GROUP BY 1""")
+def nested_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, none = D.table(spark, sf_dir, "conversations"), F.lit(None).cast("bigint")
+    one = F.struct(F.col("turn").alias("prompt_tokens"), F.lit(1).cast("bigint").alias("completion_tokens"), none.alias("total_tokens"))
+    own = F.col("turn") % 3 == 0
+    step = F.struct(F.when(own, F.col("turn")).alias("prompt_tokens"), F.when(own, F.lit(1).cast("bigint")).alias("completion_tokens"), none.alias("total_tokens"), F.array(one, one).alias("attempts"))
+    return metrics.flat_usage(c.select("conv_id", F.array(step).alias("usage")), ["conv_id"])
+
+
+@query("""SELECT count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0""")
+def finite_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = D.table(spark, sf_dir, "orders").withColumn("x", F.when(F.col("o_orderkey") % 5 == 0, float("nan")).when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")))
+    return metrics.numeric(o, "x").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 4).alias("mean"))
 
 
 @query("""SELECT 'parts' AS metric, (SELECT count(*) FROM part) AS rows_current, (SELECT count(*) FROM part WHERE p_size > 1) AS rows_rebuilt""")
@@ -422,12 +730,13 @@ def profile_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.diff(current, rebuilt).select("metric", "rows_current", "rows_rebuilt")
 
 
-@query(f"""WITH RECURSIVE {D.NATION_CALLS}, r AS (SELECT CAST(n_nationkey AS BIGINT) AS v, n_nationkey AS origin, CAST(0.99 AS DOUBLE) AS conf, 0 AS k FROM nation WHERE n_nationkey IN (0, 7)
-  UNION SELECT callee_va, origin, conf * 0.9, k + 1 FROM r JOIN ncalls ON entry_va = v WHERE conf >= 0.7 AND k < 10)
+@query(f"""WITH RECURSIVE {D.ORDER_CALLS}, r AS (SELECT v, v AS origin, CAST(0.99 AS DOUBLE) AS conf, 0 AS k FROM {D.busiest_sql(2)}
+  UNION SELECT callee_va, origin, conf * 0.9, k + 1 FROM r JOIN ocalls ON entry_va = v WHERE conf >= 0.7 AND k < 10)
  SELECT 'func:' || v AS node_id, 't' || origin AS value, CAST(min(k) AS INTEGER) AS round, round(arg_min(conf, k), 6) AS confidence FROM r GROUP BY v, origin""")
 def rule_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = lambda c: F.concat(F.lit("func:"), F.col(c).cast("string"))
-    edges = D.nation_calls(spark, sf_dir).select(node("entry_va").alias("source_id"), node("callee_va").alias("target_id"), F.lit("CALLS").alias("edge_type"))
-    facts = D.table(spark, sf_dir, "nation").where("n_nationkey in (0, 7)").select(node("n_nationkey").alias("node_id"), F.lit("v1").alias("variable"), F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("value"), F.lit("given").alias("source"), F.lit(0.99).alias("confidence"))
+    calls = D.order_calls(spark, sf_dir)
+    edges = calls.select(node("entry_va").alias("source_id"), node("callee_va").alias("target_id"), F.lit("CALLS").alias("edge_type"))
+    facts = D.busiest(calls, 2).select(node("entry_va").alias("node_id"), F.lit("v1").alias("variable"), F.concat(F.lit("t"), F.col("entry_va").cast("string")).alias("value"), F.lit("given").alias("source"), F.lit(0.99).alias("confidence"))
     out = rules.run(facts, edges, [(100, rules.type_propagation())])
     return out.select("node_id", "value", "round", F.round("confidence", 6).alias("confidence"))

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import annotate, graph, metrics, ranking, reconcile, rules, unify
+from tessera.functions import text as T
+from tessera.operators import annotate, graph, metrics, ranking, reconcile, rules, status, unify
 
 
 def rows(df, *cols):
@@ -58,6 +59,60 @@ def test_paths(spark, calls):
     assert dict(rows(graph.longest_depth(dag), "entry_va", "depth")) == {1: 2, 2: 1, 3: 0}
 
 
+def test_long_chains_and_cycles(spark):
+    """Depth and distance go on beyond any fixed number of rounds; what reaches a cycle has no longest path."""
+    chain = [(i, i + 1) for i in range(70)]
+    loop = [(100, 101), (101, 100), (102, 100), (102, 103), (104, 104), (104, 103)]
+    calls = spark.createDataFrame(chain + loop, "entry_va long, callee_va long")
+    assert dict(rows(graph.longest_depth(calls), "entry_va", "depth")) == {**{i: 70 - i for i in range(71)}, 100: None, 101: None, 102: None, 103: 0, 104: 1}
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in chain], "a long, b long, cost double")
+    got = {r.node: r.dist for r in graph.distances(edges, spark.createDataFrame([(0,)], "entry_va long"), 100.0).collect()}
+    assert got == {i: float(i) for i in range(71)}
+    with pytest.raises(ValueError, match="negative"):
+        graph.distances(edges.withColumn("cost", -edges["cost"]), spark.createDataFrame([(0,)], "entry_va long"), 1.0)
+
+
+def test_paths(spark):
+    paths = spark.createDataFrame([(1, [1, 2, 3], [1, 1], 2, 0), (1, [1, 4, 5], [2, 1], 2, 3), (1, [1, 6], [3], 1, 9), (7, [7, 8], [1], 1, 0)], "start long, path array<long>, key array<int>, depth int, strength int")
+    best = {r.start: list(r.path) for r in graph.deepest_path(paths, ["start"]).collect()}
+    assert best == {1: [1, 4, 5], 7: [7, 8]}
+    allowed = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 6)], "start long, entry_va long")
+    assert sorted(list(r.path) for r in graph.paths_within(paths, allowed).collect()) == [[1, 2, 3], [1, 6], [7, 8]]
+    edges = spark.createDataFrame([(1, 1, 2, ["net"], ["a", " "]), (1, 2, 3, ["file"], ["b", "c"]), (1, 3, 4, ["x"], ["d"])], "p int, position int, strength int, signals array<string>, guards array<string>")
+    [r] = graph.path_conditions(edges, ["p"], most=3).collect()
+    assert (r.strength, r.signals, r.guards) == (5, ["file", "net"], ["a", "b", "c"])
+    sizes = spark.createDataFrame([(0, 2), (13, 3), (30, 4), (60, 5)], "n int, want int").select("want", graph.generations(F.col("n"), F.lit(0), F.lit(0), F.lit(0), F.lit(0)).alias("got"))
+    assert all(r.want == r.got for r in sizes.collect())
+
+
+def test_statistics_stay_within_a_binary(spark):
+    tools = spark.createDataFrame([(1, "ida")], "id long, name string")
+    views = spark.createDataFrame([(10, 1, 1), (20, 2, 1), (30, 3, 2)], "id long, binary_id long, tool_id long")
+    of = lambda ids: spark.createDataFrame([(i,) for i in ids], "view_id long")
+    got = {r.binary_id: tuple(r)[1:5] for r in status.binary_statistics(views, tools, of([10, 20, 20]), of([10, 20, 20, 20]), of([10, 20])).collect()}
+    assert got == {1: (10, 1, 1, 1), 2: (20, 2, 3, 1), 3: (None, 0, None, None)}
+
+
+def test_reports_of_no_functions(spark):
+    from tessera.schema import TABLES
+
+    none = lambda t: spark.createDataFrame([], TABLES[t])
+    rows_ = status.analysed_functions(none("functions"), none("analysis_status"), none("binary_views"), none("tools"))
+    [r] = status.report_counts(rows_).collect()
+    assert (r.total, r.analyzed, r.analyzed_pct) == (0, 0, None)
+    assert status.renamed_functions(rows_).collect() == [] and status.report_lines(rows_).collect() == []
+
+
+def test_small_functions(spark):
+    row = spark.createDataFrame([("int[4] or char or  long ", "/a/b/sample_ida/", {"api_key": "x", "name": "y", "Token": None})], "t string, f string, m map<string,string>")
+    [r] = row.select(T.type_variants(F.col("t")).alias("t"), status.logical_name(F.col("f")).alias("f"), T.redacted(F.col("m")).alias("m")).collect()
+    assert (sorted(r.t), r.f, r.m) == (["char", "int *", "int[4]", "long"], "sample", {"api_key": "***", "name": "y", "Token": None})
+    lines = spark.createDataFrame([(1, 1, "00401000  push ebp"), (1, 2, "; note"), (1, 3, "0x401001 ret")], "entry_va long, line_no int, line string")
+    assert rows(status.listing_addresses(lines), "line_no", "ea") == {(1, 0x401000), (3, 0x401001)}
+    one = status.parameters_digest(spark.createDataFrame([(1, "x"), (1, "x"), (2, "x")], "b int, a string"), ["b", "a"]).collect()
+    assert one[0].signature == one[1].signature != one[2].signature
+
+
 def test_budget(spark):
     c = spark.createDataFrame([(0x1000, 0x1100), (0x1100, 0x1200)], "entry_va long, callee_va long")
     got = rows(graph.budget_neighbourhood(c, spark.createDataFrame([(0x1000,)], "entry_va long"), 3), "node", "hop")
