@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -42,6 +43,45 @@ def unstage(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bits of a filter: about BITS_A_KEY for each key, in these bounds (4 MiB at most, which may be broadcast).
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 18, 1 << 25
+#: Up to so many keys (8 MB) are broadcast.
+BROADCAST_KEYS = 1_000_000
+
+
+def filter_bits(keys: int) -> int:
+    """A power of two of bits for the filter of so many keys."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * max(1, keys) - 1).bit_length()))
+
+
+def key_filter(rows: DataFrame, column: str, bits: int, *by: str) -> DataFrame:
+    """A Bloom filter with one probe as at most ``bits / 32768`` bitmap rows for each ``by``.  Full of ones it lets
+    all rows pass, so its bounded size limits what it saves, never what is found."""
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    rows = rows.select(*by, F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+    return rows.groupBy(*by, "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def marked(rows: DataFrame, column: str, bitmaps: DataFrame, bits: int, *by: str) -> DataFrame:
+    """``rows`` with ``hit``: whether the filter lets the key pass."""
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    rows = rows.withColumn("bucket", F.bitmap_bucket_number(at)).withColumn("bit", F.bitmap_bit_position(at).cast("int"))
+    rows = rows.join(F.broadcast(bitmaps), [*by, "bucket"], "left")
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return rows.withColumn("byte", byte).withColumn("hit", F.expr("coalesce((byte & shiftleft(1, bit % 8)) != 0, false)")).drop("bucket", "bit", "byte", "bitmap")
+
+
+def among(rows: DataFrame, column: str, keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """``rows`` whose ``column`` is among ``keys`` (a staged table with that column).  Few keys are broadcast; of more a
+    filter is, so that hardly any other rows are shuffled."""
+    keys = keys.select(column).distinct()
+    n = keys.count()
+    if n <= most:
+        return rows.join(F.broadcast(keys), column, "left_semi")
+    bits = filter_bits(n)
+    return marked(rows, column, key_filter(keys, column, bits), bits).where("hit").drop("hit").join(keys, column, "left_semi")
+
+
 #: Rows that a Python worker holds at once, so that long texts fit.
 BATCH_ROWS = 1000
 

@@ -19,11 +19,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage, unstage
+from .common import filter_bits, key_filter, marked, shared_dir, stage, unstage
 
-#: Bits of a run's filter: about BITS_A_DIGEST for each digest, in these bounds.  The filters of the runs that
-#: are merged at once are broadcast, at most FANOUT (or what is left of all levels) times 4 MiB.
-BITS_A_DIGEST, LEAST_BITS, MOST_BITS = 16, 1 << 18, 1 << 25
 #: Level-0 runs of a flush, and runs of a level that are compacted into one.
 FLUSH_RUNS, FANOUT = 8, 4
 #: A digest with more than one in so many rows, and more than so many, is dealt out over several tasks.
@@ -41,28 +38,6 @@ def _digest(text):
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def filter_bits(rows: int) -> int:
-    """A power of two of bits for the filter of so many digests."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_DIGEST * max(1, rows) - 1).bit_length()))
-
-
-def digest_filter(rows: DataFrame, bits: int, *by: str) -> DataFrame:
-    """A filter with one probe as at most ``bits / 32768`` bitmap rows for each ``by``.  Full of ones it lets all
-    rows pass, so its bounded size limits what it saves, never what is found."""
-    at = F.pmod(F.xxhash64("digest"), F.lit(bits))
-    rows = rows.select(*by, F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
-    return rows.groupBy(*by, "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-
-
-def _marked(rows: DataFrame, bitmaps: DataFrame, bits: int, *by: str) -> DataFrame:
-    """``rows`` with ``hit``: whether the filter lets the digest pass."""
-    at = F.pmod(F.xxhash64("digest"), F.lit(bits))
-    rows = rows.withColumn("bucket", F.bitmap_bucket_number(at)).withColumn("bit", F.bitmap_bit_position(at).cast("int"))
-    rows = rows.join(F.broadcast(bitmaps), [*by, "bucket"], "left")
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return rows.withColumn("byte", byte).withColumn("hit", F.expr("coalesce((byte & shiftleft(1, bit % 8)) != 0, false)")).drop("bucket", "bit", "byte", "bitmap")
-
-
 class DigestIndex:
     """Runs of ``digest, keep_id, n`` by level, under one folder that all executors share.
 
@@ -110,12 +85,12 @@ class DigestIndex:
         if len(runs) < 2:
             return rows.drop("run"), rows.drop("run").limit(0)
         bits = filter_bits(max(n for _, n in runs))
-        own = stage(digest_filter(rows, bits, "run"), "filters")
+        own = stage(key_filter(rows, "digest", bits, "run"), "filters")  # 4 MiB a run at most
         others = own.select(F.col("run").alias("other"), "bucket", "bitmap")
         others = F.broadcast(own.select("run", "bucket")).join(others, "bucket").where("run != other").groupBy("run", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
-        marked = _marked(rows, others, bits, "run")
-        grouped = marked.where("hit").groupBy("digest").agg(self._pick("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        return marked.where("not hit").select("digest", "keep_id", "n"), grouped
+        found = marked(rows, "digest", others, bits, "run")
+        grouped = found.where("hit").groupBy("digest").agg(self._pick("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        return found.where("not hit").select("digest", "keep_id", "n"), grouped
 
     def entries(self) -> DataFrame:
         """One row per digest: the identifier that stays and the number of rows met."""
@@ -184,7 +159,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     body = F.coalesce(F.col("body"), F.lit(""))
     bits = filter_bits(hits.count())
     rows = df.select("row_id", body.alias("body"), _digest(F.col("body")).alias("digest"))
-    passed = _marked(rows, digest_filter(hits, bits), bits).where("hit").drop("hit")
+    passed = marked(rows, "digest", key_filter(hits, "digest", bits), bits).where("hit").drop("hit")
     members = stage(dealt(passed, hot).join(in_all_parts(hits.drop("n"), hot), ["digest", "part"]), "members")
     keepers = members.where(F.col("row_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("keep_body"))
     # null where the bytes agree, which without a collision is everywhere
