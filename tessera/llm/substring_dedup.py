@@ -6,14 +6,16 @@ surrounds them.  Occurrences of an anchor are extended both ways over the window
 
 1. Tasks emit one row per anchor occurrence with a hash of its whole extension.  Occurrences of one
    extension that a task meets again are settled there (map-side combining) and neighbouring ones
-   merged into maximal stretches, so a passage met thousands of times costs a row per task.
+   merged into maximal stretches, so a passage met thousands of times costs a row per Arrow batch of texts.
 2. Rows meet by anchor in one shuffle and stream past in order: all but the first occurrence of an
    extension are repeats.  Where one anchor has several extensions, the first of each is pending.
 3. Pending extensions are compared window by window, in a second exchange of the same kind.
 4. Overlapping windows join into maximal repeats, and each document drops the words they cover.
 
-No step pairs occurrences with each other, so hot passages never square.  Windows are identified by
-128 bits (64 of the anchor or window and 64 of an independent hash).
+No step pairs occurrences with each other, so hot passages never square.  Windows are held equal by
+128 bits (64 of the anchor or window and 64 of an independent hash); their words aren't compared again.
+Rows of one anchor, already combined by task, meet in one task; so do the spots of all rows without an
+identifier, which count as one document.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches, regrouped, stage, texts
+from .common import among, filter_bits, key_filter, limit_batches, marked, regrouped, stage, texts
 
 #: Words of an anchor; a window of 20 holds 15, of which it picks one.
 SEED = 6
@@ -252,8 +254,8 @@ def covered(n_words: int, spots: list[tuple[int, int]], length: int) -> np.ndarr
 def repeats(docs: DataFrame, length: int = 20, seed: int = SEED) -> DataFrame:
     """``doc, s, n``: stretches of window starts whose windows also start earlier."""
     first = stage(judge(seed_rows(docs, length, seed), True), "repeats")
-    spots = first.where("pending").groupBy("doc").agg(F.collect_list(F.struct("s", "n")).alias("spots"))
-    second = judge(window_rows(docs.join(spots, "doc"), length), False)
+    spots = stage(first.where("pending").groupBy("doc").agg(F.collect_list(F.struct("s", "n")).alias("spots")), "pending")
+    second = judge(window_rows(among(docs, "doc", spots).join(spots, "doc"), length), False)
     return first.where("not pending").select("doc", "s", "n").unionByName(second.select("doc", "s", "n"))
 
 
@@ -269,7 +271,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     an empty result.
     """
     docs = limit_batches(df).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text_col).alias("body"))
-    spots = repeats(docs, length, seed).groupBy("doc").agg(F.collect_list(F.struct("s", "n")).alias("spots"))
+    spots = stage(repeats(docs, length, seed).groupBy("doc").agg(F.collect_list(F.struct("s", "n")).alias("spots")), "spots")
     schema = "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,5 +290,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     col.append(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=False))], names=[x.split()[0] for x in schema.split(", ")])
 
-    out = docs.join(spots, "doc", "left").select("doc", "body", "spots").mapInArrow(run, schema)
+    # texts without repeats pass by; only the others are shuffled
+    bits = filter_bits(spots.count())
+    found = marked(docs, "doc", key_filter(spots, "doc", bits), bits)
+    some = found.where("hit").select("doc", "body").join(spots, "doc", "left").select("doc", "body", "spots")
+    none = found.where("not hit").select("doc", "body", F.lit(None).cast(spots.schema["spots"].dataType).alias("spots"))
+    out = some.unionByName(none).mapInArrow(run, schema)
     return out.withColumn("doc", F.when(F.col("doc") != _NO_ID, F.col("doc"))).withColumnRenamed("doc", id_col)

@@ -39,13 +39,12 @@ def test_word_tokens_are_the_tokenizers(documents):
         assert np.frombuffer(enc.ids(text or ""), dtype="<u4").tolist() == ids, text[:80]
 
 
-def check_packing(rows, pieces, window=4096):
-    """Every id of every document in one piece, sequences gapless and no longer than the window."""
+def check_documents(rows, pieces):
+    """Every id of every document lies in one piece."""
     ids = {i: [*whole(t or ""), 2] for i, t in rows}
-    by_doc, by_seq = {}, {}
+    by_doc = {}
     for p in pieces:
         by_doc.setdefault(p["doc_id"], []).append(p)
-        by_seq.setdefault(p["sequence_id"], []).append(p)
     assert by_doc.keys() == ids.keys()
     for i, own in by_doc.items():
         at = 0
@@ -55,6 +54,13 @@ def check_packing(rows, pieces, window=4096):
             assert zlib.crc32(part) == p["ids_crc32"]
             at += p["length"]
         assert at == len(ids[i])
+
+
+def check_sequences(pieces, window=4096):
+    """Sequences are gapless and no longer than the window; gives their tokens, and those with padding."""
+    by_seq = {}
+    for p in pieces:
+        by_seq.setdefault(p["sequence_id"], []).append(p)
     total = padded = 0
     for own in by_seq.values():
         at = 0
@@ -67,6 +73,11 @@ def check_packing(rows, pieces, window=4096):
     return total, padded
 
 
+def check_packing(rows, pieces):
+    check_documents(rows, pieces)
+    return check_sequences(pieces)
+
+
 @pytest.mark.parametrize("block", [1, 1 << 20])
 def test_packing_round_trip(documents, block):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
@@ -84,31 +95,35 @@ def test_packing_edge_cases(make, edge):
 
 
 def test_cuts_cost_no_more_than_any_others():
-    """Against all ways to choose from the same cuts."""
+    """Against all ways to cut: between any two cuts a padded window, a free one of a half or a quarter of the size, and
+    at the end, where that is cheaper than padding, free windows of powers of two."""
     rng = random.Random(1)
+    window_cost, hard = packing.WINDOW_COST, packing.HARD_COST
 
-    def cost(cuts, penalty, end, window):
+    def cost_of(cuts, penalty, end, window):
+        """What a list of cuts costs, cut by cut."""
         total, before = 0, 0
         for c in cuts:
-            total += packing.WINDOW_COST + packing.padded(c - before, window) - (c - before)
-            total += penalty.get(c, packing.HARD_COST) if c < end else 0
+            total += window_cost + packing.padded(c - before, window) - (c - before) + (penalty.get(c, hard) if c < end else 0)
             before = c
         return total
 
-    for _ in range(60):
+    for _ in range(200):
         window, end = 16, rng.randint(1, 45)
         at = sorted({*rng.sample(range(1, end + 1), min(end, 9)), *range(8, end + 1, 8), end})
-        penalty = {p: rng.choice([0, packing.SENTENCE_COST, packing.HARD_COST]) for p in at}
+        penalty = {p: rng.choice([0, packing.SENTENCE_COST, hard]) for p in at}
         penalty[end] = 0
         got = packing.choose_cuts(np.array(at), np.array([penalty[p] for p in at]), end, window, True)
-        assert got[-1] == end and all(b - a <= window for a, b in zip([0, *got], got, strict=False))
-        best = {0: 0}
+        assert got[-1] == end and all(0 < b - a <= window for a, b in zip([0, *got], got, strict=False))
+        best = {0: 0}  # by cut, over all choices
         for j in at:
-            ways = [best[i] + cost([j], {}, end, window) if i == 0 else best[i] + packing.WINDOW_COST + packing.padded(j - i, window) - (j - i) for i in best if 0 < j - i <= window]
+            ways = [best[i] + window_cost + (0 if j - i in (window, window // 2, window // 4) else window - (j - i)) + penalty[j] for i in best if 0 < j - i <= window]
             if ways:
-                best[j] = min(ways) + (penalty[j] if j < end else 0)
-        # windows of an eighth and less aren't tried inside, so the bound is what windows of a half and a quarter give
-        assert cost(got, penalty, end, window) <= best[end] + 3 * (packing.WINDOW_COST + packing.HARD_COST)
+                best[j] = min(ways)
+        last = [best[i] + min(window_cost + packing.padded(end - i, window) - (end - i), bin(end - i).count("1") * (window_cost + hard)) for i in best if 0 <= end - i <= window and (i < end or i == 0)]
+        last += [best[end]] if end in best else []
+        # the tail's own cuts cost no more than the search takes them for
+        assert cost_of(got, penalty, end, window) <= min(last)
 
 
 def segmentations(pieces, text):
