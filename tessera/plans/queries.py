@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,27 +9,19 @@ from tessera.functions import text as T
 from tessera.operators import annotate, graph, metrics, ranking, reconcile, rules, typed_graph, unify
 from tessera.operators import status as reports
 from tessera.plans import derive as D
+from tessera.plans import details  # noqa: F401  registers its queries
+from tessera.plans.registry import QUERIES, Query, query
 from tessera.sources import exports, store
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, tuple[Query, str | None]] = {}
 _STORED: dict[tuple[str, str], DataFrame] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
-    return {k: f for k, (f, _) in _QUERIES.items()}
+    return {k: f for k, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _QUERIES.items() if sql}
+    return {k: sql for k, (_, sql) in QUERIES.items() if sql}
 
 
 # ---- sources and scalar functions ------------------------------------------------------------
