@@ -27,7 +27,8 @@ from .common import limit_batches, texts
 SPACE = "▁"
 #: An unknown character scores so much less than the least piece.
 UNKNOWN_PENALTY = 10.0
-CACHE_ENTRIES = 300_000
+#: Stretches remembered, and how long one may be to be remembered.
+CACHE_ENTRIES, LONGEST_KNOWN = 300_000, 200
 
 Path = tuple[bytes, float]
 
@@ -100,9 +101,10 @@ class Pieces:
     def _word(self, word: str) -> Path:
         ids, score = self.viterbi(word)
         path = (struct.pack(f"<{len(ids)}I", *ids), score)
-        if len(self.known) > self.entries:
-            self.known.clear()
-        self.known[word] = path
+        if len(word) <= LONGEST_KNOWN:  # so the table is bounded in bytes as well
+            if len(self.known) > self.entries:
+                self.known.clear()
+            self.known[word] = path
         return path
 
     def cuts(self, text: str) -> list[str]:
