@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import filter_bits, key_filter, marked, shared_dir, stage, unstage
 
 #: Level-0 runs of a flush, and runs of a level that are compacted into one.
-FLUSH_RUNS, FANOUT = 8, 4
+FLUSH_RUNS, FANOUT = 4, 4
 #: A digest with more than one in so many rows, and more than so many, is dealt out over several tasks.
 HOT_SHARE, LEAST_HOT = 4096, 64
 _RUN = "digest binary, keep_id long, n long"
