@@ -27,6 +27,7 @@ WORD_VOCABULARY, PIECE_VOCABULARY = public_tokenizers.path("word_bpe_49k.json"),
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, without site templates and furniture."""
     return extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
@@ -50,31 +51,38 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of three-word shingles of every document and its component at 3 or fewer differing bits."""
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 20-word windows that also start earlier."""
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), length=20)
 
 
 def op6_piece_tokens(spark: SparkSession, sf_dir: str, vocabulary: str = PIECE_VOCABULARY) -> DataFrame:
+    """Piece ids of every document (their number and a checksum), and whether its text comes back."""
     return encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary, with_ids=False)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; the document with the largest identifier stays."""
     return exact_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), keep="max")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, by the base patterns and by assignments."""
     return scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, by a model of the labelled ones."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str, vocabulary: str = WORD_VOCABULARY) -> DataFrame:
+    """Pieces of training windows of 4096 tokens that hold every document."""
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), word_encoder(vocabulary), end_id=2, window=4096)
 
 
