@@ -148,18 +148,18 @@ def priority_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top(ranking.scores(D.part_nodes(spark, sf_dir), D.part_calls(spark, sf_dir), done), 100, F.desc("score"))
 
 
-@query(f"""WITH {D.PART_NODES}, ch AS (SELECT p_partkey AS v FROM part WHERE p_partkey % 50 = 1), td AS (SELECT v FROM ch UNION SELECT entry_va FROM calls JOIN ch ON callee_va = v),
+@query(f"""WITH {D.PART_NODES}, ch AS (SELECT p_partkey AS v FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 5), td AS (SELECT v FROM ch UNION SELECT entry_va FROM calls JOIN ch ON callee_va = v),
  k1 AS (SELECT c.entry_va, count(*) AS k FROM calls c JOIN part ON c.callee_va = p_partkey WHERE p_size <= 10 GROUP BY 1), k2 AS (SELECT c.entry_va, count(*) AS k FROM calls c JOIN part ON c.callee_va = p_partkey WHERE p_size <= 20 GROUP BY 1)
  SELECT n.entry_va, {D.score_sql('CASE WHEN td.v IS NULL THEN coalesce(k1.k, 0) ELSE coalesce(k2.k, 0) END')} AS score FROM nodes n LEFT JOIN td ON td.v = n.entry_va LEFT JOIN k1 USING (entry_va) LEFT JOIN k2 USING (entry_va)""")
 def incremental_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = D.table(spark, sf_dir, "part")
     done = lambda n: p.where(F.col("p_size") <= n).select(F.col("p_partkey").alias("entry_va"))
-    calls, changed = D.part_calls(spark, sf_dir), p.where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("entry_va"))
+    calls, changed = D.part_calls(spark, sf_dir), p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(5).select(F.col("p_partkey").alias("entry_va"))
     # scores of an earlier state are stored once for a session and its tables, as an earlier run would have left them
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _STORED:
         _STORED[at] = graph.kept(ranking.scores(D.part_nodes(spark, sf_dir), calls, done(10)), "scores")
-    todo = ranking.to_rescore(calls, changed)
+    todo = graph.kept(ranking.to_rescore(calls, changed), "todo")
     return ranking.rescored(D.part_nodes(spark, sf_dir, todo), calls, done(20), _STORED[at], todo)
 
 
