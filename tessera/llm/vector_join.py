@@ -87,12 +87,14 @@ def _split(rows: pa.Table, pivots: pa.Table, radius: float) -> pa.Table:
     row, to = np.nonzero(goes)
     cell, core = rows.column("cell")[0].as_py(), rows.column("core").to_pylist()
     names = [f"{cell}/{q}" for q in range(len(centres))]
-    core = [c or (names[h] if inside else None) for c, h, inside in zip(core, home.tolist(), (np.sqrt(nearest) <= radius / 2 - ROOM).tolist(), strict=True)]
+    own = np.array(rows.column("own").to_pylist())
+    inside = own & (np.sqrt(nearest) <= radius / 2 - ROOM)
+    core = [c or (names[h] if within else None) for c, h, within in zip(core, home.tolist(), inside.tolist(), strict=True)]
     homes = [[*old, h] for old, h in zip(rows.column("homes").to_pylist(), home.tolist(), strict=True)]
     masks = [[*old, m] for old, m in zip(rows.column("masks").to_pylist(), masks.tolist(), strict=True)]
     new = {
         "cell": pa.array([names[q] for q in to.tolist()], pa.string()), "before": rows.column("size").take(row),
-        "own": pa.array(np.array(rows.column("own").to_pylist())[row] & (to == home[row])),
+        "own": pa.array(own[row] & (to == home[row])),
         "homes": pa.array(homes, pa.list_(pa.int32())).take(row), "masks": pa.array(masks, pa.list_(pa.int64())).take(row), "core": pa.array(core, pa.string()).take(row),
     }
     rows = rows.drop_columns(["salt", "size"])
