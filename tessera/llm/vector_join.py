@@ -26,8 +26,9 @@ from .common import stage, unstage
 from .components import connected_components
 from .vector_codes import usable
 
-#: A cell with more rows is split; a cell that can't be split is dealt out in blocks of so many rows.
-CELL_ROWS, BLOCK_ROWS = 1024, 4096
+#: A cell with more rows is split: comparing a row with so many others costs about as much as sending it to the few
+#: cells that splitting would.  A cell that can't be split is dealt out in blocks of so many rows.
+CELL_ROWS, BLOCK_ROWS = 4096, 4096
 #: At most so many pivots for a cell (a row keeps the cells that it goes to as bits of a long), chosen among so many rows.
 PIVOTS, SAMPLE_ROWS = 48, 1024
 #: Rows of one cell that a task splits at once.

@@ -155,7 +155,7 @@ def grouped(rows, least):
     return sorted(((i, links[k], low[find(k)], low[find(k)] is None or i == low[find(k)]) for k, (i, _, _) in enumerate(rows)), key=key), key
 
 
-@pytest.mark.parametrize(("least", "size", "block"), [(0.98, 8, 5), (0.9, 16, 4096), (0.8, 8, 4), (0.98, 1024, 4096)])
+@pytest.mark.parametrize(("least", "size", "block"), [(0.98, 8, 5), (0.9, 16, 4096), (0.8, 8, 4), (0.98, 4096, 4096)])
 def test_range_join_matches_all_pairs(spark, least, size, block):
     rng = np.random.default_rng(4)
     rows = []
