@@ -9,7 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import annotate, graph, metrics, ranking, reconcile, rules, typed_graph, unify
 from tessera.operators import status as reports
 from tessera.plans import derive as D
-from tessera.plans import details  # noqa: F401  registers its queries
+from tessera.plans import deeper, details  # noqa: F401  register their queries
 from tessera.plans.registry import QUERIES, Query, query
 from tessera.sources import exports, store
 
