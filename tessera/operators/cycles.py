@@ -1,9 +1,9 @@
 """Strongly connected components and the depth below each function of a graph with cycles.
 
 Peeling takes functions away from the leaves upwards (or from the roots downwards): those are on no cycle.  In what is left
-every node takes the smallest colour that reaches it; a node that keeps its own is the root of the component of all nodes of
+every node takes the largest colour that reaches it; a node that keeps its own is the root of the component of all nodes of
 its colour that reach it.  Edges between colours are on no cycle and go, and what has no component yet is peeled
-and coloured again.  Rounds append what they change to logs; a round reads the logs for the nodes that it touches.
+and coloured again.  Colours are ordered by hash, so a chain of components falls apart in about the logarithm of its length.  Rounds append what they change to logs; a round reads the logs for the nodes that it touches.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ def _peel(rounds: Rounds, steps: DataFrame, name: str) -> DataFrame:
     """``node, depth`` of the nodes of ``src, dst`` (distinct, no loops) that reach no cycle: the most steps below each."""
     open_ = rounds.keep(steps.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("open")), f"{name}-open")
     leaves = steps.select(F.col("dst").alias("node")).distinct().join(open_, "node", "left_anti")
-    settled = rounds.append(leaves.withColumn("depth", F.lit(0)), f"{name}-settled")
+    # a row says how many more of a node's callees are settled, how deep they are, and whether that settles the node
+    last = rounds.append(leaves.select("node", F.lit(0).cast("long").alias("n"), F.lit(0).alias("depth"), F.lit(True).alias("done")), name, "done")
     while rounds.grew:
-        told = steps.join(settled.select(F.col("node").alias("dst"), "depth"), "dst").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), (F.max("depth") + 1).alias("depth"))
-        told = rounds.append(told, f"{name}-told")
-        known = rounds.log(f"{name}-told").join(told.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("n").alias("n"), F.max("depth").alias("depth"))
-        settled = rounds.append(known.join(open_, "node").where("n = open").select("node", "depth"), f"{name}-settled")
-    return rounds.log(f"{name}-settled")
+        told = steps.join(last.where("done").select(F.col("node").alias("dst"), "depth"), "dst").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), (F.max("depth") + 1).alias("depth"))
+        before = rounds.log(name).groupBy("node").agg(F.sum("n").alias("had"), F.max("depth").alias("deep"))
+        known = told.join(before, "node", "left").join(open_, "node")
+        last = rounds.append(known.select("node", "n", F.greatest("depth", F.coalesce("deep", F.lit(0))).alias("depth"), (F.col("n") + F.coalesce("had", F.lit(0)) == F.col("open")).alias("done")), name, "done")
+    return rounds.log(name).where("done").select("node", "depth")
 
 
 def _within(steps: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -34,19 +35,19 @@ def _within(steps: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _colours(rounds: Rounds, steps: DataFrame, name: str) -> DataFrame:
-    """``node, colour``: the smallest node that reaches each, itself included."""
+    """``node, colour``: of the nodes that reach each, itself included, the one with the largest hash (``h, root``)."""
     nodes = steps.select(F.col("src").alias("node")).union(steps.select("dst")).distinct()
-    moved = rounds.append(nodes.withColumn("colour", F.col("node")), f"{name}-colours")
+    moved = rounds.append(nodes.withColumn("colour", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("root"))), f"{name}-colours")
     while rounds.grew:
-        told = moved.join(steps, moved["node"] == steps["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("colour"))
-        old = rounds.log(f"{name}-colours").groupBy("node").agg(F.min("colour").alias("old"))
-        moved = rounds.append(told.join(old, "node").where("colour < old").select("node", "colour"), f"{name}-colours")
-    return rounds.keep(rounds.log(f"{name}-colours").groupBy("node").agg(F.min("colour").alias("colour")), f"{name}-coloured")
+        told = moved.join(steps, moved["node"] == steps["src"]).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("colour"))
+        old = rounds.log(f"{name}-colours").groupBy("node").agg(F.max("colour").alias("old"))
+        moved = rounds.append(told.join(old, "node").where("colour > old").select("node", "colour"), f"{name}-colours")
+    return rounds.keep(rounds.log(f"{name}-colours").groupBy("node").agg(F.max("colour").alias("colour")), f"{name}-coloured")
 
 
 def _members(rounds: Rounds, steps: DataFrame, colours: DataFrame, name: str) -> DataFrame:
     """``node, component``: nodes that reach the root of their colour within it.  ``steps`` are within colours."""
-    found = rounds.append(colours.where("node = colour").select("node", F.col("colour").alias("component")), f"{name}-found")
+    found = rounds.append(colours.where("node = colour.root").select("node", F.col("node").alias("component")), f"{name}-found")
     while rounds.grew:
         back = steps.join(found.select(F.col("node").alias("dst"), "component"), "dst").select(F.col("src").alias("node"), "component").distinct()
         found = rounds.append(back.join(rounds.log(f"{name}-found"), "node", "left_anti"), f"{name}-found")
@@ -86,7 +87,8 @@ def strong_components(calls: DataFrame) -> DataFrame:
     """``entry_va, component`` for every function of ``calls`` (``entry_va, callee_va``): the smallest function of its
     strongly connected component.  Nulls are no functions; self calls and repeated calls change nothing."""
     with Rounds(calls.sparkSession, "components") as rounds:
-        found = _cyclic(rounds, rounds.keep(_steps(calls), "all"))
+        found = rounds.keep(_cyclic(rounds, rounds.keep(_steps(calls), "all")), "members")
+        found = found.join(found.groupBy("component").agg(F.min("node").alias("least")), "component").select("node", F.col("least").alias("component"))
         out = _nodes(calls).join(found, "node", "left").select(F.col("node").alias("entry_va"), F.coalesce("component", "node").alias("component"))
         return kept(out, "components")
 

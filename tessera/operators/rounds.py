@@ -35,11 +35,11 @@ class Rounds:
         """``df`` as a table of this round."""
         return kept(df, name, self.folder)
 
-    def append(self, df: DataFrame, log: str) -> DataFrame:
-        """``df`` added to a log; what was added, as a table.  ``grew`` says whether that was any row."""
+    def append(self, df: DataFrame, log: str, counts: str = "true") -> DataFrame:
+        """``df`` added to a log; what was added, as a table.  ``grew`` says whether that was any row that ``counts``."""
         self.schemas[log] = df.schema
         rows = Observation()
-        added = kept(df.observe(rows, F.count(F.lit(1)).alias("n")), "part", f"{self.folder}/{log}")
+        added = kept(df.observe(rows, F.count_if(F.expr(counts)).alias("n")), "part", f"{self.folder}/{log}")
         self.grew = bool(rows.get["n"])
         return added
 

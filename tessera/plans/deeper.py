@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators import cycles, graph, quota
+from tessera.functions import lenient_json
+from tessera.operators import cycles, drift, graph, quota, segments, selection, usage_trees
 from tessera.plans import derive as D
 from tessera.plans.registry import query
 
@@ -101,3 +102,111 @@ def first_deep_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 40 paths of 25 starts to a depth of 12 over all callees."""
     calls = D.part_calls(spark, sf_dir)
     return quota.first_paths(calls, D.busiest(calls, 25), 12, 40).select("start", "place", joined().alias("path"), "depth", "leaf")
+
+
+# ---- selection, segments and drift -----------------------------------------------------------
+
+
+_FRACTIONS = [0.0, 0.25, 0.5, 0.95, 0.999, 1.0]
+
+
+@query(f"WITH {D.RUNS}, v AS (SELECT sample, variant, 'wall_time_sec' AS name, wall AS v FROM runs UNION ALL SELECT sample, variant, 'total_tokens', tok FROM runs) "
+       + " UNION ALL ".join(f"SELECT sample, variant, name, CAST({q} AS DOUBLE) AS fraction, round(quantile_cont(v, {q}), 6) AS value FROM v GROUP BY 1, 2, 3" for q in _FRACTIONS))
+def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six percentiles of two numbers of every sample and variant."""
+    found = selection.percentiles(D.runs(spark, sf_dir), ["sample", "variant"], ["wall_time_sec", "total_tokens"], _FRACTIONS)
+    return found.withColumn("value", F.round("value", 6))
+
+
+@query("""WITH RECURSIVE i AS (SELECT doc_id, length(text) // 4 AS t, row_number() OVER (ORDER BY doc_id) - 1 AS p, coalesce(sum(length(text) // 4) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents),
+ n AS (SELECT a.p, least(a.p + 12, greatest(a.p + 2, coalesce(min(b.p) FILTER (b.before + b.t > a.before + 3000), a.p + 12))) AS e FROM i a JOIN i b ON b.p BETWEEN a.p AND a.p + 11 GROUP BY a.p),
+ s(p, batch) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT n.e, batch + 1 FROM s JOIN n ON n.p = s.p)
+ SELECT doc_id, max(batch) AS batch FROM i JOIN s ON s.p <= i.p GROUP BY doc_id""")
+def whole_table_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one group in batches of at most 12 and 3000 tokens, and of two at least."""
+    d = D.table(spark, sf_dir, "documents").select(F.lit(1).alias("one"), "doc_id", F.floor(F.length("text") / 4).alias("tokens"))
+    return segments.batches(d, "tokens", 3000, 12, "one", ["doc_id"], least=2).select("doc_id", "batch")
+
+
+def _later(li: DataFrame) -> DataFrame:
+    """A later state of line items: some gone, some with another quantity, some new."""
+    there = li.where("l_orderkey % 211 != 5").withColumn("l_quantity", F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 307 == 3, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    return there.unionByName(li.where("l_orderkey % 401 = 7").withColumn("l_linenumber", F.col("l_linenumber") + 10))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 211 = 5 THEN 'removed' ELSE 'changed' END AS change FROM lineitem WHERE l_orderkey % 211 = 5 OR (l_orderkey + l_linenumber) % 307 = 3
+ GROUP BY ALL UNION ALL SELECT DISTINCT l_orderkey, l_linenumber + 10, 'added' FROM lineitem WHERE l_orderkey % 401 = 7""")
+def drifted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items that differ between two states of the table."""
+    li = D.table(spark, sf_dir, "lineitem")
+    return drift.changed_rows(li, _later(li), ["l_orderkey", "l_linenumber"], li.columns)
+
+
+@query("""WITH a AS (SELECT 'stored' AS tree, count(*) AS rows FROM lineitem WHERE l_orderkey % 211 != 5 UNION ALL SELECT 'added', count(*) FROM lineitem WHERE l_orderkey % 401 = 7)
+ SELECT CAST(sum(rows) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS differing FROM a""")
+def kept_up_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums brought up to date from a change alone: their rows, and leaves that differ from sums made anew (none)."""
+    li = D.table(spark, sf_dir, "lineitem")
+    key, columns = ["l_orderkey", "l_linenumber"], li.columns
+    moved = (F.col("l_orderkey") + F.col("l_linenumber")) % 307 == 3
+    later = _later(li)
+    gone, come = li.where((F.col("l_orderkey") % 211 == 5) | moved), later.where(moved & (F.col("l_linenumber") <= 10) | (F.col("l_linenumber") > 10))
+    tree = graph.kept(drift.updated(drift.leaves(li, key, columns), gone, come, key, columns), "leaves")
+    apart = drift.differing_leaves(tree, drift.leaves(later, key, columns))
+    return tree.agg(F.sum("n").alias("rows")).crossJoin(apart.agg(F.count(F.lit(1)).alias("differing")))
+
+
+# ---- answers and reports ---------------------------------------------------------------------
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an analyst might answer: JSON alone, with reasoning before it, or amid prose with brackets of its own."""
+    c = D.table(spark, sf_dir, "conversations")
+    body = F.to_json(F.struct("conv_id", "turn", F.struct("role", F.array(F.col("turn"), F.col("turn") + 1).alias("near")).alias("of")))
+    kind = F.col("turn") % 6
+    text = F.when(kind == 0, body).when(kind == 1, F.concat(F.lit("<think>{\"turn\": 0}</think>\n"), body)).when(kind == 2, F.concat(F.lit("argument [0] of {x} means \"{\n"), body, F.lit("\n} done")))
+    text = text.when(kind == 3, F.concat(body, F.lit(" and more: [1, 2"))).when(kind == 4, F.concat(F.lit("[1, 2, [3]] then {\"a\": {"), body, F.lit("}"))).otherwise(F.concat(F.lit("none {here ["), F.col("role")))
+    return c.select("conv_id", "turn", text.alias("answer"))
+
+
+_JSON = "'{\"conv_id\":' || conv_id || ',\"of\":{\"near\":[' || turn || ',' || (turn + 1) || '],\"role\":\"' || role || '\"},\"turn\":' || turn || '}'"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN turn % 6 = 5 THEN NULL ELSE {_JSON} END AS object, CASE WHEN turn % 6 IN (0, 1, 3) THEN '[' || turn || ',' || (turn + 1) || ']' WHEN turn % 6 = 2 THEN '[0]' WHEN turn % 6 = 4 THEN '[1,2,[3]]' END AS array FROM conversations""")
+def answers_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The object and the array of every answer."""
+    found = lenient_json.json_values(_answers(spark, sf_dir), "answer", "object", "object")
+    found = lenient_json.json_values(found, "answer", "array", "array")
+    # names in one order, whoever read the text
+    named = F.from_json("object", "conv_id long, of struct<near: array<long>, role: string>, turn long")
+    return found.select("conv_id", "turn", F.to_json(named).alias("object"), F.when(F.col("array").startswith("["), F.col("array")).otherwise(F.to_json(F.variant_get(F.parse_json("array"), "$.of.near", "array<long>"))).alias("array"))
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for each order: steps nest as deep as an order has lines."""
+    li = D.table(spark, sf_dir, "lineitem")
+    number = lambda c: F.col(c).cast("bigint").cast("string")
+    order = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("q"))))
+    own = lambda x: F.concat(F.lit('{"usage": {"prompt_tokens": '), x["q"].cast("string"), F.lit(', "completion_tokens": "'), (x["q"] % 7).cast("string"), F.lit('"}, "usage_records": [{"usage": {"prompt_tokens": 1000}}], "next": '))
+    shadow = lambda x: F.concat(F.lit('{"token_usage": {"total_tokens": '), x["q"].cast("string"), F.lit('}, "steps": [{"usage": {"prompt_tokens": 500}}], "next": [1, '))
+    tree = F.aggregate("ls", F.lit("{}"), lambda acc, x: F.when(x["l_linenumber"] % 3 == 0, F.concat(shadow(x), acc, F.lit("]}"))).when(x["l_linenumber"] % 3 == 1, F.concat(own(x), acc, F.lit("}"))).otherwise(F.concat(F.lit('{"plain": [{"usage": {"other": 1}, "deep": '), acc, F.lit("}]}"))))
+    return li.groupBy("l_orderkey").agg(order.alias("ls")).select("l_orderkey", tree.alias("report"), number("l_orderkey").alias("name"))
+
+
+@query("""SELECT l_orderkey, CAST(sum(CASE WHEN l_linenumber % 3 = 1 THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS DOUBLE) AS prompt_tokens, CAST(sum(CASE WHEN l_linenumber % 3 = 1 THEN CAST(l_quantity AS BIGINT) % 7 ELSE 0 END) AS DOUBLE) AS completion_tokens,
+ CAST(sum(CASE WHEN l_linenumber % 3 = 1 THEN CAST(l_quantity AS BIGINT) + CAST(l_quantity AS BIGINT) % 7 WHEN l_linenumber % 3 = 0 THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS DOUBLE) AS total_tokens FROM lineitem WHERE l_linenumber % 3 <> 2 GROUP BY 1""")
+def usage_of_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token sums of every order's report, however deep it nests."""
+    return usage_trees.usage_sums(_reports(spark, sf_dir), ["l_orderkey"], "report").select("l_orderkey", "prompt_tokens", "completion_tokens", "total_tokens")
+
+
+@query("""SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"call":{"Api_Key":"<redacted>","part":{"p_name":"' || p_name || '","auth_token":"<redacted>"}},"parts":[{"p_size":' || p_size || ',"my_password":"<redacted>"}],"texts":{"brand":"' || p_brand || '","client_secret":"<redacted>"}}' AS report,
+ '{"brand":["' || p_brand || '",{"secret_key":"<redacted>","size":' || p_size || '}],"TOKEN":"<redacted>"}' AS answer FROM part""")
+def redacted_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested reports by their schema, and JSON answers by their own shape, without sensitive values."""
+    p = D.table(spark, sf_dir, "part")
+    call = F.struct(F.col("p_brand").alias("Api_Key"), F.struct("p_name", F.col("p_type").alias("auth_token")).alias("part")).alias("call")
+    nested = p.select("p_partkey", call, F.array(F.struct("p_size", F.col("p_name").alias("my_password"))).alias("parts"), F.create_map(F.lit("brand"), "p_brand", F.lit("client_secret"), "p_type").alias("texts"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    clean = usage_trees.redact(nested).select("p_partkey", F.to_json(F.struct("p_partkey", "call", "parts", "texts")).alias("report"), "brand", "size")
+    answer = F.concat(F.lit('{"brand": ["'), "brand", F.lit('", {"secret_key": {"a": [1]}, "size": '), F.col("size").cast("string"), F.lit('}], "TOKEN": 7}'))
+    return usage_trees.redacted_json(clean.select("p_partkey", "report", answer.alias("answer")), "answer")
