@@ -37,7 +37,7 @@ TEMPER, MOST_TEXT = 0.25, 30.0
 #: Share of declarations, and of addresses with a language, that are right.
 DECLARED_RIGHT, ADDRESS_RIGHT = 0.85, 0.8
 #: Documents' worth of parent prior that a host's own counts are smoothed with, at each level.
-SMOOTHING, LEVELS = 5.0, 5
+SMOOTHING = 5.0
 #: A document is accepted if it has a letter and its best outcome is a language with at least this probability.
 ACCEPT = 0.5
 #: Host tables of up to so many rows are broadcast.
@@ -146,32 +146,23 @@ def with_text_evidence(df: DataFrame, model: TextModel, text: Column, keep: list
     return source.mapInArrow(run, schema)
 
 
-def host_priors(by_host: DataFrame, n_languages: int, smoothing: float = SMOOTHING, levels: int = LEVELS) -> DataFrame:
+def host_priors(by_host: DataFrame, n_languages: int, smoothing: float = SMOOTHING) -> DataFrame:
     """``host, prior`` (array of log-probabilities) from ``host, counts`` (array of soft counts).
 
-    Every host's counts are added to each of its domains (``a.b.c``: ``c``, ``b.c``, ``a.b.c``);
+    Every host's counts are added to each of its domains (``a.b.c``: ``c``, ``b.c``, ``a.b.c``), however many it has;
     from the corpus downwards, each level's distribution is its own counts plus ``smoothing``
-    documents distributed like its parent.  Hosts deeper than ``levels`` hang off their last domain.
+    documents distributed like its parent.
     """
     n = n_languages
-    labels = F.split("host", r"\.")
-    depth = F.least(F.size(labels), F.lit(levels))
-    # element 0 is the corpus itself
-    domains = F.expr(f"transform(sequence(0, least(size(split(host, '[.]')), {levels})), d -> array_join(slice(split(host, '[.]'), -greatest(d, 1), greatest(d, 1)), '.'))")
-    node = by_host.select("host", "counts", F.posexplode(domains).alias("depth", "node"), (depth + 1).alias("own"))
-    node = node.withColumn("node", F.when(F.col("depth") == 0, "").otherwise(F.col("node")))
-    parent = F.when(F.col("depth") <= 1, "").otherwise(F.regexp_replace("node", r"^[^.]*\.", ""))
-    sums = node.select("node", "depth", parent.alias("parent"), *[F.col("counts")[k].alias(f"c{k}") for k in range(n)]).groupBy("node", "depth", "parent").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(n)])
-    sums = stage(sums, "domains")
-    total = sum(F.col(f"c{k}") for k in range(n))
-    done = sums.where("depth = 0").select("node", *[((F.col(f"c{k}") + 1.0) / (total + float(n))).alias(f"p{k}") for k in range(n)], F.lit(0).alias("depth"))
-    out = done
-    for d in range(1, levels + 1):
-        up = done.select(F.col("node").alias("parent"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(n)])
-        done = sums.where(F.col("depth") == d).join(up, "parent").select("node", *[((F.col(f"c{k}") + smoothing * F.col(f"q{k}")) / (total + smoothing)).alias(f"p{k}") for k in range(n)], "depth")
-        out = out.unionByName(done)
-    last = by_host.select("host", F.array_join(F.slice(labels, -depth, depth), ".").alias("node"), depth.alias("depth"))
-    return last.join(out, ["node", "depth"]).select("host", F.array(*[F.log(f"p{k}") for k in range(n)]).alias("prior"))
+    # element 0 is the corpus itself, which no domain can be called
+    domains = F.expr("concat(array('.'), transform(sequence(1, size(split(host, '[.]'))), d -> array_join(slice(split(host, '[.]'), -d, d), '.')))")
+    node = stage(by_host.select("host", "counts", F.posexplode(domains).alias("depth", "node")), "host-domains")
+    sums = node.groupBy("depth", "node").agg(F.array(*[F.sum(F.col("counts")[k]) for k in range(n)]).alias("c"))
+    of_host = node.select("host", "depth", "node").join(sums, ["depth", "node"]).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("depth", "c"))).alias("way"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    start = F.transform(F.array_repeat(F.lit(1.0 / n), n), lambda x: x)
+    level = lambda p, x: F.zip_with(x["c"], p, lambda c, q: (c + F.when(x["depth"] == 0, float(n)).otherwise(smoothing) * q) / (total(x["c"]) + F.when(x["depth"] == 0, float(n)).otherwise(smoothing)))
+    return of_host.select("host", F.transform(F.aggregate("way", start, level), lambda p: F.log(p)).alias("prior"))
 
 
 def _posterior(evidence: Column) -> Column:
@@ -194,14 +185,16 @@ def declared_language(column: Column) -> Column:
 
 
 def markup_language(html: Column) -> Column:
-    """What a page's root element declares, '' if nothing."""
-    return F.regexp_extract(html, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)""", 1)
+    """What a page's root element, the first of its kind, declares, '' if nothing."""
+    root = F.regexp_extract(html, r"(?i)<html\b([^>]*+)", 1)
+    return F.regexp_extract(root, r"""(?i)\blang\s*+=\s*+["']?([A-Za-z-]+)""", 1)
 
 
 def page_words(html: Column) -> Column:
-    """A page's words for its language: without scripts, styles, comments and tags (character references stay)."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)", " ")
-    return F.regexp_replace(bare, r"<[^>]*>|&[#\w]*;", " ")
+    """A page's words for its language: without scripts, styles, comments and tags (character references stay).
+    A tag that another one begins in is none."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(?:</\1\s*+>|\z)|<!--.*?(?:-->|\z)", " ")
+    return F.regexp_replace(bare, r"<[^<>]*+>|&[#\w]*+;", " ")
 
 
 def url_host(url: Column) -> Column:
@@ -210,13 +203,14 @@ def url_host(url: Column) -> Column:
 
 
 def address_language(url: Column, languages: tuple[str, ...] = LANGUAGES) -> Column:
-    """Language by the first path segment or query value that is a language, else by the host's
-    country suffix; null if neither tells."""
+    """Language by the first or second path segment, else by a query value (``lang``, ``hl``, ``locale``, ``language``),
+    else by the host's country suffix; null if none tells."""
     listed = "|".join(languages)
-    path = F.regexp_extract(url, rf"(?i)//[^/]+/(?:[^/]+/)?({listed})(?=[/?#.]|$)", 1)
+    path = F.regexp_extract(url, rf"(?i)//[^/]++/(?:[^/]++/)?({listed})(?=[/?#.]|$)", 1)
+    asked = F.regexp_extract(url, rf"(?i)[?&](?:lang|hl|locale|language)=({listed})(?![A-Za-z])", 1)
     suffix = F.lower(F.regexp_extract(url, r"(?i)//[^/?#]*?\.([a-z]{2})(?::\d+)?(?=[/?#]|$)", 1))
     country = F.coalesce(*[F.when(suffix == s, l) for s, l in SUFFIXES.items() if l in languages], F.lit(None).cast("string"))
-    return F.when(path != "", F.lower(path)).otherwise(country)
+    return F.when(path != "", F.lower(path)).when(asked != "", F.lower(asked)).otherwise(country)
 
 
 def identify(df: DataFrame, model: TextModel, text: Column, host: Column | None = None, declared: Column | None = None, url: Column | None = None, accept: float = ACCEPT, keep: list[str] | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -39,7 +39,9 @@ SENSITIVE = {
 }
 #: Lexed literals count from this score and this length.
 THRESHOLD, LEAST_LENGTH = 0.75, 6
-_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|none|null|true|false|undefined|example|placeholder|your[-_ ].*|<.*>|\$\{.*\}|\{\{.*\}\})$")
+#: Literals that stand for a secret: in full, or by how they begin and end.
+_PLACEHOLDER = re.compile(r"(?i:x+|\*+|\.+|changeme|none|null|true|false|undefined|example|placeholder)")
+_ENCLOSED = (("your-", ""), ("your_", ""), ("your ", ""), ("<", ">"), ("${", "}"), ("{{", "}}"))
 
 _NAME = r"[A-Za-z_$][\w$]*(?:(?:\.|->|::|-)[A-Za-z_$][\w$]*)*"
 _STRING = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`\n]*`'
@@ -48,8 +50,11 @@ _ATOM = rf"(?:{_STRING}|[A-Za-z0-9_$+/=.\-]+)"
 _OPERATOR = re.compile(r"(?:=>|:=|\?=|[:=])(?![=:/])")
 # a name, bare or quoted, from its end to its start, however long it and the space after it are
 _BACKWARDS = r"[\w$]*[A-Za-z_$](?:(?:\.|>-|::|-)[\w$]*[A-Za-z_$])*"
-_NAME_BACK = re.compile(rf"\s*(?:({_BACKWARDS})|\]?\s*[\"']({_BACKWARDS})[\"'])", re.A)
-_VALUE = re.compile(rf"[ \t]*({_ATOM}(?:[ \t]*[+.][ \t]*(?:{_STRING}|{_NAME}))*)", re.A)
+_NAME_BACK = re.compile(rf"\s*+(?:({_BACKWARDS})|(?:\]\s*+)?[\"']({_BACKWARDS})[\"'])", re.A)
+_BLANK = re.compile(r"[ \t]*+")
+_VALUE = re.compile(rf"({_ATOM})(?:[ \t]*[+.][ \t]*(?:{_STRING}|{_NAME}))*", re.A)
+# names and strings put together; a name is taken whole, as dots may also stand between names
+_TOGETHER = re.compile(rf"(?>{_NAME})(?:[ \t]*+[+.][ \t]*+(?>{_STRING}|{_NAME}))*+", re.A)
 _PART = re.compile(rf"({_STRING})|({_NAME})", re.A)
 _SETTER = re.compile(rf"\b(?:setenv|putenv|set|put|setProperty|define|export|addHeader|setHeader)\s*\(\s*[\"']({_NAME})[\"']\s*,\s*({_STRING}|{_NAME})", re.A)
 
@@ -80,17 +85,45 @@ def sensitivity(name: str) -> float:
     return max((SENSITIVE.get(w, 0.0) for w in name_parts(name)), default=0.0)
 
 
-def entropy(s: str) -> float:
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
+def entropy(counts: Counter, n: int) -> float:
+    """Bits a character of a text of ``n`` characters."""
+    return -sum(c / n * math.log2(c / n) for c in counts.values() if c) if n else 0.0
 
 
-def score(name: str, literal: str) -> float:
-    """Sensitivity of the name plus up to 0.4 for a literal of many different characters."""
-    if len(literal) < LEAST_LENGTH or _PLACEHOLDER.match(literal):
+def is_placeholder(text: str, start: int, end: int) -> bool:
+    if _PLACEHOLDER.fullmatch(text, start, end):
+        return True
+    head, tail = text[start : min(end, start + 5)].lower(), text[max(start, end - 2) : end]
+    return any(head.startswith(a) and tail.endswith(b) and end - start >= len(a) + len(b) for a, b in _ENCLOSED)
+
+
+def score(name: str, text: str, start: int, end: int, looks: dict[tuple[int, int], tuple[float, bool]]) -> float:
+    """Sensitivity of the name plus up to 0.4 for a literal ``text[start:end]`` of many different characters.
+    ``looks`` has the entropies that are known already, and whether there is a blank."""
+    if end - start < LEAST_LENGTH or is_placeholder(text, start, end):
         return 0.0
     weight = sensitivity(name)
-    return weight + min(0.4, entropy(literal) / 10) - (0.3 if " " in literal else 0.0) if weight else 0.0
+    if not weight:
+        return 0.0
+    if (start, end) not in looks:
+        counts = Counter(text[start:end])
+        looks[start, end] = entropy(counts, end - start), " " in counts
+    bits, blank = looks[start, end]
+    return weight + min(0.4, bits / 10) - (0.3 if blank else 0.0)
+
+
+def shared_looks(text: str, spans: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[float, bool]]:
+    """Entropies of spans that end together, from the shortest on: each adds the characters before the last one's."""
+    out, by_end = {}, {}
+    for a, b in spans:
+        by_end.setdefault(b, []).append(a)
+    for b, starts in by_end.items():
+        if len(starts) > 1:
+            counts, at = Counter(), b
+            for a in sorted(starts, reverse=True):
+                counts.update(text[a:at])
+                out[a, b], at = (entropy(counts, b - a), " " in counts), a
+    return out
 
 
 def assignments(text: str) -> list[tuple[str, list[tuple[int, int] | int]]]:
@@ -99,25 +132,30 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int] | int]]]:
     if "=" not in text and ":" not in text and "(" not in text:
         return []
     found: list[tuple[int, str, int, int]] = []
-    back = None
+    back, run, run_end, value_end = None, 0, 0, 0
     for m in _OPERATOR.finditer(text):
-        at = m.start()
-        value = _VALUE.match(text, m.end())
-        if value:
-            back = text[::-1] if back is None else back
-            if target := _NAME_BACK.match(back, len(text) - at):
-                found.append((at, (target[1] or target[2])[::-1], value.start(1), value.end(1)))
+        at, start = m.start(), _BLANK.match(text, m.end()).end()
+        if run <= start < run_end:  # within the unquoted run of the last value, so it ends where that does
+            end = value_end
+        elif value := _VALUE.match(text, start):
+            end = value.end()
+            if text[start] not in "\"'`":
+                run, run_end, value_end = start, value.end(1), end
+        else:
+            continue
+        back = text[::-1] if back is None else back
+        if target := _NAME_BACK.match(back, len(text) - at):
+            found.append((at, (target[1] or target[2])[::-1], start, end))
     if "(" in text:
         found += [(m.start(), m[1], m.start(2), m.end(2)) for m in _SETTER.finditer(text)]
     known: dict[str, int] = {}
     out: list[tuple[str, list[tuple[int, int] | int]]] = []
     for _, name, start, end in sorted(found):
         parts: list[tuple[int, int] | int] = []
-        raw = text[start:end]
-        if raw[0] in "\"'`" or re.fullmatch(rf"{_NAME}(?:[ \t]*[+.][ \t]*(?:{_STRING}|{_NAME}))*", raw, re.A):
-            for p in _PART.finditer(raw):
+        if text[start] in "\"'`" or _TOGETHER.fullmatch(text, start, end):
+            for p in _PART.finditer(text, start, end):
                 if p[1]:
-                    parts.append((start + p.start() + 1, start + p.end() - 1))
+                    parts.append((p.start() + 1, p.end() - 1))
                 elif p[2] in known:
                     parts.append(known[p[2]])
         known[name] = len(out)
@@ -130,6 +168,7 @@ def lexed_spans(text: str) -> list[Span]:
     found = assignments(text)
     weights = {i: w for i, (name, _) in enumerate(found) if (w := sensitivity(name))}
     out, visited = set(), set()
+    looks = shared_looks(text, [p for _, parts in found for p in parts if not isinstance(p, int)])
     # most sensitive names first: what one of them reaches can't score more under a later one
     for i in sorted(weights, key=lambda i: -weights[i]):
         name, left = found[i][0], [i]
@@ -141,7 +180,7 @@ def lexed_spans(text: str) -> list[Span]:
             for part in found[k][1]:
                 if isinstance(part, int):
                     left.append(part)
-                elif score(name, text[part[0] : part[1]]) >= THRESHOLD:
+                elif score(name, text, *part, looks) >= THRESHOLD:
                     out.add((*part, "lexed"))
     return sorted(out, key=_order)
 

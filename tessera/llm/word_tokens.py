@@ -16,7 +16,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Entries kept of each table's young half; a full one becomes the old half, and the old one goes.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES, LONGEST_KEPT = 350_000, 200
 _PIECES = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}']+")
 #: UTF-8 bytes as the vocabulary spells them: printable Latin-1 as it is, the rest from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -34,7 +34,8 @@ class _Memory(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if len(key) <= LONGEST_KEPT:
+            self[key] = value
         return value
 
     def trim(self) -> None:

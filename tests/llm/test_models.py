@@ -123,7 +123,7 @@ def test_host_priors_match_the_formula(spark):
     for host, _ in rows:
         labels = host.split(".")
         p = top
-        for d in range(1, min(len(labels), 5) + 1):
+        for d in range(1, len(labels) + 1):
             name = ".".join(labels[-d:])
             own = np.sum([c for h, c in rows if h == name or ("." + h).endswith("." + name) and name] or [[0.0, 0.0]], axis=0)
             p = (own + 5 * p) / (own.sum() + 5)
@@ -150,7 +150,7 @@ def brute_language(rows, model):
 
     def prior(host):
         p, labels = top, host.split(".")
-        for d in range(1, min(len(labels), language_id.LEVELS) + 1):
+        for d in range(1, len(labels) + 1):
             name = ".".join(labels[-d:])
             own = sum((s for s, h in zip(soft, hosts, strict=True) if ("." + h).endswith("." + name)), np.zeros(len(outcomes)))
             p = (own + language_id.SMOOTHING * p) / (own.sum() + language_id.SMOOTHING)
@@ -202,13 +202,22 @@ def test_language_edge_cases(make, edge, documents):
 
 
 def test_declared_and_addressed_languages(spark):
-    rows = [("https://x.de/", "de"), ("https://x.com/fr/a", "fr"), ("https://x.es:80/en?x", "en"), ("https://x.com/den", None), (None, None), ("https://x.co/", "es")]
+    rows = [("https://x.de/", "de"), ("https://x.com/fr/a", "fr"), ("https://x.es:80/en?x", "en"), ("https://x.com/den", None), (None, None), ("https://x.co/", "es"), ("https://x.com/a?lang=de", "de"), ("https://x.de/a?q=1&hl=FR#x", "fr"), ("https://x.com/?lang=den", None)]
     got = spark.createDataFrame(rows, "url string, want string").select("want", language_id.address_language(F.col("url")).alias("got")).collect()
     assert [r["got"] for r in got] == [r["want"] for r in got]
     page = spark.createDataFrame([('<HTML class=x lang="de-AT"><p lang=fr>',), ("<p>",), (None,)], "html string").select(language_id.declared_language(language_id.markup_language(F.col("html"))).alias("l")).collect()
     assert [r["l"] for r in page] == ["de", "", None]
 
 
+@pytest.mark.parametrize("unit", ["<", "<html ", "<html lang", "<script ", "<!--", "</script ", "&a", "<a href='", "lang =", "<html>", "&", "<style></style"])
+def test_long_pages_take_time_in_proportion(spark, unit):
+    page = unit * (1_000_000 // len(unit))
+    df = spark.createDataFrame([(page,)], "html string")
+    began = time.perf_counter()
+    df.select(F.length(language_id.page_words(F.col("html"))), language_id.markup_language(F.col("html")), language_id.address_language(F.col("html"))).collect()
+    assert time.perf_counter() - began < 10
+
+
 def test_evidence_outweighs_a_wrong_declaration(make, documents):
     model = language_id.train(documents)
     text = documents.where("lang = 'de' and length(text) > 400").first()["text"]

@@ -1,5 +1,6 @@
 """Secrets of many parts, and target names far from their operators."""
 
+import random
 import time
 
 import pytest
@@ -50,3 +51,33 @@ def test_many_secrets_take_time_in_proportion():
     began = time.perf_counter()
     assert len(secret_scan.scan(text)[1]) > 30_000
     assert time.perf_counter() - began < 30
+
+
+@pytest.mark.parametrize("unit", [" ", "\t", "\n", "a=b.", "a=", "token=", "password=your-", "a.", "a.b=", "a::", "=\"", "='\\\"", "x + ", "k = k + 'a'\n", "set(", "]'", "token = token=", "a-b:", "`=", "${a}="])
+def test_hostile_texts_take_time_in_proportion(unit):
+    for text in (unit * (1_000_000 // len(unit)) + ":x", "x = " + unit * (1_000_000 // len(unit)) + "="):
+        began = time.perf_counter()
+        secret_scan.scan(text)
+        assert time.perf_counter() - began < 20
+
+
+def plain_assignments(text):
+    """The same values, each read for itself from its operator on."""
+    out = []
+    for m in secret_scan._OPERATOR.finditer(text):
+        value = secret_scan._VALUE.match(text, secret_scan._BLANK.match(text, m.end()).end())
+        target = value and secret_scan._NAME_BACK.match(text[::-1], len(text) - m.start())
+        if target:
+            out.append((m.start(), (target[1] or target[2])[::-1], value.start(), value.end()))
+    return out
+
+
+def test_values_within_a_run_are_read_like_any_other():
+    rng = random.Random(9)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "token", "=", ":", ".", " ", "+", "'", '"', "x9_", "\n", "->", "]", "-"]) for _ in range(rng.randint(2, 25)))
+        got = secret_scan.assignments(text)
+        want = sorted(plain_assignments(text))
+        assert [name for name, _ in got] == [name for _, name, _, _ in want], text
+        whole = [(a, b) for _, _, a, b in want]
+        assert all(part == span for (_, parts), span in zip(got, whole, strict=True) for part in parts if not isinstance(part, int) and part[0] == span[0]), text
