@@ -152,7 +152,7 @@ def validated(status: DataFrame, verdicts: DataFrame) -> DataFrame:
     v = verdicts.where(F.upper("action").isin("RENAME", "CONFIRM")).select("function_id", "note")
     j = status.join(v, "function_id", "left").withColumn("hit", F.col("note").isNotNull())
     summary = F.coalesce("semantic_summary", F.lit(""))
-    added = F.when(F.col("hit") & ~summary.contains(F.col("note")), F.trim(F.concat(summary, F.lit("\n"), F.col("note")))).otherwise(F.col("semantic_summary"))
+    added = F.when(F.col("hit") & ~summary.contains(F.col("note")), F.btrim(F.concat(summary, F.lit("\n"), F.col("note")), F.lit(" \t\r\n"))).otherwise(F.col("semantic_summary"))
     return j.withColumns({"semantic_summary": added, "analysis_state": F.when(F.col("hit"), "LOCKED").otherwise(F.col("analysis_state"))}).select(*status.columns)
 
 

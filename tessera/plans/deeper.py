@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import lenient_json
-from tessera.operators import cycles, drift, graph, quota, segments, selection, usage_trees
+from tessera.operators import cycles, drift, graph, quota, segments, selection, usage_trees, waves
 from tessera.plans import derive as D
 from tessera.plans.registry import query
+from tessera.sources import store
 
 
 def joined(path: str = "path"):
@@ -210,3 +213,51 @@ def redacted_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = usage_trees.redact(nested).select("p_partkey", F.to_json(F.struct("p_partkey", "call", "parts", "texts")).alias("report"), "brand", "size")
     answer = F.concat(F.lit('{"brand": ["'), "brand", F.lit('", {"secret_key": {"a": [1]}, "size": '), F.col("size").cast("string"), F.lit('}], "TOKEN": 7}'))
     return usage_trees.redacted_json(clean.select("p_partkey", "report", answer.alias("answer")), "answer")
+
+
+# ---- waves and generations -------------------------------------------------------------------
+
+
+def new_store(spark: SparkSession, name: str) -> store.Store:
+    return store.Store(spark, f"{graph.shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+def _analyst(asked: DataFrame) -> DataFrame:
+    """A stand-in with a fixed rule; some functions it can't judge."""
+    v = F.col("entry_va")
+    return asked.where(v % 13 != 1).select("entry_va", F.when(v % 3 == 0, "RENAME").when(v % 3 == 1, "CONFIRM").otherwise("REJECT").alias("action"), F.concat(F.lit("checked "), v.cast("string")).alias("note"), (v * 7 % 100 / 100.0).alias("confidence"))
+
+
+_WAVES = f"""{D.ORDER_CALLS}, nf AS (SELECT DISTINCT v, v % 4 <> 3 AS waits, v % 11 = 5 AS held, v % 13 <> 1 AS judged, (v * 7 % 100) / 100.0 AS conf FROM (SELECT entry_va AS v FROM ocalls UNION SELECT callee_va FROM ocalls)),
+ op AS (SELECT v, waits AND held AS from_locked, CASE WHEN waits AND held THEN 0.9 ELSE conf END AS conf FROM nf WHERE waits AND (held OR (judged AND conf > 0.6))),
+ eg AS (SELECT o.v AS a, callee_va AS b, o.conf FROM op o JOIN ocalls ON entry_va = o.v JOIN nf t ON t.v = callee_va WHERE t.waits OR NOT from_locked),
+ lv(v, wave) AS (SELECT v, 0 FROM {D.busiest_sql(10)} UNION SELECT b, wave + 1 FROM lv JOIN eg ON a = v WHERE wave < 30),
+ fw AS (SELECT v, min(wave) AS wave FROM lv GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {_WAVES}, pr AS (SELECT b AS v, y.wave, max(conf) * 100 AS priority FROM fw x JOIN eg ON a = x.v JOIN fw y ON y.v = b AND y.wave = x.wave + 1 GROUP BY 1, 2)
+ SELECT fw.wave, fw.v AS entry_va, round(CAST(coalesce(priority, 100.0) AS DOUBLE), 4) AS priority, CASE WHEN NOT waits THEN 'skipped' WHEN held THEN 'locked' WHEN judged THEN 'validated' ELSE 'failed' END AS outcome,
+ CASE WHEN waits AND NOT held AND judged THEN CASE fw.v % 3 WHEN 0 THEN 'RENAME' WHEN 1 THEN 'CONFIRM' ELSE 'REJECT' END END AS action
+ FROM fw JOIN nf USING (v) LEFT JOIN pr ON pr.v = fw.v AND pr.wave = fw.wave""")
+def validation_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation from ten entries on, stopped after its first wave and gone on with."""
+    calls = D.order_calls(spark, sf_dir)
+    nodes = graph.kept(calls.select("entry_va").union(calls.select("callee_va")).distinct(), "nodes")
+    pending, held, entries = nodes.where("entry_va % 4 != 3"), nodes.where("entry_va % 11 = 5"), D.busiest(calls, 10)
+    kept = new_store(spark, "waves")
+    waves.validate(kept, entries, pending, held, calls, _analyst, most_waves=1)
+    met = waves.validate(kept, entries, pending, held, calls, _analyst)
+    return met.select("wave", "entry_va", F.round("priority", 4).alias("priority"), "outcome", "action")
+
+
+@query()
+def goal_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve goals in up to three generations each, stopped after the first and gone on with."""
+    calls = D.order_calls(spark, sf_dir)
+    e = graph.mixed_edges(calls, D.brand_strings(spark, sf_dir)).select("a", "b", graph.edge_cost(F.col("kinds")).alias("cost"))
+    p = D.table(spark, sf_dir, "part")
+    facts = p.select(F.col("p_partkey").alias("entry_va"), F.array("p_name").alias("names"), F.col("p_size").alias("tokens"), (F.col("p_size") % 9).alias("richness"))
+    goals = D.busiest(calls, 12, "callee_va").withColumn("most", (F.col("entry_va") % 3 + 1).cast("int"))
+    kept, e = new_store(spark, "generations"), graph.kept(e, "mixed")
+    waves.generations(kept, goals, calls, e, facts, most_steps=1)
+    return waves.generations(kept, goals, calls, e, facts)

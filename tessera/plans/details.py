@@ -214,12 +214,11 @@ def applied_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.applied(status, results).select("function_id", "analysis_state", "confidence_score")
 
 
-@query(f"""WITH {D.STATUS} SELECT function_id, CASE WHEN function_id % 4 < 2 THEN 'LOCKED' ELSE analysis_state END AS analysis_state, CASE WHEN function_id % 4 < 2 THEN trim(coalesce(semantic_summary, '') || chr(10) || 'checked') ELSE semantic_summary END AS semantic_summary FROM st""")
+@query(f"""WITH {D.STATUS} SELECT function_id, CASE WHEN function_id % 4 < 2 THEN 'LOCKED' ELSE analysis_state END AS analysis_state, CASE WHEN function_id % 4 < 2 THEN trim(coalesce(semantic_summary, '') || chr(10) || 'checked', ' ' || chr(9) || chr(10) || chr(13)) ELSE semantic_summary END AS semantic_summary FROM st""")
 def validated_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = D.program(spark, sf_dir)["status"]
     k = F.col("function_id") % 4
     verdicts = status.select("function_id", F.when(k == 0, "Confirm").when(k == 1, "RENAME").otherwise("reject").alias("action"), F.lit("checked").alias("note"))
-    # a summary that was null and got a note starts with a line feed, which trims like a space in neither engine
     return reconcile.validated(status, verdicts).select("function_id", "analysis_state", "semantic_summary")
 
 
