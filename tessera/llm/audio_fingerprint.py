@@ -69,7 +69,10 @@ def pcm_frames(samples: np.ndarray, sample_rate: int = 11025, size: int = 4096,
 
 
 def fingerprint(frames: np.ndarray) -> np.ndarray:
-    """One packed integer for each frame that starts a whole window."""
+    """One packed integer for each frame that starts a whole window.  A recording shorter than a window is played
+    again and again until it fills as many windows as a stretch needs, so it is found by its equals and nearly equals."""
+    if 0 < len(frames) < WINDOW:
+        frames = frames[np.arange(WINDOW + MIN_OVERLAP - 1) % len(frames)]
     n = len(frames) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint32)
@@ -256,8 +259,8 @@ def align(df: DataFrame, id_col: str = "doc_id", source_col: str = "text", frame
     """``query_id, match_id, offset, votes, overlap, bit_error`` of the stated queries against every
     row of ``df``, itself aside.  Queries of one fingerprint appear as the smallest identifier among them.
 
-    ``frames`` turns a source value into pitch-class frames.  Null sources are silent; recordings
-    under a window have no integers and match nothing.  Null identifiers are no query and match
+    ``frames`` turns a source value into pitch-class frames.  Null sources are silent and, like those
+    without a frame, match nothing; recordings under a window are searched as loops.  Null identifiers are no query and match
     nothing.  Repeated rows each match.  Other columns are ignored.  No query gives an empty result.
     """
 
@@ -277,7 +280,8 @@ def linked(df: DataFrame, id_col: str = "doc_id", source_col: str = "text", fram
     ``class_id`` is the smallest identifier of equal fingerprints, its own for a row without
     integers.  ``n_links`` counts the stated queries, itself aside, that align with the row; the best of
     them has the fewest bits wrong, then the longest stretch, then the smallest identifier; queries of
-    equal fingerprints appear as the smallest among them, to that one itself as the largest.  Null sources are silent and rows under a window have no integers: no links.  Rows
+    equal fingerprints appear as the smallest among them, to that one itself as the largest.  Null sources and those without a frame are silent: no links.  Rows under a window are
+    searched as loops.  Rows
     that repeat an identifier have a row each; a null identifier is no query but is searched.  Ties
     and repeated rows change nothing; other columns are ignored; an empty table gives an empty result.
     Fingerprints are held equal by a 128-bit digest.
