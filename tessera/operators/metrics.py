@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import selection
 
 
 def _six(c: Column) -> Column:
@@ -15,17 +16,22 @@ def _six(c: Column) -> Column:
 
 def summarise(results: DataFrame, metrics: list[str], stable: list[str]) -> DataFrame:
     """One row per ``sample, variant``: outcome counts and rates, and of each metric mean, median,
-    95th percentile, maximum and sum over successful runs; of stable ones deviation and variation."""
+    95th percentile, maximum and sum over successful runs; of stable ones deviation and variation.  There are few samples
+    and variants however many runs there are, so percentiles come from ``selection``, not from a group in one task."""
     ok = (F.col("status") == "ok") & (F.col("report_status") == "ok")
     finite = lambda m: F.when(ok & ~F.isnan(F.col(m).cast("double")) & (F.abs(F.col(m).cast("double")) != float("inf")), F.col(m).cast("double"))
     aggs = [F.count(F.lit(1)).alias("runs"), F.count_if(ok).alias("successes"), *[F.count_if(F.col("status") == s).alias(n) for s, n in (("timeout", "timeouts"), ("interrupted", "interruptions"), ("runner_error", "runner_errors"))]]
     for m in metrics:
         v = finite(m)
-        aggs += [_six(F.avg(v)).alias(f"{m}_mean"), _six(F.percentile(v, 0.5)).alias(f"{m}_p50"), _six(F.percentile(v, 0.95)).alias(f"{m}_p95"), _six(F.max(v)).alias(f"{m}_max"), _six(F.sum(v)).alias(f"{m}_sum")]
+        aggs += [_six(F.avg(v)).alias(f"{m}_mean"), _six(F.max(v)).alias(f"{m}_max"), _six(F.sum(v)).alias(f"{m}_sum")]
     for m in stable:
         v = finite(m)
         aggs += [_six(F.when(F.count(v) >= 2, F.stddev_pop(v))).alias(f"{m}_stdev"), _six(F.when(F.count(v) >= 2, F.try_divide(F.stddev_pop(v), F.avg(v)))).alias(f"{m}_cv")]
     out = results.groupBy("sample", "variant").agg(*aggs)
+    ranks = selection.percentiles(results.select("sample", "variant", *[finite(m).alias(m) for m in metrics]), ["sample", "variant"], metrics, [0.5, 0.95])
+    at = lambda m, q: _six(F.max(F.when((F.col("name") == m) & (F.col("fraction") == q), F.col("value")))).alias(f"{m}_p{round(100 * q)}")
+    ranks = ranks.groupBy(F.col("sample").alias("of_sample"), F.col("variant").alias("of_variant")).agg(*[at(m, q) for m in metrics for q in (0.5, 0.95)])
+    out = out.join(ranks, F.col("sample").eqNullSafe(F.col("of_sample")) & F.col("variant").eqNullSafe(F.col("of_variant")), "left").drop("of_sample", "of_variant")
     return out.withColumns({
         "failures": F.col("runs") - F.col("successes") - F.col("timeouts") - F.col("interruptions") - F.col("runner_errors"), "success_rate": F.col("successes") / F.col("runs"),
         "timeout_rate": F.col("timeouts") / F.col("runs"), "failure_rate": (F.col("runs") - F.col("successes")) / F.col("runs")})

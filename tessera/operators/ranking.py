@@ -6,11 +6,14 @@ counts instead) and ``instr_count``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.store import Store
 
 # Keywords that make a function worth a goal, and what each counts.
 SIGNALS = {
@@ -58,6 +61,15 @@ def scores(nodes: DataFrame, calls: DataFrame, analysed: DataFrame) -> DataFrame
     return j.select("entry_va", priority(size("external_callees"), size("string_refs"), size("callees"), size("callers"), F.col("instr_count"), F.coalesce("analysed", F.lit(0))).alias("score"))
 
 
+def stored_scores(store: Store, version: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Scores kept in a store for one version of their inputs, which the caller names; made and kept where
+    that version has none.  Scores of other versions aren't looked at."""
+    name = f"scores_{version}"
+    if not store.exists(name):
+        store.replace(name, make())
+    return store.read(name)
+
+
 def to_rescore(calls: DataFrame, changed: DataFrame) -> DataFrame:
     """``entry_va`` of the changed functions and of their callers."""
     callers = calls.join(changed.select(F.col("entry_va").alias("callee_va")), "callee_va", "left_semi").select("entry_va")

@@ -13,8 +13,6 @@ from tessera.plans import deeper, details  # noqa: F401  register their queries
 from tessera.plans.registry import QUERIES, Query, query
 from tessera.sources import exports, store
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
-
 
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in QUERIES.items()}
@@ -155,12 +153,10 @@ def incremental_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = D.table(spark, sf_dir, "part")
     done = lambda n: p.where(F.col("p_size") <= n).select(F.col("p_partkey").alias("entry_va"))
     calls, changed = D.part_calls(spark, sf_dir), p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(5).select(F.col("p_partkey").alias("entry_va"))
-    # scores of an earlier state are stored once for a session and its tables, as an earlier run would have left them
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _STORED:
-        _STORED[at] = graph.kept(ranking.scores(D.part_nodes(spark, sf_dir), calls, done(10)), "scores")
+    kept = deeper.new_store(spark, "scores")
+    old = ranking.stored_scores(kept, "10", lambda: ranking.scores(D.part_nodes(spark, sf_dir), calls, done(10)))
     todo = graph.kept(ranking.to_rescore(calls, changed), "todo")
-    return ranking.rescored(D.part_nodes(spark, sf_dir, todo), calls, done(20), _STORED[at], todo)
+    return ranking.rescored(D.part_nodes(spark, sf_dir, todo), calls, done(20), old, todo)
 
 
 def _richness_sql() -> str:
