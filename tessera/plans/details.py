@@ -26,20 +26,20 @@ def _csv(df: DataFrame, name: str) -> str:
     return path
 
 
-def _files(spark: SparkSession, name: str, texts: dict[str, str]) -> str:
-    """A folder of a few small files by name, written through the cluster's file system."""
-    path = _folder(spark, name)
-    jvm = spark._jvm
-    for file, text in texts.items():
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{file}")
-        out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
-        out.write(bytearray(text.encode()))
-        out.close()
+def _spread(df: DataFrame) -> DataFrame:
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "file")
+
+
+def _files(df: DataFrame, name: str) -> str:
+    """A folder of one small file for each row (``file, value``), written by Spark under the file's name."""
+    path = _folder(df.sparkSession, name)
+    _spread(df).write.partitionBy("file").text(path)
     return path
 
 
-def _nations(spark: SparkSession, sf_dir: str) -> list:
-    return D.table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows at every size
+def _joined(*parts: Column | str) -> Column:
+    """Columns and, as plain strings, what stands between them."""
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
 
 
 _HEX = "'0x' || lpad(hex({}), 8, '0')"
@@ -86,53 +86,62 @@ def read_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.read_strings(spark, _csv(rows, "strings"), 2).select("value", "address_va", "length")
 
 
-@query("""SELECT CAST(n_regionkey * 4096 + k - 256 AS BIGINT) AS src_va, CAST(n_nationkey * 65536 + 4096 - 256 AS BIGINT) AS dst_va, 'fn' || n_nationkey AS dst_name, CASE WHEN k % 2 = 0 THEN 'UNCONDITIONAL_CALL' ELSE 'READ' END AS ref_type_raw, 'inside' || k AS containing_function, CAST(k % 2 AS INTEGER) AS is_primary FROM nation, range(4) t(k)""")
+@query("""SELECT CAST(l_orderkey * 16 - 256 AS BIGINT) AS src_va, CAST(l_suppkey * 65536 + 4096 - 256 AS BIGINT) AS dst_va, 'fn' || l_suppkey AS dst_name, CASE WHEN l_linenumber % 2 = 0 THEN 'UNCONDITIONAL_CALL' ELSE 'READ' END AS ref_type_raw, 'inside' || l_partkey AS containing_function, CAST(l_linenumber % 2 AS INTEGER) AS is_primary FROM lineitem""")
 def read_xrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = {}
-    for r in _nations(spark, sf_dir):
-        rows = "".join(f"0x{r['n_regionkey'] * 4096 + k:X},{'READ' if k % 2 else 'UNCONDITIONAL_CALL'},inside{k},{k % 2}\n" for k in range(4))
-        files[f"prog_{r['n_nationkey'] * 65536 + 4096:08x}_fn{r['n_nationkey']}_refs.csv"] = "Reference From Address,Reference Type,Containing Function,Primary Ref\n" + rows
-    return exports.read_xrefs(spark, _files(spark, "xrefs", files), 1, 256).select("src_va", "dst_va", "dst_name", "ref_type_raw", "containing_function", "is_primary")
+    li = D.table(spark, sf_dir, "lineitem")
+    odd = F.col("l_linenumber") % 2
+    rows = li.select(
+        _joined("prog_", F.lower(F.lpad(F.hex(F.col("l_suppkey") * 65536 + 4096), 8, "0")), "_fn", F.col("l_suppkey"), "_refs.csv").alias("file"), _joined("0x", F.hex(F.col("l_orderkey") * 16)).alias("Reference From Address"),
+        F.when(odd == 1, "READ").otherwise("UNCONDITIONAL_CALL").alias("Reference Type"), _joined("inside", F.col("l_partkey")).alias("Containing Function"), odd.alias("Primary Ref"))
+    path = _folder(spark, "xrefs")
+    _spread(rows).write.partitionBy("file").option("header", True).csv(path)
+    return exports.read_xrefs(spark, path, 1, 256).select("src_va", "dst_va", "dst_name", "ref_type_raw", "containing_function", "is_primary")
 
 
 def _assembly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    files = {}
-    for r in _nations(spark, sf_dir):
-        va = (r["n_nationkey"] + 1) * 4096
-        head = f"; Function: {r['n_name'].lower()}\n; Address: 0x{va:X}\n" if r["n_nationkey"] % 2 else "; a note\n"
-        files[f"{va:08x}_{r['n_name']}.asm"] = head + "".join(f"{va + k:08X}  mov  eax, {k} ; B8 {k:02X} 00\n" for k in range(5)) + f"{va + 5:08X}  ret\n\n; end\n"
-    return exports.read_assembly(spark, _files(spark, "disassembly", files), 1, 4096)
+    """A file for each part, with as many instructions as its size says; those of even keys have no header to go by."""
+    k, va = F.col("p_partkey"), (F.col("p_partkey") + 1) * 4096
+    line = lambda i: _joined(F.lpad(F.hex(va + i), 8, "0"), "  mov  eax, ", i, " ; B8 ", F.lpad(F.hex(i.cast("long")), 2, "0"), " 00\n")
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") - 1), line), "")
+    head = F.when(k % 2 == 1, _joined("; Function: name_", k, "\n; Address: 0x", F.hex(va), "\n")).otherwise("; a note\n")
+    text = _joined(head, body, F.lpad(F.hex(va + F.col("p_size")), 8, "0"), "  ret\n\n; end\n")
+    files = D.table(spark, sf_dir, "part").select(_joined(F.lower(F.lpad(F.hex(va), 8, "0")), "_part", k, ".asm").alias("file"), text.alias("value"))
+    return exports.read_assembly(spark, _files(files, "disassembly"), 1, 4096)
 
 
-@query("""SELECT CAST(n_nationkey * 4096 AS BIGINT) AS entry_va, CASE WHEN n_nationkey % 2 = 1 THEN lower(n_name) ELSE n_name END AS name FROM nation""")
+@query("""SELECT CAST(p_partkey * 4096 AS BIGINT) AS entry_va, CASE WHEN p_partkey % 2 = 1 THEN 'name_' ELSE 'part' END || p_partkey AS name FROM part""")
 def read_assembly_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assembly(spark, sf_dir)[0].select("entry_va", "name")
 
 
-@query("""SELECT CAST(n_nationkey * 4096 + k AS BIGINT) AS address_va, CAST(k AS INTEGER) AS index_in_function, CASE WHEN k < 5 THEN 'B8 0' || k || ' 00' END AS bytes, CASE WHEN k < 5 THEN 'mov' ELSE 'ret' END AS mnemonic, CASE WHEN k < 5 THEN 'eax, ' || k END AS op_str FROM nation, range(6) t(k)""")
+@query("""SELECT CAST(p_partkey * 4096 + k AS BIGINT) AS address_va, CAST(k AS INTEGER) AS index_in_function, CASE WHEN k < p_size THEN printf('B8 %02X 00', k) END AS bytes, CASE WHEN k < p_size THEN 'mov' ELSE 'ret' END AS mnemonic, CASE WHEN k < p_size THEN 'eax, ' || k END AS op_str FROM (SELECT p_partkey, p_size, unnest(range(p_size + 1)) AS k FROM part)""")
 def read_assembly_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assembly(spark, sf_dir)[1].select("address_va", "index_in_function", "bytes", "mnemonic", "op_str")
 
 
-@query("""SELECT CAST((n_nationkey + 1) * 4096 AS BIGINT) AS entry_va, 'int ' || n_name || '(char *a)' AS prototype, '{' || chr(10) || '  return ' || n_regionkey || ';' || chr(10) || '}' AS body FROM nation""")
+@query("""SELECT CAST((p_partkey + 1) * 4096 AS BIGINT) AS entry_va, 'int part' || p_partkey || '(char *a)' AS prototype, '{' || chr(10) || '  return ' || p_size || ';' || chr(10) || '}' AS body FROM part""")
 def read_pseudocode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = {f"{(r['n_nationkey'] + 1) * 4096:x}_{r['n_name']}.c": f"// Function: {r['n_name']}\n// Start EA: 0x{(r['n_nationkey'] + 1) * 4096:x}\n\nint {r['n_name']}(char *a)\n{{\n  return {r['n_regionkey']};\n}}\n\n" for r in _nations(spark, sf_dir)}
-    return exports.read_pseudocode(spark, _files(spark, "pseudocode", files), 2).select("entry_va", "prototype", "body")
+    k, va = F.col("p_partkey"), F.hex((F.col("p_partkey") + 1) * 4096)
+    text = _joined("// Function: part", k, "\n// Start EA: 0x", va, "\n\nint part", k, "(char *a)\n{\n  return ", F.col("p_size"), ";\n}\n\n")
+    files = D.table(spark, sf_dir, "part").select(_joined(F.lower(va), "_part", k, ".c").alias("file"), text.alias("value"))
+    return exports.read_pseudocode(spark, _files(files, "pseudocode"), 2).select("entry_va", "prototype", "body")
 
 
-@query("""SELECT '0' || CAST(n_nationkey AS VARCHAR) AS file, md5(n_name) AS hash_md5, sha256(n_name) AS hash_sha256 FROM nation""")
+@query("""SELECT 'bin' || s_suppkey AS file, md5(s_name || chr(10)) AS hash_md5, sha256(s_name || chr(10)) AS hash_sha256 FROM supplier""")
 def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _files(spark, "binaries", {f"0{r['n_nationkey']}": r["n_name"] for r in _nations(spark, sf_dir)})
-    return exports.file_hashes(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "hash_md5", "hash_sha256")
+    files = D.table(spark, sf_dir, "supplier").select(_joined("bin", F.col("s_suppkey")).alias("file"), F.col("s_name").alias("value"))
+    return exports.file_hashes(spark, _files(files, "binaries")).select(exports.file_name(F.col("path")).alias("file"), "hash_md5", "hash_sha256")
 
 
-@query("""SELECT n_name AS name, 'in/' || n_nationkey AS input, 600 AS timeout_seconds, 'legacy,practical' AS engines, n_name AS goal_keywords FROM nation""")
+@query("""SELECT p_name || '#' || p_partkey AS name, 'in/' || p_partkey AS input, CASE WHEN p_brand LIKE '%1' THEN 1800 ELSE 600 END AS timeout_seconds, CASE WHEN p_brand LIKE '%1' THEN 'practical' ELSE 'legacy,practical' END AS engines, p_name AS goal_keywords FROM part""")
 def read_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import json
-
-    samples = [{"name": r["n_name"], "input": f"in/{r['n_nationkey']}", "binary_id": 1, "goal_keywords": [r["n_name"]]} for r in _nations(spark, sf_dir)]
-    path = _files(spark, "manifest", {"manifest.json": json.dumps({"defaults": {"timeout_seconds": 600, "engines": ["legacy", "practical"]}, "samples": samples}, indent=1)})
-    m = exports.read_manifest(spark, path)
+    p = D.table(spark, sf_dir, "part")
+    sample = F.struct(_joined(F.col("p_name"), "#", F.col("p_partkey")).alias("name"), _joined("in/", F.col("p_partkey")).alias("input"), F.lit(1).alias("binary_id"), F.array("p_name").alias("goal_keywords"))
+    defaults = F.when(~F.col("p_brand").endswith("1"), F.struct(F.lit(600).alias("timeout_seconds"), F.array(F.lit("legacy"), F.lit("practical")).alias("engines")))
+    # a manifest for each brand and size
+    made = p.groupBy("p_brand", "p_size").agg(F.collect_list(sample).alias("samples"))
+    files = made.select(_joined(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_"), "_", F.col("p_size"), ".json").alias("file"), F.to_json(F.struct(defaults.alias("defaults"), "samples")).alias("value"))
+    m = exports.read_manifest(spark, _files(files, "manifest"))
     return m.select("name", "input", "timeout_seconds", F.array_join("engines", ",").alias("engines"), F.array_join("goal_keywords", ",").alias("goal_keywords"))
 
 

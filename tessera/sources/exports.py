@@ -81,12 +81,19 @@ def xref_target(stem: Column, strict: bool = False) -> tuple[Column, Column]:
     return F.when(enough, T.parse_hex(F.element_at(parts, -3))), F.when(enough, F.element_at(parts, -2))
 
 
+def file_name(path: Column) -> Column:
+    """Name of an export file: the last part of its path or, where Spark wrote a file's rows under its name
+    (``file=<name>/part-...``), that name."""
+    named = F.regexp_extract(path, r"/file=([^/]+)/[^/]+$", 1)
+    return F.when(named != "", named).otherwise(F.element_at(F.split(path, "/"), -1))
+
+
 def read_xrefs(spark: SparkSession, folder: str, view_id: int, offset: int = 0, strict: bool = False) -> DataFrame:
     """Cross-references: targets come from file names, sources from rows."""
     rows = spark.read.option("header", True).csv(folder, recursiveFileLookup=True)
     have = set(rows.columns)
     column = lambda c: F.col(f"`{c}`") if c in have else F.lit(None).cast("string")
-    rows = rows.select(column("Reference From Address").alias("src"), column("Reference Type").alias("type"), column("Containing Function").alias("inside"), column("Primary Ref").alias("primary"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
+    rows = rows.select(column("Reference From Address").alias("src"), column("Reference Type").alias("type"), column("Containing Function").alias("inside"), column("Primary Ref").alias("primary"), file_name(F.col("_metadata.file_path")).alias("file"))
     address, name = xref_target(F.regexp_replace("file", r"\.csv$", ""), strict)
     out = rows.select(
         F.lit(view_id).alias("view_id"), (T.parse_hex(F.col("src")) - offset).alias("src_va"), (address - offset).alias("dst_va"), name.alias("dst_name"), F.col("type").alias("ref_type_raw"),
@@ -95,8 +102,9 @@ def read_xrefs(spark: SparkSession, folder: str, view_id: int, offset: int = 0,
 
 
 def _files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
-    """``file, stem, lines`` of a folder's whole files."""
-    rows = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
+    """``file, stem, lines`` of a folder's whole files with that suffix."""
+    found = spark.read.option("pathGlobFilter", f"{{*{suffix},part-*}}").option("recursiveFileLookup", True).text(folder, wholetext=True)
+    rows = found.select(file_name(F.col("_metadata.file_path")).alias("file"), "value").where(F.col("file").endswith(suffix))
     return rows.select("file", F.regexp_replace("file", rf"\{suffix}$", "").alias("stem"), F.split("value", r"\r\n|\r|\n").alias("lines"))
 
 
@@ -163,13 +171,13 @@ def load_view(spark: SparkSession, root: str, base: str, view_id: int, offset: i
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """``path, hash_md5, hash_sha256`` of binary files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("hash_md5"), F.sha2("content", 256).alias("hash_sha256"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.md5("content").alias("hash_md5"), F.sha2("content", 256).alias("hash_sha256"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per benchmark sample of a JSON manifest, defaults filled in."""
+    """One row per benchmark sample of the JSON manifests at ``path``, defaults filled in."""
     ddl = (
         "defaults struct<timeout_seconds int, engines array<string>, common_args array<string>>, "
         "samples array<struct<name string, input string, db string, binary_id bigint, goal_keywords array<string>, expectations struct<goal_vas array<string>, path_subsequences array<array<string>>, profile_tokens map<string, array<string>>>>>")
-    rows = spark.read.schema(ddl).option("multiLine", True).json(path)
+    rows = spark.read.schema(ddl).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     return rows.select("defaults", F.explode("samples").alias("s")).select("s.*", F.coalesce("defaults.timeout_seconds", F.lit(1800)).alias("timeout_seconds"), F.coalesce("defaults.engines", F.array(F.lit("practical"))).alias("engines"))
