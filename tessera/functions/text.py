@@ -15,6 +15,7 @@ COMPARE = r"(==|!=|<=|>=|<|>|&&|\|\||\?)"
 CODE_TOKEN = r"[A-Za-z_][\p{L}\p{N}_]*|\p{Nd}+|[^\s\p{L}\p{N}_]"
 CALL = r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("
 NOT_CALLS = ("if", "for", "while", "switch", "return", "sizeof", "else")
+# Categories in the order in which results name them, and their keywords.
 ENVIRONMENT = {
     "anti_debug": ("isdebuggerpresent", "checkremotedebuggerpresent", "ntqueryinformationprocess", "beingdebugged", "debugport", "outputdebugstring"),
     "command_line": ("argv", "argc", "getcommandline", "commandlinetoargv", "lpcommandline"),

@@ -217,11 +217,45 @@ def guards(lines: DataFrame, calls: DataFrame, window: int = 18, most: int = 8)
 
 def call_sites(code: DataFrame, calls: DataFrame, most: int = 6) -> DataFrame:
     """``caller_va, callee_va, call_line, line``: first ``most`` lines of a caller's code that name
-    the callee.  ``code`` has ``entry_va, body``; ``calls`` has ``caller_va, callee_va, callee_name``."""
+    the callee as a whole word.  ``code`` has ``entry_va, body``; ``calls`` has ``caller_va, callee_va, callee_name``.
+
+    Lines are cut into words once and meet the names in an equi-join; only names that aren't one word are looked
+    for as they stand."""
     lines = code.select(F.col("entry_va").alias("caller_va"), F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("call_line", "line"))
-    named = calls.join(lines, "caller_va").where(F.expr(r"line rlike concat('\\b\\Q', callee_name, '\\E\\b')"))
+    plain = F.col("callee_name").rlike(r"^\w+$")
+    words = lines.join(calls.where(plain).select("caller_va").distinct(), "caller_va", "left_semi")
+    words = words.select("caller_va", "call_line", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"\w+"), 0))).alias("callee_name"))
+    found = calls.where(plain).join(words, ["caller_va", "callee_name"])
+    escaped = F.regexp_replace("callee_name", r"([^\w])", r"\\$1")
+    # a word's end counts only where the name itself ends in one
+    pattern = F.concat(F.when(F.col("callee_name").rlike(r"^\w"), r"(?<!\w)").otherwise(""), escaped, F.when(F.col("callee_name").rlike(r"\w$"), r"(?!\w)").otherwise(""))
+    odd = calls.where(~plain & (F.col("callee_name") != "")).withColumn("pattern", pattern).join(lines, "caller_va").where("contains(line, callee_name) and line rlike pattern").drop("pattern")
+    named = found.select(*calls.columns, "call_line", "line").unionByName(odd.select(*calls.columns, "call_line", "line"))
     place = F.row_number().over(W.partitionBy("caller_va", "callee_va").orderBy("call_line"))
-    return named.withColumn("place", place).where(F.col("place") <= most).drop("place")
+    return named.dropDuplicates(["caller_va", "callee_va", "call_line"]).withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
+def edge_conditions(code: DataFrame, calls: DataFrame, window: int = 18, most_guards: int = 8, most_sites: int = 6) -> DataFrame:
+    """``caller_va, callee_va, status, sites, guard_count, signals, strength`` of every call: on which conditions it is made.
+
+    The status is ``no_pseudocode`` for a caller without code and ``callsite_not_found`` where no line names the callee.  Guards
+    are counted at each site; signals of the environment are those of the lines from ``window`` before a site to the one after it.
+    ``code`` and ``calls`` are as in ``call_sites``."""
+    code = code.where("trim(body) != ''")
+    sites = kept(call_sites(code, calls, most_sites).select("caller_va", "callee_va", "call_line", "line"), "sites")
+    lines = code.select("entry_va", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("line_no", "line"))
+    found = guards(lines, sites.select("caller_va", "callee_va", "call_line"), window, most_guards).groupBy("caller_va", "callee_va").agg(F.count(F.lit(1)).alias("guard_count"))
+    signs = lines.select(F.col("entry_va").alias("caller_va"), "line_no", F.explode(T.environment_signals(F.col("line"))).alias("signal"))
+    near = (F.col("line_no") >= F.col("call_line") - window) & (F.col("line_no") <= F.col("call_line") + 1)
+    signs = sites.select("caller_va", "callee_va", "call_line").join(signs, "caller_va").where(near).groupBy("caller_va", "callee_va").agg(F.array_sort(F.collect_set("signal")).alias("signals"))
+    has = code.select(F.col("entry_va").alias("caller_va"), F.lit(True).alias("has_code")).distinct()
+    count = sites.groupBy("caller_va", "callee_va").agg(F.count(F.lit(1)).alias("sites"))
+    out = calls.select("caller_va", "callee_va").distinct().join(has, "caller_va", "left")
+    for more in (count, found, signs):
+        out = out.join(more, ["caller_va", "callee_va"], "left")
+    out = out.withColumns({"sites": F.coalesce("sites", F.lit(0)), "guard_count": F.coalesce("guard_count", F.lit(0)), "signals": F.coalesce("signals", F.array().cast("array<string>"))})
+    status = F.when(F.col("has_code").isNull(), "no_pseudocode").when(F.col("sites") == 0, "callsite_not_found").otherwise("ok")
+    return out.select("caller_va", "callee_va", status.alias("status"), "sites", "guard_count", "signals", (F.col("guard_count") + F.size("signals")).alias("strength"))
 
 
 def edge_strength(sites: DataFrame, found: DataFrame) -> DataFrame:

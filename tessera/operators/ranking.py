@@ -36,6 +36,7 @@ STRUCT_HINT = r"(?:->|\.)\s*field_|\bstruct\s+\w+"
 
 def priority(apis: Column, strings: Column, internal: Column, callers: Column, instructions: Column, analysed: Column) -> Column:
     """Priority of a function from counts of its parts."""
+    # What each part counts, and the most of it that counts.
     n = F.coalesce(instructions, F.lit(0))
     return (
         F.when(apis > 0, 200 + 40 * F.least(apis, F.lit(5))).otherwise(0)

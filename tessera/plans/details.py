@@ -204,15 +204,44 @@ def resolved_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.resolve_calls(D.computed_refs(spark, sf_dir), r["instructions"], r["functions"], ("COMPUTED_CALL", "19"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) AS n FROM documents),
- s AS (SELECT doc_id, n - 1 AS call_line, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM l WHERE regexp_matches(line, '\\bthe\\b')) WHERE k <= 6)
- SELECT doc_id, count(*) AS sites FROM s GROUP BY 1""")
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entry_va, body``: code of parts from their line items: conditions, calls, names that only look like calls."""
+    li, k, s = D.table(spark, sf_dir, "lineitem"), F.col("l_linenumber") % 4, F.col("l_suppkey")
+    line = F.when(k == 0, _joined("if (a", s, " > 3) {")).when(k == 1, _joined("fn_", s, "(argv);")).when(k == 2, _joined("x = fn_", s, "_v2 + 1;")).otherwise(_joined("while (GetTickCount() != ", s, ")"))
+    order = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey", line.alias("line"))))
+    return li.where("l_partkey % 17 <> 3").groupBy(F.col("l_partkey").alias("entry_va")).agg(order.alias("ls")).select("entry_va", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("body"))
+
+
+def _named_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.part_calls(spark, sf_dir).select(F.col("entry_va").alias("caller_va"), "callee_va", _joined("fn_", F.col("callee_va")).alias("callee_name"))
+
+
+_BODIES = """cl AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_partkey <> l_suppkey),
+ ln AS (SELECT l_partkey AS a, l_suppkey AS s, l_linenumber % 4 AS k, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) - 1 AS n FROM lineitem WHERE l_partkey % 17 <> 3),
+ st AS (SELECT * FROM (SELECT cl.a, cl.b, n, row_number() OVER (PARTITION BY cl.a, cl.b ORDER BY n) AS place FROM cl JOIN ln ON ln.a = cl.a AND ln.s = cl.b AND k = 1) WHERE place <= 6)"""
+
+
+@query(f"WITH {_BODIES} SELECT a AS caller_va, b AS callee_va, CAST(n AS INTEGER) AS call_line, 'fn_' || b || '(argv);' AS line FROM st")
 def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = D.table(spark, sf_dir, "documents")
-    calls = d.select(F.col("doc_id").alias("caller_va"), F.lit(0).alias("callee_va"), F.lit("the").alias("callee_name")).distinct()
-    sites = graph.call_sites(d.select(F.col("doc_id").alias("entry_va"), F.col("text").alias("body")), calls)
-    none = spark.createDataFrame([], "caller_va bigint, callee_va int, guard string")
-    return graph.edge_strength(sites, none).select(F.col("caller_va").alias("doc_id"), "sites")
+    return graph.call_sites(_bodies(spark, sf_dir), _named_calls(spark, sf_dir)).select("caller_va", "callee_va", "call_line", "line")
+
+
+def _edge_sql() -> str:
+    signals = {c: [k for k, word in ((1, "argv"), (3, "gettickcount")) if any(w in {1: "fn_0(argv);", 3: "while (gettickcount() != 0)"}[k] for w in ws)] for c, ws in T.ENVIRONMENT.items()}
+    rows = " UNION ALL ".join(f"SELECT {k} AS k, '{c}' AS signal" for c, ks in signals.items() for k in ks)
+    return f"""WITH {_BODIES}, gd AS (SELECT st.a, st.b, st.n, l.k, l.s, max(l.n) AS near FROM st JOIN ln l ON l.a = st.a AND l.n < st.n AND l.n >= st.n - 18 AND l.k IN (0, 3) GROUP BY ALL),
+ gc AS (SELECT a, b, count(*) AS guard_count FROM (SELECT *, row_number() OVER (PARTITION BY a, b, n ORDER BY near DESC) AS p FROM gd) WHERE p <= 8 GROUP BY ALL),
+ sg AS (SELECT st.a, st.b, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals, count(DISTINCT signal) AS many FROM st JOIN ln l ON l.a = st.a AND l.n BETWEEN st.n - 18 AND st.n + 1 JOIN ({rows}) USING (k) GROUP BY ALL),
+ sc AS (SELECT a, b, count(*) AS sites FROM st GROUP BY ALL)
+ SELECT cl.a AS caller_va, cl.b AS callee_va, CASE WHEN cl.a % 17 = 3 THEN 'no_pseudocode' WHEN sites IS NULL THEN 'callsite_not_found' ELSE 'ok' END AS status, coalesce(sites, 0) AS sites, coalesce(guard_count, 0) AS guard_count, coalesce(signals, '') AS signals, coalesce(guard_count, 0) + coalesce(many, 0) AS strength
+ FROM cl LEFT JOIN sc ON sc.a = cl.a AND sc.b = cl.b LEFT JOIN gc ON gc.a = cl.a AND gc.b = cl.b LEFT JOIN sg ON sg.a = cl.a AND sg.b = cl.b"""
+
+
+@query(_edge_sql())
+def edge_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On which conditions each call of each part is made."""
+    found = graph.edge_conditions(_bodies(spark, sf_dir), _named_calls(spark, sf_dir))
+    return found.withColumn("signals", F.array_join("signals", ","))
 
 
 @query(f"""WITH {D.STATUS} SELECT function_id, CASE WHEN function_id % 10 = 0 THEN 'LOCKED' WHEN function_id % 10 = 1 THEN 'ANALYZED' WHEN function_id % 10 = 2 THEN 'PENDING' ELSE analysis_state END AS analysis_state, CASE WHEN function_id % 10 < 3 THEN 57 ELSE confidence_score END AS confidence_score FROM st""")
