@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import annotate, graph, metrics, ranking, reconcile, rules, unify
+from tessera.operators import annotate, contexts, graph, metrics, ranking, reconcile, rules, unify
 from tessera.plans import derive as D
 from tessera.plans.registry import query
 from tessera.sources import exports, store
@@ -430,3 +430,58 @@ def rules_from_apis(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _facts(D.table(spark, sf_dir, "part"), "p_partkey", "seen", "p_size", 1.0)
     out = rules.run(given, edges, [(100, rules.api_injection(types))])
     return out.where("variable = 'arg0'").select("node_id", "variable", "value", "confidence")
+
+
+# ---- contexts and local names ----------------------------------------------------------------
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_va"), _joined("fn_", F.col("p_partkey")).alias("name"))
+
+
+_SNIPPETS = f"""{_BODIES}, tx AS (SELECT a, n, CASE k WHEN 0 THEN 'if (a' || s || ' > 3) {{' WHEN 1 THEN 'fn_' || s || '(argv);' WHEN 2 THEN 'x = fn_' || s || '_v2 + 1;' ELSE 'while (GetTickCount() != ' || s || ')' END AS t FROM ln),
+ sn AS (SELECT st.a, st.b, string_agg(t, chr(10) ORDER BY tx.n) AS snippet FROM st JOIN tx ON tx.a = st.a AND tx.n BETWEEN st.n - 1 AND st.n + 1 WHERE place = 1 GROUP BY ALL)"""
+_TITLE = "'fn_' || {0} || ' @ 0x' || lpad(to_hex({0}), 8, '0')"
+
+
+@query(f"""WITH {_SNIPPETS}, us AS (SELECT b, count(*) AS many, string_agg('- ' || {_TITLE.format("a")} || chr(10) || snippet, chr(10) ORDER BY a) AS t FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY a) AS p FROM sn) WHERE p <= 5 GROUP BY b),
+ ud AS (SELECT a, count(*) AS many, string_agg('- ' || {_TITLE.format("b")}, chr(10) ORDER BY b) AS t FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS p FROM cl) WHERE p <= 8 GROUP BY a)
+ SELECT p_partkey AS entry_va, CAST(coalesce(us.many, 0) AS INTEGER) AS callers, CAST(coalesce(ud.many, 0) AS INTEGER) AS callees, {_TITLE.format("p_partkey")} || chr(10) || chr(10) || '[Result]' || chr(10) || 'Signature: int ' || p_brand || chr(10) || 'Summary: ' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END
+  || chr(10) || chr(10) || '[Callers]' || chr(10) || coalesce(us.t, 'none seen') || chr(10) || chr(10) || '[Callees]' || chr(10) || coalesce(ud.t, 'none') AS context FROM part LEFT JOIN us ON us.b = p_partkey LEFT JOIN ud ON ud.a = p_partkey""")
+def validation_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told about every part: its result, its callers' use of it, its callees."""
+    info = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_va"), _joined("int ", F.col("p_brand")).alias("signature"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("summary"))
+    return contexts.validation_context(_parts(spark, sf_dir), info, _bodies(spark, sf_dir), D.part_calls(spark, sf_dir))
+
+
+@query(f"""WITH {_SNIPPETS}, ru AS (SELECT b, a, p_size, snippet, row_number() OVER (PARTITION BY b ORDER BY p_size DESC, a) AS p FROM sn JOIN part ON p_partkey = a WHERE p_size > 5),
+ us AS (SELECT b, count(*) AS many, string_agg('- ' || {_TITLE.format("a")} || printf(' (%.2f)', p_size / 100.0) || chr(10) || snippet, chr(10) ORDER BY p) AS t FROM ru WHERE p <= 6 GROUP BY b)
+ SELECT s_suppkey AS global_va, CAST(coalesce(many, 0) AS INTEGER) AS users, '0x' || lpad(to_hex(s_suppkey), 8, '0') || ' fn_' || s_suppkey || ', g_' || s_suppkey || chr(10) || chr(10) || '[Users]' || chr(10) || coalesce(t, 'none seen') AS context FROM supplier LEFT JOIN us ON b = s_suppkey""")
+def global_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told about every supplier as a global: names and its surest users."""
+    p, k = D.table(spark, sf_dir, "part"), F.col("s_suppkey")
+    globals_ = D.table(spark, sf_dir, "supplier").select(k.alias("global_va"), F.array(_joined("g_", k), _joined("fn_", k)).alias("names"))
+    confidence = p.select(F.col("p_partkey").alias("entry_va"), F.when(F.col("p_size") > 5, F.col("p_size")).alias("confidence"))
+    uses = D.part_calls(spark, sf_dir).select(F.col("callee_va").alias("global_va"), "entry_va")
+    return contexts.global_context(globals_, uses, _parts(spark, sf_dir), confidence, _bodies(spark, sf_dir))
+
+
+@query("""SELECT l_orderkey AS entry_va, string_agg(lpad(CAST(l_linenumber AS VARCHAR), 3, '0') || ' -> 0x' || to_hex(ea), chr(10) ORDER BY l_linenumber) AS section FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS ea FROM lineitem WHERE l_linenumber BETWEEN 2 AND 5 AND l_partkey % 9 <> 0 GROUP BY 1, 2) GROUP BY 1""")
+def address_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which address each line of an order stands for."""
+    li = D.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entry_va"), F.col("l_linenumber").alias("line_no"), F.when(F.col("l_partkey") % 9 != 0, F.col("l_partkey")).otherwise(0).alias("ea"))
+    return contexts.address_sections(li, 2, 5)
+
+
+@query("""SELECT p_partkey AS function_id, CASE WHEN p_partkey % 3 = 0 THEN 'count = a1 + v' || p_size || ';' ELSE 'v1 = a1 + v' || p_size || ';' END AS body, CAST(CASE WHEN p_partkey % 3 < 2 THEN 1 ELSE 0 END AS INTEGER) AS lvar_optimized,
+ p_partkey % 3 = 0 AS changed, CASE WHEN p_partkey % 3 < 2 THEN array_to_string(list_sort(list_distinct(CASE WHEN p_partkey % 3 = 0 THEN ['a1', 'v' || p_size] ELSE ['v1', 'a1', 'v' || p_size] END)), ',') END AS remaining FROM part WHERE p_size <> 1""")
+def local_names_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code, status and outcome of new names for local variables; some results hold none that count."""
+    p = D.table(spark, sf_dir, "part").where("p_size <> 1")
+    key = F.col("p_partkey").alias("function_id")
+    code = p.select(key, _joined("v1 = a1 + v", F.col("p_size"), ";").alias("body"))
+    names = F.when(F.col("p_partkey") % 3 == 0, F.create_map(F.lit("v1"), F.lit("count"), F.lit("a1"), F.lit("not a name"))).otherwise(F.create_map(F.lit("v1"), F.lit("v1")))
+    results = p.where("p_partkey % 3 < 2").select(key, names.alias("renames"))
+    body, status, outcome = contexts.local_names_applied(code, p.select(key, F.lit(0).alias("lvar_optimized")), results)
+    j = body.join(status, "function_id").join(outcome, "function_id", "left")
+    return j.select("function_id", "body", "lvar_optimized", F.coalesce("changed", F.lit(False)).alias("changed"), F.array_join("remaining", ",").alias("remaining"))
