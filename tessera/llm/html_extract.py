@@ -51,13 +51,15 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset("html body article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar status".split())
-#: Words in a class or id that mark furniture, and those that only mark headers.
+#: Words in a class or id that mark furniture, those that an article's own parts may have as well, and those that only mark headers.
 MARKS = frozenset(
-    "ad ads adslot advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "comment comments commentlist replies disqus widget widgets toolbar pagination pager skip".split())
+    "ad ads adslot advert adverts advertisement advertising adsense sponsor sponsored sponsors promo sidebar nav navbar navigation breadcrumb breadcrumbs footer "
+    "cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login share sharing social comments commentlist replies disqus toolbar pagination pager skip".split())
+WEAK_MARKS = frozenset("promotion banner menu notice notices notification alert overlay related recommended comment widget widgets".split())
 HEADER_MARKS = frozenset("header masthead topbar".split())
-
+#: Inside the main content a weak mark counts only where at least this share of the text stands in links; an element is the
+#: main content if at least this share of the page's text outside links stands in its kind.
+LINKED, MOST_TEXT = 0.5, 0.5
 
 
 def host_of(url: str | None) -> str:
@@ -187,7 +189,7 @@ class Page:
 
 
 def kind(tag: str, attributes: dict[str, str]) -> str:
-    """``drop`` for furniture, ``header`` for headers, else ''."""
+    """``drop`` for furniture, ``weak`` for what is furniture unless it is part of an article, ``header`` for headers, else ''."""
     if tag in FURNITURE:
         return "drop"
     if tag == "header":
@@ -201,30 +203,61 @@ def kind(tag: str, attributes: dict[str, str]) -> str:
     if attributes.get("role", "").lower() in ROLES:
         return "drop"
     words = set(_PART.split(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    if words & MARKS and "free" not in words:
+    if words & MARKS and "free" not in words:  # "ad-free" is no advert
         return "drop"
+    if words & WEAK_MARKS:
+        return "weak"
     return "header" if words & HEADER_MARKS and tag != "article" else ""
 
 
-def _states(elements: list[list]) -> tuple[list[str], list[bool], str]:
+def _masses(page: Page, state: list[str]) -> tuple[list[int], list[int]]:
+    """For each element the length of the text right in it, and of that in links; furniture counts for nothing."""
+    linked = [False] * len(page.elements)
+    for i, (tag, _, parent, _, _) in enumerate(page.elements):
+        linked[i] = tag == "a" or parent >= 0 and linked[parent]
+    text, links = [0] * len(linked), [0] * len(linked)
+    for element, _, piece in page.pieces:
+        if piece and element >= 0 and state[element] != "drop":
+            n = len(piece.strip())
+            text[element] += n
+            links[element] += n if linked[element] else 0
+    return text, links
+
+
+def _states(page: Page) -> tuple[list[str], list[bool], str]:
     """Each element's kind with its ancestors' (``drop``, ``header`` or ''), whether it lies in the
-    main content or holds it, and the main content's tag."""
-    state: list[str] = []
-    for tag, attributes, parent, _, _ in elements:
-        above = state[parent] if parent >= 0 else ""
-        own = kind(tag, attributes) if above != "drop" else "drop"
-        state.append("drop" if own == "drop" else "header" if own == "header" or above == "header" else "")
-    region = ""
+    main content or holds it, and the main content's tag: the articles, else the main elements, where they hold
+    most of the text outside links, whatever else there is."""
+    elements = page.elements
+    own = [kind(tag, attributes) for tag, attributes, _, _, _ in elements]
+
+    def spread(kinds: list[str]) -> list[str]:
+        state: list[str] = []
+        for k, (_, _, parent, _, _) in zip(kinds, elements, strict=True):
+            above = state[parent] if parent >= 0 else ""
+            state.append("drop" if "drop" in (k, above) else "header" if "header" in (k, above) else "")
+        return state
+
+    state, strict = spread(own), spread(["drop" if k == "weak" else k for k in own])
+    text, links = _masses(page, state)
+    region, inside = "", [False] * len(elements)
     for tag in ("article", "main"):
-        if any((e[0] == tag or tag == "main" and e[1].get("role") == "main") and s == "" for e, s in zip(elements, state, strict=True)):
-            region = tag
+        hit = [(e[0] == tag or tag == "main" and e[1].get("role") == "main") and s == "" for e, s in zip(elements, state, strict=True)]
+        within = [False] * len(elements)
+        for i, e in enumerate(elements):
+            within[i] = hit[i] or e[2] >= 0 and within[e[2]]
+        plain = [(t - l, w) for t, l, w, s in zip(text, links, within, strict, strict=True) if w or s != "drop"]
+        if any(hit) and sum(n for n, w in plain if w) >= MOST_TEXT * sum(n for n, _ in plain):
+            region, inside = tag, within
             break
-    inside = [False] * len(elements)
-    if region:
-        for i, (tag, attributes, parent, _, _) in enumerate(elements):
-            hit = (tag == region or region == "main" and attributes.get("role") == "main") and state[i] == ""
-            inside[i] = hit or parent >= 0 and inside[parent]
-    return state, inside, region
+    for i in range(len(elements) - 1, -1, -1):  # parents stand before their children
+        if (parent := elements[i][2]) >= 0:
+            text[parent] += text[i]
+            links[parent] += links[i]
+    for i, k in enumerate(own):
+        if k == "weak" and (not inside[i] or links[i] >= LINKED * text[i]):
+            own[i] = "drop"
+    return spread(own), inside, region
 
 
 def article(page: str) -> tuple[str, list[tuple[int, int, int]]]:
@@ -232,7 +265,7 @@ def article(page: str) -> tuple[str, list[tuple[int, int, int]]]:
     subtree in it that may be template: ``(hash, from, to)``, the first of equal ones of a page."""
     parsed = Page(page)
     elements = parsed.elements
-    state, inside, region = _states(elements)
+    state, inside, region = _states(parsed)
     heading = [False] * len(elements)
     for i, e in enumerate(elements):
         heading[i] = e[0] in HEADINGS or e[2] >= 0 and heading[e[2]]
@@ -344,8 +377,8 @@ def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``<id_col>, url, text, n_chars`` for every page.
 
-    Null and empty pages have the empty text; a null address is its own host ''.  A page without
-    an article or main element gives its body without furniture and templates.  Repeated rows and
+    Null and empty pages have the empty text; a null address is its own host ''.  A page most of whose
+    text outside links isn't in articles or main elements gives its body without furniture and templates.  Repeated rows and
     null identifiers pass through (copies of a page count once for templates); other columns are
     ignored; very long pages take time in proportion; an empty table gives an empty result.
     """

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import packing, piece_tokens, secret_scan
+from tessera.llm import html_extract, packing, piece_tokens, secret_scan
 from tessera.llm.queries import PIECE_VOCABULARY, WORD_VOCABULARY
 from tessera.llm.word_tokens import WordTokens
 
@@ -217,3 +217,14 @@ def test_redaction_keeps_the_rest(make):
     got = secret_scan.redact_secrets(make([(1, "x password=abcdef123 y"), (2, None), (3, "clean")])).orderBy("doc_id").collect()
     assert [r["text"] for r in got] == ["x [REDACTED] y", None, "clean"]
     assert secret_scan.redact("abcdef", [(1, 3, "hex"), (2, 4, "assign")]) == "a[REDACTED]ef"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<div class=post-content><p>Body text of the page</p></div><div class=more><article><p>Teaser</p></article></div>", "Body text of the page Teaser"),
+    ("<article><p>Long enough text</p><div class='widget'>Widget theory: all</div><p class='related-work'>Related</p><section class=menu><p>Soup</p></section></article>", "Long enough text Widget theory: all Related Soup"),
+    ("<article><p>Long enough text</p><div class='related'><a href=x>One</a> <a>Two</a></div><div class='ad'>Buy</div></article>", "Long enough text"),
+    ("<p class=notice>Cookies</p><article><p>Text</p></article><div>x</div>", "Text"),
+    ("<main><p>Main text that is long</p></main><article>Card</article><div class=widget>w</div>", "Main text that is long"),
+])
+def test_main_content_is_where_the_text_is(page, text):
+    assert html_extract.main_text(page) == text
