@@ -44,15 +44,16 @@ def part_nodes(spark: SparkSession, sf_dir: str, only: DataFrame | None = None)
     li = table(spark, sf_dir, "lineitem")
     calls = li.select(F.col("l_partkey").alias("entry_va"), F.col("l_suppkey").alias("callee_va")).where("entry_va != callee_va").distinct()
     lines = li.withColumnRenamed("l_partkey", "entry_va")
-    called = calls.select(F.col("callee_va").alias("entry_va"))
+    calling, called = calls.select("entry_va"), calls.select(F.col("callee_va").alias("entry_va"))
     if only is not None:
-        p, lines, called = (df.join(only, "entry_va", "left_semi") for df in (p, lines, called))
+        p, lines, calling, called = (df.join(only, "entry_va", "left_semi") for df in (p, lines, calling, called))
     per = lines.groupBy("entry_va").agg(
-        F.count(F.lit(1)).alias("instr_count"), F.collect_set(F.when(F.col("l_returnflag") == "R", F.concat(F.lit("api_"), F.col("l_linenumber").cast("string")))).alias("external_callees"),
-        F.countDistinct(F.when(F.col("entry_va") != F.col("l_suppkey"), F.col("l_suppkey"))).cast("int").alias("callees"))
+        F.count(F.lit(1)).alias("instr_count"), F.collect_set(F.when(F.col("l_returnflag") == "R", F.concat(F.lit("api_"), F.col("l_linenumber").cast("string")))).alias("external_callees"))
+    # calls are distinct already, so they are counted as they stand
+    callees = calling.groupBy("entry_va").agg(F.count(F.lit(1)).cast("int").alias("callees"))
     callers = called.groupBy("entry_va").agg(F.count(F.lit(1)).cast("int").alias("callers"))
     own = p.select("entry_va", F.array("p_name").alias("names"), F.array_distinct(F.array("p_brand", "p_type")).alias("string_refs"), "p_size")
-    return own.join(per, "entry_va", "left").join(callers, "entry_va", "left")
+    return own.join(per, "entry_va", "left").join(callees, "entry_va", "left").join(callers, "entry_va", "left")
 
 
 PART_NODES = """calls AS (SELECT DISTINCT l_partkey AS entry_va, l_suppkey AS callee_va FROM lineitem WHERE l_partkey <> l_suppkey),
