@@ -622,6 +622,26 @@ def blackboard_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.board_by_kinds(reconcile.board_winners(_board(spark, sf_dir)), ["note", "other"]).select("entry_va", "kind", "value")
 
 
+_WINNERS = f"{_BOARD}, w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_va, kind ORDER BY rank DESC, conf DESC, seq DESC) AS r FROM k) WHERE r = 1)"
+
+
+@query(f"WITH {_WINNERS} SELECT entry_va, kind, value, confidence, source FROM w WHERE contains(lower(value), 'c')")
+def blackboard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winning entries that hold a word."""
+    return reconcile.board_search(reconcile.board_winners(_board(spark, sf_dir)), "C").select("entry_va", "kind", "value", "confidence", "source")
+
+
+@query(f"""WITH {_WINNERS}, ln AS (SELECT *, '0x' || lpad(to_hex(entry_va), 8, '0') || ' ' || kind || ': ' || value AS line FROM w),
+ nb AS (SELECT me, entry_va, kind, line, row_number() OVER (PARTITION BY me ORDER BY rank DESC, confidence DESC, entry_va, kind) AS place FROM (SELECT DISTINCT user_id AS me FROM events) JOIN ln ON entry_va BETWEEN me + 1 AND me + 3),
+ al AS (SELECT entry_va AS me, 0 AS tier, entry_va, kind, line FROM ln UNION ALL SELECT me, 1, entry_va, kind, line FROM nb WHERE place <= 4)
+ SELECT me AS entry_va, string_agg(line, chr(10) ORDER BY tier, entry_va, kind) AS context FROM al GROUP BY me""")
+def blackboard_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node's own entries and the surest four of its three neighbours."""
+    board = _board(spark, sf_dir)
+    near = board.select("entry_va").distinct().select("entry_va", F.explode(F.sequence(F.col("entry_va") + 1, F.col("entry_va") + 3)).alias("neighbour_va"))
+    return reconcile.board_context(reconcile.board_winners(board), near, 4).select("entry_va", F.array_join("lines", "\n").alias("context"))
+
+
 @query("""SELECT CAST(0 AS BIGINT) AS entry_va, 'note' AS kind, concat_ws(': ', nullif(trim(role), ''), trim(text)) AS value, CAST(turn AS INTEGER) AS confidence FROM conversations WHERE trim(coalesce(text, '')) <> ''""")
 def blackboard_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = D.table(spark, sf_dir, "conversations").select(F.col("role").alias("title"), F.col("text").alias("finding"), F.col("turn").alias("confidence"))
