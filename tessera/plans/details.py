@@ -145,6 +145,33 @@ def read_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("name", "input", "timeout_seconds", F.array_join("engines", ",").alias("engines"), F.array_join("goal_keywords", ",").alias("goal_keywords"))
 
 
+@query("""WITH t AS (SELECT count(*) AS n, sum(s_suppkey * 4096) AS base, sum(s_suppkey * 4096 + 16) AS inside FROM supplier)
+ SELECT * FROM (SELECT 'segments' AS tab, n AS rows, CAST(base - 256 * n AS BIGINT) AS address_sum FROM t UNION ALL SELECT 'sections', n, CAST(base - 256 * n AS BIGINT) FROM t UNION ALL SELECT 'symbols', n, CAST(base - 256 * n AS BIGINT) FROM t UNION ALL SELECT 'strings', n, CAST(base AS BIGINT) FROM t
+  UNION ALL SELECT 'functions', n, CAST(base - 256 * n AS BIGINT) FROM t UNION ALL SELECT 'instructions', 2 * n, CAST(base + inside - 512 * n AS BIGINT) FROM t UNION ALL SELECT 'xrefs', n, CAST(inside - 256 * n AS BIGINT) FROM t UNION ALL SELECT 'pseudo_functions', n, CAST(base - 256 * n AS BIGINT) FROM t)""")
+def load_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and sums of addresses of all tables of one view, exported whole and loaded together."""
+    s, k, root = D.table(spark, sf_dir, "supplier"), F.col("s_suppkey"), _folder(spark, "view")
+    at, inside, hexed = k * 4096, k * 4096 + 16, lambda c: F.lower(F.lpad(F.hex(c), 8, "0"))
+    span = [F.col("s_name").alias("Name"), hexed(at).alias("Start Address"), hexed(at + 4095).alias("End Address"), F.lit("4096").alias("Length")]
+    tables = {
+        "segments": s.select(*span, F.lit("true").alias("Read"), F.lit("false").alias("Write"), F.lit("true").alias("Execute")), "sections": s.select(*span),
+        "symbols": s.select(F.col("s_name").alias("Name"), hexed(at).alias("Address"), F.lit("Function").alias("Type")), "strings": s.select(F.col("s_name").alias("String"), hexed(at).alias("Address"), F.lit("9").alias("Length"))}
+    for name, rows in tables.items():
+        rows.write.option("header", True).option("escape", '"').csv(f"{root}/prog_{name}.csv")
+    listing = _joined("; Function: f", k, "\n; Address: 0x", hexed(at), "\n", hexed(at), "  push  ebp\n", hexed(inside), "  ret\n")
+    code = _joined("// Function: f", k, "\n// Start EA: 0x", hexed(at), "\nint f(void)\n{\n}\n")
+    for folder, suffix, text in (("disassembly", ".asm", listing), ("pseudocode", ".c", code)):
+        _spread(s.select(_joined(hexed(at), "_f", k, suffix).alias("file"), text.alias("value"))).write.partitionBy("file").text(f"{root}/{folder}")
+    refs = s.select(_joined("prog_", hexed(at), "_f", k, "_refs.csv").alias("file"), _joined("0x", hexed(inside)).alias("Reference From Address"), F.lit("READ").alias("Reference Type"))
+    _spread(refs).write.partitionBy("file").option("header", True).csv(f"{root}/xrefs")
+    address = {"segments": "start_va", "sections": "start_va", "functions": "entry_va", "pseudo_functions": "entry_va", "xrefs": "src_va"}
+    out = None
+    for name, df in exports.load_view(spark, root, "prog", 1, 256).items():
+        one = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(address.get(name, "address_va")).alias("address_sum")).select(F.lit(name).alias("tab"), "rows", "address_sum")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---- scalar functions ------------------------------------------------------------------------
 
 
