@@ -223,3 +223,46 @@ def test_redaction_of_nested_values(spark):
     rows = [('{"a": [{"TOKEN": {"x": 1}, "b": "ü"}]}', 1), (None, 2), ("{", 3)]
     got = usage_trees.redacted_json(spark.createDataFrame(rows, "t string, k int"), "t").orderBy("k").collect()
     assert [x["t"] for x in got] == ['{"a":[{"TOKEN":"<redacted>","b":"ü"}]}', None, None]
+
+
+def test_rescoring_reads_the_tables_as_they_are(spark, tmp_path):
+    from tessera.plans.queries import incremental_rescore
+
+    for size, rows in (("0.001", 200), ("0.01", 2000)):
+        for name in ("part", "lineitem"):
+            spark.read.parquet(f"/root/testdata/sf{size}/{name}.parquet").write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+        spark.catalog.clearCache()
+        whole = spark.read.parquet(f"{tmp_path}/part.parquet").count()
+        assert incremental_rescore(spark, str(tmp_path)).count() == whole >= rows
+
+
+def test_call_sites_of_names_of_every_shape(spark):
+    from tessera.operators import graph
+
+    body = "a\\Eb(x);\nfoo_bar(1); foo()\nxfoo(); foo\nstd::sort(v); xstd::sort\n?x@@Y(1)\nf.o.o\nfoo\nfoo\nfoo\nfoo\nfoo"
+    names = {1: "foo", 2: "std::sort", 3: "?x@@Y", 4: "a\\Eb", 5: "f.o", 6: "none", 7: "", 8: None, 9: "x"}
+    calls = spark.createDataFrame([(1, k, n) for k, n in names.items()] + [(1, 1, "foo")], "caller_va long, callee_va long, callee_name string")
+    code = spark.createDataFrame([(1, body), (2, None)], "entry_va long, body string")
+    got = {}
+    for r in graph.call_sites(code, calls, 4).collect():
+        got.setdefault(r["callee_va"], []).append(r["call_line"])
+    assert {k: sorted(v) for k, v in got.items()} == {1: [1, 2, 6, 7], 2: [3], 3: [4], 4: [0], 5: [5], 9: [0, 4]}
+    found = {r["callee_va"]: r["status"] for r in graph.edge_conditions(code, calls.unionByName(calls.limit(1).selectExpr("2L caller_va", "1L callee_va", "'foo' callee_name"))).where("caller_va = 2 or callee_va in (1, 6)").collect()}
+    assert found[6] == "callsite_not_found" and set(found.values()) >= {"callsite_not_found"}
+
+
+def test_contexts_of_functions_without_anything(spark):
+    from tessera.operators import contexts
+
+    nodes = spark.createDataFrame([(16, None), (32, "g")], "entry_va long, name string")
+    none = spark.createDataFrame([], "entry_va long, signature string, summary string")
+    code = spark.createDataFrame([(32, "x = 1;\nsub_00000010(x);\n")], "entry_va long, body string")
+    calls = spark.createDataFrame([(32, 16), (32, 16), (32, 99)], "entry_va long, callee_va long")
+    got = {r["entry_va"]: r for r in contexts.validation_context(nodes, none, code, calls).collect()}
+    assert got[16]["callers"] == 1 and "x = 1;\nsub_00000010(x);" in got[16]["context"] and got[16]["context"].startswith("sub_00000010 @ 0x00000010")
+    assert got[32]["callees"] == 1 and "none seen" in got[32]["context"]
+    binaries = spark.createDataFrame([(3,)], "id int")
+    assert contexts.picked_binary(binaries) == 3 and contexts.picked_binary(binaries, 5) == 5
+    with pytest.raises(ValueError):
+        contexts.picked_binary(binaries.limit(0))
+    assert contexts.reusable(spark.createDataFrame([("aligned",), ("failed",), (None,)], "status string")).count() == 1
