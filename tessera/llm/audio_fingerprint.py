@@ -6,8 +6,9 @@ a frame.  Two recordings are aligned by the histogram of offsets at which their
 at every offset with enough votes the stretches that hold equal integers are judged by their bit errors.
 
 Search holds a stated set of query recordings, in blocks of bounded size, against all recordings.
-Queries of equal fingerprints are one class.  Every task looks the integers of its own recordings up
-among a block's in sorted order, so a very common passage costs its matches in the task that reads
+Queries of equal fingerprints are one class.  Integers of recordings and of blocks meet in one shuffle, which says in
+which blocks a recording can find enough votes; it is sent to those.  There a task looks its integers up
+among the block's in sorted order, so a very common passage costs its matches in the task that reads
 it.  ``linked`` reduces what a recording matches to one row before anything leaves the task.
 """
 
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches, stage
+from .common import filter_bits, key_filter, limit_batches, marked, stage, unstage
 from .exact_dedup import dealt, hot_digests, in_all_parts
 
 #: Frames that a filter looks at, and pitch classes.
@@ -37,6 +38,8 @@ _GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 MIN_VOTES, MIN_OVERLAP, MAX_ERROR, GAP = 6, 16, 0.25, 32
 #: Integers of queries that each task holds at once.
 BLOCK_INTEGERS = 1 << 21
+#: Rows of a block that one part of it searches.
+PART_ROWS = 4096
 _CHUNK = 1 << 18
 
 
@@ -228,31 +231,136 @@ def _query_classes(prints: DataFrame, is_query: Callable[[Column], Column]) -> D
     return stage(rows.groupBy("digest").agg(F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.countDistinct("row_id").alias("ids"), F.first("n").alias("n"), F.first("print").alias("print")), "queries")
 
 
+def _runs(rows: DataFrame, *by: str) -> DataFrame:
+    """``*by, digest, many, runs``: each integer (as ``digest``) of a row's fingerprint, how many runs of it there are and
+    the runs of all."""
+    names = [*by, "digest", "many", "runs"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[tuple] = []
+        values: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def whole() -> pa.RecordBatch:
+            many = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+            told = [np.repeat(np.array(c, dtype=np.int64), many) for c in zip(*keys, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*told[:-1], np.concatenate(values).astype(np.int64), np.concatenate(counts), told[-1])], names=names)
+
+        held = 0
+        for batch in batches:
+            for *key, data in zip(*(batch.column(c).to_pylist() for c in (*by, "print")), strict=True):
+                own = np.frombuffer(data, dtype=np.uint32)
+                own = own[_starts(own)]
+                value, count = np.unique(own, return_counts=True)
+                keys.append((*key, len(own)))
+                values.append(value)
+                counts.append(count.astype(np.int64))
+                held += len(value)
+                if held >= _CHUNK:
+                    yield whole()
+                    keys, values, counts, held = [], [], [], 0
+        if held:
+            yield whole()
+
+    return rows.select(*by, "print").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _rows_to_blocks(searched: DataFrame, queries: DataFrame) -> DataFrame:
+    """``uid, digest``: the blocks of queries (as ``digest``) that each row is to be searched in.
+
+    Integers meet in one shuffle, hot ones dealt out.  A stretch needs its votes among the row's runs whose integer
+    some query of the block has, so a block with fewer of them holds nothing that aligns with the row.
+    """
+    theirs = stage(_runs(queries, "block").groupBy("digest", "block").agg(F.min("runs").alias("runs")), "query_integers")
+    values = theirs.select("digest").distinct()
+    bits = filter_bits(values.count())
+    least = int(theirs.agg(F.min("runs")).first()[0])
+    own = marked(_runs(searched, "uid"), "digest", key_filter(values, "digest", bits), bits).where("hit").drop("hit")
+    own = stage(own, "row_integers")
+    met = own.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    hot = stage(hot_digests(met, own.count()), "hot_integers")
+    votes = dealt(own, hot).join(in_all_parts(theirs.drop("runs"), hot), ["digest", "part"])
+    enough = F.least(F.first("runs"), F.lit(least), F.lit(MIN_VOTES))
+    out = votes.groupBy("uid", "block").agg(F.sum("many").alias("votes"), enough.alias("enough")).where("votes >= enough")
+    out = stage(out.select("uid", F.col("block").alias("digest")), "row_blocks")
+    unstage(searched.sparkSession, own.staged_path)
+    unstage(searched.sparkSession, theirs.staged_path)
+    return out
+
+
+_SENT = ("block", "part", "is_row", "uid", "row_id", "asked", "digest", "low", "high", "ids", "print")
+
+
+def _sent(searched: DataFrame, queries: DataFrame) -> DataFrame:
+    """Blocks of queries and the rows to be searched in them, side by side in one partition, queries first.  The rows of
+    a block are dealt out over as many parts as their number asks for, each with the whole block."""
+    wanted = _rows_to_blocks(searched, queries)
+    sizes = wanted.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    parts = stage(sizes.select("digest", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")), "parts")
+    rows = dealt(wanted, parts).withColumnRenamed("digest", "block").join(searched, "uid")
+    none = F.lit(None).cast("long")
+    rows = rows.select("block", "part", F.lit(True).alias("is_row"), "uid", "row_id", "asked", "digest", none.alias("low"), none.alias("high"), none.alias("ids"), "print")
+    part = F.explode(F.expr("sequence(0, parts - 1)")).alias("part")
+    held = queries.join(parts.select(F.col("digest").alias("block"), part), "block")
+    held = held.select("block", "part", F.lit(False).alias("is_row"), none.alias("uid"), none.alias("row_id"), F.lit(False).alias("asked"), "digest", "low", "high", "ids", "print")
+    return rows.unionByName(held).repartition("block", "part").sortWithinPartitions("block", "part", "is_row")
+
+
 def _search(prints: DataFrame, queries: DataFrame, give: Callable, schema: str, block_integers: int) -> tuple[DataFrame, int]:
     """Rows that ``give`` makes of each row's number, identifier, digest and matches, for each block of
-    queries, and the number of blocks.  The driver holds one block at a time."""
+    queries, and the number of blocks.  Queries that fit one block, whose size is checked, are broadcast and nothing
+    is shuffled.  Of more queries none passes through the driver: rows go to the blocks that can hold a match."""
     spark = prints.sparkSession
     blocks = -(-int(queries.agg(F.sum("n")).first()[0] or 0) // block_integers)
-    out = None
+    if not blocks:
+        return spark.createDataFrame([], schema), 0
     searched = prints.where("n > 0").select("uid", "row_id", "asked", "digest", "print")
-    for k in range(blocks):
-        got = queries.where(F.pmod(F.xxhash64("digest"), F.lit(blocks)) == k).orderBy("digest").collect()
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == len(found[0]) - 1 else pa.int64()) for k, c in enumerate(zip(*found, strict=True))], names=names)
+
+    def found_in(index: QueryBlock, classes: list[tuple], uid: int, row_id: int | None, asked: bool, digest: bytes, data: bytes) -> Iterator[tuple]:
+        hits = [(*classes[q], o, v, n, e) for q, o, v, n, e in index.search(np.frombuffer(data, dtype=np.uint32))]
+        return give(uid, row_id, asked, digest, hits)
+
+    if blocks == 1:
+        got = queries.orderBy("digest").collect()
         held = [(bytes(r["digest"]), r["low"], r["high"], r["ids"]) for r in got]
         block = spark.sparkContext.broadcast((held, QueryBlock([np.frombuffer(bytes(r["print"]), dtype=np.uint32) for r in got])))
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             classes, index = block.value
             for batch in batches:
                 found: list[tuple] = []
-                for uid, row_id, asked, digest, data in zip(*(batch.column(c).to_pylist() for c in ("uid", "row_id", "asked", "digest", "print")), strict=True):
-                    hits = [(*classes[q], o, v, n, e) for q, o, v, n, e in index.search(np.frombuffer(data, dtype=np.uint32))]
-                    found += give(uid, row_id, asked, digest, hits)
+                for row in zip(*(batch.column(c).to_pylist() for c in ("uid", "row_id", "asked", "digest", "print")), strict=True):
+                    found += found_in(index, classes, *row)
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == len(found[0]) - 1 else pa.int64()) for k, c in enumerate(zip(*found, strict=True))], names=[f.split()[0] for f in schema.split(", ")])
+                    yield batch_of(found)
 
-        rows = searched.mapInArrow(run, schema)
-        out = rows if out is None else out.unionByName(rows)
-    return spark.createDataFrame([], schema) if out is None else out, blocks
+        return searched.mapInArrow(run, schema), 1
+
+    def run_sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, index = None, None
+        classes: list[tuple] = []
+        held: list[np.ndarray] = []
+        for batch in batches:
+            found: list[tuple] = []
+            for block, part, is_row, uid, row_id, asked, digest, low, high, ids, data in zip(*(batch.column(c).to_pylist() for c in _SENT), strict=True):
+                if (block, part) != at:
+                    at, index, classes, held = (block, part), None, [], []
+                if not is_row:
+                    classes.append((digest, low, high, ids))
+                    held.append(np.frombuffer(data, dtype=np.uint32))
+                    continue
+                if index is None:
+                    index = QueryBlock(held)
+                found += found_in(index, classes, uid, row_id, asked, digest, data)
+            if found:
+                yield batch_of(found)
+
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(blocks)).cast("long"))
+    return _sent(searched, queries).mapInArrow(run_sent, schema), blocks
 
 
 def align(df: DataFrame, id_col: str = "doc_id", source_col: str = "text", frames: Callable[[object], np.ndarray] = text_frames, is_query: Callable[[Column], Column] = lambda c: c % 100 == 0, block_integers: int = BLOCK_INTEGERS) -> DataFrame:

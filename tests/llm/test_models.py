@@ -329,7 +329,7 @@ def brute_links(docs, every):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 21, 4000])
+@pytest.mark.parametrize("block", [1 << 21, 4000, 150])
 def test_links_match_brute_force(make, documents, block):
     rng = np.random.default_rng(3)
     rows = [(r["doc_id"], " ".join((r["text"] or "").split()[:220])) for r in documents.where("doc_id < 70").collect()]
@@ -345,10 +345,12 @@ def test_links_match_brute_force(make, documents, block):
     assert (130, 141) in pairs and (130, 105) in pairs and not any(q == m for q, m in pairs)
 
 
-def test_a_large_group_of_copies_stays_linear(make):
-    """500 equal recordings: one class, a row each and no pairs."""
+@pytest.mark.parametrize("block", [1 << 21, 20])
+def test_a_large_group_of_copies_stays_linear(make, monkeypatch, block):
+    """500 equal recordings: one class, a row each and no pairs; their integers and their block are dealt out."""
+    monkeypatch.setattr(audio, "PART_ROWS", 100)
     rows = [(i, " ".join(f"w{k}" for k in range(60))) for i in range(500)] + [(601 + i, " ".join(f"w{(k * 7 + i * 13) % 400}" for k in range(60))) for i in range(5)]
-    got = {r["doc_id"]: r for r in audio.linked(make(rows)).collect()}
+    got = {r["doc_id"]: r for r in audio.linked(make(rows), block_integers=block).collect()}
     assert len(got) == 505 and all(r["class_id"] == 0 for i, r in got.items() if i < 500)
     assert all(r["n_links"] == (4 if i % 100 == 0 else 5) and r["best_id"] == (400 if i == 0 else 0) and r["best_error"] == 0 for i, r in got.items() if i < 500)
 
