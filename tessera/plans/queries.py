@@ -746,3 +746,6 @@ def rule_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = D.busiest(calls, 2).select(node("entry_va").alias("node_id"), F.lit("v1").alias("variable"), F.concat(F.lit("t"), F.col("entry_va").cast("string")).alias("value"), F.lit("given").alias("source"), F.lit(0.99).alias("confidence"))
     out = rules.run(facts, edges, [(100, rules.type_propagation())])
     return out.select("node_id", "value", "round", F.round("confidence", 6).alias("confidence"))
+
+
+from tessera.plans import phases  # noqa: E402, F401  its queries build on those above
