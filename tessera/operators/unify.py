@@ -68,7 +68,7 @@ def resolve_calls(xrefs: DataFrame, instructions: DataFrame, functions: DataFram
     nodes = functions.select("entry_va").distinct()
     by_address = nodes.select(F.col("entry_va").alias("hit1"))
     by_name = nodes.select(F.col("entry_va").alias("hit2"))
-    got = src.select("entry_va", F.col("x.dst_va").alias("dst_va"), F.col("x.dst_name").alias("dst_name")).withColumn("as_va", F.when(T.is_bare_hex(F.col("dst_name")), T.parse_hex(F.lower("dst_name"))))
+    got = src.select("entry_va", F.col("x.dst_va").alias("dst_va"), F.col("x.dst_name").alias("dst_name")).withColumn("as_va", T.parse_hex(F.lower("dst_name")))
     got = got.join(by_address, got["dst_va"] == F.col("hit1"), "left").join(by_name, got["as_va"] == F.col("hit2"), "left")
     target = F.coalesce("hit1", "hit2")
     keep_self = F.lit(compat)
