@@ -269,18 +269,18 @@ def _rows_to_blocks(searched: DataFrame, queries: DataFrame) -> DataFrame:
     """``uid, digest``: the blocks of queries (as ``digest``) that each row is to be searched in.
 
     Integers meet in one shuffle, hot ones dealt out.  A stretch needs its votes among the row's runs whose integer
-    some query of the block has, so a block with fewer of them holds nothing that aligns with the row.
+    some query of the block has, so a block with fewer of them holds nothing that aligns with the row; only queries that
+    share an integer with the row say how few votes can do.
     """
     theirs = stage(_runs(queries, "block").groupBy("digest", "block").agg(F.min("runs").alias("runs")), "query_integers")
     values = theirs.select("digest").distinct()
     bits = filter_bits(values.count())
-    least = int(theirs.agg(F.min("runs")).first()[0])
     own = marked(_runs(searched, "uid"), "digest", key_filter(values, "digest", bits), bits).where("hit").drop("hit")
     own = stage(own, "row_integers")
     met = own.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
     hot = stage(hot_digests(met, own.count()), "hot_integers")
-    votes = dealt(own, hot).join(in_all_parts(theirs.drop("runs"), hot), ["digest", "part"])
-    enough = F.least(F.first("runs"), F.lit(least), F.lit(MIN_VOTES))
+    votes = dealt(own, hot).join(in_all_parts(theirs.withColumnRenamed("runs", "fewest"), hot), ["digest", "part"])
+    enough = F.least(F.first("runs"), F.min("fewest"), F.lit(MIN_VOTES))
     out = votes.groupBy("uid", "block").agg(F.sum("many").alias("votes"), enough.alias("enough")).where("votes >= enough")
     out = stage(out.select("uid", F.col("block").alias("digest")), "row_blocks")
     unstage(searched.sparkSession, own.staged_path)
