@@ -59,10 +59,11 @@ def naming_hints(factor: float = 0.3, least: float = 0.7) -> Rule:
 
 
 def global_consistency(least: float = 0.6) -> Rule:
-    """The type that most accesses of a global agree on, by confidence, is the global's."""
+    """The type that most accesses of a global agree on, by confidence, is the global's.  Confidences are summed as
+    decimals: sums of doubles depend on their order, and equal sums of two types would not be equal."""
     def rule(new: DataFrame, known: DataFrame, edges: DataFrame) -> DataFrame:
-        votes = known.where(F.col("variable") == "access_type").join(_edges(edges, "ACCESSES"), F.col("node_id") == F.col("source_id")).groupBy(F.col("target_id").alias("node_id"), "value").agg(F.sum("confidence").alias("w"))
-        best = votes.groupBy("node_id").agg(F.max_by("value", F.struct("w", "value")).alias("value"), F.max("w").alias("top"), F.sum("w").alias("all"))
+        votes = known.where(F.col("variable") == "access_type").join(_edges(edges, "ACCESSES"), F.col("node_id") == F.col("source_id")).groupBy(F.col("target_id").alias("node_id"), "value").agg(F.sum(F.col("confidence").cast("decimal(18,9)")).alias("w"))
+        best = votes.groupBy("node_id").agg(F.max_by("value", F.struct("w", "value")).alias("value"), F.max("w").cast("double").alias("top"), F.sum("w").cast("double").alias("all"))
         return best.where(F.col("top") / F.col("all") >= least).select("node_id", F.lit("type").alias("variable"), "value", F.lit("global_consistency").alias("source"), F.least(F.col("top") / F.col("all"), F.lit(1.0)).alias("confidence"))
 
     return rule

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tessera.plans import details
+from tessera.operators import rules
+from tessera.plans import details, queries
 
 PARTS = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
 
@@ -21,3 +22,28 @@ def test_addresses_of_more_than_eight_digits(spark, tmp_path):
     rows = details.read_assembly_instructions(spark, where)
     first = rows.where("index_in_function = 0").agg(F.collect_set("address_va").alias("a")).first()["a"]
     assert set(first) == {k * 4096 for k in keys}
+
+
+def test_identifiers_that_two_views_use(spark, tmp_path):
+    where = parts(spark, tmp_path, [3, 6, 1000003])
+    lines = [(3, 1), (3, 2), (3, 9), (1000003, 1), (1000003, 9), (1000003, 9), (1000003, 9)]
+    spark.createDataFrame(lines, "l_partkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["entry_va"] // 16: (r["functions"], r["instr_count"], r["primary_function_id"]) for r in queries.unified_nodes(spark, where).collect()}
+    # identifier 1000003 is part 1000003 (4 lines) and the second view of part 3 (2 lines): a row for each of both
+    assert got == {3: (3, 4, 1000003), 6: (2, 0, 6), 1000003: (2, 4, 1000003)}
+
+
+def test_types_of_globals_do_not_depend_on_rounding(spark):
+    # doubles sum 0.1 and 0.2 to more than 0.3; of equal sums the greater type counts
+    uses = [("a", "int", 0.1), ("b", "int", 0.2), ("c", "long", 0.3)]
+    facts = spark.createDataFrame([(n, "access_type", t, "given", c) for n, t, c in uses], "node_id string, variable string, value string, source string, confidence double")
+    edges = spark.createDataFrame([(n, "g", "ACCESSES") for n, _, _ in uses], "source_id string, target_id string, edge_type string")
+    got = rules.run(facts, edges, [(60, rules.global_consistency(0.5))]).where("variable = 'type'").collect()
+    assert [(r["value"], r["confidence"]) for r in got] == [("long", 0.5)]
+
+
+def test_an_order_of_more_than_sixteen_lines(spark, tmp_path):
+    lines = [(1, n, n, n) for n in range(1, 19)] + [(2, 1, 1, 1), (2, 2, 2, 2), (2, 3, 3, 3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted((r["entry_va"], r["depth"]) for r in queries.deepest_path(spark, str(tmp_path)).collect())
+    assert got == sorted([(16 + n, 18 - n) for n in range(1, 19)] + [(32 + n, 3 - n) for n in range(1, 4)])
