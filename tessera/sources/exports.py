@@ -1,6 +1,9 @@
 """Readers of tool exports: CSV tables, assembly and pseudocode files, of two tools' views.
 
 View 1 exports need ``offset`` taken off their addresses; view 2 gives the reference addresses.
+
+A tool writes a file for each function or target.  Listing and opening millions of small files takes longer than reading them, so
+large exports are ``packed``: Parquet of whole files (``file, value``), as many files as Spark has tasks.
 """
 
 from __future__ import annotations
@@ -89,11 +92,12 @@ def file_name(path: Column) -> Column:
 
 
 def read_xrefs(spark: SparkSession, folder: str, view_id: int, offset: int = 0, strict: bool = False) -> DataFrame:
-    """Cross-references: targets come from file names, sources from rows."""
+    """Cross-references: targets come from file names, sources from rows.  Rows packed into common files name their own
+    file in a column ``Export File``."""
     rows = spark.read.option("header", True).csv(folder, recursiveFileLookup=True)
     have = set(rows.columns)
     column = lambda c: F.col(f"`{c}`") if c in have else F.lit(None).cast("string")
-    rows = rows.select(column("Reference From Address").alias("src"), column("Reference Type").alias("type"), column("Containing Function").alias("inside"), column("Primary Ref").alias("primary"), file_name(F.col("_metadata.file_path")).alias("file"))
+    rows = rows.select(column("Reference From Address").alias("src"), column("Reference Type").alias("type"), column("Containing Function").alias("inside"), column("Primary Ref").alias("primary"), F.coalesce(column("Export File"), file_name(F.col("_metadata.file_path"))).alias("file"))
     address, name = xref_target(F.regexp_replace("file", r"\.csv$", ""), strict)
     out = rows.select(
         F.lit(view_id).alias("view_id"), (T.parse_hex(F.col("src")) - offset).alias("src_va"), (address - offset).alias("dst_va"), name.alias("dst_name"), F.col("type").alias("ref_type_raw"),
@@ -101,10 +105,14 @@ def read_xrefs(spark: SparkSession, folder: str, view_id: int, offset: int = 0,
     return conform(out.where("src_va is not null"), "xrefs")
 
 
-def _files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+def _files(spark: SparkSession, folder: str, suffix: str, packed: bool = False) -> DataFrame:
     """``file, stem, lines`` of a folder's whole files with that suffix."""
-    found = spark.read.option("pathGlobFilter", f"{{*{suffix},part-*}}").option("recursiveFileLookup", True).text(folder, wholetext=True)
-    rows = found.select(file_name(F.col("_metadata.file_path")).alias("file"), "value").where(F.col("file").endswith(suffix))
+    if packed:
+        rows = spark.read.schema("file string, value string").parquet(folder)
+    else:
+        found = spark.read.option("pathGlobFilter", f"{{*{suffix},part-*}}").option("recursiveFileLookup", True).text(folder, wholetext=True)
+        rows = found.select(file_name(F.col("_metadata.file_path")).alias("file"), "value")
+    rows = rows.where(F.col("file").endswith(suffix))
     return rows.select("file", F.regexp_replace("file", rf"\{suffix}$", "").alias("stem"), F.split("value", r"\r\n|\r|\n").alias("lines"))
 
 
@@ -124,10 +132,10 @@ def _identified(files: DataFrame, offset: int) -> DataFrame:
     return out.where("entry_va is not null")
 
 
-def read_assembly(spark: SparkSession, folder: str, view_id: int, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+def read_assembly(spark: SparkSession, folder: str, view_id: int, offset: int = 0, packed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Functions and their instructions, one file a function.  Identifiers are hashes of view and
     entry address, the same in every run."""
-    files = _identified(_files(spark, folder, ".asm"), offset)
+    files = _identified(_files(spark, folder, ".asm", packed), offset)
     key = F.xxhash64(F.lit(view_id), F.col("entry_va"))
     functions = files.groupBy("entry_va").agg(F.min_by(F.struct("name", "file"), F.col("file")).alias("f"))
     functions = functions.select(key.alias("id"), F.lit(view_id).alias("view_id"), "entry_va", F.col("f.name").alias("name"), F.col("f.file").alias("raw_file"))
@@ -142,9 +150,9 @@ def read_assembly(spark: SparkSession, folder: str, view_id: int, offset: int =
     return conform(functions, "functions"), conform(instructions, "instructions")
 
 
-def read_pseudocode(spark: SparkSession, folder: str, view_id: int, offset: int = 0) -> DataFrame:
+def read_pseudocode(spark: SparkSession, folder: str, view_id: int, offset: int = 0, packed: bool = False) -> DataFrame:
     """Pseudocode: the first line that is neither blank nor a comment is the prototype, the rest the body."""
-    files = _identified(_files(spark, folder, ".c"), offset)
+    files = _identified(_files(spark, folder, ".c", packed), offset)
     code = lambda s: (F.trim(s) != "") & ~F.trim(s).startswith("//")
     first = F.array_position(F.transform("lines", code), True)
     out = files.select(
@@ -153,24 +161,27 @@ def read_pseudocode(spark: SparkSession, folder: str, view_id: int, offset: int
     return conform(out, "pseudo_functions")
 
 
-def load_view(spark: SparkSession, root: str, base: str, view_id: int, offset: int = 0, with_strings: bool = True) -> dict[str, DataFrame]:
-    """All tables of one view exported under ``root`` with files named after ``base``."""
-    functions, instructions = read_assembly(spark, f"{root}/disassembly", view_id, offset)
+def load_view(spark: SparkSession, root: str, base: str, view_id: int, offset: int = 0, with_strings: bool = True, packed: bool = False) -> dict[str, DataFrame]:
+    """All tables of one view exported under ``root`` with files named after ``base``, code and listings ``packed`` or not."""
+    functions, instructions = read_assembly(spark, f"{root}/disassembly", view_id, offset, packed)
     out = {
         "segments": read_segments(spark, f"{root}/{base}_segments.csv", view_id, offset),
         "sections": read_sections(spark, f"{root}/{base}_sections.csv", view_id, offset),
         "symbols": read_symbols(spark, f"{root}/{base}_symbols.csv", view_id, offset),
         "functions": functions, "instructions": instructions,
         "xrefs": read_xrefs(spark, f"{root}/xrefs", view_id, offset),
-        "pseudo_functions": read_pseudocode(spark, f"{root}/pseudocode", view_id, offset),
+        "pseudo_functions": read_pseudocode(spark, f"{root}/pseudocode", view_id, offset, packed),
     }
     if with_strings:
         out["strings"] = read_strings(spark, f"{root}/{base}_strings.csv", view_id)
     return out
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """``path, hash_md5, hash_sha256`` of binary files."""
+def file_hashes(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """``path, hash_md5, hash_sha256`` of binary files; of packed ones the path is the file's name."""
+    if packed:
+        found = spark.read.schema("file string, value binary").parquet(path).select(F.col("file").alias("path"), F.col("value").alias("content"))
+        return found.select("path", F.md5("content").alias("hash_md5"), F.sha2("content", 256).alias("hash_sha256"))
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.md5("content").alias("hash_md5"), F.sha2("content", 256).alias("hash_sha256"))
 
 

@@ -47,3 +47,14 @@ def test_an_order_of_more_than_sixteen_lines(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = sorted((r["entry_va"], r["depth"]) for r in queries.deepest_path(spark, str(tmp_path)).collect())
     assert got == sorted([(16 + n, 18 - n) for n in range(1, 19)] + [(32 + n, 3 - n) for n in range(1, 4)])
+
+
+def test_exports_of_many_functions_are_few_files(spark, tmp_path):
+    where = parts(spark, tmp_path, range(1, 60))
+    spark.createDataFrame([(k, f"s{k}") for k in range(1, 60)], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    lines = [(k, 1, k, k, k % 2) for k in range(1, 60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, x int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    for read in (details.read_assembly_functions, details.read_assembly_instructions, details.read_pseudocode, details.read_xrefs, details.file_hashes):
+        got = read(spark, where)
+        assert len(got.inputFiles()) <= 16 and got.count() >= 59, read.__name__
+    assert {r["rows"] for r in details.load_view(spark, where).collect()} == {59, 118}
