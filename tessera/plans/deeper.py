@@ -52,13 +52,13 @@ def chain_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {D.ORDER_CALLS}, e AS (SELECT entry_va AS a, callee_va AS b FROM ocalls), {COMPONENTS} SELECT v AS entry_va, cp.c AS component, CAST(d AS INTEGER) AS depth FROM cp JOIN dp USING (c)")
 def cyclic_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component and depth of every function of the calls of orders, most of which lie on cycles."""
-    return cycles.condensed_depth(D.order_calls(spark, sf_dir))
+    return cycles.condensed_depth(D.kept_order_calls(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {D.ORDER_CALLS}, e AS (SELECT entry_va AS a, callee_va AS b FROM ocalls), {COMPONENTS} SELECT 'all' AS starts, CAST(max(d) AS INTEGER) AS depth FROM dp UNION ALL SELECT 'called only', CAST(max(d) AS INTEGER) FROM cp JOIN dp USING (c) WHERE v NOT IN (SELECT a FROM e)")
 def deepest_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deepest of all functions and of the stated starts."""
-    calls = D.order_calls(spark, sf_dir)
+    calls = D.kept_order_calls(spark, sf_dir)
     depths = cycles.condensed_depth(calls)
     only = cycles.deepest(depths, depths.join(calls, "entry_va", "left_anti"))
     return cycles.deepest(depths).select(F.lit("all").alias("starts"), "depth").unionByName(only.select(F.lit("called only").alias("starts"), "depth"))
@@ -75,7 +75,7 @@ _NEAR = f"""{D.MIXED}, e AS (SELECT a AS x, b AS y, cost FROM mixed UNION ALL SE
 
 
 def _neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = D.order_calls(spark, sf_dir)
+    calls = D.kept_order_calls(spark, sf_dir)
     e = graph.mixed_edges(calls, D.brand_strings(spark, sf_dir)).select("a", "b", graph.edge_cost(F.col("kinds")).alias("cost"))
     return quota.neighbourhood(e, D.busiest(calls, 20), 1.4, 50)
 
@@ -103,7 +103,7 @@ def neighbourhood_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT s AS start, CAST(row_number() OVER (PARTITION BY s ORDER BY key) AS INTEGER) AS place, array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS depth, coalesce(leaf, 'max_depth') AS leaf FROM r WHERE d = 12""")
 def first_deep_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 40 paths of 25 starts to a depth of 12 over all callees."""
-    calls = D.part_calls(spark, sf_dir)
+    calls = graph.kept(D.part_calls(spark, sf_dir), "calls")
     return quota.first_paths(calls, D.busiest(calls, 25), 12, 40).select("start", "place", joined().alias("path"), "depth", "leaf")
 
 
@@ -241,7 +241,7 @@ _WAVES = f"""{D.ORDER_CALLS}, nf AS (SELECT DISTINCT v, v % 4 <> 3 AS waits, v %
  FROM fw JOIN nf USING (v) LEFT JOIN pr ON pr.v = fw.v AND pr.wave = fw.wave""")
 def validation_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation from ten entries on, stopped after its first wave and gone on with."""
-    calls = D.order_calls(spark, sf_dir)
+    calls = D.kept_order_calls(spark, sf_dir)
     nodes = graph.kept(calls.select("entry_va").union(calls.select("callee_va")).distinct(), "nodes")
     pending, held, entries = nodes.where("entry_va % 4 != 3"), nodes.where("entry_va % 11 = 5"), D.busiest(calls, 10)
     kept = new_store(spark, "waves")
@@ -253,7 +253,7 @@ def validation_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def goal_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve goals in up to three generations each, stopped after the first and gone on with."""
-    calls = D.order_calls(spark, sf_dir)
+    calls = D.kept_order_calls(spark, sf_dir)
     e = graph.mixed_edges(calls, D.brand_strings(spark, sf_dir)).select("a", "b", graph.edge_cost(F.col("kinds")).alias("cost"))
     p = D.table(spark, sf_dir, "part")
     facts = p.select(F.col("p_partkey").alias("entry_va"), F.array("p_name").alias("names"), F.col("p_size").alias("tokens"), (F.col("p_size") % 9).alias("richness"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import rules
+from tessera.operators import graph, rules
 from tessera.plans import details, queries
 
 PARTS = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
@@ -58,3 +58,21 @@ def test_exports_of_many_functions_are_few_files(spark, tmp_path):
         got = read(spark, where)
         assert len(got.inputFiles()) <= 16 and got.count() >= 59, read.__name__
     assert {r["rows"] for r in details.load_view(spark, where).collect()} == {59, 118}
+
+
+def counted(spark, rows, schema):
+    """A table, and how many of its rows were made so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    return spark.createDataFrame(rows, schema).mapInArrow(run, schema), made
+
+
+def test_rounds_do_not_make_the_calls_again(spark):
+    calls, made = counted(spark, [(k, k + 1) for k in range(8)], "entry_va long, callee_va long")
+    got = graph.simple_paths(calls, spark.createDataFrame([(0,)], "entry_va long"), 6).collect()
+    assert [(r["depth"], r["leaf"]) for r in got] == [(6, "max_depth")] and made.value == 8
