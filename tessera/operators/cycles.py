@@ -3,17 +3,133 @@
 Peeling takes functions away from the leaves upwards (or from the roots downwards): those are on no cycle.  In what is left
 every node takes the largest colour that reaches it; a node that keeps its own is the root of the component of all nodes of
 its colour that reach it.  Edges between colours are on no cycle and go, and what has no component yet is peeled
-and coloured again.  Colours are ordered by hash, so a chain of components falls apart in about the logarithm of its length.  Rounds append what they change to logs; a round reads the logs for the nodes that it touches.
+and coloured again.  Before all that, what lies close together is settled at once: addresses are cut into cells, and a weakly connected
+piece within one cell, of which no call leads into another, is settled in the cell's task.  Colours are ordered by hash, so a chain of components falls apart in about the logarithm of its length.  Rounds append what they change to logs; a round reads the logs for the nodes that it touches.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import kept
 from tessera.operators.rounds import Rounds
 
+#: Steps that a cell holds on average, and at most: cells with more are left to the rounds.
+CELL_STEPS, MOST_STEPS = 20_000, 200_000
+
+
+def _roots_and_depths(out: dict[int, list[int]]) -> dict[int, tuple[int, int]]:
+    """Smallest node of each node's strongly connected component, and the depth below it (Tarjan, without recursion)."""
+    number: dict[int, int] = {}
+    low: dict[int, int] = {}
+    done: dict[int, tuple[int, int]] = {}
+    held: list[int] = []
+    for start in out:
+        if start in number:
+            continue
+        number[start] = low[start] = len(number)
+        held.append(start)
+        path = [(start, iter(out[start]))]
+        while path:
+            node, rest = path[-1]
+            for to in rest:
+                if to not in number:
+                    number[to] = low[to] = len(number)
+                    held.append(to)
+                    path.append((to, iter(out.get(to, ()))))
+                    break
+                if to not in done:
+                    low[node] = min(low[node], number[to])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == number[node]:
+                    members = [held.pop()]
+                    while members[-1] != node:
+                        members.append(held.pop())
+                    inside = set(members)
+                    depth = max((done[to][1] + 1 for m in members for to in out.get(m, ()) if to not in inside), default=0)
+                    least = min(members)
+                    for m in members:
+                        done[m] = (least, depth)
+    return done
+
+
+def _settled_in_cell(src: list[int], dst: list[int], touched: set[int]) -> tuple[dict[int, tuple[int, int]], list[tuple[int, int]]]:
+    """Component and depth of the nodes of pieces without a ``touched`` node, and the steps of the other pieces."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in zip(src, dst, strict=True):
+        root[find(a)] = find(b)
+    open_ = {find(x) for x in touched if x in root}
+    out, left = defaultdict(list), []
+    for a, b in zip(src, dst, strict=True):
+        if find(a) in open_:
+            left.append((a, b))
+        else:
+            out[a].append(b)
+    return _roots_and_depths(dict(out)), left
+
+
+def _local(rounds: Rounds, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, component, depth`` of the pieces that lie within one cell, and the steps of all others."""
+    size = steps.agg(F.count(F.lit(1)).alias("n"), F.min(F.least("src", "dst")).alias("low"), F.max(F.greatest("src", "dst")).alias("high")).first()
+    width = float(max(1, (size["high"] - size["low"] + 1) * CELL_STEPS // size["n"])) if size["n"] else 1.0
+    cell = lambda c: F.floor(F.col(c).cast("double") / F.lit(width)).cast("long")
+    placed = steps.withColumns({"cell": cell("src"), "other": cell("dst")})
+    across = placed.where("cell != other")
+    if 2 * across.count() > size["n"]:  # calls lead anywhere: little would be settled
+        return steps.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(0).alias("depth")).limit(0), rounds.keep(steps.distinct(), "left")
+    # both ends of a step between cells are touched, in their cells
+    ends = across.select("cell", "src").union(across.select("other", "dst")).select("cell", "src", F.lit(None).cast("long").alias("dst"))
+    rows = placed.where("cell = other").select("cell", "src", "dst").unionByName(ends)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, src, dst, touched, full = None, [], [], set(), False
+
+        def emit(found: dict[int, tuple[int, int]], left: list[tuple[int, int]]) -> pa.RecordBatch:
+            nodes, values = list(found), list(found.values())
+            gone = [None] * len(left)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(nodes + [a for a, _ in left], pa.int64()), pa.array([c for c, _ in values] + gone, pa.int64()), pa.array([d for _, d in values] + gone, pa.int32()), pa.array([None] * len(nodes) + [b for _, b in left], pa.int64())],
+                names=["node", "component", "depth", "dst"])
+
+        def settled() -> pa.RecordBatch:
+            return emit({}, list(zip(src, dst, strict=True))) if full else emit(*_settled_in_cell(src, dst, touched))
+
+        for batch in batches:
+            for c, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if c != here:
+                    if src:
+                        yield settled()
+                    here, src, dst, touched, full = c, [], [], set(), False
+                if b is None:
+                    touched.add(a)
+                    continue
+                src.append(a)
+                dst.append(b)
+                if len(src) > MOST_STEPS:
+                    full = True
+                    yield emit({}, list(zip(src, dst, strict=True)))
+                    src, dst = [], []
+        if src:
+            yield settled()
+
+    done = rounds.keep(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "node long, component long, depth int, dst long"), "cells")
+    left = done.where("dst is not null").select(F.col("node").alias("src"), "dst").unionByName(across.select("src", "dst"))
+    return done.where("dst is null").select("node", "component", "depth"), rounds.keep(left.distinct(), "left")
+
 
 def _peel(rounds: Rounds, steps: DataFrame, name: str) -> DataFrame:
     """``node, depth`` of the nodes of ``src, dst`` (distinct, no loops) that reach no cycle: the most steps below each."""
@@ -74,36 +190,39 @@ def _cyclic(rounds: Rounds, steps: DataFrame) -> DataFrame:
         k += 1
 
 
-def _steps(calls: DataFrame) -> DataFrame:
-    both = calls.where(F.col("entry_va").isNotNull() & F.col("callee_va").isNotNull())
-    return both.where("entry_va != callee_va").select(F.col("entry_va").alias("src"), F.col("callee_va").alias("dst")).distinct()
-
-
-def _nodes(calls: DataFrame) -> DataFrame:
-    return calls.select(F.col("entry_va").alias("node")).union(calls.select("callee_va")).where("node is not null").distinct()
-
-
 def strong_components(calls: DataFrame) -> DataFrame:
     """``entry_va, component`` for every function of ``calls`` (``entry_va, callee_va``): the smallest function of its
     strongly connected component.  Nulls are no functions; self calls and repeated calls change nothing."""
-    with Rounds(calls.sparkSession, "components") as rounds:
-        found = rounds.keep(_cyclic(rounds, rounds.keep(_steps(calls), "all")), "members")
-        found = found.join(found.groupBy("component").agg(F.min("node").alias("least")), "component").select("node", F.col("least").alias("component"))
-        out = _nodes(calls).join(found, "node", "left").select(F.col("node").alias("entry_va"), F.coalesce("component", "node").alias("component"))
-        return kept(out, "components")
+    return condensed_depth(calls).select("entry_va", "component")
+
+
+def _spread(rounds: Rounds, steps: DataFrame) -> DataFrame:
+    """``node, component, depth`` of the nodes of ``src, dst`` (distinct, no loops), in rounds."""
+    found = rounds.keep(_cyclic(rounds, steps), "members")
+    found = found.join(found.groupBy("component").agg(F.min("node").alias("least")), "component").select("node", F.col("least").alias("component"))
+    nodes = steps.select(F.col("src").alias("node")).union(steps.select("dst")).distinct()
+    of = rounds.keep(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
+    one, other = of.select(F.col("node").alias("src"), F.col("component").alias("a")), of.select(F.col("node").alias("dst"), F.col("component").alias("b"))
+    condensed = steps.join(one, "src").join(other, "dst").where("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    depth = _peel(rounds, rounds.keep(condensed, "condensed"), "condensed-down")
+    return of.join(depth.select(F.col("node").alias("component"), "depth"), "component", "left").select("node", "component", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def condensed_depth(calls: DataFrame) -> DataFrame:
     """``entry_va, component, depth``: the most calls in a row below each function where each component counts as one
     function, so calls within a cycle add nothing.  Without cycles it is the longest path down."""
-    components = strong_components(calls)
     with Rounds(calls.sparkSession, "depth") as rounds:
-        one = components.select(F.col("entry_va").alias("src"), F.col("component").alias("a"))
-        other = components.select(F.col("entry_va").alias("dst"), F.col("component").alias("b"))
-        steps = _steps(calls).join(one, "src").join(other, "dst").where("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-        depth = _peel(rounds, rounds.keep(steps, "steps"), "down")
-        out = components.join(depth.select(F.col("node").alias("component"), "depth"), "component", "left")
-        return kept(out.select("entry_va", "component", F.coalesce("depth", F.lit(0)).alias("depth")), "depth")
+        given = rounds.keep(calls.select("entry_va", "callee_va"), "calls")
+        met = given.where(F.col("entry_va").isNotNull() & F.col("callee_va").isNotNull())
+        near, steps = _local(rounds, met.where("entry_va != callee_va").select(F.col("entry_va").alias("src"), F.col("callee_va").alias("dst")))
+        found = near.unionByName(_spread(rounds, steps)) if steps.limit(1).count() else near
+        # functions of which only calls to themselves or to none are known
+        lone = given.where("entry_va is null or callee_va is null or entry_va = callee_va").select(F.explode(F.array("entry_va", "callee_va")).alias("node")).where("node is not null").distinct()
+        lone = rounds.keep(lone, "lone")
+        # few: what is found of them is looked up before the join
+        lone = lone.join(found.join(lone, "node", "left_semi").select("node"), "node", "left_anti").select("node", F.col("node").alias("component"), F.lit(0).alias("depth"))
+        out = found.unionByName(lone)
+        return kept(out.select(F.col("node").alias("entry_va"), "component", "depth"), "depth")
 
 
 def deepest(depths: DataFrame, only: DataFrame | None = None) -> DataFrame:

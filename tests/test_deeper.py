@@ -55,6 +55,31 @@ def test_depth_of_planted_cycles(spark, seed, nodes, edges):
     assert got == depths([*calls, (3, 3), (5, 5)])
 
 
+@pytest.mark.parametrize(("steps", "most"), [(4, 200_000), (40, 200_000), (40, 10)])
+def test_depth_of_pieces_within_cells(spark, monkeypatch, steps, most):
+    monkeypatch.setattr(cycles, "CELL_STEPS", steps)
+    monkeypatch.setattr(cycles, "MOST_STEPS", most)
+    rng = random.Random(steps)
+    calls = [(a, b) for k in range(40) for a, b in planted_piece(rng, 10 * k)] + [(11, 205), (205, 390), (390, 12), (57, 58), (58, 57)]
+    df = spark.createDataFrame([*calls, calls[0]], "entry_va long, callee_va long")
+    got = {r["entry_va"]: (r["component"], r["depth"]) for r in cycles.condensed_depth(df).collect()}
+    assert got == depths(calls)
+
+
+def planted_piece(rng, base):
+    return [(base + rng.randrange(6), base + rng.randrange(6)) for _ in range(6)]
+
+
+def test_close_pieces_need_no_rounds(spark, monkeypatch):
+    def no_rounds(*_):
+        raise AssertionError("nothing was left for the rounds")
+
+    monkeypatch.setattr(cycles, "_spread", no_rounds)
+    calls = [(10 * k + i, 10 * k + i + 1) for k in range(50) for i in range(5)]
+    got = {r["entry_va"]: r["depth"] for r in cycles.condensed_depth(spark.createDataFrame(calls, "entry_va long, callee_va long")).collect()}
+    assert got == {10 * k + i: 5 - i for k in range(50) for i in range(6)}
+
+
 def test_depth_without_calls_or_cycles(spark):
     schema = "entry_va long, callee_va long"
     assert cycles.condensed_depth(spark.createDataFrame([], schema)).count() == 0
