@@ -39,7 +39,9 @@ def steps_of(store: Store, name: str) -> DataFrame | None:
 
 def _judged(front: DataFrame, pending: DataFrame, locked: DataFrame, analyst: Analyst) -> DataFrame:
     """``front`` (``entry_va, priority``) with what becomes of each function."""
-    marked = front.join(pending.select("entry_va", F.lit(True).alias("waits")), "entry_va", "left").join(locked.select("entry_va", F.lit(True).alias("is_locked")), "entry_va", "left")
+    # a wave is small: what is told of its functions is looked up before the join, so the whole tables aren't shuffled for it
+    of = lambda df: df.join(front.select("entry_va"), "entry_va", "left_semi")
+    marked = front.join(of(pending).select("entry_va", F.lit(True).alias("waits")), "entry_va", "left").join(of(locked).select("entry_va", F.lit(True).alias("is_locked")), "entry_va", "left")
     asked = graph.kept(marked.where("waits and is_locked is null").select("entry_va", "priority"), "asked")
     answers = graph.kept(analyst(asked).select("entry_va", "action", "note", F.col("confidence").cast("double").alias("confidence")), "answers")
     marked = marked.join(answers.dropDuplicates(["entry_va"]), "entry_va", "left")
@@ -58,9 +60,10 @@ def validate(store: Store, entries: DataFrame, pending: DataFrame, locked: DataF
 
     ``analyst`` takes ``entry_va, priority`` and gives ``entry_va, action, note, confidence`` for those that it could judge.
     """
-    edges = calls.select("entry_va", "callee_va").where("entry_va != callee_va").distinct()
-    waiting = pending.select("entry_va").distinct()
-    held = locked.select("entry_va").distinct()
+    # kept, as every wave reads them
+    edges = graph.kept(calls.select("entry_va", "callee_va").where("entry_va != callee_va").distinct(), "edges")
+    waiting = graph.kept(pending.select("entry_va").distinct(), "waiting")
+    held = graph.kept(locked.select("entry_va").distinct(), "held")
     done = 0
     while f"{name}_retry" not in _steps(store, name):
         waves = [s for s in _steps(store, name)]
@@ -70,7 +73,9 @@ def validate(store: Store, entries: DataFrame, pending: DataFrame, locked: DataF
             met, last = steps_of(store, name), store.read(waves[-1])
             open_ = last.where((F.col("outcome") == LOCKED) | ((F.col("outcome") == VALIDATED) & (F.col("confidence") > least)))
             told = open_.join(edges, "entry_va").select(F.col("callee_va").alias("to"), "confidence", (F.col("outcome") == LOCKED).alias("from_locked"))
-            told = told.join(waiting.select(F.col("entry_va").alias("to"), F.lit(True).alias("waits")), "to", "left").where("waits or not from_locked")
+            told = graph.kept(told, "told")
+            waits = waiting.select(F.col("entry_va").alias("to"), F.lit(True).alias("waits")).join(told.select("to"), "to", "left_semi")
+            told = told.join(waits, "to", "left").where("waits or not from_locked")
             front = told.groupBy(F.col("to").alias("entry_va")).agg((F.max("confidence") * 100.0).alias("priority")).join(met, "entry_va", "left_anti")
         front = graph.kept(front, "front")
         if front.limit(1).count():
@@ -83,7 +88,7 @@ def validate(store: Store, entries: DataFrame, pending: DataFrame, locked: DataF
         met = steps_of(store, name)
         if met is None:
             break
-        again = met.where(F.col("outcome") == FAILED).select("entry_va", "priority")
+        again = graph.kept(met.where(F.col("outcome") == FAILED).select("entry_va", "priority"), "again")
         store.replace(f"{name}_retry", _judged(again, waiting, held, analyst).withColumn("wave", F.lit(-1)))
     met = steps_of(store, name)
     if met is None:

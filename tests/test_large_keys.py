@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, rules
+from tessera.operators import graph, rules, waves
 from tessera.plans import details, queries
+from tessera.sources import store
 
 PARTS = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
 
@@ -76,3 +77,11 @@ def test_rounds_do_not_make_the_calls_again(spark):
     calls, made = counted(spark, [(k, k + 1) for k in range(8)], "entry_va long, callee_va long")
     got = graph.simple_paths(calls, spark.createDataFrame([(0,)], "entry_va long"), 6).collect()
     assert [(r["depth"], r["leaf"]) for r in got] == [(6, "max_depth")] and made.value == 8
+
+
+def test_waves_do_not_make_the_calls_again(spark, tmp_path):
+    calls, made = counted(spark, [(k, k + 1) for k in range(3)], "entry_va long, callee_va long")
+    nodes = spark.createDataFrame([(k,) for k in range(4)], "entry_va long")
+    analyst = lambda asked: asked.select("entry_va", F.lit("CONFIRM").alias("action"), F.lit("").alias("note"), F.lit(0.9).alias("confidence"))
+    met = waves.validate(store.Store(spark, str(tmp_path / "store")), nodes.limit(1), nodes, nodes.limit(0), calls, analyst)
+    assert {(r["wave"], r["entry_va"]) for r in met.collect()} == {(k, k) for k in range(4)} and made.value == 3
