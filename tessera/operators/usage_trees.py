@@ -1,7 +1,7 @@
 """Token sums over report trees of any depth, and redaction of nested values.
 
-A tree is a variant.  All nodes of one depth of all reports are one frontier; each round adds the numbers of the
-frontier's nodes and opens them.  A node's own numbers shadow its steps and records, which would count them twice.
+A report's tree is walked once, without recursion, in the task that reads it; the walk only picks the usage blocks that count, and their
+numbers are read and added in Spark.  A node's own numbers shadow its steps and records, which would count them twice.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from tessera.operators.graph import kept
-from tessera.operators.rounds import Rounds
 
 # The numbers of a usage block, and the words that make a name sensitive.
 KEYS = ["prompt_tokens", "completion_tokens", "total_tokens", "api_calls", "successful_api_calls", "failed_api_calls"]
@@ -34,38 +33,45 @@ def _numbers(block: Column) -> dict[str, Column]:
     return out
 
 
+def _blocks(tree: object) -> list[str]:
+    """The usage blocks that count in a tree, as JSON."""
+    out, open_ = [], [tree]
+    while open_:
+        node = open_.pop()
+        if isinstance(node, list):
+            open_ += node
+        elif isinstance(node, dict):
+            own, skip = node.get("token_usage"), ("token_usage", "steps", "usage_records")
+            if not isinstance(own, dict):
+                own, skip = node.get("usage"), ("usage", "usage_records")
+                if not isinstance(own, dict) or own.keys().isdisjoint(KEYS):
+                    own, skip = None, ()
+            if own is not None:
+                out.append(json.dumps({k: own[k] for k in KEYS if k in own}))
+            open_ += [v for k, v in node.items() if k not in skip]
+    return out
+
+
 def usage_sums(reports: DataFrame, by: list[str], tree: str) -> DataFrame:
     """``<by>`` and the six numbers summed over the JSON trees in ``tree`` (text; null or no JSON: nothing).
 
     An object with an object ``token_usage`` adds that and goes on without its ``steps`` and ``usage_records``; one with an object
     ``usage`` that has any of the numbers adds that and goes on without ``usage_records``; all others go on with everything in them.
     """
-    spark = reports.sparkSession
-    with Rounds(spark, "usage") as rounds:
-        front = reports.select(*by, F.try_parse_json(tree).alias("node")).where("node is not null").select(*by, F.to_json("node").alias("node"))
-        front, total = rounds.keep(front, "front"), None
-        while front.limit(1).count():
-            kind = "schema_of_variant(node)"
-            nodes = front.withColumn("node", F.parse_json("node"))
-            has = " or ".join(f"variant_get(node, '$.usage.{k}', 'variant') is not null" for k in KEYS)
-            nodes = nodes.select(*by, "node", F.expr(f"{kind} like 'OBJECT%'").alias("is_object"))
-            aggregate = "is_object and schema_of_variant(try_variant_get(node, '$.token_usage', 'variant')) like 'OBJECT%'"
-            usage = f"is_object and schema_of_variant(try_variant_get(node, '$.usage', 'variant')) like 'OBJECT%' and ({has.replace('variant_get', 'try_variant_get')})"
-            role = F.expr(f"case when {aggregate} then 'token_usage' when {usage} then 'usage' end")
-            nodes = nodes.withColumn("role", role)
-            block = F.expr("case role when 'token_usage' then try_variant_get(node, '$.token_usage', 'variant') when 'usage' then try_variant_get(node, '$.usage', 'variant') end")
-            own = nodes.where("role is not null").withColumn("block", block)
-            own = own.select(*by, *[c.alias(k) for k, c in _numbers(F.col("block")).items()])
-            rounds.append(own.groupBy(*by).agg(*[F.sum(k).alias(k) for k in KEYS]), "sums")
-            skip = "case role when 'token_usage' then array('token_usage', 'steps', 'usage_records') when 'usage' then array('usage', 'usage_records') else array() end"
-            columns = ", ".join(f"n.`{c}`" for c in by)
-            opened = spark.sql(f"SELECT {columns}, n.role, c.key, c.value FROM {{nodes}} n, LATERAL variant_explode(n.node) c", nodes=nodes)
-            going = opened.where(F.expr(f"key is null or not array_contains({skip}, key)")).where(F.expr("schema_of_variant(value) like 'OBJECT%' or schema_of_variant(value) like 'ARRAY%'"))
-            front = rounds.keep(going.select(*by, F.to_json("value").alias("node")), "front")
-            total = rounds.log("sums")
-        if total is None:
-            return reports.select(*by, *[F.lit(0.0).alias(k) for k in KEYS]).limit(0)
-        return kept(total.groupBy(*by).agg(*[F.sum(k).alias(k) for k in KEYS]), "usage")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, blocks = [], []
+            for i, text in enumerate(batch.column(len(by)).to_pylist()):
+                found = _blocks(json.loads(text)) if text is not None else []
+                at += [i] * len(found)
+                blocks += found
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]] + [pa.array(blocks, pa.string())], names=batch.schema.names)
+
+    # what Spark doesn't read as JSON is null here
+    trees = reports.select(*by, F.to_json(F.try_parse_json(tree)).alias("block"))
+    own = trees.mapInArrow(run, trees.schema).withColumn("block", F.parse_json("block"))
+    own = own.select(*by, *[c.alias(k) for k, c in _numbers(F.col("block")).items()])
+    return kept(own.groupBy(*by).agg(*[F.sum(k).alias(k) for k in KEYS]), "usage")
 
 
 def sensitive(name: str) -> bool:

@@ -280,6 +280,25 @@ def test_contexts_of_functions_without_anything(spark):
     from tessera.operators import contexts
 
     nodes = spark.createDataFrame([(16, None), (32, "g")], "entry_va long, name string")
+def _jobs(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_usage_sums_of_deep_reports_take_no_round_for_each_depth(spark):
+    deep = {"usage": {"prompt_tokens": 1, "api_calls": 2}}
+    for _ in range(120):
+        deep = {"usage": {"prompt_tokens": 1}, "steps": [deep], "usage_records": [{"usage": {"prompt_tokens": 9}}]}
+    odd = '{"usage": {"prompt_tokens": "0x", "api_calls": "NaN", "total_tokens": true}, "a": [{"usage": {"prompt_tokens": null}}, {"usage": []}, {"token_usage": {}, "steps": {"usage": {"api_calls": 1}}}, {"usage": {"prompt_tokens": "1e2", "completion_tokens": 0.25}}]}'
+    rows = spark.createDataFrame([("d", json.dumps(deep)), ("o", odd), ("e", '{"usage": {"prompt_tokens": {"x": 1}}, "token_usage": {}}'), ("s", '"usage"'), ("t", '{"usage": {"api_calls": 1}, "usage": {"api_calls": 2}}')], "id string, report string")
+    got, jobs = _jobs(spark, "deep", lambda: {r["id"]: [r[k] for k in usage_trees.KEYS] for r in usage_trees.usage_sums(rows, ["id"], "report").collect()})
+    assert got == {"d": [121.0, 0.0, 121.0, 2.0, 0.0, 0.0], "o": [100.0, 0.25, 100.25, 0.0, 0.0, 0.0], "e": [0.0] * 6}
+    assert jobs < 10
+
+
     none = spark.createDataFrame([], "entry_va long, signature string, summary string")
     code = spark.createDataFrame([(32, "x = 1;\nsub_00000010(x);\n")], "entry_va long, body string")
     calls = spark.createDataFrame([(32, 16), (32, 16), (32, 99)], "entry_va long, callee_va long")
