@@ -193,6 +193,31 @@ def test_drift_down_to_the_rows(spark):
     gone, come = a.exceptAll(b), b.exceptAll(a)
     kept_up = drift.updated(drift.leaves(a, key, columns, 8), gone, come, key, columns, 8)
     assert drift.differing_leaves(kept_up, drift.leaves(b, key, columns, 8), 8).count() == 0
+def _shuffled(spark, work):
+    """What ``work`` gives, and the bytes that it wrote to shuffles."""
+    def total():
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = total()
+    return work(), total() - before
+
+
+def test_drift_of_many_leaves_shuffles_narrow_rows(spark):
+    one = spark.range(60_000).selectExpr("id div 2 k", "id % 2 m", "concat('text ', id) t")
+    two = one.withColumn("t", F.when(F.col("k") % 100 == 0, "other").otherwise(F.col("t")))
+    got, wrote = _shuffled(spark, lambda: drift.changed_rows(one, two, ["k", "m"], ["k", "m", "t"], bits=4).groupBy("change").count().collect())
+    assert [tuple(r) for r in got] == [("changed", 600)]
+    assert wrote < 120_000 * 55
+
+
+def test_drift_of_a_key_with_many_rows(spark):
+    one = spark.range(20_000).selectExpr("1 k", "id % 3 t")
+    two = one.unionByName(spark.range(1).selectExpr("1 k", "0L t"))
+    assert [tuple(r) for r in drift.changed_rows(one, two, ["k"], ["k", "t"]).collect()] == [(1, "changed")]
+    assert drift.changed_rows(one, one, ["k"], ["k", "t"]).count() == 0
+
+
     assert drift.differing_leaves(drift.leaves(a, key, columns, 8), drift.leaves(b, key, columns, 8), 8).count() > 0
 
 
