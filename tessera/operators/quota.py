@@ -77,16 +77,21 @@ def first_paths(calls: DataFrame, starts: DataFrame, max_depth: int, max_paths:
     ``max_paths`` prefixes and ended paths, in walking order, and no others can be among its first paths.
     """
     spark = calls.sparkSession
+    listed = F.collect_list
     if ranks is None:
-        ranks = calls.select("entry_va", "callee_va").distinct().withColumn("rank", F.row_number().over(W.partitionBy("entry_va").orderBy("callee_va")))
+        # repeated calls share a rank and fall together where callees are listed, so calls are shuffled once
+        ranks = calls.select("entry_va", "callee_va", F.dense_rank().over(W.partitionBy("entry_va").orderBy("callee_va")).alias("rank"))
+        listed = F.collect_set
     with Rounds(spark, "paths") as rounds:
         # callees beyond the first max_paths + max_depth are never reached: at most max_depth of them are on the path
         step = ranks.where(F.col("rank") <= max_paths + max_depth).select(F.col("entry_va").alias("tail"), F.struct(F.col("rank").cast("int").alias("rank"), "callee_va").alias("to"))
-        step = rounds.keep(step.groupBy("tail").agg(F.array_sort(F.collect_list("to")).alias("to")), "steps")
+        step = rounds.keep(step.groupBy("tail").agg(F.array_sort(listed("to")).alias("to")), "steps")
         none = F.lit(None).cast("string").alias("leaf")
         now = rounds.keep(starts.select(F.col("entry_va").alias("start"), F.array("entry_va").alias("path"), F.array().cast("array<int>").alias("key"), none).distinct(), "live")
         for _ in range(max_depth):
-            live = now.where("leaf is null").withColumn("tail", F.element_at("path", -1)).join(step, "tail", "left")
+            live = now.where("leaf is null").withColumn("tail", F.element_at("path", -1))
+            # live paths are few: their tails' callees are looked up first, so all others aren't shuffled for them
+            live = live.join(step.join(live.select("tail"), "tail", "left_semi"), "tail", "left")
             free = F.filter("to", lambda x: ~F.array_contains("path", x["callee_va"]))
             ends = F.when(F.col("to").isNull(), "no_callee").when(F.size(free) == 0, "cycle_cut")
             live = live.withColumn("free", free).withColumn("leaf", ends)

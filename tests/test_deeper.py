@@ -121,6 +121,20 @@ def test_neighbourhood_matches_settling_in_order(spark):
     assert trace[99]["nodes"] == 1 and not trace[99]["shrunk"]
 
 
+def test_first_paths_shuffle_the_calls_once(spark):
+    calls = spark.range(40_000).selectExpr("id div 4 entry_va", "id div 4 + id % 4 + 1 callee_va")
+    starts = spark.createDataFrame([(0,), (500,)], "entry_va long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 20_000)
+    try:
+        _, once = _shuffled(spark, lambda: calls.repartition("entry_va").write.format("noop").mode("overwrite").save())
+        got, wrote = _shuffled(spark, lambda: quota.first_paths(calls.union(calls.limit(50)), starts, 12, 5).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {tuple(r["path"]) for r in got if r["start"] == 0} == {(*range(12), 11 + k) for k in range(1, 5)} | {(*range(11), 12, 13)} and len(got) == 10
+    assert wrote < 2.5 * once
+
+
 def test_first_paths_match_a_depth_first_walk(spark):
     rng = random.Random(4)
     calls = sorted({(rng.randrange(18), rng.randrange(18)) for _ in range(70)})
