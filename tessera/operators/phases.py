@@ -14,6 +14,8 @@ from tessera.sources.store import Store, upsert
 
 # What a name may look like, how long it may be, and the confidence of an answer without one.
 NAME, LONGEST_NAME, GIVEN_CONFIDENCE = r"\A[A-Za-z_][A-Za-z0-9_]*\z", 255, 0.8
+#: Steps of a phase at most: those of a long plan take more batches each.
+MOST_STEPS = 32
 ANALYSED, FAILED = "ANALYZED", "FAILED"
 _BLANKS = " \t\n\r\f\x0b"
 
@@ -40,7 +42,7 @@ def name_globals(store: Store, globals_: DataFrame, scores: DataFrame, told: Dat
     Asked are globals (``global_va, names``) with a score (``global_va, score``) that aren't among the analysed of ``known``
     (``address_va, analysis_state``), highest score first, then by address; all of them or the first ``most``.  They are told about in batches
     of at most ``batch`` globals and ``budget`` tokens of ``told`` (``global_va, context``).  The plan is committed first, then
-    ``step`` batches at a time; ``most_steps`` stops after so many steps of this call, and a later call goes on after the last one.
+    ``step`` batches at a time, or a ``MOST_STEPS``-th of the plan if that is more; ``most_steps`` stops after so many steps of this call, and a later call goes on after the last one.
 
     ``analyst`` takes ``global_va, batch, context`` and gives ``global_va, name, type, reason, confidence`` for those it could judge;
     the others count as failed and are open in the next run (another ``name``).
@@ -52,9 +54,12 @@ def name_globals(store: Store, globals_: DataFrame, scores: DataFrame, told: Dat
             waiting = waiting.orderBy(F.desc("score"), "global_va").limit(most)
         rows = waiting.join(told.select("global_va", "context"), "global_va", "left").withColumns({"one": F.lit(1), "last": -F.col("score"), "tokens": F.ceil(F.length("context") / 4)})
         planned = segments.batches(graph.kept(rows, "waiting"), "tokens", budget, batch, "one", ["last", "global_va"])
-        store.replace(f"{name}_plan", planned.select("global_va", "names", "score", "context", F.col("batch").cast("long").alias("batch")))
+        planned = planned.select("global_va", "names", "score", "context", F.col("batch").cast("long").alias("batch"))
+        # in order of batch, so that a step reads the files that hold its batches
+        store.replace(f"{name}_plan", planned.repartitionByRange("batch").sortWithinPartitions("batch"))
     plan = store.read(f"{name}_plan")
     batches = (plan.agg(F.max("batch")).first()[0] or 0) + 1
+    step = max(step, -(-batches // MOST_STEPS))
     done = 0
     for k in range(-(-batches // step)):
         if store.exists(f"{name}_step_{k:06d}"):

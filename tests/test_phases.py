@@ -83,6 +83,17 @@ def test_globals_are_named_in_steps(spark, tmp_path, given, most):
     assert {r["global_va"] for r in again.collect()} == {v for v in SCORES if v not in named and (v, "ANALYZED") not in {(r[0], r[3]) for r in KNOWN}}
 
 
+def test_a_long_plan_takes_few_steps(spark, tmp_path, given, monkeypatch):
+    monkeypatch.setattr(phases, "MOST_STEPS", 3, raising=False)
+    store = Store(spark, str(tmp_path / "s"))
+    run = lambda **kw: phases.name_globals(store, *given, analyst, batch=1, step=1, **kw)
+    first = run(most_steps=1).count()
+    got = run().collect()
+    batches = plan(1, 8000, None)
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == expected(batches) and 1 < first < len(batches)
+    assert len([t for t in store.tables() if t.startswith("globals_step")]) <= 3
+
+
 def test_no_globals(spark, tmp_path, given):
     none = [df.limit(0) for df in given]
     got = phases.name_globals(Store(spark, str(tmp_path / "s")), *none, analyst)
