@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lenient_json
 from tessera.operators import cycles, drift, quota, segments, selection, usage_trees
+from tessera.operators.graph import call_sites as graph_sites
 
 
 def planted(rng, nodes, edges):
@@ -193,20 +194,6 @@ def test_batches_match_a_fold(spark, size, least, chunk):
     assert segments.batches(df.limit(0), "t", 100, size, "g", ["i"], least, chunk).count() == 0
 
 
-def test_drift_down_to_the_rows(spark):
-    rng = random.Random(7)
-    one = [(i, rng.choice(["x", "y", "", None]), i % 7) for i in range(500)] + [(None, "n", 1), (9, "again", 2), (9, "again", 2)]
-    two = [r for r in one if r[0] not in (3, 4)]
-    two = [(i, None if i == 20 and t == "" else (t or "") + "!", n) if i in (10, 11, 20) else (i, t, n) for i, t, n in two] + [(1000, "new", 0), (12, "second", 0)]
-    two.remove((9, "again", 2))
-    schema, key, columns = "id long, t string, n int", ["id"], ["id", "t", "n"]
-    a, b = spark.createDataFrame(one, schema), spark.createDataFrame(two, schema)
-    got = {r["id"]: r["change"] for r in drift.changed_rows(a, b, key, columns, bits=8).collect()}
-    assert got == {3: "removed", 4: "removed", 10: "changed", 11: "changed", 20: "changed", 1000: "added", 12: "changed", 9: "changed"}
-    assert drift.changed_rows(a, a, key, columns).count() == 0 and drift.changed_rows(a, a.limit(0), key, columns).count() == a.select("id").distinct().count()
-    gone, come = a.exceptAll(b), b.exceptAll(a)
-    kept_up = drift.updated(drift.leaves(a, key, columns, 8), gone, come, key, columns, 8)
-    assert drift.differing_leaves(kept_up, drift.leaves(b, key, columns, 8), 8).count() == 0
 def _shuffled(spark, work):
     """What ``work`` gives, and the bytes that it wrote to shuffles."""
     def total():
@@ -217,6 +204,36 @@ def _shuffled(spark, work):
     return work(), total() - before
 
 
+def test_edge_conditions_cut_code_once_for_guards_and_signals(spark):
+    from tessera.operators import graph
+
+    code = spark.createDataFrame([(1, "if (a)\nif  (a)\n" + "x > 3\n" * 3 + "argv rdtsc\nfoo(1)\nrdtsc\nif (b)\nfoo(2)")], "entry_va long, body string")
+    calls = spark.createDataFrame([(1, 2, "foo")], "caller_va long, callee_va long, callee_name string")
+    found = graph.edge_conditions(code, calls, window=5, most_guards=2)
+    assert [tuple(r) for r in found.collect()] == [(1, 2, "ok", 2, 4, ["command_line", "timing"], 6)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+
+
+def test_usage_snippets_do_not_shuffle_every_line(spark):
+    from tessera.operators import contexts
+
+    code = spark.range(300).selectExpr("id entry_va", "concat_ws('\n', transform(sequence(1, 200), i -> if(i = 100, 'call fn_1', concat(md5(string(id * 1000 + i)), md5(string(i + id)))))) body")
+    code = code.unionByName(spark.createDataFrame([(299, "other\nfn_0\nlast"), (299, None)], "entry_va long, body string"))
+    uses = spark.range(300).selectExpr("id caller_va", "1L callee_va", "'fn_1' callee_name").unionByName(spark.createDataFrame([(299, 0, "fn_0")], "caller_va long, callee_va long, callee_name string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        _, sites = _shuffled(spark, lambda: graph_sites(code, uses).collect())
+        _, whole = _shuffled(spark, lambda: code.repartition("entry_va").write.format("noop").mode("overwrite").save())
+        got, wrote = _shuffled(spark, lambda: contexts.usage_snippets(code, uses).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    found = {(r["caller_va"], r["callee_va"]): r["snippet"].split("\n") for r in got}
+    assert len(got) == 301 and [len(s) for s in found.values()].count(3) == 300
+    assert found[5, 1][1] == "call fn_1" and len(found[299, 0]) == 6 and {"other", "fn_0", "last"} < set(found[299, 0])
+    assert wrote - sites < 1.5 * whole
+
+
 def test_drift_of_many_leaves_shuffles_narrow_rows(spark):
     one = spark.range(60_000).selectExpr("id div 2 k", "id % 2 m", "concat('text ', id) t")
     two = one.withColumn("t", F.when(F.col("k") % 100 == 0, "other").otherwise(F.col("t")))
@@ -232,6 +249,20 @@ def test_drift_of_a_key_with_many_rows(spark):
     assert drift.changed_rows(one, one, ["k"], ["k", "t"]).count() == 0
 
 
+def test_drift_down_to_the_rows(spark):
+    rng = random.Random(7)
+    one = [(i, rng.choice(["x", "y", "", None]), i % 7) for i in range(500)] + [(None, "n", 1), (9, "again", 2), (9, "again", 2)]
+    two = [r for r in one if r[0] not in (3, 4)]
+    two = [(i, None if i == 20 and t == "" else (t or "") + "!", n) if i in (10, 11, 20) else (i, t, n) for i, t, n in two] + [(1000, "new", 0), (12, "second", 0)]
+    two.remove((9, "again", 2))
+    schema, key, columns = "id long, t string, n int", ["id"], ["id", "t", "n"]
+    a, b = spark.createDataFrame(one, schema), spark.createDataFrame(two, schema)
+    got = {r["id"]: r["change"] for r in drift.changed_rows(a, b, key, columns, bits=8).collect()}
+    assert got == {3: "removed", 4: "removed", 10: "changed", 11: "changed", 20: "changed", 1000: "added", 12: "changed", 9: "changed"}
+    assert drift.changed_rows(a, a, key, columns).count() == 0 and drift.changed_rows(a, a.limit(0), key, columns).count() == a.select("id").distinct().count()
+    gone, come = a.exceptAll(b), b.exceptAll(a)
+    kept_up = drift.updated(drift.leaves(a, key, columns, 8), gone, come, key, columns, 8)
+    assert drift.differing_leaves(kept_up, drift.leaves(b, key, columns, 8), 8).count() == 0
     assert drift.differing_leaves(drift.leaves(a, key, columns, 8), drift.leaves(b, key, columns, 8), 8).count() > 0
 
 
@@ -280,6 +311,25 @@ def test_usage_sums_of_nested_reports(spark):
     assert usage_trees.usage_sums(spark.createDataFrame([], "id long, report string"), ["id"], "report").count() == 0
 
 
+def _jobs(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_usage_sums_of_deep_reports_take_no_round_for_each_depth(spark):
+    deep = {"usage": {"prompt_tokens": 1, "api_calls": 2}}
+    for _ in range(120):
+        deep = {"usage": {"prompt_tokens": 1}, "steps": [deep], "usage_records": [{"usage": {"prompt_tokens": 9}}]}
+    odd = '{"usage": {"prompt_tokens": "0x", "api_calls": "NaN", "total_tokens": true}, "a": [{"usage": {"prompt_tokens": null}}, {"usage": []}, {"token_usage": {}, "steps": {"usage": {"api_calls": 1}}}, {"usage": {"prompt_tokens": "1e2", "completion_tokens": 0.25}}]}'
+    rows = spark.createDataFrame([("d", json.dumps(deep)), ("o", odd), ("e", '{"usage": {"prompt_tokens": {"x": 1}}, "token_usage": {}}'), ("s", '"usage"'), ("t", '{"usage": {"api_calls": 1}, "usage": {"api_calls": 2}}')], "id string, report string")
+    got, jobs = _jobs(spark, "deep", lambda: {r["id"]: [r[k] for k in usage_trees.KEYS] for r in usage_trees.usage_sums(rows, ["id"], "report").collect()})
+    assert got == {"d": [121.0, 0.0, 121.0, 2.0, 0.0, 0.0], "o": [100.0, 0.25, 100.25, 0.0, 0.0, 0.0], "e": [0.0] * 6}
+    assert jobs < 10
+
+
 def test_redaction_of_nested_values(spark):
     df = spark.sql("select 1 id, named_struct('Api_Key', 'k', 'in', array(named_struct('token_id', 5, 'x', 1))) a, map('password', 'p', 'b', 'c') m, map('secret', 1, 'n', 2) i, cast(null as struct<password: string>) e, 's' my_secret")
     r = usage_trees.redact(df).first().asDict(True)
@@ -319,25 +369,6 @@ def test_contexts_of_functions_without_anything(spark):
     from tessera.operators import contexts
 
     nodes = spark.createDataFrame([(16, None), (32, "g")], "entry_va long, name string")
-def _jobs(spark, group, work):
-    spark.sparkContext.setJobGroup(group, group)
-    try:
-        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
-    finally:
-        spark.sparkContext._jsc.clearJobGroup()
-
-
-def test_usage_sums_of_deep_reports_take_no_round_for_each_depth(spark):
-    deep = {"usage": {"prompt_tokens": 1, "api_calls": 2}}
-    for _ in range(120):
-        deep = {"usage": {"prompt_tokens": 1}, "steps": [deep], "usage_records": [{"usage": {"prompt_tokens": 9}}]}
-    odd = '{"usage": {"prompt_tokens": "0x", "api_calls": "NaN", "total_tokens": true}, "a": [{"usage": {"prompt_tokens": null}}, {"usage": []}, {"token_usage": {}, "steps": {"usage": {"api_calls": 1}}}, {"usage": {"prompt_tokens": "1e2", "completion_tokens": 0.25}}]}'
-    rows = spark.createDataFrame([("d", json.dumps(deep)), ("o", odd), ("e", '{"usage": {"prompt_tokens": {"x": 1}}, "token_usage": {}}'), ("s", '"usage"'), ("t", '{"usage": {"api_calls": 1}, "usage": {"api_calls": 2}}')], "id string, report string")
-    got, jobs = _jobs(spark, "deep", lambda: {r["id"]: [r[k] for k in usage_trees.KEYS] for r in usage_trees.usage_sums(rows, ["id"], "report").collect()})
-    assert got == {"d": [121.0, 0.0, 121.0, 2.0, 0.0, 0.0], "o": [100.0, 0.25, 100.25, 0.0, 0.0, 0.0], "e": [0.0] * 6}
-    assert jobs < 10
-
-
     none = spark.createDataFrame([], "entry_va long, signature string, summary string")
     code = spark.createDataFrame([(32, "x = 1;\nsub_00000010(x);\n")], "entry_va long, body string")
     calls = spark.createDataFrame([(32, 16), (32, 16), (32, 99)], "entry_va long, callee_va long")
