@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 
+#: What ends a line.
+LINE_END = r"\r\n|\r|\n"
+
+
 def numbered_lines(code: DataFrame, key: str = "entry_va", body: str = "body") -> DataFrame:
     """``key, line_no`` (from 1) and ``line`` of each text."""
-    return code.select(key, F.posexplode(F.split(body, r"\r\n|\r|\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    return code.select(key, F.posexplode(F.split(body, LINE_END)).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def pruned_comments(comments: DataFrame, key: str = "entry_va", max_total: int = 60, max_same: int = 2) -> DataFrame:

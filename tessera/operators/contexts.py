@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import annotate, graph
-from tessera.operators.status import snippets
 
 
 def _first(rows: DataFrame, by: str, most: int, *order: Column | str) -> DataFrame:
@@ -31,8 +30,12 @@ def usage_snippets(code: DataFrame, uses: DataFrame, around: int = 1) -> DataFra
     """``caller_va, callee_va, snippet``: the first line of a caller's code that names what it uses, with the lines around it.
     ``uses`` has ``caller_va, callee_va, callee_name``; a name that isn't there gives no row."""
     sites = graph.call_sites(code, uses, 1).select(F.col("caller_va").alias("entry_va"), "callee_va", (F.col("call_line") + 1).alias("line_no"))
-    found = snippets(annotate.numbered_lines(code), sites, ["entry_va", "callee_va"], around, 1)
-    return found.select(F.col("entry_va").alias("caller_va"), "callee_va", "snippet")
+    # lines stay with their function: a site takes its own out of the cut text, so not every line is shuffled for it
+    cut = code.groupBy("entry_va").agg(F.collect_list(F.split("body", annotate.LINE_END)).alias("texts"))
+    low, high = F.greatest(F.col("line_no") - around, F.lit(1)), F.col("line_no") + around
+    numbered = F.transform("texts", lambda t: F.transform(F.slice(t, low, high - low + 1), lambda x, i: F.struct((low + i).alias("at"), x.alias("line"))))
+    snippet = F.array_join(F.transform(F.array_sort(F.flatten(numbered)), lambda x: x["line"]), "\n")
+    return sites.join(cut, "entry_va").select(F.col("entry_va").alias("caller_va"), "callee_va", snippet.alias("snippet"))
 
 
 def validation_context(nodes: DataFrame, info: DataFrame, code: DataFrame, calls: DataFrame, callers: int = 5, callees: int = 8) -> DataFrame:
