@@ -180,7 +180,8 @@ def generations(store: Store, goals: DataFrame, calls: DataFrame, edges: DataFra
             lone = live.select("goal").limit(0)
         roots = graph.kept(roots, "roots")
         nodes, paths = _explored(roots, calls, edges, reach)
-        fresh = nodes.join(covered, ["goal", "entry_va"], "left_anti").join(tokens, "entry_va", "left")
+        # tokens of all functions aren't shuffled for the few nodes
+        fresh = nodes.join(covered, ["goal", "entry_va"], "left_anti").join(tokens.join(nodes.select("entry_va"), "entry_va", "left_semi"), "entry_va", "left")
         fresh = fresh.groupBy("goal").agg(F.count(F.lit(1)).alias("new_nodes"), F.sum("tokens").alias("new_tokens"))
         row = live.join(count(roots, "roots"), "goal", "left").join(count(nodes, "nodes"), "goal", "left").join(fresh, "goal", "left").join(count(covered, "covered"), "goal", "left").join(spent, "goal", "left")
         row = row.na.fill(0, ["roots", "nodes", "new_nodes", "new_tokens", "covered", "spent"])
