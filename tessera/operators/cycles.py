@@ -1,16 +1,20 @@
 """Strongly connected components and the depth below each function of a graph with cycles.
 
-Peeling takes functions away from the leaves upwards (or from the roots downwards): those are on no cycle.  In what is left
-every node takes the largest colour that reaches it; a node that keeps its own is the root of the component of all nodes of
-its colour that reach it.  Edges between colours are on no cycle and go, and what has no component yet is peeled
-and coloured again.  Before all that, what lies close together is settled at once: addresses are cut into cells, and a weakly connected
-piece within one cell, of which no call leads into another, is settled in the cell's task.  Colours are ordered by hash, so a chain of components falls apart in about the logarithm of its length.  Rounds append what they change to logs; a round reads the logs for the nodes that it touches.
+What lies close together is settled at once: addresses are cut into cells, and a weakly connected piece within one cell, of which no call leads
+into another, is settled in the cell's task.  Of the rest, peeling settles functions from the leaves upwards, as far as no cycle is reached.
+What is left falls into weakly connected pieces, and a piece of bounded size is settled whole in a task, given how deep the settled calls of
+its functions are; so is whatever peeling has left once it is that small.  Only larger pieces take further rounds: every node takes the largest
+colour that reaches it; a node that keeps its own is the root of the component of all nodes of its colour that reach it.  Edges between
+colours are on no cycle and go, and what has no component yet is peeled (from both ends) and coloured again.  Colours are ordered by hash, so a chain
+of components falls apart in about the logarithm of its length.  Rounds append what they change to logs; a round reads the logs for the nodes
+that it touches.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,10 +25,14 @@ from tessera.operators.rounds import Rounds
 
 #: Steps that a cell holds on average, and at most: cells with more are left to the rounds.
 CELL_STEPS, MOST_STEPS = 20_000, 200_000
+#: Steps of a piece that is settled in one task (some 8 MB of rows); larger pieces take rounds.
+PIECE_STEPS = 500_000
 
 
-def _roots_and_depths(out: dict[int, list[int]]) -> dict[int, tuple[int, int]]:
-    """Smallest node of each node's strongly connected component, and the depth below it (Tarjan, without recursion)."""
+def _roots_and_depths(out: dict[int, list[int]], least_depth: dict[int, int] | None = None) -> dict[int, tuple[int, int]]:
+    """Smallest node of each node's strongly connected component, and the depth below it (Tarjan, without recursion), which
+    is no less than a member's ``least_depth``."""
+    floor = least_depth or {}
     number: dict[int, int] = {}
     low: dict[int, int] = {}
     done: dict[int, tuple[int, int]] = {}
@@ -54,7 +62,8 @@ def _roots_and_depths(out: dict[int, list[int]]) -> dict[int, tuple[int, int]]:
                     while members[-1] != node:
                         members.append(held.pop())
                     inside = set(members)
-                    depth = max((done[to][1] + 1 for m in members for to in out.get(m, ()) if to not in inside), default=0)
+                    deep = max(floor.get(m, 0) for m in members)
+                    depth = max(deep, max((done[to][1] + 1 for m in members for to in out.get(m, ()) if to not in inside), default=0))
                     least = min(members)
                     for m in members:
                         done[m] = (least, depth)
@@ -131,18 +140,94 @@ def _local(rounds: Rounds, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done.where("dst is null").select("node", "component", "depth"), rounds.keep(left.distinct(), "left")
 
 
-def _peel(rounds: Rounds, steps: DataFrame, name: str) -> DataFrame:
-    """``node, depth`` of the nodes of ``src, dst`` (distinct, no loops) that reach no cycle: the most steps below each."""
+def _peel(rounds: Rounds, steps: DataFrame, name: str, known: DataFrame | None = None, most: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Settles the nodes of ``src, dst`` (distinct, no loops) from the leaves upwards, until no more can be settled or
+    ``most`` steps are left.  ``known`` (``node, depth``) says how deep nodes are at least.
+
+    ``node, depth`` of the settled nodes: the most steps below each; the steps left, which lead out of all other nodes; ``node,
+    depth`` of what is known of their ends; and the number of steps left."""
+    held = left = steps.count()
     open_ = rounds.keep(steps.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("open")), f"{name}-open")
     leaves = steps.select(F.col("dst").alias("node")).distinct().join(open_, "node", "left_anti")
-    # a row says how many more of a node's callees are settled, how deep they are, and whether that settles the node
-    last = rounds.append(leaves.select("node", F.lit(0).cast("long").alias("n"), F.lit(0).alias("depth"), F.lit(True).alias("done")), name, "done")
-    while rounds.grew:
+    leaves = leaves.withColumn("depth", F.lit(0)) if known is None else leaves.join(known, "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
+    # a row says how many more of a node's callees are settled, how deep they are, whether that settles the node, and the round
+    first = lambda df, done, k: df.select("node", F.lit(0).cast("long").alias("n"), "depth", F.lit(done).alias("done"), F.lit(k).alias("round"))
+    logs, k = [f"{name}-log0"], 0
+    if known is not None:
+        rounds.append(first(known.join(open_, "node", "left_semi"), False, k), logs[-1])
+    last = rounds.append(first(leaves, True, k), logs[-1], "done")
+    settled = lambda: reduce(DataFrame.unionByName, (rounds.log(log).where("done") for log in logs))
+    # steps to settled nodes; those of the last round are still to be told to their callers
+    untold = lambda: steps.join(settled().where(F.col("round") < k).select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    while rounds.grew and left > most:
+        if 2 * left < held:  # rounds go on with what is left, so that many rounds read little
+            steps = rounds.keep(untold(), f"{name}-steps")
+            open_ = rounds.keep(steps.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("open")), f"{name}-open")
+            deep = rounds.log(logs[-1]).where("not done").groupBy("node").agg(F.max("depth").alias("depth")).join(open_, "node", "left_semi")
+            logs.append(f"{name}-log{len(logs)}")
+            rounds.append(first(deep, False, k), logs[-1])
+            held = left
+        k += 1
         told = steps.join(last.where("done").select(F.col("node").alias("dst"), "depth"), "dst").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), (F.max("depth") + 1).alias("depth"))
-        before = rounds.log(name).groupBy("node").agg(F.sum("n").alias("had"), F.max("depth").alias("deep"))
-        known = told.join(before, "node", "left").join(open_, "node")
-        last = rounds.append(known.select("node", "n", F.greatest("depth", F.coalesce("deep", F.lit(0))).alias("depth"), (F.col("n") + F.coalesce("had", F.lit(0)) == F.col("open")).alias("done")), name, "done")
-    return rounds.log(name).where("done").select("node", "depth")
+        before = rounds.log(logs[-1]).groupBy("node").agg(F.sum("n").alias("had"), F.max("depth").alias("deep"))
+        both = told.join(before, "node", "left").join(open_, "node")
+        so_far = F.greatest("depth", F.coalesce("deep", F.lit(0))).alias("depth")
+        last = rounds.append(both.select("node", "n", so_far, (F.col("n") + F.coalesce("had", F.lit(0)) == F.col("open")).alias("done"), F.lit(k).alias("round")), logs[-1], "done", "n")
+        left -= rounds.total
+    rest = rounds.keep(untold(), f"{name}-rest")
+    ends = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
+    # of the settled only those of the last round are ends
+    deep = rounds.log(logs[-1]).groupBy("node").agg(F.max("depth").alias("depth")).join(ends, "node", "left_semi")
+    return settled().select("node", "depth"), rest, rounds.keep(deep, f"{name}-known"), left
+
+
+def _pieces(rounds: Rounds, steps: DataFrame) -> DataFrame:
+    """``node, piece`` of the weakly connected pieces of ``src, dst``.  In a round every node goes over to the least of itself and
+    its neighbours, in an order that is new in each round, and the links are drawn between those."""
+    links = steps.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    ups: list[DataFrame] = []
+    rounds.grew = True
+    while rounds.grew:
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(ups))).alias("h"), F.col(c).alias("node"))
+        near = links.union(links.select("b", "a")).groupBy("a").agg(F.min(rank("b")).alias("best"))
+        ups.append(rounds.keep(near.select(F.col("a").alias("node"), F.least("best", rank("a"))["node"].alias("piece")), "up"))
+        one, other = ups[-1].select(F.col("node").alias("a"), F.col("piece").alias("x")), ups[-1].select(F.col("node").alias("b"), F.col("piece").alias("y"))
+        drawn = links.join(one, "a").join(other, "b").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        links = rounds.append(drawn, f"links{len(ups)}")
+    of = ups.pop()
+    while ups:
+        low = ups.pop().withColumnRenamed("piece", "up")
+        of = low.join(of.withColumnRenamed("node", "up"), "up", "left").select("node", F.coalesce("piece", "up").alias("piece"))
+    return rounds.keep(of, "pieces")
+
+
+def _in_tasks(placed: DataFrame, known: DataFrame, tasks: int) -> DataFrame:
+    """``node, component, depth`` of the callers in ``piece, src, dst``, each piece in one task.  ``known`` is ``piece, node, depth``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, steps, floor = None, defaultdict(list), {}
+
+        def settled() -> pa.RecordBatch:
+            found = [(n, *v) for n, v in _roots_and_depths(dict(steps), floor).items() if n in steps]
+            n, c, d = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int32())], names=["node", "component", "depth"])
+
+        held = 0
+        for batch in batches:
+            for p, a, b, d in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                # small pieces are settled some at a time
+                if p != here and held > CELL_STEPS:
+                    yield settled()
+                    steps, floor, held = defaultdict(list), {}, 0
+                here, held = p, held + 1
+                if b is None:
+                    floor[a] = d
+                else:
+                    steps[a].append(b)
+        yield settled()
+
+    rows = placed.select("piece", "src", "dst", F.lit(None).cast("int").alias("depth")).union(known.select("piece", "node", F.lit(None).cast("long"), "depth"))
+    return rows.repartition(tasks, "piece").sortWithinPartitions("piece").mapInArrow(run, "node long, component long, depth int")
 
 
 def _within(steps: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -175,11 +260,12 @@ def _cyclic(rounds: Rounds, steps: DataFrame) -> DataFrame:
     k = 0
     out = steps.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     while True:
-        steps = rounds.keep(_within(steps, _peel(rounds, steps, f"down{k}")), f"steps{k}")
-        up = _peel(rounds, steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")), f"up{k}")
-        steps = rounds.keep(_within(steps, up), f"core{k}")
-        if not steps.limit(1).count():
+        turned = lambda df: df.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        steps = _peel(rounds, rounds.keep(steps, f"steps{k}"), f"down{k}")[1]
+        _, core, _, left = _peel(rounds, turned(steps), f"up{k}")
+        if not left:
             return out
+        steps = turned(core)
         colours = _colours(rounds, steps, f"c{k}")
         of_src = colours.select(F.col("node").alias("src"), "colour")
         same = steps.join(of_src, "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst").where("colour = other")
@@ -196,16 +282,43 @@ def strong_components(calls: DataFrame) -> DataFrame:
     return condensed_depth(calls).select("entry_va", "component")
 
 
+def _depths(rounds: Rounds, steps: DataFrame, name: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """As ``_peel``, but what is left is settled in a task if it is small: ``node, component, depth``, and what is still left."""
+    done, rest, known, left = _peel(rounds, steps, name, known, PIECE_STEPS)
+    done = done.select("node", F.col("node").alias("component"), "depth")
+    if 0 < left <= PIECE_STEPS:
+        one = F.lit(0).cast("long").alias("piece")
+        done = done.unionByName(rounds.keep(_in_tasks(rest.select(one, "src", "dst"), known.select(one, "node", "depth"), 1), f"{name}-task"))
+        left = 0
+    return done, rest, known, left
+
+
 def _spread(rounds: Rounds, steps: DataFrame) -> DataFrame:
     """``node, component, depth`` of the nodes of ``src, dst`` (distinct, no loops), in rounds."""
+    out, rest, known, left = _depths(rounds, steps, "down")
+    if not left:
+        return out
+    of = _pieces(rounds, rest)
+    placed = rounds.keep(rest.join(of.withColumnRenamed("node", "src"), "src").select("piece", "src", "dst"), "placed")
+    large = rounds.append(placed.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE_STEPS).select("piece"), "large")
+    any_large = rounds.grew
+    deep = known.join(of, "node").join(large, "piece", "left_anti")
+    out = out.unionByName(rounds.keep(_in_tasks(placed.join(large, "piece", "left_anti"), deep, left // (5 * CELL_STEPS) + 1), "settled-pieces"))
+    if not any_large:
+        return out
+    steps = rounds.keep(placed.join(large, "piece", "left_semi").select("src", "dst"), "large-steps")
     found = rounds.keep(_cyclic(rounds, steps), "members")
     found = found.join(found.groupBy("component").agg(F.min("node").alias("least")), "component").select("node", F.col("least").alias("component"))
-    nodes = steps.select(F.col("src").alias("node")).union(steps.select("dst")).distinct()
-    of = rounds.keep(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
+    # nothing is settled here, so every node calls
+    nodes = steps.select(F.col("src").alias("node")).distinct()
+    of = nodes.join(found, "node", "left").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    of = rounds.keep(of, "components")
     one, other = of.select(F.col("node").alias("src"), F.col("component").alias("a")), of.select(F.col("node").alias("dst"), F.col("component").alias("b"))
     condensed = steps.join(one, "src").join(other, "dst").where("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    depth = _peel(rounds, rounds.keep(condensed, "condensed"), "condensed-down")
-    return of.join(depth.select(F.col("node").alias("component"), "depth"), "component", "left").select("node", "component", F.coalesce("depth", F.lit(0)).alias("depth"))
+    least = rounds.keep(of.groupBy(F.col("component").alias("node")).agg(F.max("depth").alias("depth")), "least")
+    depth = _depths(rounds, rounds.keep(condensed, "condensed"), "condensed-down", least)[0]
+    depth = least.unionByName(depth.select("node", "depth")).groupBy(F.col("node").alias("component")).agg(F.max("depth").alias("depth"))
+    return out.unionByName(of.select("node", "component").join(depth, "component").select("node", "component", "depth"))
 
 
 def condensed_depth(calls: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ class Rounds:
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.schemas: dict[str, object] = {}
         self.grew = False
+        self.total = 0
 
     def __enter__(self) -> Rounds:
         return self
@@ -35,12 +36,13 @@ class Rounds:
         """``df`` as a table of this round."""
         return kept(df, name, self.folder)
 
-    def append(self, df: DataFrame, log: str, counts: str = "true") -> DataFrame:
-        """``df`` added to a log; what was added, as a table.  ``grew`` says whether that was any row that ``counts``."""
+    def append(self, df: DataFrame, log: str, counts: str = "true", of: str = "0") -> DataFrame:
+        """``df`` added to a log; what was added, as a table.  ``grew`` says whether that was any row that ``counts``, and ``total`` what
+        ``of`` sums to over all rows."""
         self.schemas[log] = df.schema
         rows = Observation()
-        added = kept(df.observe(rows, F.count_if(F.expr(counts)).alias("n")), "part", f"{self.folder}/{log}")
-        self.grew = bool(rows.get["n"])
+        added = kept(df.observe(rows, F.count_if(F.expr(counts)).alias("n"), F.sum(F.expr(of)).alias("total")), "part", f"{self.folder}/{log}")
+        self.grew, self.total = bool(rows.get["n"]), rows.get["total"] or 0
         return added
 
     def log(self, log: str) -> DataFrame:

@@ -81,6 +81,29 @@ def test_close_pieces_need_no_rounds(spark, monkeypatch):
     assert got == {10 * k + i: 5 - i for k in range(50) for i in range(6)}
 
 
+@pytest.mark.parametrize("most", [0, 6, 25, 60])
+def test_depth_of_pieces_of_every_size(spark, monkeypatch, most):
+    # a long tail below rings, rings that call each other, and separate pieces, at addresses that are never close
+    monkeypatch.setattr(cycles, "PIECE_STEPS", most)
+    rng = random.Random(most)
+    calls = planted(rng, 30, 25) + [(100 + i, 101 + i) for i in range(9)] + [(3, 100), (109, 110), (110, 111), (111, 110), (111, 112)]
+    calls += [(200 + 10 * k + i, 200 + 10 * k + (i + 1) % 4) for k in range(4) for i in range(4)] + [(201, 220), (222, 234), (300, 302), (302, 301), (301, 302), (302, 303)]
+    calls = sorted({(a * 7919 % 100_003, b * 7919 % 100_003) for a, b in calls if a != b})
+    df = spark.createDataFrame(calls, "entry_va long, callee_va long")
+    got = {r["entry_va"]: (r["component"], r["depth"]) for r in cycles.condensed_depth(df).collect()}
+    assert got == depths(calls)
+
+
+def test_few_calls_left_take_no_further_rounds(spark, monkeypatch):
+    rounds, append = [], cycles.Rounds.append
+    monkeypatch.setattr(cycles.Rounds, "append", lambda self, df, log, *a: rounds.append(log) or append(self, df, log, *a))
+    # a ring with a tail of forty calls
+    calls = [(i, i + 1) for i in range(48)] + [(7, 0)]
+    df = spark.createDataFrame([(a * 7919 % 100_003, b * 7919 % 100_003) for a, b in calls], "entry_va long, callee_va long")
+    got = {r["entry_va"]: r["depth"] for r in cycles.condensed_depth(df).collect()}
+    assert got == {i * 7919 % 100_003: 48 - max(i, 7) for i in range(49)} and len(rounds) < 5
+
+
 def test_depth_without_calls_or_cycles(spark):
     schema = "entry_va long, callee_va long"
     assert cycles.condensed_depth(spark.createDataFrame([], schema)).count() == 0
