@@ -104,6 +104,20 @@ def test_few_calls_left_take_no_further_rounds(spark, monkeypatch):
     assert got == {i * 7919 % 100_003: 48 - max(i, 7) for i in range(49)} and len(rounds) < 5
 
 
+def test_separate_rings_take_no_colours(spark, monkeypatch):
+    def no_colours(*_):
+        raise AssertionError("every piece fits a task")
+
+    monkeypatch.setattr(cycles, "_colours", no_colours)
+    monkeypatch.setattr(cycles, "PIECE_STEPS", 8, raising=False)
+    # sixty rings of five, each with a way in and a way out, their functions far apart
+    ring = lambda k: [(60 * i + k, 60 * ((i + 1) % 5) + k) for i in range(5)] + [(600 + k, k), (k, 900 + k)]
+    calls = [c for k in range(60) for c in ring(k)]
+    df = spark.createDataFrame([(a * 7919 % 100_003, b * 7919 % 100_003) for a, b in calls], "entry_va long, callee_va long")
+    got = {r["entry_va"]: r["depth"] for r in cycles.condensed_depth(df).collect()}
+    assert got == {n * 7919 % 100_003: 1 if n < 300 else 2 if n < 900 else 0 for c in calls for n in c}
+
+
 def test_depth_without_calls_or_cycles(spark):
     schema = "entry_va long, callee_va long"
     assert cycles.condensed_depth(spark.createDataFrame([], schema)).count() == 0
