@@ -85,6 +85,7 @@ def test_close_pieces_need_no_rounds(spark, monkeypatch):
 def test_depth_of_pieces_of_every_size(spark, monkeypatch, most):
     # a long tail below rings, rings that call each other, and separate pieces, at addresses that are never close
     monkeypatch.setattr(cycles, "PIECE_STEPS", most)
+    monkeypatch.setattr(cycles, "CELL_STEPS", 1)
     rng = random.Random(most)
     calls = planted(rng, 30, 25) + [(100 + i, 101 + i) for i in range(9)] + [(3, 100), (109, 110), (110, 111), (111, 110), (111, 112)]
     calls += [(200 + 10 * k + i, 200 + 10 * k + (i + 1) % 4) for k in range(4) for i in range(4)] + [(201, 220), (222, 234), (300, 302), (302, 301), (301, 302), (302, 303)]
@@ -95,6 +96,7 @@ def test_depth_of_pieces_of_every_size(spark, monkeypatch, most):
 
 
 def test_few_calls_left_take_no_further_rounds(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "CELL_STEPS", 1)
     rounds, append = [], cycles.Rounds.append
     monkeypatch.setattr(cycles.Rounds, "append", lambda self, df, log, *a: rounds.append(log) or append(self, df, log, *a))
     # a ring with a tail of forty calls
@@ -110,6 +112,7 @@ def test_separate_rings_take_no_colours(spark, monkeypatch):
 
     monkeypatch.setattr(cycles, "_colours", no_colours)
     monkeypatch.setattr(cycles, "PIECE_STEPS", 8, raising=False)
+    monkeypatch.setattr(cycles, "CELL_STEPS", 2)
     # sixty rings of five, each with a way in and a way out, their functions far apart
     ring = lambda k: [(60 * i + k, 60 * ((i + 1) % 5) + k) for i in range(5)] + [(600 + k, k), (k, 900 + k)]
     calls = [c for k in range(60) for c in ring(k)]
