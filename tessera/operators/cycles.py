@@ -2,8 +2,10 @@
 
 What lies close together is settled at once: addresses are cut into cells, and a weakly connected piece within one cell, of which no call leads
 into another, is settled in the cell's task.  Of the rest, peeling settles functions from the leaves upwards, as far as no cycle is reached.
-What is left falls into weakly connected pieces, and a piece of bounded size is settled whole in a task, given how deep the settled calls of
-its functions are; so is whatever peeling has left once it is that small.  Only larger pieces take further rounds: every node takes the largest
+Whatever peeling has left is settled in a task once its size is bounded, given how deep the settled calls of its functions are.  If one component
+holds much of it, as in a graph of random calls, its functions are found first, as what a busy one reaches and is reached from, and count as one
+from then on.  Else what is left falls into weakly connected pieces, and a piece of bounded size is settled whole in a task.
+Only larger pieces take further rounds: every node takes the largest
 colour that reaches it; a node that keeps its own is the root of the component of all nodes of its colour that reach it.  Edges between
 colours are on no cycle and go, and what has no component yet is peeled (from both ends) and coloured again.  Colours are ordered by hash, so a chain
 of components falls apart in about the logarithm of its length.  Rounds append what they change to logs; a round reads the logs for the nodes
@@ -27,6 +29,8 @@ from tessera.operators.rounds import Rounds
 CELL_STEPS, MOST_STEPS = 20_000, 200_000
 #: Steps of a piece that is settled in one task (some 8 MB of rows); larger pieces take rounds.
 PIECE_STEPS = 500_000
+#: Rounds in which nodes of one component are looked for, and that they count as one node if they are one node in so many.
+GIANT_ROUNDS, GIANT_SHARE = 20, 4
 
 
 def _roots_and_depths(out: dict[int, list[int]], least_depth: dict[int, int] | None = None) -> dict[int, tuple[int, int]]:
@@ -175,8 +179,8 @@ def _peel(rounds: Rounds, steps: DataFrame, name: str, known: DataFrame | None =
         last = rounds.append(both.select("node", "n", so_far, (F.col("n") + F.coalesce("had", F.lit(0)) == F.col("open")).alias("done"), F.lit(k).alias("round")), logs[-1], "done", "n")
         left -= rounds.total
     rest = rounds.keep(untold(), f"{name}-rest")
-    ends = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
-    # of the settled only those of the last round are ends
+    # its ends call, or were settled in the last round
+    ends = rest.select(F.col("src").alias("node")).distinct().union(last.where("done").select("node"))
     deep = rounds.log(logs[-1]).groupBy("node").agg(F.max("depth").alias("depth")).join(ends, "node", "left_semi")
     return settled().select("node", "depth"), rest, rounds.keep(deep, f"{name}-known"), left
 
@@ -293,17 +297,58 @@ def _depths(rounds: Rounds, steps: DataFrame, name: str, known: DataFrame | None
     return done, rest, known, left
 
 
-def _spread(rounds: Rounds, steps: DataFrame) -> DataFrame:
-    """``node, component, depth`` of the nodes of ``src, dst`` (distinct, no loops), in rounds."""
-    out, rest, known, left = _depths(rounds, steps, "down")
+def _giant(rounds: Rounds, steps: DataFrame, name: str) -> DataFrame | None:
+    """``node`` of those that a node with many callers and callees reaches and is reached from in ``GIANT_ROUNDS`` rounds, which are of one
+    component (all of it, if they are enough); None if they aren't a node in ``GIANT_SHARE``.  Each way every node is reached once."""
+    ends = steps.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(steps.select("dst", F.lit(0), F.lit(1)))
+    met = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in"))
+    row = met.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.least("out", "in").alias("least"), "node")).alias("most")).first()
+    log, k = f"{name}-reach", 0
+    start = F.lit(row["most"]["node"]).cast("long").alias("node")
+    moved = rounds.append(rounds.spark.range(2).select(start, (F.col("id") == 0).alias("down")), log)
+    while rounds.grew and k < GIANT_ROUNDS:
+        k += 1
+        down = steps.join(moved.where("down").select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node"), F.lit(True).alias("down"))
+        up = steps.join(moved.where("not down").select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), F.lit(False).alias("down"))
+        moved = rounds.append(down.union(up).distinct().join(rounds.log(log), ["node", "down"], "left_anti"), log)
+    found = rounds.keep(rounds.log(log).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("node"), f"{name}-giant")
+    return found if GIANT_SHARE * found.count() >= row["n"] else None
+
+
+def _spread(rounds: Rounds, steps: DataFrame, known: DataFrame | None = None, k: int = 0, look: bool = True) -> DataFrame:
+    """``node, component, depth`` of the nodes of ``src, dst`` (distinct, no loops), in rounds.  ``known`` (``node, depth``) says how
+    deep nodes are at least."""
+    out, rest, known, left = _depths(rounds, steps, f"all{k}", known)
     if not left:
         return out
+    giant = _giant(rounds, rest, f"all{k}") if look else None
+    return out.unionByName(_without(rounds, rest, known, giant, left, k) if giant is not None else _by_pieces(rounds, rest, known, left))
+
+
+def _without(rounds: Rounds, steps: DataFrame, known: DataFrame, giant: DataFrame, left: int, k: int) -> DataFrame:
+    """``node, component, depth`` of the nodes of ``steps``, all of which call, where ``giant`` are nodes of one component."""
+    least = F.lit(giant.agg(F.min("node")).first()[0]).cast("long")
+    one = lambda df, c: df.join(giant.select(F.col("node").alias(c), least.alias(f"{c}_one")), c, "left")
+    met = one(one(steps, "src"), "dst").where("src_one is null or dst_one is null")
+    met = met.select(F.coalesce("src_one", "src").alias("src"), F.coalesce("dst_one", "dst").alias("dst"))
+    met = rounds.keep(met.distinct(), f"all{k}-met")
+    deep = rounds.keep(one(known, "node").groupBy(F.coalesce("node_one", "node").alias("node")).agg(F.max("depth").alias("depth")), f"all{k}-deep")
+    # another such component is looked for while each takes half of the steps
+    found = _spread(rounds, met, deep, k + 1, 2 * met.count() <= left)
+    # without a step left, they are a component of their own
+    row = found.where(F.col("node") == least).select("component", "depth").first() or deep.where(F.col("node") == least).select(F.col("node").alias("component"), "depth").first()
+    of = giant.select("node", F.lit(row["component"]).cast("long").alias("component") if row else least.alias("component"), F.lit(row["depth"] if row else 0).alias("depth"))
+    return found.where(F.col("node") != least).unionByName(of)
+
+
+def _by_pieces(rounds: Rounds, rest: DataFrame, known: DataFrame, left: int) -> DataFrame:
+    """``node, component, depth`` of the nodes of ``rest``, all of which call: weakly connected pieces in tasks, large ones in rounds."""
     of = _pieces(rounds, rest)
     placed = rounds.keep(rest.join(of.withColumnRenamed("node", "src"), "src").select("piece", "src", "dst"), "placed")
     large = rounds.append(placed.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE_STEPS).select("piece"), "large")
     any_large = rounds.grew
     deep = known.join(of, "node").join(large, "piece", "left_anti")
-    out = out.unionByName(rounds.keep(_in_tasks(placed.join(large, "piece", "left_anti"), deep, left // (5 * CELL_STEPS) + 1), "settled-pieces"))
+    out = rounds.keep(_in_tasks(placed.join(large, "piece", "left_anti"), deep, left // (5 * CELL_STEPS) + 1), "settled-pieces")
     if not any_large:
         return out
     steps = rounds.keep(placed.join(large, "piece", "left_semi").select("src", "dst"), "large-steps")

@@ -121,6 +121,38 @@ def test_separate_rings_take_no_colours(spark, monkeypatch):
     assert got == {n * 7919 % 100_003: 1 if n < 300 else 2 if n < 900 else 0 for c in calls for n in c}
 
 
+def giants(rng):
+    """Two components of random calls, the first of which leads to the second, each with ways in and out, rings and chains about."""
+    calls = [(rng.randrange(40), rng.randrange(40)) for _ in range(400)] + [(100 + rng.randrange(20), 100 + rng.randrange(20)) for _ in range(80)]
+    calls += [(i, i + 1) for i in [*range(200, 212), *range(300, 309)]] + [(302, 301), (309, 300), (207, 205), (3, 200), (212, 105), (306, 7), (110, 400), (400, 401), (401, 400), (500, 501), (501, 500)]
+    return sorted({(a * 7919 % 100_003, b * 7919 % 100_003) for a, b in calls if a != b})
+
+
+def test_a_component_with_most_calls_takes_no_colours(spark, monkeypatch):
+    def no_colours(*_):
+        raise AssertionError("what is left beside the large components fits a task")
+
+    monkeypatch.setattr(cycles, "_colours", no_colours)
+    monkeypatch.setattr(cycles, "_pieces", no_colours)
+    monkeypatch.setattr(cycles, "PIECE_STEPS", 70)
+    monkeypatch.setattr(cycles, "CELL_STEPS", 1)
+    calls = giants(random.Random(27))
+    df = spark.createDataFrame(calls, "entry_va long, callee_va long")
+    got = {r["entry_va"]: (r["component"], r["depth"]) for r in cycles.condensed_depth(df).collect()}
+    assert got == depths(calls)
+
+
+@pytest.mark.parametrize(("most", "rounds"), [(200, 2), (25, 20)])
+def test_depth_where_parts_of_large_components_are_found(spark, monkeypatch, most, rounds):
+    monkeypatch.setattr(cycles, "PIECE_STEPS", most)
+    monkeypatch.setattr(cycles, "GIANT_ROUNDS", rounds)
+    monkeypatch.setattr(cycles, "CELL_STEPS", 1)
+    calls = giants(random.Random(most + rounds))
+    df = spark.createDataFrame(calls, "entry_va long, callee_va long")
+    got = {r["entry_va"]: (r["component"], r["depth"]) for r in cycles.condensed_depth(df).collect()}
+    assert got == depths(calls)
+
+
 def test_depth_without_calls_or_cycles(spark):
     schema = "entry_va long, callee_va long"
     assert cycles.condensed_depth(spark.createDataFrame([], schema)).count() == 0
