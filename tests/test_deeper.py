@@ -286,6 +286,16 @@ def test_edge_conditions_cut_code_once_for_guards_and_signals(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
 
 
+def test_edge_conditions_count_every_site_and_guard(spark):
+    from tessera.operators import graph
+
+    # ten guards before eight sites, then a site far down whose window holds one guard, over the edge of a stretch
+    lines = [f"if (a{k})" for k in range(10)] + ["foo(1)"] * 8 + ["y = 1;"] * 40 + ["if (z)", "rdtsc"] + ["y = 2;"] * 16 + ["foo(2)"]
+    code = spark.createDataFrame([(1, "\n".join(lines))], "entry_va long, body string")
+    calls = spark.createDataFrame([(1, 2, "foo")], "caller_va long, callee_va long, callee_name string")
+    assert [tuple(r) for r in graph.edge_conditions(code, calls).collect()] == [(1, 2, "ok", 9, 81, ["timing"], 82)]
+
+
 def test_usage_snippets_do_not_shuffle_every_line(spark):
     from tessera.operators import contexts
 
