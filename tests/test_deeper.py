@@ -286,6 +286,27 @@ def test_edge_conditions_cut_code_once_for_guards_and_signals(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
 
 
+@pytest.fixture(scope="module")
+def wide_calls(spark, tmp_path_factory):
+    """Tables in which customer 1 orders the parts 2 to 5 and 14, customer 2 the parts 3 and 4 and again 1 and 6."""
+    at = tmp_path_factory.mktemp("wide")
+    pairs = [(1, 2), (1, 3), (1, 4), (1, 5), (1, 14), (2, 3), (2, 4), (2, 1), (2, 6)]
+    spark.createDataFrame([(k, c) for k, (c, _) in enumerate(pairs)], "o_orderkey long, o_custkey long").write.parquet(str(at / "orders.parquet"))
+    spark.createDataFrame([(k, p, 1) for k, (_, p) in enumerate(pairs)], "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(str(at / "lineitem.parquet"))
+    return str(at)
+
+
+_FROM_1 = {"1>2": "cycle_cut", "1>2>3": "no_callee", "1>2>4": "no_callee", "1>2>6": "no_callee", "1>3": "no_callee", "1>4": "no_callee", "1>5": "no_callee", "1>14": "no_callee"}
+_FROM_2 = {"2>1": "cycle_cut", "2>1>3": "no_callee", "2>1>4": "no_callee", "2>1>5": "no_callee", "2>1>14": "no_callee", "2>3": "no_callee", "2>4": "no_callee", "2>6": "no_callee"}
+
+
+def test_simple_paths_follow_every_callee(spark, wide_calls):
+    from tessera.plans import queries
+
+    got = queries.simple_paths(spark, wide_calls).collect()
+    assert {r["path"]: r["leaf"] for r in got} == _FROM_1 | _FROM_2 and len(got) == 16
+
+
 def test_edge_conditions_count_every_site_and_guard(spark):
     from tessera.operators import graph
 
