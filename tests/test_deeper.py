@@ -307,6 +307,13 @@ def test_simple_paths_follow_every_callee(spark, wide_calls):
     assert {r["path"]: r["leaf"] for r in got} == _FROM_1 | _FROM_2 and len(got) == 16
 
 
+def test_paths_within_nodes_follow_every_callee(spark, wide_calls):
+    from tessera.plans import queries
+
+    got = sorted(r["path"] for r in queries.paths_within_nodes(spark, wide_calls).collect())
+    assert got == sorted(p for p in _FROM_1 | _FROM_2 if not {"4", "14"} & set(p.split(">")))
+
+
 def test_edge_conditions_count_every_site_and_guard(spark):
     from tessera.operators import graph
 
