@@ -6,15 +6,15 @@ a frame.  Two recordings are aligned by the histogram of offsets at which their
 at every offset with enough votes the stretches that hold equal integers are judged by their bit errors.
 
 Search holds a stated set of query recordings, in blocks of bounded size, against all recordings.
-Queries of equal fingerprints are one class.  Integers of recordings and of blocks meet in one shuffle, which says in
-which blocks a recording can find enough votes; it is sent to those.  There a task looks its integers up
-among the block's in sorted order, so a very common passage costs its matches in the task that reads
-it.  ``linked`` reduces what a recording matches to one row before anything leaves the task.
+Queries of equal fingerprints are one class.  Of more than one block, none passes through the driver: recordings are dealt out
+over parts, and each part's task holds its recordings while the blocks pass through it one after the other.  There a
+recording's integers are looked up among the block's, so a very common passage costs its matches in the task that reads
+it.  ``linked`` reduces what a recording matches in a block to one row before anything leaves the task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_bits, key_filter, limit_batches, marked, stage, unstage
+from .common import limit_batches, stage
 from .exact_dedup import dealt, hot_digests, in_all_parts
 
 #: Frames that a filter looks at, and pitch classes.
@@ -38,9 +38,14 @@ _GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 MIN_VOTES, MIN_OVERLAP, MAX_ERROR, GAP = 6, 16, 0.25, 32
 #: Integers of queries that each task holds at once.
 BLOCK_INTEGERS = 1 << 21
-#: Rows of a block that one part of it searches.
+#: Found rows that leave a task at a time.
 PART_ROWS = 4096
+#: Integers of rows (64 MB) that a task holds while blocks of queries pass through it.
+PART_INTEGERS = 1 << 24
 _CHUNK = 1 << 18
+#: Windows that are filtered, integers that are looked up and matches of theirs that are counted at a time, so that they stay
+#: in a core's cache.
+_WINDOWS, _LOOKED_UP, _MATCHES = 1 << 14, 1 << 16, 1 << 17
 
 
 def text_frames(text: str) -> np.ndarray:
@@ -82,15 +87,60 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
     out = np.empty(n, dtype=np.uint32)
     for at in range(0, n, _CHUNK):
         to = min(n, at + _CHUNK)
-        image = np.zeros((to - at + WINDOW, CLASSES + 1))
-        np.cumsum(np.cumsum(frames[at : to + WINDOW - 1], axis=0), axis=1, out=image[1:, 1:])
-        out[at:to] = _pack(image, to - at)
+        image = np.zeros((CLASSES + 1, to - at + WINDOW))
+        np.cumsum(np.cumsum(frames[at : to + WINDOW - 1].T, axis=1), axis=0, out=image[1:, 1:])
+        for first in range(0, to - at, _WINDOWS):
+            many = min(_WINDOWS, to - at - first)
+            out[at + first : at + first + many] = _pack(image[:, first : first + many + WINDOW], many)
     return out
 
 
+def fingerprint_all(recordings: list[np.ndarray]) -> list[np.ndarray]:
+    """``fingerprint`` of each.  Recordings of whole energies, whose sums are exact, are joined to one and cut again."""
+    long = [r[np.arange(WINDOW + MIN_OVERLAP - 1) % len(r)] if 0 < len(r) < WINDOW else r for r in recordings]
+    out = [np.zeros(0, dtype=np.uint32)] * len(long)
+    joined: list[int] = []
+    held = 0
+
+    def cut() -> None:
+        ends = np.cumsum([len(long[k]) for k in joined]).tolist()
+        found = fingerprint(np.concatenate([long[k] for k in joined]))
+        for k, end in zip(joined, ends, strict=True):
+            out[k] = found[end - len(long[k]) : end - WINDOW + 1]
+
+    for k, frames in enumerate(long):
+        if len(frames) < WINDOW:
+            continue
+        # the sum of all that is joined stays exact
+        if len(frames) < _CHUNK and frames.max() < 2**31 and (frames == np.floor(frames)).all():
+            joined.append(k)
+            held += len(frames)
+            if held >= _CHUNK // 4:
+                cut()
+                joined, held = [], 0
+        else:
+            out[k] = fingerprint(frames)
+    if joined:
+        cut()
+    return out
+
+
+def _least_ratio(cut: float) -> float:
+    """The least ratio whose logarithm reaches ``cut``."""
+    x = np.exp(cut)
+    while np.log(x) >= cut:
+        x = np.nextafter(x, 0.0)
+    while np.log(x) < cut:
+        x = np.nextafter(x, 9.0)
+    return float(x)
+
+
+_RATIOS = [_least_ratio(c) for c in CUTS]
+
+
 def _pack(image: np.ndarray, n: int) -> np.ndarray:
     def area(t0: int, t1: int, c0: int, c1: int) -> np.ndarray:
-        return image[t1 : t1 + n, c1] - image[t0 : t0 + n, c1] - image[t1 : t1 + n, c0] + image[t0 : t0 + n, c0]
+        return image[c1, t1 : t1 + n] - image[c1, t0 : t0 + n] - image[c0, t1 : t1 + n] + image[c0, t0 : t0 + n]
 
     packed = np.zeros(n, dtype=np.uint32)
     for kind, y, h, w in FILTERS:
@@ -114,7 +164,8 @@ def _pack(image: np.ndarray, n: int) -> np.ndarray:
         else:  # middle frames and the others
             a = area(w // 4, w - w // 4, y, y + h)
             b = whole - a
-        level = np.digitize(np.log((1 + np.maximum(a, 0)) / (1 + np.maximum(b, 0))), CUTS)
+        ratio = (1 + np.maximum(a, 0)) / (1 + np.maximum(b, 0))
+        level = (ratio >= _RATIOS[0]).view(np.uint8) + (ratio >= _RATIOS[1]).view(np.uint8) + (ratio >= _RATIOS[2]).view(np.uint8)
         packed = (packed << np.uint32(2)) | _GRAY[level]
     return packed
 
@@ -122,23 +173,23 @@ def _pack(image: np.ndarray, n: int) -> np.ndarray:
 Stretch = tuple[int, int, int, int, float]  # query, offset, votes, overlap, share of bits wrong
 
 
-def stretches(a: np.ndarray, b: np.ndarray, offset: int, gap: int = GAP) -> Iterator[tuple[int, int, float]]:
+def stretches(a: np.ndarray, b: np.ndarray, offset: int, gap: int = GAP, votes: int = 1, overlap: int = 1) -> Iterator[tuple[int, int, float]]:
     """``(votes, integers, share of bits wrong)`` of each stretch where ``b[i]`` lies on ``a[i + offset]``,
-    from one equal integer to another with no more than ``gap`` places between neighbours."""
+    from one equal integer to another with no more than ``gap`` places between neighbours; those with fewer
+    votes or integers are left out."""
     lo, hi = max(0, -offset), min(len(b), len(a) - offset)
     if hi <= lo:
         return
-    apart = a[lo + offset : hi + offset] ^ b[lo:hi]
-    equal = np.flatnonzero(apart == 0)
-    if not len(equal):
+    over, under = a[lo + offset : hi + offset], b[lo:hi]
+    equal = np.flatnonzero(over == under)
+    if len(equal) < max(1, votes):
         return
-    ends = np.append(np.flatnonzero(np.diff(equal) > gap) + 1, len(equal)).tolist()
-    wrong = np.concatenate([[0], np.cumsum(np.bitwise_count(apart), dtype=np.int64)])
     at = 0
-    for end in ends:
+    for end in [*(np.flatnonzero(equal[1:] - equal[:-1] > gap) + 1).tolist(), len(equal)]:
         first, last = int(equal[at]), int(equal[end - 1])
         n = last - first + 1
-        yield end - at, n, int(wrong[last + 1] - wrong[first]) / (32 * n)
+        if end - at >= votes and n >= overlap:
+            yield end - at, n, int(np.bitwise_count(over[first : last + 1] ^ under[first : last + 1]).sum(dtype=np.int64)) / (32 * n)
         at = end
 
 
@@ -147,55 +198,125 @@ def _starts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, dtype=np.int64)
 
 
+_MIX, _ROW_MIX, _KEY_MIX = np.uint32(0x9E3779B1), np.int64(0x165667B19E3779F9), np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.int64(1 << 31)
+
+
 class QueryBlock:
-    """Query fingerprints, their integers in one sorted list."""
+    """Query fingerprints, their integers in one table: sorted by a one-to-one hash, whose first bits say where to look."""
 
     def __init__(self, prints: list[np.ndarray]):
         self.prints = prints
         places = [_starts(p) for p in prints]
         self.runs = np.array([len(p) for p in places], dtype=np.int64)
-        values = np.concatenate([*(p[x] for p, x in zip(prints, places, strict=True)), np.zeros(0, dtype=np.uint32)])
+        hashed = np.concatenate([*(p[x] for p, x in zip(prints, places, strict=True)), np.zeros(0, dtype=np.uint32)]) * _MIX
         owner = np.repeat(np.arange(len(prints)), self.runs)
         place = np.concatenate([*places, np.zeros(0, dtype=np.int64)])
-        order = np.argsort(values, kind="stable")
-        self.values, self.owner, self.place = values[order], owner[order].astype(np.int64), place[order].astype(np.int64)
+        order = np.argsort(hashed, kind="stable")
+        self.hashed, self.keys = hashed[order], (owner[order].astype(np.int64) << np.int64(32)) + place[order]
+        bits = min(24, len(hashed).bit_length() + 1)
+        self.drop = np.uint32(32 - bits)
+        self.first = np.append(0, np.cumsum(np.bincount(hashed >> self.drop, minlength=1 << bits))).astype(np.int32)
 
     def search(self, own: np.ndarray, votes: int = MIN_VOTES, overlap: int = MIN_OVERLAP, error: float = MAX_ERROR) -> Iterator[Stretch]:
         """The best stretch of each query that aligns with ``own``: fewest bits wrong, then longest,
         then smallest offset."""
-        if not len(own) or not len(self.values):
+        for _, found in self.search_all([own], votes, overlap, error):
+            yield from found
+
+    def search_all(self, rows: list[np.ndarray], votes: int = MIN_VOTES, overlap: int = MIN_OVERLAP, error: float = MAX_ERROR) -> Iterator[tuple[int, list[Stretch]]]:
+        """The number of each row that aligns with any query, and what ``search`` finds for it."""
+        if not len(self.hashed):
             return
-        at_own = _starts(own)
-        value = own[at_own]
-        low = np.searchsorted(self.values, value, side="left")
-        many = np.searchsorted(self.values, value, side="right") - low
-        hit = np.flatnonzero(many)
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        shift = np.int64(1 << 31)
-        cum = np.cumsum(many[hit])
-        at = 0
-        while at < len(hit):  # a bounded number of matches at a time
-            to = max(at + 1, int(np.searchsorted(cum, (cum[at - 1] if at else 0) + _CHUNK, side="right")))
-            h, w = hit[at:to], many[hit[at:to]]
-            m = np.repeat(low[h] - np.cumsum(w) + w, w) + np.arange(int(w.sum()))
-            key, count = np.unique((self.owner[m] << np.int64(32)) + self.place[m] - np.repeat(at_own[h], w) + shift, return_counts=True)
-            keys.append(key)
-            counts.append(count)
-            at = to
-        if not keys:
+        ends = np.cumsum([len(r) for r in rows])
+        start = 0
+        while start < len(rows):  # a bounded number of integers at a time
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _LOOKED_UP, side="right")))
+            for k, keys, totals, runs in self._votes(rows[start:stop], votes):
+                found = list(self._judged(rows[start + k], keys, totals, runs, votes, overlap, error))
+                if found:
+                    yield start + k, found
+            start = stop
+
+    def _votes(self, rows: list[np.ndarray], votes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """Of each row that has any: its number, its keys (query and offset) that may have enough equal integers, how many
+        each has, and the row's runs."""
+        own, sizes = np.concatenate(rows), np.array([len(r) for r in rows], dtype=np.int64)
+        if not len(own):
             return
-        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        starts = np.append(True, own[1:] != own[:-1])
+        starts[first[sizes > 0]] = True
+        at = np.flatnonzero(starts)
+        row = np.repeat(np.arange(len(rows)), sizes)[at]
+        place, hashed, runs = at - first[row], own[at] * _MIX, np.bincount(row, minlength=len(rows))
+        cell = (hashed >> self.drop).astype(np.int64)
+        low = self.first[cell]
+        many = self.first[cell + 1] - low
+        hit = np.flatnonzero(many)
+        row, place, hashed, low, many = row[hit], place[hit], hashed[hit], low[hit], many[hit]
+        cum = np.append(0, np.cumsum(many))
+        edge = np.searchsorted(row, np.arange(len(rows) + 1))
+        reached = cum[edge]
+        asks, gives = np.minimum(votes, self.runs), np.minimum(votes, runs)
+        short, shorter = bool((asks < votes).any()), bool((gives < votes).any())
+        apart = row * _ROW_MIX - place
+
+        def entries(at: int, to: int) -> np.ndarray:
+            w = many[at:to]
+            return np.repeat(low[at:to] - cum[at:to] + cum[at], w) + np.arange(int(cum[to] - cum[at]))
+
+        def matches(m: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            same = self.hashed[m] == hashed[by]
+            by = by[same]
+            return self.keys[m[same]] - place[by] + _SHIFT, row[by]
+
+        k = 0
+        while k < len(rows):
+            at = int(edge[k])
+            # as many rows as have a bounded number of matches
+            last = max(k + 1, int(np.searchsorted(reached, cum[at] + _MATCHES, side="right")) - 1)
+            to = int(edge[last])
+            if cum[to] - cum[at] > _CHUNK:  # one row with more: a bounded number of its matches at a time
+                keys, counts = [], []
+                while at < to:
+                    end = min(to, max(at + 1, int(np.searchsorted(cum, cum[at] + _CHUNK, side="right")) - 1))
+                    key, count = np.unique(matches(entries(at, end), np.repeat(np.arange(at, end), many[at:end]))[0], return_counts=True)
+                    keys.append(key)
+                    counts.append(count)
+                    at = end
+                key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+                yield k, key, np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64), int(runs[k])
+            elif to > at:
+                m, w = entries(at, to), many[at:to]
+                key = self.keys[m]
+                # a slot holds all matches of its keys, so one with too few has no key with enough; other integers
+                # of a cell, which only add to that, are left out of what stays
+                bits = np.uint64(64 - max(10, len(m).bit_length()))
+                slot = (((key + np.repeat(apart[at:to], w)).view(np.uint64) * _KEY_MIX) >> bits).view(np.int64)
+                count = np.bincount(slot)[slot]
+                stay = count >= votes
+                if short:
+                    stay |= count >= asks[key >> np.int64(32)]
+                if shorter:
+                    stay |= count >= np.repeat(gives[row[at:to]], w)
+                left = np.flatnonzero(stay)
+                key, of = matches(m[left], np.searchsorted(cum, left + cum[at], side="right") - 1)
+                parts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, dtype=np.int64)
+                for a, b in zip(parts.tolist(), [*parts[1:].tolist(), len(of)], strict=False):
+                    yield (int(of[a]), *np.unique(key[a:b], return_counts=True), int(runs[of[a]]))
+            k = last
+
+    def _judged(self, own: np.ndarray, key: np.ndarray, total: np.ndarray, runs: int, votes: int, overlap: int, error: float) -> Iterator[Stretch]:
         query = key >> np.int64(32)
         # a stretch's equal integers all lie at its offset, so too few there are too few in any stretch
-        enough = total >= np.minimum(votes, np.minimum(self.runs[query], len(at_own)))
+        enough = total >= np.minimum(votes, np.minimum(self.runs[query], runs))
         best: dict[int, tuple[float, int, int, int]] = {}
-        for q, o in zip(query[enough].tolist(), ((key[enough] & np.int64(0xFFFFFFFF)) - shift).tolist(), strict=True):
+        for q, o in zip(query[enough].tolist(), ((key[enough] & np.int64(0xFFFFFFFF)) - _SHIFT).tolist(), strict=True):
             a = self.prints[q]
             least = min(len(a), len(own))
-            for v, n, wrong in stretches(a, own, o):
-                if v >= min(votes, least) and n >= min(overlap, least) and wrong <= error:
+            for v, n, wrong in stretches(a, own, o, votes=min(votes, least), overlap=min(overlap, least)):
+                if wrong <= error:
                     found = (wrong, -n, o, v)
                     if q not in best or found < best[q]:
                         best[q] = found
@@ -203,6 +324,20 @@ class QueryBlock:
             yield q, o, v, -n, wrong
 
 
+def _some(recordings: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Recordings by the dozen or more, so that no more than the frames of a few long ones are held."""
+    held: list[np.ndarray] = []
+    n = 0
+    for frames in recordings:
+        held.append(frames)
+        n += len(frames)
+        if n >= _LOOKED_UP:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 _PRINTS = "uid long, row_id long, n long, digest binary, print binary"
 
 
@@ -213,7 +348,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", source_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            made = [fingerprint(frames(x)) if x is not None else np.zeros(0, dtype=np.uint32) for x in batch.column("source").to_pylist()]
+            made: list[np.ndarray] = []
+            for some in _some(frames(x) if x is not None else np.zeros((0, CLASSES)) for x in batch.column("source").to_pylist()):
+                made += fingerprint_all(some)
             data = [p.tobytes() for p in made]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(uid, uid + len(made)), pa.int64()), batch.column("row_id"), pa.array([len(p) for p in made], pa.int64()), pa.array([xxhash.xxh3_128_digest(d) for d in data], pa.binary()), pa.array(data, pa.binary())],
@@ -231,98 +368,43 @@ def _query_classes(prints: DataFrame, is_query: Callable[[Column], Column]) -> D
     return stage(rows.groupBy("digest").agg(F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.countDistinct("row_id").alias("ids"), F.first("n").alias("n"), F.first("print").alias("print")), "queries")
 
 
-def _runs(rows: DataFrame, *by: str) -> DataFrame:
-    """``*by, digest, many, runs``: each integer (as ``digest``) of a row's fingerprint, how many runs of it there are and
-    the runs of all."""
-    names = [*by, "digest", "many", "runs"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[tuple] = []
-        values: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
+_SENT = ("part", "block", "uid", "row_id", "asked", "digest", "low", "high", "ids", "print")
 
-        def whole() -> pa.RecordBatch:
-            many = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
-            told = [np.repeat(np.array(c, dtype=np.int64), many) for c in zip(*keys, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*told[:-1], np.concatenate(values).astype(np.int64), np.concatenate(counts), told[-1])], names=names)
 
-        held = 0
-        for batch in batches:
-            for *key, data in zip(*(batch.column(c).to_pylist() for c in (*by, "print")), strict=True):
-                own = np.frombuffer(data, dtype=np.uint32)
-                own = own[_starts(own)]
-                value, count = np.unique(own, return_counts=True)
-                keys.append((*key, len(own)))
-                values.append(value)
-                counts.append(count.astype(np.int64))
-                held += len(value)
-                if held >= _CHUNK:
-                    yield whole()
-                    keys, values, counts, held = [], [], [], 0
-        if held:
-            yield whole()
-
-    return rows.select(*by, "print").mapInArrow(run, ", ".join(f"{c} long" for c in names))
-
-
-def _rows_to_blocks(searched: DataFrame, queries: DataFrame) -> DataFrame:
-    """``uid, digest``: the blocks of queries (as ``digest``) that each row is to be searched in.
-
-    Integers meet in one shuffle, hot ones dealt out.  A stretch needs its votes among the row's runs whose integer
-    some query of the block has, so a block with fewer of them holds nothing that aligns with the row; only queries that
-    share an integer with the row say how few votes can do.
-    """
-    theirs = stage(_runs(queries, "block").groupBy("digest", "block").agg(F.min("runs").alias("runs")), "query_integers")
-    values = theirs.select("digest").distinct()
-    bits = filter_bits(values.count())
-    own = marked(_runs(searched, "uid"), "digest", key_filter(values, "digest", bits), bits).where("hit").drop("hit")
-    own = stage(own, "row_integers")
-    met = own.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    hot = stage(hot_digests(met, own.count()), "hot_integers")
-    votes = dealt(own, hot).join(in_all_parts(theirs.withColumnRenamed("runs", "fewest"), hot), ["digest", "part"])
-    enough = F.least(F.first("runs"), F.min("fewest"), F.lit(MIN_VOTES))
-    out = votes.groupBy("uid", "block").agg(F.sum("many").alias("votes"), enough.alias("enough")).where("votes >= enough")
-    out = stage(out.select("uid", F.col("block").alias("digest")), "row_blocks")
-    unstage(searched.sparkSession, own.staged_path)
-    unstage(searched.sparkSession, theirs.staged_path)
-    return out
-
-
-_SENT = ("block", "part", "is_row", "uid", "row_id", "asked", "digest", "low", "high", "ids", "print")
-
-
-def _sent(searched: DataFrame, queries: DataFrame) -> DataFrame:
-    """Blocks of queries and the rows to be searched in them, side by side in one partition, queries first.  The rows of
-    a block are dealt out over as many parts as their number asks for, each with the whole block."""
-    wanted = _rows_to_blocks(searched, queries)
-    sizes = wanted.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    parts = stage(sizes.select("digest", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts")), "parts")
-    rows = dealt(wanted, parts).withColumnRenamed("digest", "block").join(searched, "uid")
+def _sent(searched: DataFrame, queries: DataFrame, parts: int) -> DataFrame:
+    """Rows dealt out over ``parts``, and all blocks of queries for each of them, side by side in one partition: a part's
+    rows (block -1) first, then one block after the other."""
     none = F.lit(None).cast("long")
-    rows = rows.select("block", "part", F.lit(True).alias("is_row"), "uid", "row_id", "asked", "digest", none.alias("low"), none.alias("high"), none.alias("ids"), "print")
-    part = F.explode(F.expr("sequence(0, parts - 1)")).alias("part")
-    held = queries.join(parts.select(F.col("digest").alias("block"), part), "block")
-    held = held.select("block", "part", F.lit(False).alias("is_row"), none.alias("uid"), none.alias("row_id"), F.lit(False).alias("asked"), "digest", "low", "high", "ids", "print")
-    return rows.unionByName(held).repartition("block", "part").sortWithinPartitions("block", "part", "is_row")
+    rows = searched.select(F.pmod(F.xxhash64("uid"), F.lit(parts)).cast("int").alias("part"), F.lit(-1).cast("long").alias("block"), "uid", "row_id", "asked", "digest", none.alias("low"), none.alias("high"), none.alias("ids"), "print")
+    held = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "block", none.alias("uid"), none.alias("row_id"), F.lit(False).alias("asked"), "digest", "low", "high", "ids", "print")
+    return rows.unionByName(held).repartition("part").sortWithinPartitions("part", "block")
 
 
 def _search(prints: DataFrame, queries: DataFrame, give: Callable, schema: str, block_integers: int) -> tuple[DataFrame, int]:
     """Rows that ``give`` makes of each row's number, identifier, digest and matches, for each block of
     queries, and the number of blocks.  Queries that fit one block, whose size is checked, are broadcast and nothing
-    is shuffled.  Of more queries none passes through the driver: rows go to the blocks that can hold a match."""
+    is shuffled.  Of more queries none passes through the driver: rows are shuffled once, and queries once for each part of the
+    rows, of which there are no more than it takes for both to be as much, if a task can hold such a part."""
     spark = prints.sparkSession
-    blocks = -(-int(queries.agg(F.sum("n")).first()[0] or 0) // block_integers)
+    asked = int(queries.agg(F.sum("n")).first()[0] or 0)
+    blocks = -(-asked // block_integers)
     if not blocks:
         return spark.createDataFrame([], schema), 0
-    searched = prints.where("n > 0").select("uid", "row_id", "asked", "digest", "print")
+    searched = prints.where("n > 0").select("uid", "row_id", "asked", "digest", "n", "print")
     names = [f.split()[0] for f in schema.split(", ")]
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == len(found[0]) - 1 else pa.int64()) for k, c in enumerate(zip(*found, strict=True))], names=names)
 
-    def found_in(index: QueryBlock, classes: list[tuple], uid: int, row_id: int | None, asked: bool, digest: bytes, data: bytes) -> Iterator[tuple]:
-        hits = [(*classes[q], o, v, n, e) for q, o, v, n, e in index.search(np.frombuffer(data, dtype=np.uint32))]
-        return give(uid, row_id, asked, digest, hits)
+    def searched_in(index: QueryBlock, classes: list[tuple], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        for k, hits in index.search_all([np.frombuffer(r[-1], dtype=np.uint32) for r in rows]):
+            found += give(*rows[k][:-1], [(*classes[q], o, v, n, e) for q, o, v, n, e in hits])
+            if len(found) >= PART_ROWS:
+                yield batch_of(found)
+                found = []
+        if found:
+            yield batch_of(found)
 
     if blocks == 1:
         got = queries.orderBy("digest").collect()
@@ -332,35 +414,36 @@ def _search(prints: DataFrame, queries: DataFrame, give: Callable, schema: str,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             classes, index = block.value
             for batch in batches:
-                found: list[tuple] = []
-                for row in zip(*(batch.column(c).to_pylist() for c in ("uid", "row_id", "asked", "digest", "print")), strict=True):
-                    found += found_in(index, classes, *row)
-                if found:
-                    yield batch_of(found)
+                yield from searched_in(index, classes, list(zip(*(batch.column(c).to_pylist() for c in ("uid", "row_id", "asked", "digest", "print")), strict=True)))
 
         return searched.mapInArrow(run, schema), 1
 
     def run_sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, index = None, None
+        at: tuple[int | None, int] = (None, -1)
+        rows: list[tuple] = []
         classes: list[tuple] = []
         held: list[np.ndarray] = []
         for batch in batches:
-            found: list[tuple] = []
-            for block, part, is_row, uid, row_id, asked, digest, low, high, ids, data in zip(*(batch.column(c).to_pylist() for c in _SENT), strict=True):
-                if (block, part) != at:
-                    at, index, classes, held = (block, part), None, [], []
-                if not is_row:
+            for part, block, uid, row_id, asked, digest, low, high, ids, data in zip(*(batch.column(c).to_pylist() for c in _SENT), strict=True):
+                if (part, block) != at:
+                    if held:
+                        yield from searched_in(QueryBlock(held), classes, rows)
+                    classes, held = [], []
+                    if part != at[0]:
+                        rows = []
+                    at = (part, block)
+                if block < 0:
+                    rows.append((uid, row_id, asked, digest, data))
+                else:
                     classes.append((digest, low, high, ids))
                     held.append(np.frombuffer(data, dtype=np.uint32))
-                    continue
-                if index is None:
-                    index = QueryBlock(held)
-                found += found_in(index, classes, uid, row_id, asked, digest, data)
-            if found:
-                yield batch_of(found)
+        if held:
+            yield from searched_in(QueryBlock(held), classes, rows)
 
+    own = int(searched.agg(F.sum("n")).first()[0])
+    parts = max(-(-own // PART_INTEGERS), own // asked, spark.sparkContext.defaultParallelism)
     queries = queries.withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(blocks)).cast("long"))
-    return _sent(searched, queries).mapInArrow(run_sent, schema), blocks
+    return _sent(searched, queries, parts).mapInArrow(run_sent, schema), blocks
 
 
 def align(df: DataFrame, id_col: str = "doc_id", source_col: str = "text", frames: Callable[[object], np.ndarray] = text_frames, is_query: Callable[[Column], Column] = lambda c: c % 100 == 0, block_integers: int = BLOCK_INTEGERS) -> DataFrame:

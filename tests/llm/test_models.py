@@ -355,6 +355,50 @@ def test_a_large_group_of_copies_stays_linear(make, monkeypatch, block):
     assert all(r["n_links"] == (4 if i % 100 == 0 else 5) and r["best_id"] == (400 if i == 0 else 0) and r["best_error"] == 0 for i, r in got.items() if i < 500)
 
 
+def test_recordings_are_shuffled_once_for_all_blocks(spark, make):
+    """A passage in all recordings, so each is to be searched in every one of about twelve blocks."""
+    def total():
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{x}" for x in rng.integers(0, 900, 40))
+    rows = [(i, " ".join(f"q{x}" for x in rng.integers(0, 9000, 300)) + " " + passage) for i in range(300)]
+    integers = sum(len(audio.fingerprint(audio.text_frames(t))) for _, t in rows)
+    before = total()
+    got = audio.linked(make(rows), is_query=lambda c: c % 10 == 0, block_integers=integers // 120).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: 30 - (i % 10 == 0) for i in range(300)}
+    assert total() - before < 3 * 4 * integers
+
+
+def test_joined_recordings_have_their_own_integers():
+    rng = np.random.default_rng(4)
+    whole = [rng.integers(0, 5, (n, 12)).astype(float) for n in (40, 3, 16, 0, 15, 90)]
+    mixed = [*whole[:2], rng.random((30, 12)), *whole[2:], rng.random((5, 12)), np.zeros((20, 12))]
+    assert [p.tolist() for p in audio.fingerprint_all(mixed)] == [audio.fingerprint(f).tolist() for f in mixed]
+    # ratios are cut where their logarithms are
+    near = np.concatenate([np.exp(c) + np.arange(-4, 5) * 2.0**-53 for c in audio.CUTS])
+    assert (np.digitize(np.log(near), audio.CUTS) == sum((near >= r).astype(int) for r in audio._RATIOS)).all()
+
+
+def test_long_and_common_recordings_are_searched_whole(monkeypatch):
+    """Integers of few kinds throughout, so a row has more matches than are counted at a time."""
+    rng = np.random.default_rng(5)
+    # no integer follows itself, as held ones vote once
+    walk = lambda n, kinds: (np.cumsum(rng.integers(1, kinds, n)) % kinds).astype(np.uint32)
+    prints = [walk(n, 3) for n in (60, 200, 1, 4, 17)] + [np.arange(40, dtype=np.uint32)]
+    rows = [np.concatenate([walk(7, 3) + 50, p]) for p in prints] + prints + [np.zeros(0, dtype=np.uint32)]
+    block = audio.QueryBlock(prints)
+    whole = [(k, sorted(found)) for k, found in block.search_all(rows)]
+    assert [k for k, _ in whole] == list(range(12))
+    for k, found in whole:
+        want = {q: b for q, a in enumerate(prints) if (b := brute_stretch(a.tolist(), rows[k].tolist()))}
+        assert {q: (wrong, -n, o, v) for q, o, v, n, wrong in found} == want
+    for name in ("_CHUNK", "_MATCHES", "_LOOKED_UP"):
+        monkeypatch.setattr(audio, name, 50)
+    assert [(k, sorted(found)) for k, found in block.search_all(rows)] == whole
+
+
 def test_integral_image_sums_areas():
     frames = np.random.default_rng(2).random((40, 12))
     whole = audio.fingerprint(frames)
